@@ -33,6 +33,7 @@ def load_all() -> None:
     """Import every query module so that its ``register`` calls run."""
     from talentlake.plans import (  # noqa: F401
         q_aggs,
+        q_filters,
         q_ingest,
         q_joins,
         q_ranking,
