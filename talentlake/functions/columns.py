@@ -34,7 +34,7 @@ def salary_amounts(text: str | Column, strict_ref: bool = False) -> Column:
     any_k = F.lower(t).contains("k")
 
     def to_value(m):
-        num = F.try_cast(F.regexp_replace(m, r"[^0-9.]", ""), "double")
+        num = (F.regexp_replace(m, r"[^0-9.]", "")).try_cast("double")
         has_k = any_k if strict_ref else F.lower(m).endswith("k")
         scaled = F.when((num < 1000) & has_k, num * 1000).otherwise(num)
         return F.floor(scaled).cast("bigint")

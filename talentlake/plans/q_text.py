@@ -1 +1,240 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries for the T operators (text, JSON, date and salary jobs)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talentlake.functions import columns as C
+from talentlake.functions import text as T
+from talentlake.plans import views as V
+from talentlake.plans.oracle_views import with_views as W
+from talentlake.plans.q_joins import q_match_requirements
+from talentlake.plans.registry import ORACLES, register
+from talentlake.sources.tables import Tables
+
+WORDS_RE = r"[^\p{L}\p{N}]+"
+
+SALARY_SQL = r"""
+SELECT id, salary_text,
+  CASE WHEN len(v) > 0 THEN list_min(v) ELSE 0 END AS salary_min,
+  CASE WHEN len(v) > 0 THEN list_max(v) ELSE 0 END AS salary_max
+FROM (SELECT id, salary_text, list_filter(list_transform(regexp_extract_all(salary_text, '\$?[0-9,]+\.?[0-9]*[kK]?'),
+    lambda m: CAST(floor(CASE WHEN TRY_CAST(regexp_replace(m, '[^0-9.]', '', 'g') AS DOUBLE) < 1000 AND {k}
+                         THEN TRY_CAST(regexp_replace(m, '[^0-9.]', '', 'g') AS DOUBLE) * 1000
+                         ELSE TRY_CAST(regexp_replace(m, '[^0-9.]', '', 'g') AS DOUBLE) END) AS BIGINT)),
+    lambda x: x IS NOT NULL) AS v FROM v_salary)"""
+
+
+@register("parse_salary", W(["v_salary"], SALARY_SQL.format(k="lower(m) LIKE '%k'")))
+def q_parse_salary(spark, d):
+    s = V.v_salary(Tables(spark, d))
+    return s.select("id", "salary_text", C.parse_salary("salary_text").alias("_s")).select("id", "salary_text", "_s.*")
+
+
+@register("parse_salary_strict", W(["v_salary"], SALARY_SQL.format(k="lower(salary_text) LIKE '%k%'")))
+def q_parse_salary_strict(spark, d):
+    s = V.v_salary(Tables(spark, d))
+    return s.select("id", "salary_text", C.parse_salary("salary_text", strict_ref=True).alias("_s")).select(
+        "id", "salary_text", "_s.*")
+
+
+@register("remote_policy", W(["v_postings"], """
+SELECT id, policy_text,
+  CASE WHEN lower(concat_ws(' ', role_title, policy_text)) LIKE '%remote%'
+         AND lower(concat_ws(' ', role_title, policy_text)) NOT LIKE '%hybrid%' THEN 'remote'
+       WHEN lower(concat_ws(' ', role_title, policy_text)) LIKE '%hybrid%' THEN 'hybrid'
+       WHEN regexp_matches(lower(concat_ws(' ', role_title, policy_text)), 'on-site|onsite|in-office') THEN 'onsite'
+       ELSE '' END AS remote_policy FROM v_postings"""))
+def q_remote_policy(spark, d):
+    p = V.v_postings(Tables(spark, d))
+    return p.select("id", "policy_text", C.remote_policy("role_title", "policy_text").alias("remote_policy"))
+
+
+@register("page_ids", r"""
+SELECT page_id, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+  regexp_extract(url, 'jk=([a-f0-9]+)', 1) AS job_key,
+  CASE WHEN regexp_extract(url, 'jk=([a-f0-9]+)', 1) <> ''
+       THEN 'https://www.indeed.com/viewjob?jk=' || regexp_extract(url, 'jk=([a-f0-9]+)', 1) ELSE '' END AS view_url,
+  nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page
+FROM pages""")
+def q_page_ids(spark, d):
+    pg = Tables(spark, d).pages
+    jk = C.external_id("url")
+    return pg.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), jk.alias("job_key"),
+                     C.canonical_url(jk).alias("view_url"),
+                     F.try_parse_url("url", F.lit("QUERY"), F.lit("page")).alias("page"))
+
+
+@register("contact_fields", f"""
+SELECT doc_id, nullif(regexp_extract(text, '{T.EMAIL_RE}', 0), '') AS email,
+  nullif(regexp_extract(text, '{T.PHONE_RE}', 0), '') AS phone,
+  nullif(regexp_extract(text, '{T.LINKEDIN_RE}', 0), '') AS linkedin_url,
+  nullif(regexp_extract(text, '{T.GITHUB_RE}', 0), '') AS github_url
+FROM documents""")
+def q_contact_fields(spark, d):
+    docs = Tables(spark, d).documents.select("doc_id", "text")
+    return T.contact_fields(docs).drop("text")
+
+
+@register("doc_sections", f"""
+WITH lines AS (
+  SELECT doc_id, CAST(pos - 1 AS INT) AS pos, trim(line) AS line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents)),
+marked AS (
+  SELECT doc_id, pos, line, regexp_matches(line, '{T.BULLET_RE}') AS is_bullet,
+    CASE WHEN NOT regexp_matches(line, '{T.BULLET_RE}') AND NOT regexp_matches(line, '{T.RULER_RE}') AND line <> ''
+          AND ((line LIKE '%:' AND length(line) <= 40)
+               OR (line = upper(line) AND regexp_matches(line, '[A-Z]') AND length(line) <= 60))
+         THEN line END AS heading FROM lines),
+carried AS (
+  SELECT doc_id, pos, line, is_bullet, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM marked)
+SELECT * FROM (
+  SELECT doc_id, pos,
+    CASE WHEN lower(heading) LIKE '%must%' THEN 'must_have'
+         WHEN lower(heading) LIKE '%nice%' OR lower(heading) LIKE '%preferred%' OR lower(heading) LIKE '%bonus%' THEN 'nice_to_have'
+         WHEN lower(heading) LIKE '%responsib%' THEN 'responsibilities'
+         WHEN lower(heading) LIKE '%skill%' THEN 'skills'
+         WHEN lower(heading) LIKE '%requirement%' OR lower(heading) LIKE '%qualification%' THEN 'must_have' END AS section,
+    heading, regexp_replace(line, '{T.BULLET_RE}', '') AS item,
+    TRY_CAST(nullif(regexp_extract(regexp_replace(line, '{T.BULLET_RE}', ''), '{T.YEARS_RE}', 1), '') AS INT) AS years_required
+  FROM carried WHERE is_bullet) WHERE section IS NOT NULL""")
+def q_doc_sections(spark, d):
+    return T.sections(Tables(spark, d).documents)
+
+
+KEYWORDS_SQL = f"""
+WITH bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '{WORDS_RE}'), lambda w: w <> '') AS t FROM benchmark),
+uni AS (SELECT w AS keyword, count(*) AS n FROM (SELECT unnest(t) AS w FROM bw) WHERE length(w) >= 4
+        GROUP BY w ORDER BY n DESC, keyword LIMIT 40),
+bi AS (SELECT t[i] || ' ' || t[i + 1] AS keyword, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM bw)
+       WHERE length(t[i]) >= 4 AND length(t[i + 1]) >= 4 GROUP BY 1 ORDER BY n DESC, keyword LIMIT 10)
+SELECT keyword FROM uni UNION SELECT keyword FROM bi"""
+
+
+def v_keywords(t):
+    """Keyword dictionary: the 40 most frequent words and 10 most frequent bigrams of benchmark (len ≥ 4)."""
+    b = t.benchmark
+    return T.top_words(b, "text", 40, 4).select("keyword").unionByName(
+        T.top_bigrams(b, "text", 10, 4).select("keyword")).distinct()
+
+
+@register("keyword_tags", W([], f"""
+SELECT DISTINCT d.doc_id, k.keyword
+FROM (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '{WORDS_RE}'),
+        lambda w: w <> ''), ' ') || ' ' AS t FROM documents) d
+JOIN kw k ON d.t LIKE '% ' || k.keyword || ' %'""", extra=[("kw", KEYWORDS_SQL)]))
+def q_keyword_tags(spark, d):
+    t = Tables(spark, d)
+    return T.keyword_tags(t.documents, v_keywords(t))
+
+
+@register("gap_rows", W([], """
+SELECT *, CASE WHEN status = 'met' THEN 'strength' ELSE 'gap' END AS kind,
+  CASE WHEN status = 'met' THEN NULL
+       WHEN req_type = 'must_have' AND status = 'missing' THEN 'critical'
+       WHEN req_type = 'must_have' AND status = 'short' THEN 'high'
+       WHEN req_type = 'implicit' THEN 'medium' WHEN req_type = 'nice_to_have' THEN 'low' END AS severity
+FROM (SELECT *, CASE WHEN req_id <= 3 THEN 'must_have' WHEN req_id <= 5 THEN 'nice_to_have' ELSE 'implicit' END
+        AS req_type FROM m)""", extra=[("m", ORACLES["match_requirements"])]))
+def q_gap_rows(spark, d):
+    m = q_match_requirements(spark, d)
+    m = m.withColumn("req_type", F.when(F.col("req_id") <= 3, "must_have").when(F.col("req_id") <= 5, "nice_to_have")
+                     .otherwise("implicit"))
+    return T.gap_rows(m)
+
+
+@register("fenced_json", """
+SELECT id, CASE WHEN json_valid(c) THEN c END AS json_text
+FROM (SELECT conv_id * 100 + turn AS id, nullif(trim(regexp_extract(text, '```(?:json)?\\s*([\\s\\S]*?)```', 1)), '') AS c
+      FROM conversations
+      UNION ALL SELECT 1000000000 + event_id, nullif(trim(regexp_extract(props, '```(?:json)?\\s*([\\s\\S]*?)```', 1)), '')
+      FROM events)""")
+def q_fenced_json(spark, d):
+    t = Tables(spark, d)
+    src = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text").unionByName(
+        t.events.select((F.lit(1000000000) + F.col("event_id")).alias("id"), F.col("props").alias("text")))
+    c = T.fenced_json("text")
+    return src.select("id", F.when(F.try_parse_json(c).isNotNull(), c).alias("json_text"))
+
+
+@register("balanced_json")
+def q_balanced_json(spark, d):
+    t = Tables(spark, d)
+    src = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text").unionByName(
+        t.events.select((F.lit(1000000000) + F.col("event_id")).alias("id"), F.col("props").alias("text")))
+    return T.json_from_text(src, "text").drop("text")
+
+
+@register("age_label", """
+SELECT event_id, CASE WHEN h < 1 THEN 'Just now' WHEN h < 24 THEN CAST(h AS VARCHAR) || 'h ago'
+    WHEN floor(h / 24) < 7 THEN CAST(CAST(floor(h / 24) AS BIGINT) AS VARCHAR) || 'd ago'
+    ELSE strftime(ts, '%b %-d, %Y') END AS age
+FROM (SELECT event_id, ts, CAST(trunc((epoch_ms(TIMESTAMP '2024-01-25 00:00:00') - epoch_ms(ts)) / 3600000.0) AS BIGINT) AS h
+      FROM events)""")
+def q_age_label(spark, d):
+    ev = Tables(spark, d).events
+    now = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    return ev.select("event_id", C.age_label("ts", now).alias("age"))
+
+
+EXP_JOBS_SQL = """
+SELECT o_custkey AS cv_id,
+  CASE WHEN o_orderkey % 7 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m') END AS start_date,
+  CASE WHEN o_orderstatus = 'O' THEN 'Present'
+       ELSE strftime(o_orderdate + (o_orderkey % 36) * INTERVAL 1 MONTH, '%Y-%m') END AS end_date FROM orders"""
+
+
+def _exp_jobs(t):
+    o = t.orders
+    return o.select(
+        F.col("o_custkey").alias("cv_id"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.date_format("o_orderdate", "yyyy"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("start_date"),
+        F.when(F.col("o_orderstatus") == "O", F.lit("Present"))
+        .otherwise(F.date_format(F.add_months(F.to_date("o_orderdate"), (F.col("o_orderkey") % 36).cast("int")), "yyyy-MM"))
+        .alias("end_date"))
+
+
+def _mi_sql(x: str, now: str = "TIMESTAMP '2002-01-01 00:00:00'") -> str:
+    """SQL twin of ``month_index``."""
+    return (f"CASE WHEN lower(trim({x})) = 'present' THEN year({now}) * 12 + month({now}) - 1 "
+            f"WHEN regexp_matches(trim({x}), '^([0-9]{{4}})-([0-9]{{1,2}})$') "
+            f"THEN CAST(split_part(trim({x}), '-', 1) AS INT) * 12 + CAST(split_part(trim({x}), '-', 2) AS INT) - 1 "
+            f"WHEN regexp_matches(trim({x}), '^([0-9]{{4}})$') THEN CAST(trim({x}) AS INT) * 12 END")
+
+
+@register("experience_years", W([], f"""
+SELECT cv_id, count(*) AS months, round(count(*) / 12.0, 1) AS years FROM (
+  SELECT DISTINCT cv_id, unnest(generate_series(s, e)) AS m FROM (
+    SELECT cv_id, {_mi_sql("start_date")} AS s, {_mi_sql("coalesce(end_date, 'Present')")} AS e FROM jobs)
+  WHERE s IS NOT NULL AND e IS NOT NULL AND e >= s) GROUP BY cv_id""", extra=[("jobs", EXP_JOBS_SQL)]))
+def q_experience_years(spark, d):
+    now = F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")
+    return T.experience_years(_exp_jobs(Tables(spark, d)), now)
+
+
+@register("format_salary", W(["v_postings"], """
+SELECT id, CASE WHEN coalesce(salary_min, 0) <> 0 OR coalesce(salary_max, 0) <> 0
+  THEN '$' || coalesce(format('{:,}', salary_min), '') ||
+       CASE WHEN coalesce(salary_max, 0) <> 0 THEN ' - ' || format('{:,}', salary_max) ELSE '+' END END AS salary_label
+FROM v_postings"""))
+def q_format_salary(spark, d):
+    p = V.v_postings(Tables(spark, d))
+    return p.select("id", C.format_salary("salary_min", "salary_max").alias("salary_label"))
+
+
+@register("page_title", f"""
+SELECT page_id, nullif(trim(regexp_extract(html, '{T.TITLE_RE}', 1)), '') AS title,
+  nullif(regexp_extract(html, '{T.LANG_RE.replace('"', '"')}', 1), '') AS lang
+FROM pages""")
+def q_page_title(spark, d):
+    pg = Tables(spark, d).pages
+    f = T.html_fields(pg, decode=False)
+    return f.select("page_id", "title", "lang")
+
+
+@register("html_text")
+def q_html_text(spark, d):
+    return T.html_fields(Tables(spark, d).pages).select("page_id", "title", "h1", "lang", "host", "links", "text")
