@@ -192,7 +192,7 @@ def avg_fit(apps: DataFrame, by: str | Sequence[str] | None = None, score: str =
 # --------------------------------------------------------------------------- D8
 # Fit-score band schemes (lower bounds, descending) and their labels.
 FIT_BANDS = {
-    "chart": [(90, "Excellent (90+)"), (75, "Good (75-89)"), (60, "Fair (60-74)"), (0, "Needs Work (<60)")],
+    "chart": [(90, "90-100"), (75, "75-89"), (60, "60-74"), (0, "Below 60")],
     "prompt": [(90, "Excellent"), (75, "Strong"), (60, "Moderate"), (40, "Weak"), (0, "Poor")],
     "ui": [(80, "Excellent"), (60, "Good"), (40, "Fair"), (0, "Poor")],
 }

@@ -94,9 +94,9 @@ def q_avg_fit(spark, d):
 
 @register("fit_bands", W(["v_analyses"], """
 SELECT b.band_order, b.band, coalesce(c.count, 0) AS count
-FROM (VALUES (0, 'Excellent (90+)'), (1, 'Good (75-89)'), (2, 'Fair (60-74)'), (3, 'Needs Work (<60)')) b(band_order, band)
-LEFT JOIN (SELECT CASE WHEN fit_score >= 90 THEN 'Excellent (90+)' WHEN fit_score >= 75 THEN 'Good (75-89)'
-                  WHEN fit_score >= 60 THEN 'Fair (60-74)' ELSE 'Needs Work (<60)' END AS band, count(*) AS count
+FROM (VALUES (0, '90-100'), (1, '75-89'), (2, '60-74'), (3, 'Below 60')) b(band_order, band)
+LEFT JOIN (SELECT CASE WHEN fit_score >= 90 THEN '90-100' WHEN fit_score >= 75 THEN '75-89'
+                  WHEN fit_score >= 60 THEN '60-74' ELSE 'Below 60' END AS band, count(*) AS count
            FROM v_analyses WHERE fit_score IS NOT NULL GROUP BY 1) c ON b.band = c.band"""))
 def q_fit_bands(spark, d):
     return aggs.fit_bands(V.v_analyses(Tables(spark, d)), scheme="chart")
