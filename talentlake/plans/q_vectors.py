@@ -1 +1,97 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries for the V operators (vector knowledge base)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talentlake.operators import vectors as VX
+from talentlake.plans.oracle_views import with_views as W
+from talentlake.plans.q_ingest import knowledge_inputs
+from talentlake.plans.registry import register
+from talentlake.sources import ingest as I
+from talentlake.sources.tables import Tables
+
+
+def _replies(t):
+    """Embedding service replies as JSON text, nested 3, 2 or 1 deep."""
+    e = t.embeddings
+    j = F.to_json(F.col("embedding"))
+    depth = F.col("vec_id") % 3
+    return e.select("vec_id", F.when(depth == 0, F.concat(F.lit("[["), j, F.lit("]]")))
+                    .when(depth == 1, F.concat(F.lit("["), j, F.lit("]"))).otherwise(j).alias("reply"))
+
+
+@register("unwrap_embedding", """
+SELECT vec_id, CAST(len(v) AS INT) AS dims, v AS embedding FROM (
+  SELECT vec_id, CASE WHEN regexp_matches(reply, '^\\s*\\[\\s*\\[\\s*\\[') THEN CAST(reply AS DOUBLE[][][])[1][1]
+                      WHEN regexp_matches(reply, '^\\s*\\[\\s*\\[') THEN CAST(reply AS DOUBLE[][])[1]
+                      ELSE CAST(reply AS DOUBLE[]) END AS v
+  FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN '[[' || CAST(embedding AS VARCHAR) || ']]'
+                                       WHEN 1 THEN '[' || CAST(embedding AS VARCHAR) || ']'
+                                       ELSE CAST(embedding AS VARCHAR) END AS reply FROM embeddings))""")
+def q_unwrap_embedding(spark, d):
+    u = VX.unwrap_embedding(_replies(Tables(spark, d)), "reply")
+    return u.select("vec_id", F.size("embedding").alias("dims"), "embedding")
+
+
+@register("index_vectors")
+def q_index_vectors(spark, d):
+    b, i, g = knowledge_inputs(Tables(spark, d))
+    docs = I.knowledge_docs(b, i, g).withColumn("key", F.concat_ws(":", "source_file", F.col("pos").cast("string")))
+    meta = F.map_from_arrays(F.array(F.lit("type"), F.lit("category"), F.lit("source_file")),
+                             F.array("type", "category", "source_file"))
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return VX.index_vectors(docs, "key", "text", ts, meta)
+
+
+CENTROID_SQL = """
+SELECT label AS query_id, list(x ORDER BY pos) AS q FROM (
+  SELECT label, pos, avg(x) AS x FROM (
+    SELECT label, unnest(embedding) AS x, unnest(generate_series(0, len(embedding) - 1)) AS pos FROM embeddings)
+  GROUP BY label, pos) GROUP BY label"""
+
+KNN_SQL = W([], """
+SELECT query_id, vec_id, distance, round(1 - distance, 6) AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INT) AS rank FROM (
+    SELECT c.query_id, e.vec_id, round(1 - list_cosine_similarity(c.q, CAST(e.embedding AS DOUBLE[])), 6) AS distance
+    FROM c, embeddings e))
+WHERE rank <= 5""", extra=[("c", CENTROID_SQL)])
+
+
+def _knn(spark, d):
+    e = Tables(spark, d).embeddings
+    return VX.knn(VX.centroids(e, "label"), e, 5)
+
+
+@register("knn", KNN_SQL)
+def q_knn(spark, d):
+    return _knn(spark, d)
+
+
+@register("knn_approx")
+def q_knn_approx(spark, d):
+    e = Tables(spark, d).embeddings
+    return VX.knn_approx(VX.centroids(e, "label"), e, 5)
+
+
+@register("retrieve_context", W([], """
+SELECT query_id, CAST(len(items) AS INT) AS n_items,
+  CASE WHEN len(items) > 0 THEN 'Example strong bullets:' || chr(10) ||
+       array_to_string(list_transform(items, lambda x: '• ' || x), chr(10))
+       ELSE 'No templates available' END AS context
+FROM (SELECT h.query_id, coalesce(list(item ORDER BY n) FILTER (WHERE item IS NOT NULL AND n <= 10), []) AS items
+      FROM (SELECT DISTINCT query_id FROM k) h LEFT JOIN (
+        SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY rank, pos) AS n FROM (
+          SELECT query_id, rank, unnest(generate_series(0, least(len(bl), 3) - 1)) AS pos,
+                 unnest(bl[1:3]) AS item FROM (
+            SELECT query_id, rank, list_transform(generate_series(1, CAST(vec_id % 5 AS BIGINT)),
+                     lambda i: 'tip ' || CAST(vec_id AS VARCHAR) || '-' || CAST(i AS VARCHAR)) AS bl FROM k))) x
+      ON h.query_id = x.query_id GROUP BY h.query_id)""", extra=[("k", KNN_SQL)]))
+def q_retrieve_context(spark, d):
+    hits = _knn(spark, d)
+    n = (F.col("vec_id") % 5).cast("int")
+    hits = hits.withColumn("bullets", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(
+        F.lit("tip "), F.col("vec_id").cast("string"), F.lit("-"), i.cast("string")))).otherwise(
+        F.array().cast("array<string>")))
+    return VX.retrieve_context(hits, "bullets", per_hit=3, total=10, header="Example strong bullets:\n",
+                               fallback="No templates available")
