@@ -238,3 +238,119 @@ def q_page_title(spark, d):
 @register("html_text")
 def q_html_text(spark, d):
     return T.html_fields(Tables(spark, d).pages).select("page_id", "title", "h1", "lang", "host", "links", "text")
+
+
+# --------------------------------------------------------------------------- T11
+def v_profiles(t):
+    """CV and job profiles as nested structs, one per order: its lines are the skills / requirements."""
+    o, c, n, li, p = t.orders, t.customer, t.nation, t.lineitem, t.part
+    lp = li.join(p, li.l_partkey == p.p_partkey).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "p_name", "p_type", "p_brand")
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    prof = F.when(F.col("l_returnflag") == "A", "expert").when(F.col("l_returnflag") == "R", "proficient").otherwise("")
+    per = lp.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(
+            F.col("p_name").alias("name"), prof.alias("proficiency"),
+            (F.col("l_quantity").cast("int") % 10).alias("years")).alias("v")))).alias("_skills"),
+        F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(
+            F.col("p_name").alias("text"), F.lower("p_type").alias("category"),
+            F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("years_required"),
+            F.col("l_linenumber").alias("ln")).alias("v")))).alias("_reqs"),
+        F.array_sort(F.collect_set("p_type")).alias("_types"),
+        F.array_sort(F.collect_set("p_brand")).alias("_brands"),
+        F.sum(F.col("l_quantity").cast("int") % 10).alias("_years"),
+    )
+    base = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(
+        per, o.o_orderkey == per.l_orderkey)
+    reqs = F.transform("_reqs", lambda x: x["v"])
+    cv = F.struct(
+        F.col("c_name").alias("name"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("c_mktsegment")).alias("summary"),
+        F.col("_years").cast("int").alias("total_years_experience"),
+        F.transform("_skills", lambda x: x["v"]).alias("skills"),
+        F.array(F.struct(F.col("n_name").alias("company"), F.col("o_orderpriority").alias("role"),
+                         F.date_format("o_orderdate", "yyyy-MM").alias("start_date"),
+                         F.when(F.col("o_orderstatus") != "O", F.date_format("o_orderdate", "yyyy")).alias("end_date"),
+                         F.col("_types").alias("highlights"))).alias("experience"),
+        F.array().cast("array<struct<degree:string,field:string,institution:string>>").alias("education"),
+        F.col("_brands").alias("certifications"),
+    )
+    job = F.struct(
+        F.col("o_orderpriority").alias("role_title"), F.col("n_name").alias("company"),
+        F.col("n_name").alias("location"),
+        F.when(F.col("o_orderstatus") == "F", "remote").alias("remote_policy"),
+        F.lit(None).cast("string").alias("seniority"),
+        F.filter(reqs, lambda r: r["ln"] <= 3).alias("must_have"),
+        F.filter(reqs, lambda r: r["ln"] > 3).alias("nice_to_have"),
+        F.col("_types").alias("responsibilities"),
+        F.col("_brands").alias("ats_keywords"),
+    )
+    return base.select(F.col("o_orderkey").alias("id"), cv.alias("cv"), job.alias("job"))
+
+
+def _lines_sql(*parts: str) -> str:
+    return "concat_ws(chr(10), " + ", ".join(parts) + ")"
+
+
+NL = "chr(10)"
+PROFILE_SQL = f"""
+WITH lp AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_returnflag,
+              p.p_name, p.p_type, p.p_brand FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
+per AS (SELECT l_orderkey,
+  list({{'name': p_name, 'proficiency': CASE l_returnflag WHEN 'A' THEN 'expert' WHEN 'R' THEN 'proficient' ELSE '' END,
+         'years': CAST(CAST(l_quantity AS INT) % 10 AS INT)}}
+       ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS skills,
+  list({{'text': p_name, 'category': lower(p_type), 'years_required': CASE WHEN l_linenumber > 1 THEN l_linenumber END,
+         'ln': l_linenumber}} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS reqs,
+  list_sort(list_distinct(list(p_type))) AS types, list_sort(list_distinct(list(p_brand))) AS brands,
+  CAST(sum(CAST(l_quantity AS INT) % 10) AS INT) AS years
+  FROM lp GROUP BY l_orderkey),
+b AS (SELECT o.o_orderkey AS id, c.c_name AS name, CASE WHEN o.o_orderkey % 2 = 0 THEN c.c_mktsegment END AS summary,
+        per.years, per.skills, n.n_name, o.o_orderpriority AS role, strftime(o.o_orderdate, '%Y-%m') AS start_date,
+        CASE WHEN o.o_orderstatus <> 'O' THEN strftime(o.o_orderdate, '%Y') END AS end_date, per.types, per.brands,
+        list_filter(per.reqs, lambda r: r.ln <= 3) AS must, list_filter(per.reqs, lambda r: r.ln > 3) AS nice,
+        CASE WHEN o.o_orderstatus = 'F' THEN 'remote' END AS remote_policy
+      FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+      JOIN per ON o.o_orderkey = per.l_orderkey)
+SELECT id,
+  {_lines_sql(
+    "'## Candidate: ' || coalesce(name, 'Unknown')", "''",
+    f"CASE WHEN summary IS NOT NULL AND summary <> '' THEN '**Summary:** ' || summary || {NL} END",
+    f"CASE WHEN years IS NOT NULL AND years <> 0 THEN '**Total Experience:** ' || CAST(years AS VARCHAR) || ' years' || {NL} END",
+    f"""CASE WHEN len(skills) > 0 THEN '**Skills:**' || {NL} || array_to_string(list_transform(skills, lambda s:
+         '- ' || coalesce(s.name, '') || CASE WHEN s.proficiency IS NOT NULL AND s.proficiency <> '' THEN ' (' || s.proficiency || ')' ELSE '' END
+         || CASE WHEN s.years IS NOT NULL AND s.years <> 0 THEN ' - ' || CAST(s.years AS VARCHAR) || ' years' ELSE '' END), {NL}) || {NL} END""",
+    f"""'**Work Experience:**' || {NL} || {NL} || '### ' || coalesce(role, '') || ' at ' || coalesce(n_name, '') || ' ('
+         || coalesce(start_date, '') || ' - ' || coalesce(end_date, 'Present') || ')'
+         || CASE WHEN len(types) > 0 THEN {NL} || array_to_string(list_transform(types, lambda h: '  - ' || h), {NL}) ELSE '' END
+         || {NL}""",
+    f"CASE WHEN len(brands) > 0 THEN '**Certifications:** ' || array_to_string(brands, ', ') || {NL} END",
+  )} AS cv_text,
+  {_lines_sql(
+    "'## Job: ' || coalesce(role, 'Unknown Role') || ' at ' || coalesce(n_name, 'Unknown Company')", "''",
+    "CASE WHEN n_name IS NOT NULL AND n_name <> '' THEN '**Location:** ' || n_name || ' (' || coalesce(remote_policy, 'unknown') || ')' END",
+    "''",
+    f"""CASE WHEN len(must) > 0 THEN '**Must-Have Requirements:**' || {NL} || array_to_string(list_transform(must, lambda r:
+         '- ' || coalesce(r.text, '') || CASE WHEN r.years_required IS NOT NULL AND r.years_required <> 0
+         THEN ' (' || CAST(r.years_required AS VARCHAR) || '+ years)' ELSE '' END
+         || CASE WHEN r.category IS NOT NULL AND r.category <> '' THEN ' [' || r.category || ']' ELSE '' END), {NL}) || {NL} END""",
+    f"""CASE WHEN len(nice) > 0 THEN '**Nice-to-Have:**' || {NL} || array_to_string(list_transform(nice, lambda r:
+         '- ' || coalesce(r.text, '')), {NL}) || {NL} END""",
+    f"""CASE WHEN len(types) > 0 THEN '**Responsibilities:**' || {NL} || array_to_string(list_transform(types, lambda r:
+         '- ' || r), {NL}) || {NL} END""",
+    f"CASE WHEN len(brands) > 0 THEN '**Key ATS Keywords:** ' || array_to_string(brands, ', ') || {NL} END",
+  )} AS job_text
+FROM b"""
+
+
+@register("render_profile", PROFILE_SQL)
+def q_render_profile(spark, d):
+    pr = v_profiles(Tables(spark, d))
+    return pr.select("id", T.render_cv(F.col("cv")).alias("cv_text"), T.render_job(F.col("job")).alias("job_text"))
+
+
+@register("extract_postings")
+def q_extract_postings(spark, d):
+    from talentlake.sources.postings import extract_postings
+
+    return extract_postings(Tables(spark, d).pages)
