@@ -219,9 +219,14 @@ def render_job(p: Column, max_must: int | None = None, max_resp: int | None = No
 FENCE_RE = r"```(?:json)?\s*([\s\S]*?)```"
 
 
+def strip_ws(c: Column) -> Column:
+    """Python ``str.strip()``: leading and trailing whitespace of any kind."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def fenced_json(text: str | Column) -> Column:
-    """Content of the first fenced block, trimmed (NULL when there is none)."""
-    return F.nullif(F.trim(F.regexp_extract(_c(text), FENCE_RE, 1)), F.lit(""))
+    """Content of the first fenced block, stripped (NULL when there is none)."""
+    return F.nullif(strip_ws(F.regexp_extract(_c(text), FENCE_RE, 1)), F.lit(""))
 
 
 def _balanced(s: str | None) -> str | None:
@@ -267,7 +272,7 @@ def json_from_text(df: DataFrame, col: str) -> DataFrame:
     fenced = fenced_json(col)
     fenced_ok = F.try_parse_json(fenced).isNotNull()
     candidate = F.when(fenced_ok, fenced).otherwise(balanced_object(F.when(~fenced_ok | fenced.isNull(), _c(col))))
-    cand = F.trim(candidate)
+    cand = strip_ws(candidate)
     wrapped = F.when(cand.startswith("["), F.concat(F.lit('{"charts": '), cand, F.lit("}"))).otherwise(cand)
     parsed = F.try_parse_json(wrapped)
     return df.withColumns({

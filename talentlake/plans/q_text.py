@@ -147,9 +147,9 @@ def q_gap_rows(spark, d):
 
 @register("fenced_json", """
 SELECT id, CASE WHEN json_valid(c) THEN c END AS json_text
-FROM (SELECT conv_id * 100 + turn AS id, nullif(trim(regexp_extract(text, '```(?:json)?\\s*([\\s\\S]*?)```', 1)), '') AS c
+FROM (SELECT conv_id * 100 + turn AS id, nullif(regexp_replace(regexp_extract(text, '```(?:json)?\\s*([\\s\\S]*?)```', 1), '^\\s+|\\s+$', '', 'g'), '') AS c
       FROM conversations
-      UNION ALL SELECT 1000000000 + event_id, nullif(trim(regexp_extract(props, '```(?:json)?\\s*([\\s\\S]*?)```', 1)), '')
+      UNION ALL SELECT 1000000000 + event_id, nullif(regexp_replace(regexp_extract(props, '```(?:json)?\\s*([\\s\\S]*?)```', 1), '^\\s+|\\s+$', '', 'g'), '')
       FROM events)""")
 def q_fenced_json(spark, d):
     t = Tables(spark, d)
