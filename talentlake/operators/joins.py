@@ -119,44 +119,64 @@ def match_requirements(pairs: DataFrame, job_reqs: DataFrame, cv_skills: DataFra
 
 
 # --------------------------------------------------------------------------- C7
+def text_ngrams(texts: DataFrame, text_id: str, text: str, max_tokens: int) -> DataFrame:
+    """(text_id, ngram) for every run of 1..max_tokens consecutive word tokens of the text.
+
+    One row per text position carries only its next ``max_tokens`` tokens, so the work is
+    O(tokens · max_tokens) and no row ever holds the whole text twice.
+    """
+    t = texts.select(F.col(text_id).alias("_tid"), words(F.col(text)).alias("_tok"))
+    win = t.select("_tid", F.posexplode("_tok").alias("_pos", "_w0"), "_tok").select(
+        "_tid", F.slice("_tok", F.col("_pos") + 1, max_tokens).alias("_win"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_win")), lambda n: F.array_join(F.slice("_win", 1, n), " "))
+    return win.select(F.col("_tid").alias(text_id), F.explode(grams).alias("ngram"))
+
+
+def phrase_key(phrase: Column) -> Column:
+    """Normal form of a phrase: its word tokens joined by single spaces ('' when it has none)."""
+    return F.array_join(words(phrase), " ")
+
+
 def phrase_match(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
                  phrase: str, max_phrase_tokens: int | None = None) -> DataFrame:
     """(text_id, phrase_id) where the phrase occurs in the text as whole words (case-insensitive).
 
-    No nested loop: every text position emits the window of the next L tokens (L = longest
-    phrase, a property of the bounded phrase dictionary), equi-joined on its first token; the
-    window is then compared with the phrase.  Work is O(tokens · L), never tokens².
+    No nested loop and no scan per phrase: the text's n-grams (up to the longest phrase, a
+    property of the bounded phrase dictionary) are equi-joined with the normalised phrases, so
+    the join key is the *whole* phrase and only real matches meet.
     """
-    p = phrases.select(F.col(phrase_id).alias("_pid"), words(F.col(phrase)).alias("_ptok")).where(F.size("_ptok") > 0)
+    p = phrases.select(F.col(phrase_id).alias("_pid"), phrase_key(F.col(phrase)).alias("ngram")).where(F.col("ngram") != "")
     if max_phrase_tokens is None:
-        max_phrase_tokens = p.agg(F.max(F.size("_ptok"))).first()[0] or 1
-    p = p.select("_pid", "_ptok", F.col("_ptok")[0].alias("_first"))
-    t = texts.select(F.col(text_id).alias("_tid"), words(F.col(text)).alias("_tok"))
-    t = t.select("_tid", F.posexplode("_tok").alias("_pos", "_first"), "_tok").select(
-        "_tid", "_first", F.slice("_tok", F.col("_pos") + 1, max_phrase_tokens).alias("_win"))
-    j = t.join(p, "_first")
-    ok = F.slice("_win", 1, F.size("_ptok")) == F.col("_ptok")
-    return j.where(ok).select(F.col("_tid").alias(text_id), F.col("_pid").alias(phrase_id)).distinct()
+        max_phrase_tokens = p.agg(F.max(F.size(F.split("ngram", " ")))).first()[0] or 1
+    g = text_ngrams(texts, text_id, text, max_phrase_tokens).withColumnRenamed(text_id, "_tid")
+    return g.join(p, "ngram").select(F.col("_tid").alias(text_id), F.col("_pid").alias(phrase_id)).distinct()
+
+
+REMOTE_KEY = "*remote*"  # cannot collide: phrase keys hold only word characters and spaces
 
 
 def preference_match(users: DataFrame, postings: DataFrame, user: str = "user_id", roles: str = "target_roles",
                      locations: str = "target_locations", posting: str = "id", title: str = "role_title",
-                     location: str = "location", remote: str = "remote_policy", active: str = "is_active") -> DataFrame:
+                     location: str = "location", remote: str = "remote_policy", active: str = "is_active",
+                     max_phrase_tokens: int = 4) -> DataFrame:
     """Active postings whose title contains a target role and whose location contains a target
-    location (or that are remote), as (user, posting) rows.  Matching is whole-word, case-insensitive."""
+    location (or that are remote), as (user, posting) rows.  Matching is whole-word, case-insensitive.
+
+    One equi-join on the composite key (role phrase, location phrase): postings emit their
+    title n-grams × (location n-grams + a remote marker), users emit their targets' role ×
+    location combinations (+ the remote marker).  Only matching pairs meet; nothing is
+    expanded to users × postings.
+    """
     live = postings.where(F.col(active))
-    ur = users.select(F.col(user).alias("_u"), F.explode(roles).alias("_role")).withColumn(
-        "_rid", F.concat_ws("\u0001", F.col("_u").cast("string"), "_role"))
-    role_hit = phrase_match(live, posting, title, ur, "_rid", "_role")
-    role_hit = role_hit.join(ur.select("_rid", "_u"), "_rid").select("_u", posting).distinct()
-    ul = users.select(F.col(user).alias("_u"), F.explode(locations).alias("_loc")).withColumn(
-        "_lid", F.concat_ws("\u0001", F.col("_u").cast("string"), "_loc"))
-    loc_hit = phrase_match(live, posting, location, ul, "_lid", "_loc")
-    loc_hit = loc_hit.join(ul.select("_lid", "_u"), "_lid").select("_u", posting)
-    rem = live.where(F.lower(F.col(remote)) == "remote").select(posting)
-    # remote postings satisfy the location test for every user who already matched the role
-    loc_ok = loc_hit.unionByName(role_hit.join(rem, posting).select("_u", posting)).distinct()
-    return role_hit.join(loc_ok, ["_u", posting]).select(F.col("_u").alias(user), posting)
+    tg = text_ngrams(live, posting, title, max_phrase_tokens).withColumnRenamed("ngram", "_role")
+    lg = text_ngrams(live, posting, location, max_phrase_tokens).withColumnRenamed("ngram", "_loc")
+    rm = live.where(F.lower(F.col(remote)) == "remote").select(posting, F.lit(REMOTE_KEY).alias("_loc"))
+    post_keys = tg.join(lg.unionByName(rm).distinct(), posting)
+    u = users.select(F.col(user).alias("_u"), F.explode(roles).alias("_r"), F.col(locations).alias("_ls"))
+    u = u.select("_u", phrase_key(F.col("_r")).alias("_role"),
+                 F.explode(F.array_union(F.transform(F.col("_ls"), phrase_key), F.array(F.lit(REMOTE_KEY)))).alias("_loc"))
+    u = u.where((F.col("_role") != "") & (F.col("_loc") != ""))
+    return u.join(post_keys, ["_role", "_loc"]).select(F.col("_u").alias(user), posting).distinct()
 
 
 # --------------------------------------------------------------------------- C8
