@@ -299,17 +299,24 @@ def experience_years(jobs: DataFrame, now: Column, person: str = "cv_id", start:
                      end: str = "end_date") -> DataFrame:
     """Total experience per person: overlapping jobs merged, months counted once.
 
-    Every job becomes its covered months (inclusive; an open end is ``now``);
-    the union is the number of distinct (person, month) pairs.  This is the
-    gaps-and-islands result without a per-person sort: the distinct is keyed by
-    (person, month), so a person with a huge history is still spread over tasks.
+    Every job covers a range of months (inclusive; an open end is ``now``).  The union is
+    counted with one 12-bit mask per (person, year): each job contributes the bits of the months
+    it covers in each year it touches, ``bit_or`` merges overlapping jobs, ``bit_count`` counts
+    months.  This is the gaps-and-islands result without a per-person sort, keyed by (person,
+    year), so a person with a huge history is still spread over tasks and reduced map-side.
     """
     s = month_index(F.col(start), now)
     e = month_index(F.coalesce(F.col(end), F.lit("Present")), now)
     spans = jobs.select(F.col(person).alias(person), s.alias("_s"), e.alias("_e")).where(
         F.col("_s").isNotNull() & F.col("_e").isNotNull() & (F.col("_e") >= F.col("_s")))
-    months = spans.select(person, F.explode(F.sequence("_s", "_e")).alias("_m")).distinct()
-    return months.groupBy(person).agg(F.count(F.lit(1)).alias("months")).withColumn(
+    years = spans.select(person, "_s", "_e", F.explode(F.sequence(F.floor(F.col("_s") / 12).cast("int"),
+                                                                   F.floor(F.col("_e") / 12).cast("int"))).alias("_y"))
+    lo = F.greatest(F.col("_s"), F.col("_y") * 12) - F.col("_y") * 12
+    hi = F.least(F.col("_e"), F.col("_y") * 12 + 11) - F.col("_y") * 12
+    # bits lo..hi set: (2^(hi-lo+1) - 1) · 2^lo, exact in double for 12 bits
+    mask = ((F.pow(F.lit(2.0), hi - lo + 1) - 1) * F.pow(F.lit(2.0), lo)).cast("long")
+    per_year = years.groupBy(person, "_y").agg(F.bit_or(mask).alias("_m"))
+    return per_year.groupBy(person).agg(F.sum(F.bit_count("_m")).cast("long").alias("months")).withColumn(
         "years", F.round(F.col("months") / 12.0, 1))
 
 

@@ -21,6 +21,8 @@ from talentlake.functions.text import visible_text
 # Script patterns of the job board pages.
 JSONLD_RE = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 MOSAIC_RE = r"(?s)window\.mosaic\.providerData\[\"mosaic-provider-jobcards\"\]\s*=\s*(\{.*?\});"
+# A card selector can only match when one of these class names occurs in the page text.
+CARD_MARKER_RE = r"job_seen_beacon|jobsearch-ResultsList|css-5lfssm"
 SOURCE = "indeed"
 MAX_DESCRIPTION = 5000
 
@@ -55,7 +57,8 @@ def extract_postings(pages: DataFrame, page_id: str = "page_id", html: str = "ht
     src = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(html).alias("html"))
 
     # --- cards (Python per page, only the card text) -------------------------------------
-    cards_raw = src.mapInPandas(_cards, CARD_SCHEMA)
+    # exact native pre-filter: pages without any card class name cannot have cards
+    cards_raw = src.where(F.col("html").rlike(CARD_MARKER_RE)).mapInPandas(_cards, CARD_SCHEMA)
     with_cards = cards_raw.select("page_id").distinct()
     sal = parse_salary(F.col("salary_text"))
     cards = cards_raw.where(F.col("role_title") != "").select(

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,10 +140,14 @@ def _fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState, stuck_after_
         cur, started, done, last, err, n = state.get
     else:
         cur, started, done, last, err, n = "pending", None, None, None, None, 0
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        pdf = pd.concat(frames).sort_values(["ts", "event_id"], kind="mergesort")
-        for st_, ts_, e_ in zip(pdf["status"], pdf["ts"], pdf["error"]):
+    for pdf in pdfs:
+        if not len(pdf):
+            continue
+        sts = pdf["status"].to_numpy()
+        tss = pdf["ts"].to_numpy()
+        errs = pdf["error"].to_numpy()
+        for i in np.lexsort((pdf["event_id"].to_numpy(), tss)):
+            st_, ts_ = sts[i], pd.Timestamp(tss[i])
             n += 1
             last = ts_ if last is None or ts_ > last else last
             if cur == "cancelled":
@@ -154,17 +159,18 @@ def _fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState, stuck_after_
                 cur, done = "processing", None
                 started = ts_ if started is None else started
             elif st_ == "failed":
+                e_ = errs[i]
                 cur, done, err = "failed", ts_, (None if e_ is None or pd.isna(e_) else str(e_)[:500])
             elif st_ == "cancelled":
                 cur, done = "cancelled", ts_
             else:
                 cur, done = st_, None
-    state.update((cur, started, done, last, err if cur == "failed" else None, n))
+    err = err if cur == "failed" else None
+    state.update((cur, started, done, last, err, n))
     if stuck_after_ms is not None:
         state.setTimeoutDuration(stuck_after_ms)
-    yield pd.DataFrame([{"job_id": job_id, "state": cur, "started_at": started, "completed_at": done,
-                         "last_event_at": last, "error_message": err if cur == "failed" else None,
-                         "events": n, "stuck": False}])
+    yield pd.DataFrame({"job_id": [job_id], "state": [cur], "started_at": [started], "completed_at": [done],
+                        "last_event_at": [last], "error_message": [err], "events": [n], "stuck": [False]})
 
 
 def lifecycle_stream(s: DataFrame, stuck_after_seconds: int | None = 910) -> DataFrame:
