@@ -138,17 +138,27 @@ def phrase_key(phrase: Column) -> Column:
 
 
 def phrase_match(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
-                 phrase: str, max_phrase_tokens: int | None = None) -> DataFrame:
+                 phrase: str, max_phrase_tokens: int | None = None, max_first_tokens: int = 200_000) -> DataFrame:
     """(text_id, phrase_id) where the phrase occurs in the text as whole words (case-insensitive).
 
-    No nested loop and no scan per phrase: the text's n-grams (up to the longest phrase, a
-    property of the bounded phrase dictionary) are equi-joined with the normalised phrases, so
-    the join key is the *whole* phrase and only real matches meet.
+    No nested loop and no scan per phrase: text n-grams (up to the longest phrase) are
+    equi-joined with the normalised phrases, so the join key is the *whole* phrase and only
+    real matches meet.  When the set of phrase first-words is provably small it is broadcast
+    and positions whose word starts no phrase are dropped before any n-gram is built (exact).
     """
     p = phrases.select(F.col(phrase_id).alias("_pid"), phrase_key(F.col(phrase)).alias("ngram")).where(F.col("ngram") != "")
-    if max_phrase_tokens is None:
-        max_phrase_tokens = p.agg(F.max(F.size(F.split("ngram", " ")))).first()[0] or 1
-    g = text_ngrams(texts, text_id, text, max_phrase_tokens).withColumnRenamed(text_id, "_tid")
+    first = F.split("ngram", " ")[0]
+    # one pass over the (bounded) dictionary: longest phrase and number of distinct first words
+    stats = p.agg(F.max(F.size(F.split("ngram", " "))).alias("L"), F.approx_count_distinct(first).alias("F")).first()
+    max_phrase_tokens = max_phrase_tokens or stats["L"] or 1
+    firsts = p.select(first.alias("_w0")).distinct()
+    t = texts.select(F.col(text_id).alias("_tid"), words(F.col(text)).alias("_tok"))
+    pos = t.select("_tid", F.posexplode("_tok").alias("_pos", "_w0"), "_tok")
+    if (stats["F"] or 0) <= max_first_tokens:  # HLL estimate (≤ 5% error) against a bound far below memory limits
+        pos = pos.join(F.broadcast(firsts), "_w0", "left_semi")
+    win = pos.select("_tid", F.slice("_tok", F.col("_pos") + 1, max_phrase_tokens).alias("_win"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("_win")), lambda n: F.array_join(F.slice("_win", 1, n), " "))
+    g = win.select("_tid", F.explode(grams).alias("ngram"))
     return g.join(p, "ngram").select(F.col("_tid").alias(text_id), F.col("_pid").alias(phrase_id)).distinct()
 
 
