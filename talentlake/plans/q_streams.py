@@ -161,7 +161,7 @@ SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, agent, count(*) AS la
 WHERE ts < wm - INTERVAL 5 MINUTE GROUP BY 1, 2""", extra=[("lg", LOGS_SQL)]))
 def q_late_events(spark, d):
     logs = _logs(Tables(spark, d).events)
-    return S.late_events(logs, "event_id", chunk=512)
+    return S.late_events(logs, "event_id")
 
 
 @register("stream_pending", W([], """

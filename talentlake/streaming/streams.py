@@ -288,7 +288,7 @@ def merged_log(streams: Sequence[DataFrame], ts: str = "ts", delay: str = "5 min
         "event_time")
 
 
-def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 4096,
+def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 1 << 20,
                 window: str = "5 minutes") -> DataFrame:
     """Batch report: lines that arrived behind the watermark (running max event time − lookback).
 
