@@ -119,11 +119,12 @@ def top_k(counts: DataFrame, label: str, k: int, count: str = "count") -> DataFr
     return counts.orderBy(F.col(count).desc(), F.col(label).asc_nulls_last()).limit(k)
 
 
-def top_k_approx(df: DataFrame, label: str, k: int, max_items: int = 10000) -> DataFrame:
-    """Sketch form of top-k (``approx_top_k``): one pass, bounded memory per task."""
-    return df.agg(F.approx_top_k(label, F.lit(k), F.lit(max_items)).alias("top")).select(
-        F.inline("top")
-    ).withColumnsRenamed({"item": label})
+def top_k_approx(df: DataFrame, label: str | Column, k: int, max_items: int = 10000) -> DataFrame:
+    """Sketch form of top-k (``approx_top_k``): one pass, bounded memory per task, mergeable
+    partial sketches — no shuffle of raw rows however skewed the labels are."""
+    lab = F.col(label) if isinstance(label, str) else label
+    top = df.agg(F.call_function("approx_top_k", lab, F.lit(k), F.lit(max_items)).alias("top"))
+    return top.select(F.inline("top")).withColumnsRenamed({"item": "label"})
 
 
 def gap_frequency(gaps: DataFrame, k: int = 10, missing: str = "missing_element",

@@ -236,3 +236,37 @@ def q_role_trend(spark, d):
     o = Tables(spark, d).orders
     return aggs.role_trend(o, role="o_orderpriority", ts="o_orderdate", grain="year").withColumnRenamed(
         "o_orderpriority", "role")
+
+
+@register("response_by_month", W(["v_applications"], """
+SELECT month, count(*) AS n, count(response_date) AS responses,
+  round(100 * count(response_date) / nullif(count(*), 0), 1) AS response_rate
+FROM (SELECT *, date_trunc('month', created_at) AS month FROM v_applications) GROUP BY month"""))
+def q_response_by_month(spark, d):
+    apps = V.v_applications(Tables(spark, d)).withColumn(
+        "month", F.date_trunc("month", F.col("created_at")).cast("timestamp_ntz"))
+    return aggs.response_rates(apps, "month")
+
+
+@register("score_labels", W(["v_analyses", "v_gaps"], """
+SELECT 'fit' AS kind, CASE WHEN fit_score >= 80 THEN 'Excellent' WHEN fit_score >= 60 THEN 'Good'
+    WHEN fit_score >= 40 THEN 'Fair' ELSE 'Poor' END AS label, count(*) AS count
+FROM v_analyses WHERE fit_score IS NOT NULL GROUP BY 1, 2
+UNION ALL
+SELECT 'severity', CAST(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END
+    AS VARCHAR), count(*) FROM v_gaps GROUP BY 1, 2"""))
+def q_score_labels(spark, d):
+    t = Tables(spark, d)
+    fit = V.v_analyses(t).where(F.col("fit_score").isNotNull()).groupBy(
+        F.lit("fit").alias("kind"), aggs.fit_band(F.col("fit_score"), "ui").alias("label")).agg(
+        F.count(F.lit(1)).alias("count"))
+    sev = V.v_gaps(t).groupBy(F.lit("severity").alias("kind"),
+                              aggs.severity_rank("severity").cast("string").alias("label")).agg(
+        F.count(F.lit(1)).alias("count"))
+    return fit.unionByName(sev)
+
+
+@register("gap_frequency_approx")
+def q_gap_frequency_approx(spark, d):
+    g = V.v_gaps(Tables(spark, d))
+    return aggs.top_k_approx(g, F.coalesce(F.col("missing_element"), F.col("requirement"), F.lit("Unknown")), 10)

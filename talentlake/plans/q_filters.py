@@ -143,3 +143,13 @@ GROUP BY "column"
 """)
 def q_payload_profile(spark, d):
     return B.payload_profile(Tables(spark, d).events, ["props", "event_type"])
+
+
+@register("event_props_variant", """
+SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  CAST(json_type(props) AS VARCHAR) = 'OBJECT' AS is_object FROM events""")
+def q_event_props_variant(spark, d):
+    ev = Tables(spark, d).events.select("event_id", "props")
+    v = B.parse_payload_variant(ev, "props")
+    return v.select("event_id", F.variant_get("parsed", "$.k", "bigint").alias("k"),
+                    (F.schema_of_variant("parsed").startswith("OBJECT")).alias("is_object"))

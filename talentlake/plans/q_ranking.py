@@ -172,3 +172,12 @@ def q_keyword_sets_rows(spark, d):
     job = t.benchmark.select(F.explode(words(F.col("text"))).alias("keyword"))
     cv = t.documents.select(F.explode(words(F.col("text"))).alias("keyword"))
     return S.keyword_sets_rows(cv, job)
+
+
+# --------------------------------------------------------------------------- A1 paging
+@register("list_newest", W(["v_cv"], """
+SELECT * FROM v_cv ORDER BY created_at DESC NULLS FIRST, id LIMIT 100 OFFSET 0"""))
+def q_list_newest(spark, d):
+    from talentlake.sources.tables import list_newest
+
+    return list_newest(V.v_cv(Tables(spark, d)), "created_at", "id", limit=100, offset=0)
