@@ -165,9 +165,12 @@ def payload_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
     ])).alias("_s")).select("_s.*")
     v = F.col("value")
-    is_obj = F.trim(v).startswith("{") & F.try_parse_json(v).isNotNull()
-    is_arr = F.trim(v).startswith("[") & F.try_parse_json(v).isNotNull()
-    return stacked.groupBy("column").agg(
+    # parse once per value; the checks below read the parsed flag and the first character
+    parsed = stacked.select("column", "value", F.try_parse_json(v).isNotNull().alias("_ok"),
+                            F.left(F.ltrim(v), F.lit(1)).alias("_c0"))
+    is_obj = F.col("_ok") & (F.col("_c0") == "{")
+    is_arr = F.col("_ok") & (F.col("_c0") == "[")
+    return parsed.groupBy("column").agg(
         F.count(v).alias("present"),
         F.min(F.length(v)).alias("min_len"),
         F.round(F.avg(F.length(v)), 2).alias("avg_len"),

@@ -246,28 +246,31 @@ def v_profiles(t):
     o, c, n, li, p = t.orders, t.customer, t.nation, t.lineitem, t.part
     lp = li.join(p, li.l_partkey == p.p_partkey).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "p_name", "p_type", "p_brand")
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     prof = F.when(F.col("l_returnflag") == "A", "expert").when(F.col("l_returnflag") == "R", "proficient").otherwise("")
-    per = lp.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(
-            F.col("p_name").alias("name"), prof.alias("proficiency"),
-            (F.col("l_quantity").cast("int") % 10).alias("years")).alias("v")))).alias("_skills"),
-        F.array_sort(F.collect_list(F.struct(key.alias("k"), F.struct(
-            F.col("p_name").alias("text"), F.lower("p_type").alias("category"),
-            F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("years_required"),
-            F.col("l_linenumber").alias("ln")).alias("v")))).alias("_reqs"),
-        F.array_sort(F.collect_set("p_type")).alias("_types"),
-        F.array_sort(F.collect_set("p_brand")).alias("_brands"),
-        F.sum(F.col("l_quantity").cast("int") % 10).alias("_years"),
+    # one collect and one sort per order (an order has few lines: bounded), everything else derived
+    line = F.struct(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("k"),
+                    "p_name", prof.alias("prof"), (F.col("l_quantity").cast("int") % 10).alias("yrs"),
+                    F.lower("p_type").alias("cat"), "l_linenumber", "p_type", "p_brand")
+    per = lp.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("_lines")).select(
+        "l_orderkey",
+        F.transform("_lines", lambda x: F.struct(x["p_name"].alias("name"), x["prof"].alias("proficiency"),
+                                                 x["yrs"].alias("years"))).alias("_skills"),
+        F.transform("_lines", lambda x: F.struct(
+            x["p_name"].alias("text"), x["cat"].alias("category"),
+            F.when(x["l_linenumber"] > 1, x["l_linenumber"]).alias("years_required"),
+            x["l_linenumber"].alias("ln"))).alias("_reqs"),
+        F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["p_type"]))).alias("_types"),
+        F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["p_brand"]))).alias("_brands"),
+        F.aggregate("_lines", F.lit(0).cast("bigint"), lambda acc, x: acc + x["yrs"]).alias("_years"),
     )
     base = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(
         per, o.o_orderkey == per.l_orderkey)
-    reqs = F.transform("_reqs", lambda x: x["v"])
+    reqs = F.col("_reqs")
     cv = F.struct(
         F.col("c_name").alias("name"),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("c_mktsegment")).alias("summary"),
         F.col("_years").cast("int").alias("total_years_experience"),
-        F.transform("_skills", lambda x: x["v"]).alias("skills"),
+        F.col("_skills").alias("skills"),
         F.array(F.struct(F.col("n_name").alias("company"), F.col("o_orderpriority").alias("role"),
                          F.date_format("o_orderdate", "yyyy-MM").alias("start_date"),
                          F.when(F.col("o_orderstatus") != "O", F.date_format("o_orderdate", "yyyy")).alias("end_date"),
