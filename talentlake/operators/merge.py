@@ -37,7 +37,7 @@ def normalise_posting(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- A5
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
                  order_col: str, now: Column, id_col: str = "id", active_col: str = "is_active",
-                 updated_col: str = "updated_at") -> DataFrame:
+                 updated_col: str = "updated_at", on_conflict: str = "update") -> DataFrame:
     """``INSERT ... ON CONFLICT (keys) DO UPDATE SET set_cols, is_active = true, updated_at = now``.
 
     * Updates are applied in ``order_col`` order: for a key, the stored row (or, for a new
@@ -46,7 +46,11 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set
     * An update without key takes its own id as key (it never conflicts).
     Both reductions are ``min_by``/``max_by`` aggregates (map-side partial), so a key
     repeated a million times in one batch is collapsed before the shuffle.
+    Variants: ``set_cols=[]`` touches only is_active/updated_at; ``set_cols`` = all columns is a
+    full overwrite; ``on_conflict="nothing"`` keeps stored rows as they are and only inserts new keys.
     """
+    if on_conflict not in ("update", "nothing"):
+        raise ValueError("on_conflict must be 'update' or 'nothing'")
     keys = list(keys)
     cols = target.columns
     u = updates.withColumn(keys[-1], F.coalesce(F.col(keys[-1]), F.col(id_col).cast("string")))
@@ -54,10 +58,15 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set
     ucols = [c for c in others if c in u.columns]
     red = u.groupBy(*keys).agg(
         F.min_by(F.struct(*ucols), F.col(order_col)).alias("_first"),
-        F.max_by(F.struct(*[c for c in set_cols]), F.col(order_col)).alias("_last"),
+        F.max_by(F.struct(*set_cols) if set_cols else F.struct(F.lit(True).alias("_hit")),
+                 F.col(order_col)).alias("_last"),
     )
     t = target.withColumn("_in_t", F.lit(True))
     j = t.join(red, keys, "full_outer")
+    if on_conflict == "nothing":
+        # a conflicting update changes nothing: drop its reduction for keys already stored
+        j = j.withColumns({"_last": F.when(F.col("_in_t").isNull(), F.col("_last")),
+                           "_first": F.when(F.col("_in_t").isNull(), F.col("_first"))})
     out = []
     for c in others:
         if c in set_cols:

@@ -333,3 +333,16 @@ def test_top_k_approx_matches_exact_on_skewed_labels(spark):
     exact = [(r.skill, r["count"]) for r in aggs.top_k(df.groupBy("skill").count(), "skill", 3).collect()]
     # the third place is a 40-way tie: the sketch may name any of them, the counts must agree
     assert approx[:2] == exact[:2] and [c for _, c in approx] == [c for _, c in exact]
+
+
+def test_merge_upsert_do_nothing_variant(spark):
+    target = spark.createDataFrame([(1, "s", "a", "Old", True, ts("2024-01-01"))],
+                                   "id INT, source STRING, source_job_id STRING, company_name STRING, is_active BOOLEAN, "
+                                   "updated_at TIMESTAMP_NTZ")
+    up = spark.createDataFrame([(7, "s", "a", "New", 1), (8, "s", "b", "B", 2)],
+                               "id INT, source STRING, source_job_id STRING, company_name STRING, arrival INT")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    out = merge.merge_upsert(target, up, ["source", "source_job_id"], ["company_name"], "arrival", now, on_conflict="nothing")
+    got = {r.source_job_id: (r.id, r.company_name, r.updated_at.year) for r in out.collect()}
+    assert got == {"a": (1, "Old", 2024), "b": (8, "B", 2024)}
+    assert {r.source_job_id: r.updated_at.month for r in out.collect()} == {"a": 1, "b": 2}

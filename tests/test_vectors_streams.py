@@ -100,3 +100,15 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in plan
+
+
+def test_hot_keys_are_combined_before_the_shuffle(spark):
+    """One user / job / key holding a third of the rows: the per-key plans aggregate map-side."""
+    import __spark_entry__ as E
+
+    qs = E.queries()
+    for name in ["pipeline_stats", "job_lifecycle", "dedupe_first", "payload_merge", "merge_upsert"]:
+        plan = qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "partial_" in plan, name
+    plan = qs["latest_n"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
