@@ -36,8 +36,8 @@ def normalise_posting(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- A5
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: Sequence[str],
-                 order_col: str, now: Column, id_col: str = "id", active_col: str = "is_active",
-                 updated_col: str = "updated_at", on_conflict: str = "update") -> DataFrame:
+                 order_col: str | Column, now: Column | None, id_col: str = "id", active_col: str = "is_active",
+                 updated_col: str | None = "updated_at", on_conflict: str = "update") -> DataFrame:
     """``INSERT ... ON CONFLICT (keys) DO UPDATE SET set_cols, is_active = true, updated_at = now``.
 
     * Updates are applied in ``order_col`` order: for a key, the stored row (or, for a new
@@ -53,13 +53,13 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set
         raise ValueError("on_conflict must be 'update' or 'nothing'")
     keys = list(keys)
     cols = target.columns
+    order = F.col(order_col) if isinstance(order_col, str) else order_col
     u = updates.withColumn(keys[-1], F.coalesce(F.col(keys[-1]), F.col(id_col).cast("string")))
     others = [c for c in cols if c not in keys]
     ucols = [c for c in others if c in u.columns]
     red = u.groupBy(*keys).agg(
-        F.min_by(F.struct(*ucols), F.col(order_col)).alias("_first"),
-        F.max_by(F.struct(*set_cols) if set_cols else F.struct(F.lit(True).alias("_hit")),
-                 F.col(order_col)).alias("_last"),
+        F.min_by(F.struct(*ucols), order).alias("_first"),
+        F.max_by(F.struct(*set_cols) if set_cols else F.struct(F.lit(True).alias("_hit")), order).alias("_last"),
     )
     t = target.withColumn("_in_t", F.lit(True))
     j = t.join(red, keys, "full_outer")
@@ -73,7 +73,7 @@ def merge_upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], set
             out.append(F.when(F.col("_last").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c))
         elif c == active_col:
             out.append(F.when(F.col("_last").isNotNull(), F.lit(True)).otherwise(F.col(c)).alias(c))
-        elif c == updated_col:
+        elif c == updated_col and now is not None:
             out.append(F.when(F.col("_last").isNotNull(), now).otherwise(F.col(c)).alias(c))
         elif c in ucols:
             out.append(F.when(F.col("_in_t").isNull(), F.col(f"_first.{c}")).otherwise(F.col(c)).alias(c))

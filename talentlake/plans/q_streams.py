@@ -78,8 +78,9 @@ def q_stream_upsert(spark, d):
         F.col("p_partkey").alias("arrival"))
     now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     path = scratch_path(spark, "upsert-snapshots")
-    S.upsert_stream(M.normalise_posting(up), target, path, ["source", "source_job_id"], M.UPSERT_SET_COLS, "arrival", now)
-    return S.read_latest_snapshot(spark, path, target)
+    keys = ["source", "source_job_id"]
+    S.upsert_stream(M.normalise_posting(up), target, path, keys, M.UPSERT_SET_COLS, "arrival", now)
+    return S.read_upsert_table(spark, path, target, keys, M.UPSERT_SET_COLS, "arrival")
 
 
 MESSAGES_SQL = """

@@ -194,41 +194,56 @@ def lifecycle_stream(s: DataFrame, stuck_after_seconds: int | None = 910) -> Dat
 
 # --------------------------------------------------------------------------- R4
 def upsert_stream(s: DataFrame, initial: DataFrame, path: str, keys: Sequence[str], set_cols: Sequence[str],
-                  order_col: str, now: Column, checkpoint: str | None = None) -> str:
-    """A5 per micro-batch: merge the batch into the latest snapshot, write the next snapshot
-    ``path/v=<batch>``, then record it in ``path/_versions``.  A replayed batch id whose version is
-    already recorded is skipped (idempotent)."""
+                  order_col: str, now: Column, checkpoint: str | None = None, compact_every: int = 8,
+                  updated_col: str = "updated_at") -> str:
+    """A5 per micro-batch as merge-on-read.
+
+    A batch writes only its own rows (plus its batch id and time) to ``path/deltas/_batch=<id>``
+    — the cost of a batch is the size of the batch, not of the table, and a replayed batch
+    overwrites its own partition.  Every ``compact_every`` batches the deltas are folded into a
+    new base ``path/base/v=<id>`` (recorded in ``path/_compactions``).  ``read_upsert_table``
+    returns base ⊕ newer deltas, which equals applying the batches one after another.
+    """
     spark = s.sparkSession
     ck = checkpoint or scratch_path(spark, "upsert-ckpt")
-    versions = f"{path}/_versions"
-
-    def latest() -> tuple[int, DataFrame]:
-        try:
-            v = spark.read.parquet(versions).agg(F.max("batch_id")).first()[0]
-        except Exception:
-            v = None
-        if v is None:
-            return -1, initial
-        return v, spark.read.parquet(f"{path}/v={v}")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        done, current = latest()
-        if batch_id <= done:
-            return
-        merged = merge_upsert(current, batch, keys, set_cols, order_col, now)
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-        spark.createDataFrame([(batch_id,)], "batch_id BIGINT").write.mode("append").parquet(versions)
+        (batch.withColumn("_batch", F.lit(batch_id).cast("long")).withColumn("_now", now)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch")
+         .parquet(f"{path}/deltas"))
+        if (batch_id + 1) % compact_every == 0:
+            snap = read_upsert_table(spark, path, initial, keys, set_cols, order_col, updated_col)
+            snap.write.mode("overwrite").parquet(f"{path}/base/v={batch_id}")
+            spark.createDataFrame([(batch_id,)], "batch_id BIGINT").write.mode("append").parquet(f"{path}/_compactions")
 
     run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "upsert")
     return path
 
 
-def read_latest_snapshot(spark: SparkSession, path: str, initial: DataFrame) -> DataFrame:
+def _try_read(spark: SparkSession, p: str) -> DataFrame | None:
     try:
-        v = spark.read.parquet(f"{path}/_versions").agg(F.max("batch_id")).first()[0]
-    except Exception:
-        v = None
-    return initial if v is None else spark.read.parquet(f"{path}/v={v}")
+        return spark.read.parquet(p)
+    except Exception:  # the folder does not exist yet
+        return None
+
+
+def read_upsert_table(spark: SparkSession, path: str, initial: DataFrame, keys: Sequence[str],
+                      set_cols: Sequence[str], order_col: str, updated_col: str = "updated_at") -> DataFrame:
+    """Current table of an upsert stream: latest compacted base merged with the deltas after it.
+
+    Deltas are ordered by (batch, arrival); each batch's time becomes ``updated_at`` of the keys it
+    touched, so the merge equals sequential per-batch application."""
+    comp = _try_read(spark, f"{path}/_compactions")
+    base_v = comp.agg(F.max("batch_id")).first()[0] if comp is not None else None
+    base = initial if base_v is None else spark.read.parquet(f"{path}/base/v={base_v}")
+    deltas = _try_read(spark, f"{path}/deltas")
+    if deltas is None:
+        return base
+    if base_v is not None:
+        deltas = deltas.where(F.col("_batch") > base_v)
+    upd = deltas.withColumn(updated_col, F.col("_now"))
+    return merge_upsert(base, upd, keys, list(set_cols) + [updated_col], F.struct("_batch", order_col), None,
+                        updated_col=None)
 
 
 # --------------------------------------------------------------------------- R5

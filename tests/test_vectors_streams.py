@@ -112,3 +112,34 @@ def test_hot_keys_are_combined_before_the_shuffle(spark):
         assert "partial_" in plan, name
     plan = qs["latest_n"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_upsert_stream_merge_on_read_equals_sequential_batches(spark, tmp_path):
+    import time as _t
+
+    from talentlake.operators import merge as M
+    from talentlake.session import scratch_path
+
+    schema = "id INT, source STRING, source_job_id STRING, company_name STRING, source_url STRING, arrival INT"
+    target = spark.createDataFrame([(1, "s", "a", "A0", "u-a", True, dt.datetime(2024, 1, 1)),
+                                    (2, "s", "b", "B0", "u-b", True, dt.datetime(2024, 1, 1))],
+                                   "id INT, source STRING, source_job_id STRING, company_name STRING, source_url STRING, "
+                                   "is_active BOOLEAN, updated_at TIMESTAMP_NTZ")
+    batches = [[(10, "s", "a", "A1", "x", 1), (11, "s", "c", "C1", "uc", 2)],
+               [(12, "s", "a", "A2", "y", 3), (13, "s", "c", "C2", "z", 4), (14, "s", "d", "D1", "ud", 5)],
+               [(15, "s", "b", "B1", "w", 6), (16, "s", None, "N1", "un", 7)]]
+    src = str(tmp_path / "src")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        _t.sleep(1.1)  # distinct modification times: one file per trigger, in order
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    keys, cols = ["source", "source_job_id"], ["company_name"]
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    path = scratch_path(spark, "t-upsert")
+    S.upsert_stream(s, target, path, keys, cols, "arrival", now, compact_every=2)
+    got = S.read_upsert_table(spark, path, target, keys, cols, "arrival")
+    want = target
+    for rows in batches:
+        want = M.merge_upsert(want, spark.createDataFrame(rows, schema), keys, cols, "arrival", now)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(f"{path}/_compactions").count() >= 1
