@@ -327,8 +327,8 @@ def time_to_response(apps: DataFrame, by: str | Sequence[str] | None = None, app
         .agg(
             F.count(F.lit(1)).alias("responses"),
             F.round(F.avg(d), 2).alias("avg_days"),
-            F.percentile(d, F.lit(0.5)).alias("p50_days"),
-            F.percentile(d, F.lit(0.9)).alias("p90_days"),
+            F.round(F.percentile(d, F.lit(0.5)), 2).alias("p50_days"),
+            F.round(F.percentile(d, F.lit(0.9)), 2).alias("p90_days"),
         )
     )
 
@@ -423,9 +423,9 @@ def salary_insight(postings: DataFrame, by: str | Sequence[str], lo: str = "sala
         F.count(mid).alias("with_salary"),
         _pct(F.count(mid), F.count(F.lit(1))).alias("coverage_pct"),
         F.min(mid).alias("min_mid"),
-        F.percentile(mid, F.lit(0.25)).alias("p25_mid"),
-        F.percentile(mid, F.lit(0.5)).alias("median_mid"),
-        F.percentile(mid, F.lit(0.75)).alias("p75_mid"),
+        F.round(F.percentile(mid, F.lit(0.25)), 2).alias("p25_mid"),
+        F.round(F.percentile(mid, F.lit(0.5)), 2).alias("median_mid"),
+        F.round(F.percentile(mid, F.lit(0.75)), 2).alias("p75_mid"),
         F.max(mid).alias("max_mid"),
         F.round(F.avg(mid), 2).alias("avg_mid"),
     )

@@ -171,3 +171,21 @@ def insert_if_absent(users: DataFrame, signups: DataFrame, key: str, order: str,
     created = first.select(key, name.alias("name"), F.col(f"_s.{email}").alias("email"),
                            *[F.array().cast("array<string>").alias(c) for c in default_arrays])
     return users.unionByName(created, allowMissingColumns=True)
+
+
+def fill_from_profile(df: DataFrame, profile: str, mapping: Mapping[str, str]) -> DataFrame:
+    """A10 header fill: an empty/NULL column takes the value of a field of the parsed profile struct
+    (e.g. ``{"company_name": "company", "role_title": "role_title"}``); set values are kept."""
+    return df.withColumns({c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).cast(df.schema[c].dataType),
+                                         F.col(profile).getField(field).cast(df.schema[c].dataType))
+                           for c, field in mapping.items()})
+
+
+def toggle_saved(target: DataFrame, toggles: DataFrame, key: str, flag: str = "is_saved") -> DataFrame:
+    """A10 toggle: each toggle event flips the flag once; an odd number of toggles inverts it.
+    Counted per key (partial aggregation), then one left join."""
+    n = toggles.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    j = target.join(n, target[key] == n._k, "left")
+    flipped = F.when(F.coalesce(F.col("_n"), F.lit(0)) % 2 == 1, ~F.coalesce(F.col(flag), F.lit(False))) \
+        .otherwise(F.coalesce(F.col(flag), F.lit(False)))
+    return j.select(*[flipped.alias(c) if c == flag else target[c] for c in target.columns])

@@ -185,3 +185,8 @@ def application_state(changes: DataFrame, app: str = "app_id", status: str = "st
         F.max_by(F.col(notes), F.when(has_note, F.struct(F.col(ts), *[F.col(c) for c in order], F.col(notes)))).alias("notes"),
         F.count_if(~valid).alias("rejected_changes"),
     )
+
+
+def retained(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
+    """W6 retention: rows younger than ``days`` (logs 7 days, queue messages 1 day)."""
+    return df.where(F.col(ts) >= F.timestamp_add("DAY", F.lit(-days), now))

@@ -166,7 +166,7 @@ def q_best_cv(spark, d):
 
 @register("time_to_response", W(["v_applications"], """
 SELECT role_title, count(*) AS responses, round(avg(dd), 2) AS avg_days,
-  quantile_cont(dd, 0.5) AS p50_days, quantile_cont(dd, 0.9) AS p90_days
+  round(quantile_cont(dd, 0.5), 2) AS p50_days, round(quantile_cont(dd, 0.9), 2) AS p90_days
 FROM (SELECT role_title, datediff('day', applied_at, response_date) AS dd FROM v_applications
       WHERE applied_at IS NOT NULL AND response_date IS NOT NULL) GROUP BY role_title"""))
 def q_time_to_response(spark, d):
@@ -216,8 +216,8 @@ def q_skill_demand_approx(spark, d):
 
 @register("salary_insight", W(["v_postings"], """
 SELECT location, count(*) AS postings, count(mid) AS with_salary, round(100 * count(mid) / nullif(count(*), 0), 1) AS coverage_pct,
-  min(mid) AS min_mid, quantile_cont(mid, 0.25) AS p25_mid, quantile_cont(mid, 0.5) AS median_mid,
-  quantile_cont(mid, 0.75) AS p75_mid, max(mid) AS max_mid, round(avg(mid), 2) AS avg_mid
+  min(mid) AS min_mid, round(quantile_cont(mid, 0.25), 2) AS p25_mid, round(quantile_cont(mid, 0.5), 2) AS median_mid,
+  round(quantile_cont(mid, 0.75), 2) AS p75_mid, max(mid) AS max_mid, round(avg(mid), 2) AS avg_mid
 FROM (SELECT location, CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN (salary_min + salary_max) / 2.0
              ELSE CAST(coalesce(salary_min, salary_max) AS DOUBLE) END AS mid FROM v_postings)
 GROUP BY location"""))

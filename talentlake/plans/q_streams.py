@@ -37,7 +37,7 @@ def q_stream_dedupe(spark, d):
 
 @register("stream_tumbling", """
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end,
-  event_type, count(*) AS invocations, sum(value) AS sum_value, avg(value) AS avg_value, max(value) AS max_value,
+  event_type, count(*) AS invocations, round(sum(value), 4) AS sum_value, round(avg(value), 4) AS avg_value, max(value) AS max_value,
   min(value) AS min_value
 FROM events GROUP BY 1, 2, 3""")
 def q_stream_tumbling(spark, d):

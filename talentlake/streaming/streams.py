@@ -112,8 +112,8 @@ def metric_windows(s: DataFrame, by: str, value: str, ts: str = "ts", size: str
     """Tumbling windows: count / sum / avg / max / min of a metric per group."""
     e = event_time(s, ts).withWatermark("event_time", delay)
     agg = e.groupBy(F.window("event_time", size).alias("w"), F.col(by)).agg(
-        F.count(F.lit(1)).alias("invocations"), F.sum(value).alias("sum_value"), F.avg(value).alias("avg_value"),
-        F.max(value).alias("max_value"), F.min(value).alias("min_value"))
+        F.count(F.lit(1)).alias("invocations"), F.round(F.sum(value), 4).alias("sum_value"),
+        F.round(F.avg(value), 4).alias("avg_value"), F.max(value).alias("max_value"), F.min(value).alias("min_value"))
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                       F.col("w.end").cast("timestamp_ntz").alias("window_end"), by,
                       "invocations", "sum_value", "avg_value", "max_value", "min_value")

@@ -346,3 +346,20 @@ def test_merge_upsert_do_nothing_variant(spark):
     got = {r.source_job_id: (r.id, r.company_name, r.updated_at.year) for r in out.collect()}
     assert got == {"a": (1, "Old", 2024), "b": (8, "B", 2024)}
     assert {r.source_job_id: r.updated_at.month for r in out.collect()} == {"a": 1, "b": 2}
+
+
+def test_fill_from_profile_and_toggle_saved(spark):
+    df = spark.createDataFrame([(1, "", None, True), (2, "Set", "Role", False)],
+                               "id INT, company_name STRING, role_title STRING, is_saved BOOLEAN")
+    prof = df.withColumn("p", F.struct(F.lit("Acme").alias("company"), F.lit("Eng").alias("role_title")))
+    got = {r.id: (r.company_name, r.role_title) for r in merge.fill_from_profile(
+        prof, "p", {"company_name": "company", "role_title": "role_title"}).collect()}
+    assert got == {1: ("Acme", "Eng"), 2: ("Set", "Role")}
+    toggles = spark.createDataFrame([(1,), (1,), (1,), (2,), (2,)], "id INT")
+    assert {r.id: r.is_saved for r in merge.toggle_saved(df, toggles, "id").collect()} == {1: False, 2: False}
+
+
+def test_retained(spark):
+    df = spark.createDataFrame([(ts("2024-01-01"),), (ts("2024-01-09"),)], "ts TIMESTAMP_NTZ")
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    assert work.retained(df, "ts", now, 7).count() == 1
