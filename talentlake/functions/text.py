@@ -282,16 +282,21 @@ def json_from_text(df: DataFrame, col: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- T15
+# A work-history date is YYYY-MM (1 or 2 digit month) or YYYY, or "Present".
+DATE_RE = r"^([0-9]{4})(-([0-9]{1,2}))?$"
+
+
 def month_index(s: Column, now: Column) -> Column:
-    """'YYYY-MM' / 'YYYY' / 'Present' (= now) → months since year 0; NULL when unparsable."""
+    """'YYYY-MM' / 'YYYY' (= January) / 'Present' (= now) → months since year 0; NULL when unparsable.
+
+    One pattern with two capture groups, so each date costs two lookups of the same compiled regex.
+    """
     t = F.trim(s)
-    ym = F.regexp_extract(t, r"^([0-9]{4})-([0-9]{1,2})$", 0) != ""
-    y = F.regexp_extract(t, r"^([0-9]{4})$", 0) != ""
-    present = F.lower(t) == "present"
+    y = F.regexp_extract(t, DATE_RE, 1)
+    m = F.regexp_extract(t, DATE_RE, 3)
     return (
-        F.when(present, F.year(now) * 12 + F.month(now) - 1)
-        .when(ym, F.split_part(t, F.lit("-"), F.lit(1)).cast("int") * 12 + F.split_part(t, F.lit("-"), F.lit(2)).cast("int") - 1)
-        .when(y, t.cast("int") * 12)
+        F.when(F.lower(t) == "present", F.year(now) * 12 + F.month(now) - 1)
+        .when(y != "", y.cast("int") * 12 + F.when(m != "", m.cast("int") - 1).otherwise(F.lit(0)))
     )
 
 
