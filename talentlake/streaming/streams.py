@@ -41,6 +41,21 @@ def job_stream(spark: SparkSession, path: str, schema: StructType, file_glob: st
     return r.parquet(path)
 
 
+def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: StructType,
+                 starting_offsets: str = "latest") -> DataFrame:
+    """Production queue source: JSON messages of a Kafka topic parsed with a fixed schema.
+
+    Needs the Kafka connector package on the cluster's classpath (not part of this image); the
+    message key, offset and receive timestamp are kept next to the parsed body.
+    """
+    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+           .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
+    return raw.select(F.col("key").cast("string").alias("message_key"), "partition", "offset",
+                      F.col("timestamp").alias("received_at"),
+                      F.from_json(F.col("value").cast("string"), schema).alias("body")).select(
+        "message_key", "partition", "offset", "received_at", "body.*")
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables as a stream (its file under the data directory)."""
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
