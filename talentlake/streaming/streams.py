@@ -67,15 +67,32 @@ def event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFr
     return df.withColumn(out, F.col(ts).cast("timestamp"))
 
 
-def run_available(writer, name: str, processing_time: str | None = None, timeout_s: float | None = None) -> None:
+def run_available(writer, name: str, processing_time: str | None = None, timeout_s: float | None = None,
+                  spark: SparkSession | None = None) -> None:
     """Run a stream: ``availableNow`` (process what is there, then stop) unless a processing-time
-    trigger is given, in which case it runs until ``timeout_s``."""
+    trigger is given, in which case it runs until ``timeout_s``.
+
+    A new query fixes its number of state partitions from ``spark.sql.shuffle.partitions`` when it
+    starts; more state partitions than twice the cores only adds per-task state-store commits, so
+    the query is started with min(shuffle partitions, 2 × cores) and the session value is restored.
+    """
+    saved = None
+    if spark is not None:
+        saved = spark.conf.get("spark.sql.shuffle.partitions")
+        cap = max(8, 2 * spark.sparkContext.defaultParallelism)
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(saved), cap)))
+    try:
+        if processing_time:
+            q = writer.trigger(processingTime=processing_time).start()
+        else:
+            q = writer.trigger(availableNow=True).start()
+    finally:
+        if saved is not None:
+            spark.conf.set("spark.sql.shuffle.partitions", saved)
     if processing_time:
-        q = writer.trigger(processingTime=processing_time).start()
         q.awaitTermination(timeout_s)
         q.stop()
         return
-    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -85,7 +102,7 @@ def write_append(df: DataFrame, name: str, path: str | None = None, checkpoint:
     out = path or scratch_path(spark, f"{name}-out")
     ck = checkpoint or scratch_path(spark, f"{name}-ckpt")
     run_available(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-                  .outputMode("append"), name)
+                  .outputMode("append"), name, spark=spark)
     return out
 
 
@@ -100,7 +117,8 @@ def write_changelog(df: DataFrame, name: str, path: str | None = None, checkpoin
         (batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(out))
 
-    run_available(df.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(sink), name)
+    run_available(df.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(sink), name,
+                  spark=spark)
     return out
 
 
@@ -231,7 +249,7 @@ def upsert_stream(s: DataFrame, initial: DataFrame, path: str, keys: Sequence[st
             snap.write.mode("overwrite").parquet(f"{path}/base/v={batch_id}")
             spark.createDataFrame([(batch_id,)], "batch_id BIGINT").write.mode("append").parquet(f"{path}/_compactions")
 
-    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "upsert")
+    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "upsert", spark=spark)
     return path
 
 
@@ -295,7 +313,7 @@ def dead_letters(s: DataFrame, jobs_path: str, dlq_path: str, checkpoint: str |
         finally:
             c.unpersist()
 
-    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "dlq")
+    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "dlq", spark=spark)
 
 
 # --------------------------------------------------------------------------- R6
