@@ -45,3 +45,13 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
              for name, df in sorted(tables.items())]
     return reduce(lambda a, b: a.unionByName(b), parts).orderBy("table_name")
+
+
+def text_profile(df: DataFrame, text: str, parsed: str | None = None) -> DataFrame:
+    """A9 companion: rows, how many are parsed, and the text-length profile (one aggregate)."""
+    n = F.length(F.col(text))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count_if(F.col(parsed).isNotNull()) if parsed else F.lit(None).cast("bigint")).alias("parsed"),
+        F.min(n).alias("min_len"), F.round(F.avg(n), 2).alias("avg_len"), F.max(n).alias("max_len"),
+    )

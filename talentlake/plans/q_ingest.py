@@ -401,3 +401,13 @@ def q_route_batch(spark, d):
         "message_id", F.to_json(F.struct(F.transform("_items", lambda x: F.struct(x["type"].alias("type"),
                                                                                     x["text"].alias("text"))).alias("batch"))).alias("body"))
     return I.route_batch(msgs)
+
+
+@register("cv_text_profile", """
+SELECT count(*) AS "rows", CAST(count_if(parsed IS NOT NULL) AS BIGINT) AS parsed, CAST(min(length(text)) AS INT) AS min_len,
+  round(avg(length(text)), 2) AS avg_len, CAST(max(length(text)) AS INT) AS max_len
+FROM (SELECT d.text, l.quality AS parsed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""")
+def q_cv_text_profile(spark, d):
+    t = Tables(spark, d)
+    docs = t.documents.join(t.labels.select("doc_id", F.col("quality").alias("parsed")), "doc_id", "left")
+    return RP.text_profile(docs, "text", "parsed")
