@@ -165,15 +165,13 @@ def q_late_events(spark, d):
     return S.late_events(logs, "event_id")
 
 
-@register("stream_pending", W([], """
-SELECT user_id, count(*) AS events, count_if(status = 'pending') AS pending, count_if(status = 'processing') AS processing,
-  count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed,
-  count_if(status = 'cancelled') AS cancelled
+@register("stream_pending", """
+SELECT user_id, count(*) AS events, CAST(count_if(status = 'pending') AS BIGINT) AS pending,
+  CAST(count_if(status = 'processing') AS BIGINT) AS processing, CAST(count_if(status = 'completed') AS BIGINT) AS completed,
+  CAST(count_if(status = 'failed') AS BIGINT) AS failed, CAST(count_if(status = 'cancelled') AS BIGINT) AS cancelled
 FROM (SELECT user_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing'
         WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status FROM events)
-GROUP BY user_id""").replace("count_if(", "CAST(count_if(").replace(") AS pending", ") AS BIGINT) AS pending")
-          .replace(") AS processing", ") AS BIGINT) AS processing").replace(") AS completed", ") AS BIGINT) AS completed")
-          .replace(") AS failed", ") AS BIGINT) AS failed").replace(") AS cancelled", ") AS BIGINT) AS cancelled"))
+GROUP BY user_id""")
 def q_stream_pending(spark, d):
     s = _status_stream(spark, d)
     k = S.live_kpis(s, "user_id", "status")
