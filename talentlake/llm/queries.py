@@ -39,3 +39,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentlake.llm.exact_dedup import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.language import fit_language, held_out, identify_language
+
+    docs = documents(spark, sf_dir)
+    found = identify_language(docs.select("doc_id", "text"), fit_language(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score",
+                        "language.rejected")
+
+
+@_query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.quality import classify_quality
+
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    scored = classify_quality(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
