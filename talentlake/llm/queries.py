@@ -58,3 +58,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     scored = classify_quality(documents(spark, sf_dir).select("doc_id", "text"), labels)
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+PII_KEY = "talentlake-release-key"
+
+
+@_query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.pii import pseudonymise
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    new = pseudonymise(docs, PII_KEY)
+    return new.select("doc_id", F.size("pii_matches").cast("long").alias("n_found"), "text")
