@@ -70,3 +70,18 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     new = pseudonymise(docs, PII_KEY)
     return new.select("doc_id", F.size("pii_matches").cast("long").alias("n_found"), "text")
+
+
+def tokenizer_path() -> str:
+    """Place of the public byte-level BPE file on this machine (every executor has the package)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.packing import pack_documents
+
+    packed = pack_documents(documents(spark, sf_dir), tokenizer_path())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
