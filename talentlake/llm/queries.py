@@ -85,3 +85,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = pack_documents(documents(spark, sf_dir), tokenizer_path())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@_query("op7_jaccard")
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.jaccard import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
