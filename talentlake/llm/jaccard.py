@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import Scratch
@@ -350,7 +350,7 @@ def _links(shared: DataFrame, texts: DataFrame, tmp: Scratch) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, text_key, n_shingles, component_id.
+    """One row per document: doc_id, text_key, n_shingles, component (null without shingles), component_id.
 
     ``text_key`` is xxhash64 of the text, with which rows of one doc_id can be told apart.
     """
@@ -382,4 +382,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     placed = tmp.write(placed.select("doc_id", "text_key", "n_shingles", "component"), "placed")
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        "doc_id", "text_key", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (nulls last), then text key.
+
+    Documents without shingles all stay, as do the columns and their order.
+    """
+    def row_key(of: Column, text_key: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(of.cast("string"), F.lit("-")), text_key.cast("string"))
+
+    found = jaccard_components(docs, text, doc_id)
+    first = (found.filter("component IS NOT NULL").groupBy("component")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k")))
+    stay = (first.select(row_key(F.col("k.doc_id"), F.col("k.text_key")).alias("_row"), F.lit(True).alias("_judged"))
+            .unionByName(found.filter("component IS NULL").select(
+                row_key(F.col("doc_id"), F.col("text_key")).alias("_row"), F.lit(False).alias("_judged")).distinct()))
+    body, own = F.col(f"_doc.`{text}`"), F.col(f"_doc.`{doc_id}`")
+    kept = docs.select(F.struct("*").alias("_doc")).withColumn("_row", row_key(own, F.xxhash64(body))).join(stay, "_row")
+    # rows that repeat an id and a text are copies, too
+    copy = F.row_number().over(Window.partitionBy("_row").orderBy("_judged"))
+    return kept.withColumn("_n", copy).filter("_n = 1 OR NOT _judged").select("_doc.*")

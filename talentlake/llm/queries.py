@@ -79,12 +79,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+PACKED = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 @_query("op1_packing")
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentlake.llm.packing import pack_documents
 
-    packed = pack_documents(documents(spark, sf_dir), tokenizer_path())
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack_documents(documents(spark, sf_dir), tokenizer_path()).select(*PACKED)
 
 
 @_query("op7_jaccard")
