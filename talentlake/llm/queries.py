@@ -94,3 +94,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentlake.llm.jaccard import jaccard_components
 
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans",
+                      F.sha2("repeats.kept", 256).alias("kept_sha256"))
