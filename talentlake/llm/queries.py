@@ -103,3 +103,18 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans",
                       F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
+@_query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to.  The vocabulary is that of a public model file."""
+    import public_tokenizers
+
+    from talentlake.llm.unigram import UnigramModel, decode_documents, encode_documents
+
+    model = UnigramModel.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), model)
+    back = decode_documents(ids, model)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
