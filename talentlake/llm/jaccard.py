@@ -16,7 +16,8 @@ and each band divides the feature domain into groups of ``n2`` partitions:
 Candidates are not all pairs of a signature's sets: every set is compared with the one
 representative with which it shares most signatures; sets linked to a representative at distance d
 need no comparison with what is farther than d + 0.2 from it (the Jaccard distance is a metric).
-What is left in signatures that hold several components is compared one by one, so no link is lost.
+What is left in signatures that hold several components is compared one by one, so no link is lost;
+single sets first have to share as many signatures as similar sets of their sizes must.
 
 Scale: equal sets are one class (a hash of all shingles).  Signatures travel as packed arrays by
 bucket, not as rows; the number of buckets follows the input.  Of a signature that occurs more
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import Scratch
+from talentlake.llm.hashing import U64, SubstringHashes, mix
 
 WORDS = 5
 #: similarity as a fraction: 100 * intersection >= 80 * union
@@ -49,48 +51,36 @@ HOT = 64
 #: signature entries gathered before a batch is packed, and those of a bucket on average
 FLUSH, BUCKET = 2_000_000, 1_500_000
 
-_U = np.uint64
+_U = U64
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finishing steps of splitmix64: a bijection that spreads all bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _WordIds(dict):
-    """Word -> 64-bit hash; forgets everything when it grows beyond ``most`` words."""
-
-    most = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_WORDS = _WordIds()
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words of a text in order; A-Z lower-cased, words split at ASCII white space."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    return SubstringHashes(_LOWER[data], bases=1).of(0, start, end) + (end - start).astype(_U)
 
 
 def shingles(text: str | bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the 5-word shingles; A-Z lower-cased, words split at ASCII white space."""
+    """Sorted distinct hashes of the 5-word shingles."""
     if not text:
         return np.zeros(0, _U)
-    words = (text.encode() if isinstance(text, str) else text).lower().split()
-    if not words:
-        return np.zeros(0, _U)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
+    ids = word_hashes(text.encode() if isinstance(text, str) else text)
+    if not len(ids):
+        return ids
     if len(ids) < WORDS:
         whole = np.full(1, len(ids), _U)
         for w in ids:
-            whole = _mix(whole * _U(0x9E3779B97F4A7C15) + w)
+            whole = mix(whole * _U(0x9E3779B97F4A7C15) + w)
         return whole
     n = len(ids) - WORDS + 1
     h = ids[:n]
     for j in range(1, WORDS):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + ids[j:j + n])
+        h = mix(h * _U(0x9E3779B97F4A7C15) + ids[j:j + n])
     return np.unique(h)
 
 
@@ -137,11 +127,11 @@ def signatures(h: np.ndarray) -> np.ndarray:
     for band in _of_size(len(h)) if len(h) else ():
         parts = band.groups * band.n2
         for salt in range(SALTS):
-            x = h if salt == 0 else np.sort(_mix(h + _U(salt)))
+            x = h if salt == 0 else np.sort(mix(h + _U(salt)))
             at = ((x >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             sums, filled = np.zeros(parts, _U), np.zeros(parts, bool)
-            sums[at[first]] = np.add.reduceat(_mix(x ^ _U(0x5851F42D4C957F2D)), first)
+            sums[at[first]] = np.add.reduceat(mix(x ^ _U(0x5851F42D4C957F2D)), first)
             filled[at[first]] = True
             sums, filled = sums.reshape(-1, band.n2), filled.reshape(-1, band.n2)
             empty = np.zeros(band.groups, bool)
@@ -150,27 +140,67 @@ def signatures(h: np.ndarray) -> np.ndarray:
                 some = filled[:, subset].any(1)
                 empty |= ~some
                 keep = some if salt < SALTS - 1 else np.ones_like(some)
-                name = _mix(np.arange(band.groups, dtype=_U)[keep] * _U(0x9E3779B97F4A7C15) + _mix(np.atleast_1d(seed + _U(i))))
-                out.append(_mix(sums[keep][:, subset].sum(1, dtype=_U) + name))
+                name = mix(np.arange(band.groups, dtype=_U)[keep] * _U(0x9E3779B97F4A7C15) + mix(np.atleast_1d(seed + _U(i))))
+                out.append(mix(sums[keep][:, subset].sum(1, dtype=_U) + name))
             if empty.sum() <= band.spare:
                 break
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def empty_groups(h: np.ndarray) -> tuple[int, int]:
+    """Groups with an empty subset in the first division of the set's own band and of the next (0 without)."""
+    out = [0, 0]
+    for i, band in enumerate(_of_size(len(h)) if len(h) else ()):
+        filled = np.zeros(band.groups * band.n2, bool)
+        filled[((h >> _U(32)) * _U(len(filled)) >> _U(32)).astype(np.int64)] = True
+        empty = (~filled).reshape(-1, band.n2).sum(1)
+        out[i] = int((empty >= band.n2 - band.k2).sum())
+    return out[0], out[1]
+
+
+def least_shared(a: int, b: int, empty_a: tuple[int, int], empty_b: tuple[int, int]) -> int:
+    """How many signatures similar sets of these sizes share at least; 0 if the sizes rule a link out.
+
+    Counted in the first division of the larger set's band: all groups but those with too many
+    differences agree in some subset, which is empty at most as often as either set has empty ones.
+    """
+    small, large = min(a, b), max(a, b)
+    if DEN * small < NUM * large:
+        return 0
+    band = _of_size(large)[0]
+    empty = min(e[0] if n >= band.low else e[1] for n, e in ((a, empty_a), (b, empty_b)))
+    differ = (a + b) * (DEN - NUM) // (DEN + NUM)
+    return max(1, band.groups - differ // (band.k2 + 1) - empty)
+
+
 # --------------------------------------------------------------------------- tables
 def _classes(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set) of every document; set is null where there is no shingle."""
+    """(doc_id, text_key, n_shingles, set, empty_own, empty_next); set is null where there is no shingle."""
 
-    @F.arrow_udf("n long, set long")
+    @F.arrow_udf("n_shingles long, set long, empty_own long, empty_next long")
     def described(texts: pa.Array) -> pa.Array:
-        sizes, names = [], []
+        rows = []
         for t in texts:
             h = shingles(t.as_py())
-            sizes.append(len(h))
-            names.append(fingerprint(h) if len(h) else None)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(names, pa.int64())], ["n", "set"])
+            rows.append((len(h), fingerprint(h) if len(h) else None, *empty_groups(h)))
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n_shingles", "set", "empty_own", "empty_next"])
+
+    return rows.withColumn("d", described("text")).select("doc_id", "text_key", "d.*")
+
+
+def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of single sets (a, b, shared) that share as many signatures as similar sets must."""
+
+    @F.arrow_udf("long")
+    def least(a: pa.Array, b: pa.Array, a0: pa.Array, a1: pa.Array, b0: pa.Array, b1: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (a, b, a0, a1, b0, b1)))
+        return pa.array([least_shared(r[0], r[1], r[2:4], r[4:6]) for r in rows], pa.int64())
 
-    return rows.withColumn("d", described("text")).select("doc_id", "text_key", F.col("d.n").alias("n_shingles"), F.col("d.set").alias("set"))
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("set").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "empty_own", "empty_next")]), side)
+    need = least("n_shingles_a", "n_shingles_b", "empty_own_a", "empty_next_a", "empty_own_b", "empty_next_b")
+    return pairs.withColumn("need", need).filter("need > 0 AND shared >= need").select("a", "b")
 
 
 _PACKED = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
@@ -312,7 +342,7 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
         roots = new.select("node", "root")
 
 
-def _links(shared: DataFrame, texts: DataFrame, tmp: Scratch) -> DataFrame:
+def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """(a, b): links that connect exactly the sets that similar pairs connect."""
     limit = 1 - NUM / DEN
     per_pair = shared.filter("member != rep").groupBy("member", "rep").agg(F.count(F.lit(1)).alias("n"))
@@ -328,13 +358,18 @@ def _links(shared: DataFrame, texts: DataFrame, tmp: Scratch) -> DataFrame:
         at = at.join(root.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
     else:
         at = at.withColumn("root", F.col("member"))
+    # a set that represents no other can only be linked itself, by the number of signatures it shares
+    at = at.join(to.select("rho", F.lit(False).alias("single")).distinct(), "rho", "left").withColumn("single", F.coalesce("single", F.lit(True)))
     several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = tmp.write(at.join(several, "sig", "left_semi"), "rest")
     # representatives of different components in one signature
-    rhos = rest.groupBy("sig", "rho", "root").agg(F.max("d").alias("d"))
+    rhos = rest.select("sig", "rho", "root", "single").distinct()
     one, two = rhos.alias("one"), rhos.alias("two")
-    second = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.rho") < F.col("two.rho")) & (F.col("one.root") != F.col("two.root")))
-              .select(F.col("one.rho").alias("a"), F.col("two.rho").alias("b")).distinct())
+    met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.rho") < F.col("two.rho")) & (F.col("one.root") != F.col("two.root")))
+           .groupBy(F.col("one.rho").alias("a"), F.col("two.rho").alias("b"))
+           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("one.single") & F.col("two.single")).alias("single")))
+    met = tmp.write(met, "met")
+    second = met.filter("NOT single").select("a", "b").unionByName(_enough(met.filter("single"), sets))
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked")
     old = second.join(seen, ["a", "b"])
     second = tmp.write(_verified(second.join(seen, ["a", "b"], "left_anti"), texts).unionByName(old.select("a", "b", "distance", "linked")), "verified2")
@@ -377,7 +412,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
               .join(shared.select(F.col("member").alias("set")).distinct(), "set").select("set", "o.doc_id", "o.text_key"))
     mine = rows.join(owners, rows.doc_id.eqNullSafe(owners.doc_id) & (rows.text_key == owners.text_key))
     texts = tmp.write(mine.select("set", "text").dropDuplicates(["set"]), "texts")
-    roots = components(_links(shared, texts, tmp), tmp, "components").withColumnRenamed("node", "set")
+    sets = described.filter("set IS NOT NULL").select("set", "n_shingles", "empty_own", "empty_next").distinct()
+    roots = components(_links(shared, texts, sets, tmp), tmp, "components").withColumnRenamed("node", "set")
     placed = described.join(roots, "set", "left").withColumn("component", F.coalesce("root", "set"))
     placed = tmp.write(placed.select("doc_id", "text_key", "n_shingles", "component"), "placed")
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))

@@ -107,12 +107,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text and what they decode to.  The vocabulary is that of a public model file."""
+    """Ids of every whole text and what they decode to.  The public model file has merge ranks, no log scores."""
     import public_tokenizers
 
     from talentlake.llm.unigram import UnigramModel, decode_documents, encode_documents
 
-    model = UnigramModel.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+    model = UnigramModel.from_file(public_tokenizers.path("piece_bpe_32k.model"), ranked=True)
     ids = encode_documents(documents(spark, sf_dir).select("doc_id", "text"), model)
     back = decode_documents(ids, model)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),

@@ -85,6 +85,14 @@ class DoubleArray:
                 yield i + 1, value[at]
 
 
+def zipf_scores(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
+    """Normal pieces with log probabilities by Zipf's law, 1 / rank, in the order of their scores."""
+    normal = sorted((i for i, p in enumerate(pieces) if p[2] == "normal"), key=lambda i: (-pieces[i][1], i))
+    total = sum(1 / r for r in range(1, len(normal) + 1))
+    score = {i: float(np.float32(-np.log(r * total))) for r, i in enumerate(normal, 1)}
+    return [(p, score.get(i, s), kind) for i, (p, s, kind) in enumerate(pieces)]
+
+
 class UnigramModel:
     def __init__(self, pieces: list[tuple[str, float, str]], add_prefix: bool = True):
         """``pieces``: (text, score, kind), kind one of normal, byte, unknown, control."""
@@ -105,7 +113,8 @@ class UnigramModel:
         return {**self.__dict__, "_cache": {}}
 
     @classmethod
-    def from_file(cls, path: str) -> UnigramModel:
+    def from_file(cls, path: str, ranked: bool = False) -> UnigramModel:
+        """``ranked``: the file's scores are merge ranks, which become log scores (``zipf_scores``)."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -114,7 +123,8 @@ class UnigramModel:
             return ("byte" if sp.is_byte(i) else "unknown" if sp.is_unknown(i)
                     else "control" if sp.is_control(i) or sp.is_unused(i) else "normal")
 
-        return cls([(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())])
+        pieces = [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
+        return cls(zipf_scores(pieces) if ranked else pieces)
 
     def viterbi(self, part: str) -> list[int]:
         data = part.encode()
