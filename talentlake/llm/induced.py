@@ -21,7 +21,7 @@ import tempfile
 
 import numpy as np
 
-MAX_ALPHABET = 1 << 15
+MAX_ALPHABET = 2048
 
 
 class RunQueue:
@@ -62,7 +62,7 @@ class RunQueue:
                 got.append(part)
         self.runs[c] = []
         if not got:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint16)
+            return np.zeros(0, np.int32), np.zeros(0, np.uint16)
         return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
 
 
@@ -77,7 +77,7 @@ class _Pass:
 
     def feed(self, src: np.ndarray, lcp: np.ndarray, wanted, stay: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Queue the left neighbours that ``wanted(char)`` takes; those of character ``stay`` are returned."""
-        here = (np.zeros(0, np.int64), np.zeros(0, np.uint16))
+        here = (np.zeros(0, np.int32), np.zeros(0, np.uint16))
         if not len(src):
             return here
         left = src - 1
@@ -113,26 +113,26 @@ class _Pass:
 def _types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is S-type (smaller than the next); separators are S."""
     n = len(text)
-    more = np.empty(n, np.int8)
-    more[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    more[-1] = 1
-    more[text == 0] = 1
+    up, level = np.ones(n, bool), np.zeros(n, bool)
+    np.greater(text[1:], text[:-1], out=up[:-1])
+    np.equal(text[1:], text[:-1], out=level[:-1])
+    up[text == 0], level[text == 0] = True, False
     # an equal neighbour takes the type to its right
-    at = np.where(more != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]
-    return more[at] > 0
+    at = np.where(level, np.int32(n), np.arange(n, dtype=np.int32))
+    return up[np.minimum.accumulate(at[::-1])[::-1]]
 
 
 def _runs(text: np.ndarray) -> np.ndarray:
     """Length of the run of equal characters that starts at each position."""
     n = len(text)
-    change = np.flatnonzero(np.concatenate([text[1:] != text[:-1], [True]]))
-    return change[np.searchsorted(change, np.arange(n))] - np.arange(n) + 1
+    at = np.arange(n, dtype=np.int32)
+    last = np.where(np.concatenate([text[1:] != text[:-1], [True]]), at, np.int32(n))
+    return np.minimum.accumulate(last[::-1])[::-1] - at + 1
 
 
 def _induce(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndarray, cap: int, memory: int):
     """All suffixes in order with their lcp, from sorted LMS suffixes (separators first)."""
-    run = np.minimum(_runs(text), cap)
+    run = np.minimum(_runs(text), cap).astype(np.uint16)
     bounds = np.searchsorted(text[lms], np.arange(sigma + 1))
     big, small, large = [None] * sigma, [None] * sigma, _Pass(text, sigma, cap, memory)
     cat = lambda parts: tuple(np.concatenate(p) for p in zip(*parts))
@@ -141,7 +141,7 @@ def _induce(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndarray,
         while len(cur[0]):
             got.append(cur)
             cur = large.feed(*cur, lambda ch: ch >= c, stay=c)
-        big[c] = cat(got) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
+        big[c] = cat(got) if got else (np.zeros(0, np.int32), np.zeros(0, np.uint16))
         own, low = lms[bounds[c]:bounds[c + 1]], lms_lcp[bounds[c]:bounds[c + 1]].copy()
         if len(own):
             # the last L and the first S suffix of a bucket share the shorter run of its character
@@ -153,7 +153,7 @@ def _induce(text: np.ndarray, sigma: int, lms: np.ndarray, lms_lcp: np.ndarray,
         while len(cur[0]):
             got.append(cur)
             cur = less.feed(*cur, lambda ch: (ch <= c) & (ch > 0), stay=c)
-        pos, low = cat(got) if got else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
+        pos, low = cat(got) if got else (np.zeros(0, np.int32), np.zeros(0, np.uint16))
         small[c] = (pos, low)
         p, q = big[c]
         if len(p):
@@ -212,14 +212,15 @@ def suffix_array(text: np.ndarray, sigma: int, cap: int, memory: int = 64 << 20)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = stype[1:] & ~stype[:-1]
     is_lms[text == 0] = True
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)  # a text is at most 2 GB
+    del stype
     ends = text[lms] == 0
     by_char = lms[np.argsort(text[lms], kind="stable")]
     # sort the LMS substrings: one induction from LMS suffixes sorted by their first character
     order, _ = _induce(text, sigma, by_char, np.zeros(len(lms), np.uint16), cap, memory)
     ranked = order[is_lms[order]]
     # names: equal substrings (up to and with the next LMS position) get one name
-    nth = np.zeros(n + 1, np.int64)
+    nth = np.zeros(n + 1, np.int32)
     nth[lms] = np.arange(len(lms))
     length = np.append(np.diff(lms), 0) + 1
     a, b = ranked[:-1], ranked[1:]

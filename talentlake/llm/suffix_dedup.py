@@ -32,59 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentlake.llm.common import Scratch
+from talentlake.llm.hashing import U64, SubstringHashes, mix
 from talentlake.llm.induced import suffix_array
 
 SIZE = 400
 GRAM = 128
 #: bytes of spans that a shard has on average, and different spans of one anchor above which it is hot
-SHARD_BYTES = 6 << 20
-HOT = 20_000
+SHARD_BYTES = 3 << 19
+HOT = 4_000
 
-_U = np.uint64
+_U = U64
 _SEGMENT = 1 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, _U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, b, _U)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=_U))
-        return self.up, self.down
-
-
-_POWERS = [_Powers(b) for b in _BASES]
-
-
-class _Hashes:
-    """Hashes of all substrings of ``data`` from prefix sums of byte * base^position."""
-
-    def __init__(self, data: np.ndarray):
-        self.sums, self.down = [], []
-        wide = data.astype(_U) + _U(1)
-        for p in _POWERS:
-            up, down = p.to(len(data) + 1)
-            self.sums.append(np.concatenate([np.zeros(1, _U), np.cumsum(wide * up[:len(data)], dtype=_U)]))
-            self.down.append(down)
-
-    def of(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        s = self.sums[which]
-        return _mix((s[end] - s[start]) * self.down[which][start])
 
 
 def spans(data: np.ndarray, size: int, gram: int) -> list[np.ndarray]:
@@ -92,7 +50,7 @@ def spans(data: np.ndarray, size: int, gram: int) -> list[np.ndarray]:
     found = []
     for at in range(0, max(0, len(data) - size + 1), _SEGMENT):
         part = data[at:at + _SEGMENT + size - 1]
-        h, n = _Hashes(part), len(part)
+        h, n = SubstringHashes(part), len(part)
         p = np.arange(n - gram + 1)
         grams = h.of(0, p, p + gram)
         # (hash, position) in one number; the least in every window, from block-wise running minima
@@ -108,7 +66,7 @@ def spans(data: np.ndarray, size: int, gram: int) -> list[np.ndarray]:
         start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
         count = np.diff(np.append(start, windows))
         end = start + count + size - 1
-        place = _mix(((best[start] - start) * 4096 + count).astype(_U))
+        place = mix(((best[start] - start) * 4096 + count).astype(_U))
         found.append([grams[best[start]], h.of(0, start, end) + place, h.of(1, start, end) + place, start + at, count])
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, _U)] * 3 + [np.zeros(0, np.int64)] * 2
 
@@ -167,7 +125,7 @@ def _window_hashes(size: int):
         for b in batches:
             for gram, fp1, fp2, n, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "fp1", "fp2", "n", "bytes"))):
                 data = np.frombuffer(raw, np.uint8)
-                h, lo = _Hashes(data), np.arange(len(data) - size + 1)
+                h, lo = SubstringHashes(data), np.arange(len(data) - size + 1)
                 fill = lambda x: pa.array(np.full(len(lo), x, np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [fill(gram), fill(fp1), fill(fp2), pa.array(lo), fill(n),
