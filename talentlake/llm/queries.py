@@ -118,3 +118,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+TRAINING_KEY = 20240229
+
+
+@_query("op5_training_order")
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence with its documents, and the checksum of its record as read from the shards."""
+    from talentlake.llm.order import materialise, read_slots
+
+    made = materialise(documents(spark, sf_dir), tokenizer_path(), TRAINING_KEY)
+    records = read_slots(spark, made).select("slot", F.crc32("ids").alias("ids_crc32"))
+    return made.sequences.join(records, "slot").select("slot", "shard", "n_tokens", "doc_ids", "ids_crc32")

@@ -28,7 +28,8 @@ from talentlake.session import ship_package
 #: fixed: the marker of a space, and what an unknown character costs beyond the worst piece
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 500_000
+CACHE = 1_000_000
+_LOW = float("-inf")
 
 
 class DoubleArray:
@@ -72,18 +73,6 @@ class DoubleArray:
         last = int(np.flatnonzero(check >= 0).max()) + 258
         self.base, self.check, self.value = (x[:last].tolist() for x in (base, check, value))
 
-    def prefixes(self, data: bytes, start: int):
-        """(end, value) of each word that starts at ``start``."""
-        base, check, value, at = self.base, self.check, self.value, 0
-        for i in range(start, len(data)):
-            b = base[at]
-            nxt = b + data[i] + 1
-            if not b or check[nxt] != at:
-                return
-            at = nxt
-            if value[at] >= 0:
-                yield i + 1, value[at]
-
 
 def zipf_scores(pieces: list[tuple[str, float, str]]) -> list[tuple[str, float, str]]:
     """Normal pieces with log probabilities by Zipf's law, 1 / rank, in the order of their scores."""
@@ -129,22 +118,32 @@ class UnigramModel:
     def viterbi(self, part: str) -> list[int]:
         data = part.encode()
         n = len(data)
-        best, start, piece = [None] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        best, start, piece = [_LOW] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
+        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         at = 0
-        for ch in part:
-            width = len(ch.encode())
-            here, single = best[at], False
-            for end, i in self.trie.prefixes(data, at):
-                score = here + self.scores[i]
-                if best[end] is None or score > best[end]:
-                    best[end], start[end], piece[end] = score, at, i
-                single |= end == at + width
-            if not single:
-                end, score = at + width, here + self.bad
-                if best[end] is None or score > best[end]:
-                    best[end], start[end], piece[end] = score, at, -1
-            at += width
+        while at < n:
+            lead = data[at]
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            here, one, single, node = best[at], at + width, False, 0
+            # all pieces that start here: down the trie
+            for i in range(at, n):
+                b = base[node]
+                nxt = b + data[i] + 1
+                if not b or check[nxt] != node:
+                    break
+                node = nxt
+                found = value[node]
+                if found >= 0:
+                    end = i + 1
+                    score = here + scores[found]
+                    if score > best[end]:
+                        best[end], start[end], piece[end] = score, at, found
+                    if end == one:
+                        single = True
+            if not single and here + self.bad > best[one]:
+                best[one], start[one], piece[one] = here + self.bad, at, -1
+            at = one
         out = []
         while n:
             if piece[n] >= 0:
