@@ -131,3 +131,12 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = materialise(documents(spark, sf_dir), tokenizer_path(), TRAINING_KEY)
     records = read_slots(spark, made).select("slot", F.crc32("ids").alias("ids_crc32"))
     return made.sequences.join(records, "slot").select("slot", "shard", "n_tokens", "doc_ids", "ids_crc32")
+
+
+@_query("op8_top_k")
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100, as a query with its whole text."""
+    from talentlake.llm.search import top_k
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return top_k(docs, docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
