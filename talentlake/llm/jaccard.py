@@ -174,21 +174,6 @@ def least_shared(a: int, b: int, empty_a: tuple[int, int], empty_b: tuple[int, i
 
 
 # --------------------------------------------------------------------------- tables
-def _classes(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_key, n_shingles, set, empty_own, empty_next); set is null where there is no shingle."""
-
-    @F.arrow_udf("n_shingles long, set long, empty_own long, empty_next long")
-    def described(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts:
-            h = shingles(t.as_py())
-            rows.append((len(h), fingerprint(h) if len(h) else None, *empty_groups(h)))
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], ["n_shingles", "set", "empty_own", "empty_next"])
-
-    return rows.withColumn("d", described("text")).select("doc_id", "text_key", "d.*")
-
-
 def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of single sets (a, b, shared) that share as many signatures as similar sets must."""
 
@@ -203,16 +188,29 @@ def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.withColumn("need", need).filter("need > 0 AND shared >= need").select("a", "b")
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary())])
+_DESCRIBED = ["doc_id", "text_key", "n_shingles", "set", "empty_own", "empty_next"]
+_PACKED = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()),
+                     *((c, pa.int64()) for c in _DESCRIBED)])
 
 
 def _packed(buckets: int):
-    """Batches of texts -> for each bucket the signatures: sets, how many of each, and the signatures."""
+    """(doc_id, text_key, text) -> a description of every row and, for each bucket, packed signatures.
+
+    Packed are the sets, how many signatures of each follow, and the signatures.  Buckets below 0
+    hold what needs no meeting: descriptions, and signatures that are hot within the task.
+    """
+
+    def packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 16):
+            cols = [*zip(*rows[i:i + 16])]
+            n = len(cols[0])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, f.type) for c, f in zip(cols, _PACKED)), *(pa.nulls(n, pa.int64()) for _ in _DESCRIBED)], schema=_PACKED)
 
     def flush(sets: list[int], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         owner = np.repeat(np.array(sets, np.int64), [len(s) for s in sigs])
         sig = np.concatenate(sigs)
-        # hot here: one set goes on, the others are recorded with it at once (bucket -1)
+        # hot here: one set goes on, the others are recorded with it at once
         order = np.argsort(sig, kind="stable")
         sig, owner = sig[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -220,7 +218,7 @@ def _packed(buckets: int):
         hot = np.repeat(size > HOT, size)
         rows = []
         if hot.any():
-            rows.append((-1, sig[hot].tobytes(), owner[hot].tobytes(), b""))
+            rows.append((-1 - int(sig[hot][0] % _U(buckets)), sig[hot].tobytes(), owner[hot].tobytes(), b""))
             keep = ~hot
             keep[first[size > HOT]] = True
             sig, owner = sig[keep], owner[keep]
@@ -233,16 +231,16 @@ def _packed(buckets: int):
             if lo < hi:
                 names, counts = np.unique(owner[lo:hi], return_counts=True)
                 rows.append((b, sig[lo:hi].tobytes(), names.tobytes(), counts.astype("<u4").tobytes()))
-        for i in range(0, len(rows), 16):
-            part = rows[i:i + 16]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], f.type) for j, f in enumerate(_PACKED)], schema=_PACKED)
+        yield from packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, sigs, total, seen = [], [], 0, set()
         for batch in batches:
-            for t in batch.column("text"):
+            described = []
+            for doc, key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text")):
                 h = shingles(t.as_py())
                 name = fingerprint(h) if len(h) else None
+                described.append((-1 - key % buckets, doc, key, len(h), name, *empty_groups(h)))
                 if name is None or name in seen:  # copies within the task
                     continue
                 seen.add(name)
@@ -254,42 +252,51 @@ def _packed(buckets: int):
                 if total >= FLUSH:
                     yield from flush(sets, sigs)
                     sets, sigs, total = [], [], 0
+            if described:
+                cols = [pa.array(c, pa.int64()) for c in zip(*described)]
+                none = [pa.nulls(len(described), pa.binary())] * 3
+                yield pa.RecordBatch.from_arrays([cols[0], *none, *cols[1:]], schema=_PACKED)
         if sets:
             yield from flush(sets, sigs)
 
     return run
 
 
-_SHARED = "sig long, member long, rep long"
+_OUT = ["kind", "a", "b", "c", "d", "e", "f"]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed rows of one bucket -> the signatures of several sets, each set with the smallest one."""
-    sig, owner = [], []
-    for batch in batches:
-        for s, names, counts in zip(batch.column("sigs"), batch.column("sets"), batch.column("counts")):
-            sig.append(np.frombuffer(s.as_py(), _U))
-            owner.append(np.repeat(np.frombuffer(names.as_py(), np.int64), np.frombuffer(counts.as_py(), "<u4")))
-    sig, owner = np.concatenate(sig), np.concatenate(owner)
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])])  # copies of other tasks
-    sig, owner = sig[new], owner[new]
+def _signature_rows(sig: np.ndarray, owner: np.ndarray, least: int) -> pa.RecordBatch:
+    """Of sorted (signature, set): the signatures of at least that many sets, each set with the smallest one."""
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
-    rep = np.repeat(owner[first], size)
-    keep = np.repeat(size > 1, size)
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (sig.view(np.int64), owner, rep)], ["sig", "member", "rep"])
+    keep = np.repeat(size >= least, size)
+    cols = [pa.array(x[keep]) for x in (sig.view(np.int64), owner, np.repeat(owner[first], size))]
+    n = len(cols[0])
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(3))], _OUT)
 
 
-def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of bucket -1: signatures that were hot in one map batch."""
+def _met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packed rows of one bucket -> kind 0: (signature, set, smallest set); kind 1: descriptions."""
+    sig, owner = [], []
     for batch in batches:
-        for s, names in zip(batch.column("sigs"), batch.column("sets")):
-            sig, owner = np.frombuffer(s.as_py(), np.int64), np.frombuffer(names.as_py(), np.int64)
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(np.append(first, len(sig)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, owner, np.repeat(owner[first], size))], ["sig", "member", "rep"])
+        b = batch.filter(batch.column("sigs").is_null())
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int64)), *(b.column(c) for c in _DESCRIBED)], _OUT)
+        for bucket, s, names, counts in zip(*(batch.column(c) for c in ("bucket", "sigs", "sets", "counts"))):
+            if not s.is_valid:
+                continue
+            s, names = np.frombuffer(s.as_py(), _U), np.frombuffer(names.as_py(), np.int64)
+            if bucket.as_py() < 0:
+                yield _signature_rows(s, names, 1)
+            else:
+                sig.append(s)
+                owner.append(np.repeat(names, np.frombuffer(counts.as_py(), "<u4")))
+    if sig:
+        sig, owner = np.concatenate(sig), np.concatenate(owner)
+        order = np.lexsort((owner, sig))
+        sig, owner = sig[order], owner[order]
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])])  # copies of other tasks
+        yield _signature_rows(sig[new], owner[new], 2)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -346,26 +353,32 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     """(a, b): links that connect exactly the sets that similar pairs connect."""
     limit = 1 - NUM / DEN
     per_pair = shared.filter("member != rep").groupBy("member", "rep").agg(F.count(F.lit(1)).alias("n"))
-    best = per_pair.groupBy(F.col("member").alias("a")).agg(F.max(F.struct("n", "rep")).alias("best")).select("a", F.col("best.rep").alias("b"))
-    first = tmp.write(_verified(best, texts), "verified1")
+    best = (per_pair.groupBy(F.col("member").alias("a")).agg(F.max(F.struct("n", "rep")).alias("best"))
+            .select("a", F.col("best.rep").alias("b"), F.col("best.n").alias("shared")))
+    # pairs that seem to share too few signatures here are met again below, with all they share
+    first = tmp.write(_verified(_enough(best, sets), texts), "verified1")
     links = first.filter("linked").select("a", "b")
-    # every set with its component, its representative and the distance to it
-    root = components(links, tmp, "components1") if not links.isEmpty() else None
-    at = shared.select("sig", "member").distinct()
+    # every set with its component, its representative and the distance to it; a set that has and is
+    # no representative is single: it can only be linked itself
     to = first.filter("linked").select(F.col("a").alias("member"), F.col("b").alias("rho"), F.col("distance").alias("d"))
-    at = at.join(to, "member", "left").select("sig", "member", F.coalesce("rho", "member").alias("rho"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    if root is not None:
-        at = at.join(root.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    info = sets.select(F.col("set").alias("member"), F.col("n_shingles").alias("n")).join(to, "member", "left")
+    if not links.isEmpty():
+        roots = components(links, tmp, "components1").select(F.col("node").alias("member"), "root")
+        info = info.join(roots, "member", "left")
     else:
-        at = at.withColumn("root", F.col("member"))
-    # a set that represents no other can only be linked itself, by the number of signatures it shares
-    at = at.join(to.select("rho", F.lit(False).alias("single")).distinct(), "rho", "left").withColumn("single", F.coalesce("single", F.lit(True)))
+        info = info.withColumn("root", F.lit(None).cast("long"))
+    info = tmp.write(info.select("member", "n", F.coalesce("rho", "member").alias("rho"), F.coalesce("d", F.lit(0.0)).alias("d"),
+                                 F.coalesce("root", "member").alias("root"), F.col("root").isNull().alias("single")), "info")
+    tmp.release()
+    at = shared.select("sig", "member").join(info, "member")
     several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = tmp.write(at.join(several, "sig", "left_semi"), "rest")
-    # representatives of different components in one signature
-    rhos = rest.select("sig", "rho", "root", "single").distinct()
+    rest = tmp.write(at.join(several, "sig", "left_semi").distinct(), "rest")
+    tmp.release()
+    # representatives of different components in one signature; of two single sets only those of like sizes
+    rhos = rest.select("sig", "rho", "root", "single", F.when(F.col("single"), F.col("n")).alias("n")).distinct()
     one, two = rhos.alias("one"), rhos.alias("two")
-    met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.rho") < F.col("two.rho")) & (F.col("one.root") != F.col("two.root")))
+    like = F.coalesce((DEN * F.col("one.n") >= NUM * F.col("two.n")) & (DEN * F.col("two.n") >= NUM * F.col("one.n")), F.lit(True))
+    met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.rho") < F.col("two.rho")) & (F.col("one.root") != F.col("two.root")) & like)
            .groupBy(F.col("one.rho").alias("a"), F.col("two.rho").alias("b"))
            .agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("one.single") & F.col("two.single")).alias("single")))
     met = tmp.write(met, "met")
@@ -373,46 +386,49 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked")
     old = second.join(seen, ["a", "b"])
     second = tmp.write(_verified(second.join(seen, ["a", "b"], "left_anti"), texts).unionByName(old.select("a", "b", "distance", "linked")), "verified2")
+    tmp.release()
     links = links.union(second.filter("linked").select("a", "b"))
     # members whose distances to their representatives leave room for a link; the others have none
     near = second.filter((F.col("distance") <= 3 * limit + 1e-9) & ~F.col("linked")).select("a", "b", "distance")
-    m1 = rest.select("sig", F.col("rho").alias("a"), F.col("member").alias("x"), F.col("d").alias("dx"))
-    m2 = rest.select("sig", F.col("rho").alias("b"), F.col("member").alias("y"), F.col("d").alias("dy"))
+    m1 = rest.select("sig", F.col("rho").alias("a"), F.col("member").alias("x"), F.col("d").alias("dx"), F.col("n").alias("nx"))
+    m2 = rest.select("sig", F.col("rho").alias("b"), F.col("member").alias("y"), F.col("d").alias("dy"), F.col("n").alias("ny"))
     third = (m1.join(near, "a").join(m2, ["sig", "b"]).filter(F.col("dx") + F.col("dy") >= F.col("distance") - limit - 1e-9)
-             .filter("x != a OR y != b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    third = tmp.write(_verified(third, texts), "verified3")
+             .filter((DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")))
+             .filter("x != a OR y != b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+             .agg(F.count(F.lit(1)).alias("shared")))
+    third = tmp.write(_verified(_enough(third, sets), texts), "verified3")
     return links.union(third.filter("linked").select("a", "b"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component (null without shingles), component_id.
 
-    ``text_key`` is xxhash64 of the text, with which rows of one doc_id can be told apart.
+    doc_id is an integer; ``text_key`` is xxhash64 of the text, with which rows of one doc_id can be
+    told apart.
     """
     tmp = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    described = tmp.write(_classes(rows), "documents")
-    total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, round(0.8 * total / BUCKET), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 50_000))
-    packed = rows.select("text").mapInArrow(_packed(buckets), "bucket long, sigs binary, sets binary, counts binary")
-    # hot rows need no bucket: they are spread over all tasks
-    spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.abs(F.xxhash64("sets") % 1024))
-    packed = packed.withColumn("bucket", spread)
-
-    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if batches and batches[0].column("bucket")[0].as_py() < 0:
-            yield from _hot_rows(batches)
-        elif batches:
-            yield from _shared(batches)
-
-    shared = tmp.write(packed.groupBy("bucket").applyInArrow(by_bucket, _SHARED), "shared")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"),
+                       F.col(f"`{text}`").alias("text"))
+    # about one shingle in six bytes and four signatures in five shingles
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, round(0.8 * total / 6 / BUCKET))
+    packed = rows.mapInArrow(_packed(buckets), ", ".join(
+        ["bucket long", "sigs binary", "sets binary", "counts binary", *(f"{c} long" for c in _DESCRIBED)]))
+    found = tmp.write(packed.groupBy("bucket").applyInArrow(_met_in_buckets, ", ".join(f"{c} long" for c in _OUT)), "signatures")
+    del packed
+    tmp.release()
+    shared = found.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("member"), F.col("c").alias("rep"))
+    described = found.filter("kind = 1").select(*[F.col(c).alias(n) for c, n in zip(_OUT[1:], _DESCRIBED)])
     # the texts of sets that share a signature: one document each
-    owners = (described.filter("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("doc_id", "text_key")).alias("o"))
-              .join(shared.select(F.col("member").alias("set")).distinct(), "set").select("set", "o.doc_id", "o.text_key"))
+    first = F.min(F.struct("doc_id", "text_key")).alias("o")
+    sets = (described.filter("set IS NOT NULL").groupBy("set")
+            .agg(first, *[F.min(c).alias(c) for c in ("n_shingles", "empty_own", "empty_next")])
+            .join(shared.select(F.col("member").alias("set")).distinct(), "set"))
+    sets = tmp.write(sets, "sets")
+    owners = sets.select("set", "o.doc_id", "o.text_key")
     mine = rows.join(owners, rows.doc_id.eqNullSafe(owners.doc_id) & (rows.text_key == owners.text_key))
     texts = tmp.write(mine.select("set", "text").dropDuplicates(["set"]), "texts")
-    sets = described.filter("set IS NOT NULL").select("set", "n_shingles", "empty_own", "empty_next").distinct()
+    tmp.release()
     roots = components(_links(shared, texts, sets, tmp), tmp, "components").withColumnRenamed("node", "set")
     placed = described.join(roots, "set", "left").withColumn("component", F.coalesce("root", "set"))
     placed = tmp.write(placed.select("doc_id", "text_key", "n_shingles", "component"), "placed")
