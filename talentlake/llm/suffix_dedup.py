@@ -158,7 +158,8 @@ def repeated_ranges(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: in
     key = ["gram", "fp1", "fp2"]
     every = (docs.filter(F.octet_length("text") >= size)
              .select("t1", "t2", F.explode(_span_column(F.col("text"), size, gram)).alias("s")).select("t1", "t2", "s.*"))
-    twice = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # written, so that the join has an exchange on both sides and a hot anchor can be split
+    twice = tmp.write(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "twice")
     found = tmp.write(every.join(twice, "gram", "left_semi"), "spans")
     rep = F.min(F.struct("t1", "t2", "start", "windows")).alias("rep")
     different = tmp.write(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), rep), "different")
