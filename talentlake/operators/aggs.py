@@ -142,13 +142,11 @@ def explode_gaps(apps: DataFrame, gaps_col: str = "gaps") -> DataFrame:
 
 # --------------------------------------------------------------------------- D5b
 def skill_gap_profile(gaps: DataFrame, job: str = "app_id", skill: Column | None = None,
-                      severity: str = "severity", recommendation: str = "recommendation",
-                      n_recommendations: int = 5) -> DataFrame:
-    """Per skill: distinct jobs, mean severity rounded back to a label, most common recommendations.
+                      severity: str = "severity", recommendation: str = "recommendation") -> DataFrame:
+    """Per skill: distinct jobs, mean severity rounded back to a label, and all its recommendations.
 
-    "Common recommendations" is a top-n report: (skill, recommendation) pairs are
-    counted first (partial aggregation), ranked per skill, and only the top n are
-    collected, so the array per skill stays bounded however many distinct texts exist.
+    One row for each (skill, recommendation) with its count, so no array grows with the number of
+    distinct texts; a skill without recommendation has one row with NULL and 0.
     """
     skill = skill if skill is not None else F.coalesce(F.col("missing_element"), F.col("requirement"), F.lit("Unknown"))
     g = gaps.select(skill.alias("skill"), F.col(job).alias("_job"), F.col(severity).alias("_sev"),
@@ -158,18 +156,10 @@ def skill_gap_profile(gaps: DataFrame, job: str = "app_id", skill: Column | None
         F.avg(severity_rank(F.col("_sev"))).alias("_sev"),
     )
     recs = g.where(F.col("_rec").isNotNull()).groupBy("skill", "_rec").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("skill").orderBy(F.col("_n").desc(), F.col("_rec").asc())
-    top = (
-        recs.withColumn("_rk", F.row_number().over(w))
-        .where(F.col("_rk") <= n_recommendations)
-        .groupBy("skill")
-        .agg(F.array_sort(F.collect_list(F.struct("_rk", "_rec"))).alias("_top"))
-        .select("skill", F.transform("_top", lambda x: x["_rec"]).alias("recommendations"))
-    )
-    return agg.join(top, "skill", "left").select(
+    return agg.join(recs, "skill", "left").select(
         "skill", "frequency",
         severity_label(F.round("_sev", 0).cast("int")).alias("average_severity"),
-        F.coalesce("recommendations", F.array().cast("array<string>")).alias("recommendations"),
+        F.col("_rec").alias("recommendation"), F.coalesce("_n", F.lit(0)).alias("recommendation_count"),
     )
 
 
@@ -194,7 +184,7 @@ def avg_fit(apps: DataFrame, by: str | Sequence[str] | None = None, score: str =
 # Fit-score band schemes (lower bounds, descending) and their labels.
 FIT_BANDS = {
     "chart": [(90, "90-100"), (75, "75-89"), (60, "60-74"), (0, "Below 60")],
-    "prompt": [(90, "Excellent"), (75, "Strong"), (60, "Moderate"), (40, "Weak"), (0, "Poor")],
+    "prompt": [(90, "Excellent"), (75, "Strong"), (60, "Moderate"), (40, "Partial"), (0, "Poor")],
     "ui": [(80, "Excellent"), (60, "Good"), (40, "Fair"), (0, "Poor")],
 }
 
@@ -384,19 +374,13 @@ def session_scores(evals: DataFrame, session: str = "session_id", score: str = "
 # --------------------------------------------------------------------------- D16
 def skill_demand(posting_skills: DataFrame, skill: str = "skill", posting: str = "posting_id",
                  company: str = "company") -> DataFrame:
-    """Postings and companies per skill and share of all postings (exact distinct counts).
-
-    The posting total is a one-row aggregate joined by broadcast (one row, size-bounded).
-    """
-    total = posting_skills.agg(F.count_distinct(posting).alias("_total"))
+    """Postings and companies per skill and share of all postings (exact distinct counts)."""
+    total = posting_skills.agg(F.count_distinct(posting)).scalar()
     per = posting_skills.groupBy(skill).agg(
         F.count_distinct(posting).alias("postings"),
         F.count_distinct(company).alias("companies"),
     )
-    # one-row total, attached by an equi-join on a constant key (broadcast of a single row)
-    return per.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").select(
-        skill, "postings", "companies", _pct(F.col("postings"), F.col("_total"), 2).alias("share")
-    )
+    return per.select(skill, "postings", "companies", _pct(F.col("postings"), total, 2).alias("share"))
 
 
 def skill_demand_approx(posting_skills: DataFrame, skill: str = "skill", posting: str = "posting_id",
@@ -412,23 +396,51 @@ def skill_demand_approx(posting_skills: DataFrame, skill: str = "skill", posting
 def salary_insight(postings: DataFrame, by: str | Sequence[str], lo: str = "salary_min", hi: str = "salary_max") -> DataFrame:
     """Salary midpoint stats per group; NULL salaries left out, coverage % shown.
 
-    Midpoint = (min + max) / 2, or the one known bound.  Percentiles are exact
-    (``percentile``); ``percentile_approx`` is the bounded-memory alternative.
+    Midpoint = (min + max) / 2, or the one known bound.  Quantiles are exact and interpolated: the
+    midpoints are counted per (group, value), and the values at the two ranks around each quantile
+    are read off the running count, so no task holds all values of a group at once.
     """
+    keys = _by(by)
     mid = F.when(F.col(lo).isNotNull() & F.col(hi).isNotNull(), (F.col(lo) + F.col(hi)) / 2.0).otherwise(
         F.coalesce(F.col(lo), F.col(hi)).cast("double")
     )
-    return postings.groupBy(*_by(by)).agg(
-        F.count(F.lit(1)).alias("postings"),
-        F.count(mid).alias("with_salary"),
-        _pct(F.count(mid), F.count(F.lit(1))).alias("coverage_pct"),
-        F.min(mid).alias("min_mid"),
-        F.round(F.percentile(mid, F.lit(0.25)), 2).alias("p25_mid"),
-        F.round(F.percentile(mid, F.lit(0.5)), 2).alias("median_mid"),
-        F.round(F.percentile(mid, F.lit(0.75)), 2).alias("p75_mid"),
-        F.max(mid).alias("max_mid"),
-        F.round(F.avg(mid), 2).alias("avg_mid"),
-    )
+    values = postings.select(*keys, mid.alias("_mid"))
+    names = values.columns[:-1]
+    counts = values.groupBy(*names, "_mid").agg(F.count(F.lit(1)).alias("_n"))
+    known = F.col("_mid").isNotNull()
+    totals = counts.groupBy(*names).agg(
+        F.sum("_n").alias("postings"),
+        F.coalesce(F.sum(F.when(known, F.col("_n"))), F.lit(0)).alias("with_salary"),
+        F.min("_mid").alias("min_mid"), F.max("_mid").alias("max_mid"),
+        (F.sum(F.col("_mid") * F.col("_n")) / F.sum(F.when(known, F.col("_n")))).alias("_avg"))
+    upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0))
+    same = [counts_col.eqNullSafe(F.col(f"_g_{n}")) for n, counts_col in ((n, F.col(n)) for n in names)]
+    n_known = totals.select(*[F.col(n).alias(f"_g_{n}") for n in names], "with_salary")
+    ranked = counts.where(known).withColumn("_upto", upto).join(n_known, _all(same))
+    at = {}
+    for q in (25, 50, 75):
+        pos = (F.col("with_salary") - 1) * (q / 100)
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            at[f"_{side}{q}"] = F.min(F.when(F.col("_upto") > rank, F.col("_mid")))
+    picked = ranked.groupBy(*names).agg(*[c.alias(n) for n, c in at.items()])
+    picked = picked.withColumnsRenamed({n: f"_g_{n}" for n in names})
+    out = totals.join(picked, _all(same), "left")
+
+    def quantile(q: int) -> Column:
+        pos = (F.col("with_salary") - 1) * (q / 100)
+        return F.round(F.col(f"_lo{q}") + (F.col(f"_hi{q}") - F.col(f"_lo{q}")) * (pos - F.floor(pos)), 2)
+
+    return out.select(
+        *names, "postings", "with_salary", _pct(F.col("with_salary"), F.col("postings")).alias("coverage_pct"), "min_mid",
+        quantile(25).alias("p25_mid"), quantile(50).alias("median_mid"), quantile(75).alias("p75_mid"), "max_mid",
+        F.round("_avg", 2).alias("avg_mid"))
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 # --------------------------------------------------------------------------- D18

@@ -2,24 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension may be broadcast when it has at most this many rows.
-DEFAULT_BROADCAST_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops the scan
-    early).  Above the bound the DataFrame is returned unhinted and Spark plans
-    a shuffle join (AQE may still convert it when runtime sizes allow).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def words(col, pattern: str = r"[^\p{L}\p{N}]+"):
     """Lower-cased word tokens of a string column (empty tokens removed)."""

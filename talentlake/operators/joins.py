@@ -1,18 +1,19 @@
 """C: joins between analyses, postings, CVs, applications and dimensions.
 
 Join strategy is left to Catalyst/AQE (sort-merge, shuffled hash or
-broadcast by measured size).  Explicit broadcasts are only placed on sides
-whose row count was proven small (``bounded_broadcast``).  Facts are reduced
-to one row per key *before* they are joined whenever the result needs one row
-per key (no fan-out, no inflated counts).
+broadcast by measured size).  Facts are reduced to one row per key *before*
+they are joined whenever the result needs one row per key (no fan-out, no
+inflated counts).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentlake.operators.common import bounded_broadcast, words
+from talentlake.operators.common import words
 from talentlake.operators.ranking import latest_per_key
 
 
@@ -90,9 +91,11 @@ def skill_alias_map(dim: DataFrame, name: str = "name", aliases: str = "aliases"
 
 
 def canonical_skills(df: DataFrame, dim: DataFrame, skill: str = "skill", name: str = "name",
-                     aliases: str = "aliases", max_dim_rows: int = 200_000) -> DataFrame:
-    """Map ``skill`` to its canonical name through the dictionary; unknown skills map to themselves."""
-    m = bounded_broadcast(skill_alias_map(dim, name, aliases), max_dim_rows)
+                     aliases: str = "aliases") -> DataFrame:
+    """Map ``skill`` to its canonical name through the dictionary; unknown skills map to themselves.
+
+    The dictionary is broadcast where Spark's own size bound allows it."""
+    m = skill_alias_map(dim, name, aliases)
     keyed = df.withColumn("_k", F.lower(F.trim(F.col(skill))))
     out = keyed.join(m, keyed._k == m.alias_key, "left")
     return out.select(*df.columns, F.coalesce(F.col("canonical"), F.col(skill)).alias("canonical_skill"))
@@ -119,44 +122,28 @@ def match_requirements(pairs: DataFrame, job_reqs: DataFrame, cv_skills: DataFra
 
 
 # --------------------------------------------------------------------------- C7
-def text_ngrams(texts: DataFrame, text_id: str, text: str, max_tokens: int) -> DataFrame:
-    """(text_id, ngram) for every run of 1..max_tokens consecutive word tokens of the text.
-
-    One row per text position carries only its next ``max_tokens`` tokens, so the work is
-    O(tokens · max_tokens) and no row ever holds the whole text twice.
-    """
-    t = texts.select(F.col(text_id).alias("_tid"), words(F.col(text)).alias("_tok"))
-    win = t.select("_tid", F.posexplode("_tok").alias("_pos", "_w0"), "_tok").select(
-        "_tid", F.slice("_tok", F.col("_pos") + 1, max_tokens).alias("_win"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("_win")), lambda n: F.array_join(F.slice("_win", 1, n), " "))
-    return win.select(F.col("_tid").alias(text_id), F.explode(grams).alias("ngram"))
-
-
 def phrase_key(phrase: Column) -> Column:
     """Normal form of a phrase: its word tokens joined by single spaces ('' when it has none)."""
     return F.array_join(words(phrase), " ")
 
 
 def phrase_match(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
-                 phrase: str, max_phrase_tokens: int | None = None, max_first_tokens: int = 200_000) -> DataFrame:
+                 phrase: str) -> DataFrame:
     """(text_id, phrase_id) where the phrase occurs in the text as whole words (case-insensitive).
 
-    No nested loop and no scan per phrase: text n-grams (up to the longest phrase) are
-    equi-joined with the normalised phrases, so the join key is the *whole* phrase and only
-    real matches meet.  When the set of phrase first-words is provably small it is broadcast
-    and positions whose word starts no phrase are dropped before any n-gram is built (exact).
+    No nested loop and no scan per phrase: positions whose word starts no phrase are dropped by a
+    semi join with the first words (broadcast where Spark's size bound allows it), then the text's
+    n-grams up to the longest phrase are equi-joined with the normalised phrases, so only real
+    matches meet.
     """
     p = phrases.select(F.col(phrase_id).alias("_pid"), phrase_key(F.col(phrase)).alias("ngram")).where(F.col("ngram") != "")
-    first = F.split("ngram", " ")[0]
-    # one pass over the (bounded) dictionary: longest phrase and number of distinct first words
-    stats = p.agg(F.max(F.size(F.split("ngram", " "))).alias("L"), F.approx_count_distinct(first).alias("F")).first()
-    max_phrase_tokens = max_phrase_tokens or stats["L"] or 1
-    firsts = p.select(first.alias("_w0")).distinct()
+    tokens = F.split("ngram", " ")
+    longest = p.agg(F.coalesce(F.max(F.size(tokens)), F.lit(1))).scalar()
     t = texts.select(F.col(text_id).alias("_tid"), words(F.col(text)).alias("_tok"))
     pos = t.select("_tid", F.posexplode("_tok").alias("_pos", "_w0"), "_tok")
-    if (stats["F"] or 0) <= max_first_tokens:  # HLL estimate (≤ 5% error) against a bound far below memory limits
-        pos = pos.join(F.broadcast(firsts), "_w0", "left_semi")
-    win = pos.select("_tid", F.slice("_tok", F.col("_pos") + 1, max_phrase_tokens).alias("_win"))
+    # the window of each position, so that the semi join moves a few words and not the whole text
+    win = pos.select("_tid", "_w0", F.slice("_tok", F.col("_pos") + 1, longest).alias("_win"))
+    win = win.join(p.select(tokens[0].alias("_w0")).distinct(), "_w0", "left_semi")
     grams = F.transform(F.sequence(F.lit(1), F.size("_win")), lambda n: F.array_join(F.slice("_win", 1, n), " "))
     g = win.select("_tid", F.explode(grams).alias("ngram"))
     return g.join(p, "ngram").select(F.col("_tid").alias(text_id), F.col("_pid").alias(phrase_id)).distinct()
@@ -165,28 +152,49 @@ def phrase_match(texts: DataFrame, text_id: str, text: str, phrases: DataFrame,
 REMOTE_KEY = "*remote*"  # cannot collide: phrase keys hold only word characters and spaces
 
 
+def _grams(text: Column, longest: Column | int) -> Column:
+    """All runs of 1..longest consecutive word tokens, as an array in the row (no exchange)."""
+    tokens = words(text)
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda _, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i)),
+        lambda n: F.array_join(F.slice(tokens, i + 1, n), " ")))))
+
+
 def preference_match(users: DataFrame, postings: DataFrame, user: str = "user_id", roles: str = "target_roles",
                      locations: str = "target_locations", posting: str = "id", title: str = "role_title",
                      location: str = "location", remote: str = "remote_policy", active: str = "is_active",
-                     max_phrase_tokens: int = 4) -> DataFrame:
+                     order: Sequence[Column] | None = None, per_user: int | None = None) -> DataFrame:
     """Active postings whose title contains a target role and whose location contains a target
     location (or that are remote), as (user, posting) rows.  Matching is whole-word, case-insensitive.
 
-    One equi-join on the composite key (role phrase, location phrase): postings emit their
-    title n-grams × (location n-grams + a remote marker), users emit their targets' role ×
-    location combinations (+ the remote marker).  Only matching pairs meet; nothing is
-    expanded to users × postings.
+    One equi-join on the composite key (role phrase, location phrase): postings emit their title
+    n-grams x (location n-grams + a remote marker) out of one row, up to the longest target; users
+    emit their targets.  With ``per_user`` only the first postings by ``order`` stay: they are ranked
+    per key before the join (a hot key such as a remote role sends ``per_user`` rows of each task) and
+    per user after it, so the join never holds users x postings.
     """
-    live = postings.where(F.col(active))
-    tg = text_ngrams(live, posting, title, max_phrase_tokens).withColumnRenamed("ngram", "_role")
-    lg = text_ngrams(live, posting, location, max_phrase_tokens).withColumnRenamed("ngram", "_loc")
-    rm = live.where(F.lower(F.col(remote)) == "remote").select(posting, F.lit(REMOTE_KEY).alias("_loc"))
-    post_keys = tg.join(lg.unionByName(rm).distinct(), posting)
     u = users.select(F.col(user).alias("_u"), F.explode(roles).alias("_r"), F.col(locations).alias("_ls"))
     u = u.select("_u", phrase_key(F.col("_r")).alias("_role"),
                  F.explode(F.array_union(F.transform(F.col("_ls"), phrase_key), F.array(F.lit(REMOTE_KEY)))).alias("_loc"))
-    u = u.where((F.col("_role") != "") & (F.col("_loc") != ""))
-    return u.join(post_keys, ["_role", "_loc"]).select(F.col("_u").alias(user), posting).distinct()
+    u = u.where((F.col("_role") != "") & (F.col("_loc") != "")).distinct()
+    longest = u.agg(F.max(F.size(F.split("_role", " "))).alias("r"), F.max(F.size(F.split("_loc", " "))).alias("l")).first()
+    live = postings.where(F.col(active))
+    remote_key = F.when(F.lower(F.col(remote)) == "remote", F.array(F.lit(REMOTE_KEY))).otherwise(F.array().cast("array<string>"))
+    rank = [F.struct(*order).alias("_order")] if order else []
+    if per_user is not None and not order:
+        raise ValueError("per_user needs an order")
+    keys = (live.select(F.col(posting).alias("_p"), *rank, _grams(F.col(title), longest["r"] or 1).alias("_roles"),
+                        F.concat(_grams(F.col(location), longest["l"] or 1), remote_key).alias("_locs"))
+            .select("_p", *(["_order"] if order else []), F.explode("_roles").alias("_role"), "_locs")
+            .select("_p", *(["_order"] if order else []), "_role", F.explode("_locs").alias("_loc")))
+    if per_user is None:
+        return u.join(keys, ["_role", "_loc"]).select(F.col("_u").alias(user), F.col("_p").alias(posting)).distinct()
+    first = Window.partitionBy("_role", "_loc").orderBy("_order", "_p")
+    keys = keys.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_user).drop("_n")
+    pairs = u.join(keys, ["_role", "_loc"]).select("_u", "_p", "_order").distinct()
+    best = Window.partitionBy("_u").orderBy("_order", "_p")
+    return (pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_user)
+            .select(F.col("_u").alias(user), F.col("_p").alias(posting), "rank"))
 
 
 # --------------------------------------------------------------------------- C8

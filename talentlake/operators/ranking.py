@@ -68,9 +68,10 @@ def ranked_feed(df: DataFrame, order: Sequence[Column], limit: int, offset: int
     return df.orderBy(*order).offset(offset).limit(min(limit, cap))
 
 
-def feed_total(df: DataFrame) -> int:
-    """The ``total`` of a page (one count action on the same filtered plan)."""
-    return df.count()
+def feed_page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, cap: int = 50) -> DataFrame:
+    """A page whose rows also hold ``total``, the number of rows of the whole (filtered) feed."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return ranked_feed(df, order, limit, offset, cap).withColumn("total", total)
 
 
 def findings_order(featured: str = "is_featured", relevance: str = "relevance_score", ts: str = "created_at",
@@ -81,12 +82,10 @@ def findings_order(featured: str = "is_featured", relevance: str = "relevance_sc
 
 # --------------------------------------------------------------------------- E5
 def dedupe_key(source_id: str = "source_job_id", role: str = "role_title", company: str = "company_name") -> Column:
-    """Dedupe key: the source id, or role+company when it is empty; NULL when both are empty."""
-    fallback = F.when(
-        F.coalesce(F.trim(F.col(role)), F.lit("")) != "",
-        F.concat_ws("|", F.lower(F.trim(F.col(role))), F.lower(F.trim(F.coalesce(F.col(company), F.lit(""))))),
-    )
-    return F.coalesce(F.nullif(F.trim(F.col(source_id)), F.lit("")), fallback)
+    """Dedupe key: the source id, or role and company put together when it is empty; NULL when all
+    are empty.  Case and spaces count."""
+    both = F.concat(F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(company), F.lit("")))
+    return F.coalesce(F.nullif(F.col(source_id), F.lit("")), F.nullif(both, F.lit("")))
 
 
 def dedupe_first(df: DataFrame, key_expr: Column, order: str | Sequence[str]) -> DataFrame:

@@ -1,10 +1,9 @@
 """V: vector knowledge base — embedding replies, indexing, exact and approximate top-k, context.
 
-Exact search (V3) is a block matrix product inside ``mapInPandas``: the query
-block is shipped once per executor (size checked), every task multiplies its
-slice of the vector store with it and keeps only the k best per query, and a
-final ``row_number() <= k`` per query merges the partial top-k lists.  No
-query × vector pair ever becomes a row.
+Exact search (V3) is a block matrix product over a grid of vector and query
+blocks (cogrouped, one cell a group): a cell keeps only the k best per query, and
+a final ``row_number() <= k`` per query merges the partial top-k lists.  No query
+× vector pair ever becomes a row.
 """
 
 from __future__ import annotations
@@ -16,9 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query blocks above this size are processed in several passes instead of one broadcast.
-MAX_QUERY_FLOATS = 16 * 1024 * 1024  # 128 MiB of float64
-
 
 # --------------------------------------------------------------------------- V1
 def unwrap_embedding(df: DataFrame, col: str, out: str = "embedding") -> DataFrame:
@@ -96,58 +92,62 @@ def _normalise(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
+def vector_faults(vectors: DataFrame, dims: int, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(vec_id, reason) of the rows that search leaves out: no vector, NULL inside, another length."""
+    v = F.col(vec)
+    reason = (F.when(v.isNull(), "no vector").when(F.size(v) != dims, "wrong length")
+              .when(F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double"))), "missing value"))
+    return vectors.select(F.col(vec_id).alias("vec_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def _usable(df: DataFrame, key: str, vec: str, dims: int, out: tuple[str, str]) -> DataFrame:
+    v = F.col(vec)
+    good = v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
+    return df.where(F.coalesce(good, F.lit(False))).select(F.col(key).alias(out[0]), v.cast("array<double>").alias(out[1]))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query",
-        vec_id: str = "vec_id", vec: str = "embedding", where: Column | None = None,
-        digits: int = 6) -> DataFrame:
+        vec_id: str = "vec_id", vec: str = "embedding", where: Column | None = None, digits: int = 6,
+        cell_vectors: int = 20_000, cell_queries: int = 2_000) -> DataFrame:
     """Exact top-k by cosine distance for many queries at once.
 
     Output: query_id, vec_id, distance (= 1 − cosine, rounded to ``digits``), score (1 − distance), rank.
     Ranking is by (rounded distance, vec_id), so ties are broken deterministically.
+
+    Vectors and queries are dealt into a grid: a cell holds about ``cell_vectors`` vectors and
+    ``cell_queries`` queries, is multiplied as one matrix product and returns the k best (and ties) of
+    each of its queries.  A vector goes to as many cells as there are query blocks and the other way
+    round; nothing passes the driver, and a task holds one cell (20000 x 64 and 512 x 20000 doubles by
+    default, about 100 MB).  Rows without a usable vector are left out (``vector_faults`` lists them).
     """
     if k <= 0:
         raise ValueError("k must be > 0")
-    spark = vectors.sparkSession
     vs = vectors.where(where) if where is not None else vectors
-    vs = vs.select(F.col(vec_id).alias("vec_id"), F.col(vec).alias("embedding"))
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query"))
-    qid_type = q.schema["query_id"].dataType.simpleString()
-    vid_type = vs.schema["vec_id"].dataType.simpleString()
-    out_schema = f"query_id {qid_type}, vec_id {vid_type}, distance double"
-    # The query side is shipped to every task, like the build side of a broadcast join: its size is
-    # measured first and it is split into blocks of at most MAX_QUERY_FLOATS values.
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("query")).alias("dims")).first()
-    if not stats["n"]:
-        return spark.createDataFrame([], out_schema + ", score double, rank int")
-    n_blocks = max(1, -(-stats["n"] * stats["dims"] // MAX_QUERY_FLOATS))
-    parts = []
-    for b in range(n_blocks):
-        blk = q.where(F.pmod(F.hash("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else q
-        rows = blk.collect()
-        if not rows:
-            continue
-        qids = np.array([r["query_id"] for r in rows])
-        qmat = _normalise(np.array([r["query"] for r in rows], dtype=np.float64))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        def score(batches: Iterator[pd.DataFrame], bq=bq) -> Iterator[pd.DataFrame]:
-            ids, Q = bq.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                V = _normalise(np.stack(pdf["embedding"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()))
-                dist = np.round(1.0 - V @ Q.T, digits)          # (n_vectors, n_queries), one matrix product
-                kk = min(k, len(pdf))
-                # per query keep everything up to its k-th smallest distance (ties included),
-                # so the final (distance, vec_id) ranking stays exact
-                thr = np.partition(dist, kk - 1, axis=0)[kk - 1]
-                vi, qi = np.nonzero(dist <= thr)
-                yield pd.DataFrame({"query_id": ids[qi], "vec_id": pdf["vec_id"].to_numpy()[vi],
-                                    "distance": dist[vi, qi]})
-
-        parts.append(vs.mapInPandas(score, out_schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    dims = vs.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).count().orderBy(F.col("count").desc(), "d").first()
+    q = _usable(queries, query_id, query_vec, dims["d"] if dims else 0, ("query_id", "query"))
+    vs = _usable(vs, vec_id, vec, dims["d"] if dims else 0, ("vec_id", "embedding"))
+    rows = max(1, -(-vs.count() // cell_vectors))
+    cols = max(1, -(-q.count() // cell_queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vs.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("c", every(cols))
+    right = q.withColumn("c", F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int")).withColumn("r", every(rows))
+    out_schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {vs.schema['vec_id'].dataType.simpleString()}, distance double"
+
+    def cell(v: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if v.empty or qs.empty:
+            return pd.DataFrame({"query_id": qs["query_id"][:0], "vec_id": v["vec_id"][:0], "distance": np.zeros(0)})
+        matrix, vec_ids, parts = _normalise(np.stack(v["embedding"].to_numpy())), v["vec_id"].to_numpy(), []
+        for at in range(0, len(qs), 512):
+            block = qs.iloc[at:at + 512]
+            dist = np.round(1.0 - _normalise(np.stack(block["query"].to_numpy())) @ matrix.T, digits)
+            kk = min(k, len(v))
+            # everything up to the k-th smallest distance (ties included), so the final ranking is exact
+            qi, vi = np.nonzero(dist <= np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk])
+            part = pd.DataFrame({"query_id": block["query_id"].to_numpy()[qi], "vec_id": vec_ids[vi], "distance": dist[qi, vi]})
+            parts.append(part.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k))
+        return pd.concat(parts)
+
+    cand = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(cell, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("vec_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("score", F.round(1 - F.col("distance"), digits))
@@ -165,33 +165,45 @@ def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> DataFra
 # --------------------------------------------------------------------------- V4
 def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query",
                vec_id: str = "vec_id", vec: str = "embedding", bucket_length: float = 0.1,
-               num_hash_tables: int = 12, max_distance: float = 1.2, seed: int = 7) -> DataFrame:
+               num_hash_tables: int = 12, seed: int = 7) -> DataFrame:
     """Approximate top-k: LSH (random projections) on unit vectors, candidates re-ranked exactly.
 
     ``approxSimilarityJoin`` equi-joins on hash buckets (no nested loop); Euclidean
-    distance d between unit vectors gives cosine distance d²/2, and ``max_distance`` (Euclidean)
-    drops far candidates.  Candidate volume ≈ tables × vectors × P(same bucket): keep
+    distance d between unit vectors gives cosine distance d²/2.  No distance is cut off, and queries
+    with fewer than k candidates are searched exactly, so every query gets k rows (or all vectors
+    where there are fewer).  Candidate volume ≈ tables × vectors × P(same bucket): keep
     ``bucket_length`` near the spread of a projection (≈ 1/√dims for unit vectors) — wider buckets
     approach all pairs, narrower ones lose recall (measured against ``knn`` in the tests).
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    sizes = vectors.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).count()
+    top = sizes.orderBy(F.col("count").desc(), "d").first()
+    dims = top["d"] if top else 0
+
     def unit(df, idc, vc):
-        norm = F.sqrt(F.aggregate(F.col(vc), F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(idc).alias("id"), array_to_vector(
-            F.transform(F.col(vc), lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))).alias("features"))
+        df = _usable(df, idc, vc, dims, ("id", "_v"))
+        norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+        unit_vec = F.transform("_v", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+        # a vector of the right size in any case: Spark may hash rows before it filters them
+        plain = F.when(F.size("_v") == dims, unit_vec)
+        return df.select("id", array_to_vector(F.coalesce(plain, F.array_repeat(F.lit(0.0), dims))).alias("features"))
 
     q = unit(queries, query_id, query_vec)
     v = unit(vectors, vec_id, vec)
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                       numHashTables=num_hash_tables, seed=seed)
     model = lsh.fit(v)
-    pairs = model.approxSimilarityJoin(q, v, max_distance, distCol="euclid")
+    pairs = model.approxSimilarityJoin(q, v, 2.01, distCol="euclid")  # unit vectors are at most 2 apart
     cand = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"),
                         F.round(F.col("euclid") * F.col("euclid") / 2.0, 6).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    full = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias(query_id))
+    rest = knn(queries.join(full, query_id, "left_anti"), vectors, k, query_id, query_vec, vec_id, vec)
+    found = near.join(full.withColumnRenamed(query_id, "query_id"), "query_id", "left_semi")
+    return found.select("query_id", "vec_id", "distance", "rank").unionByName(rest.select("query_id", "vec_id", "distance", "rank"))
 
 
 # --------------------------------------------------------------------------- V5
@@ -200,15 +212,14 @@ def retrieve_context(hits: DataFrame, items: str, per_hit: int = 3, total: int =
                      distinct: bool = False) -> DataFrame:
     """Flatten list metadata of ranked hits into prompt context.
 
-    Takes ``per_hit`` items of each hit in rank order, ``total`` in all (``distinct`` keeps the first
-    occurrence of each); no items → ``fallback``.  Per query only ``total`` rows are ever collected.
+    Takes ``per_hit`` items of each hit in rank order, ``total`` in all; ``distinct`` then keeps the
+    first occurrence of each of these.  No items → ``fallback``.  Per query only ``total`` rows are ever collected.
     """
     ex = hits.select(query_id, rank, F.posexplode(F.slice(F.col(items), 1, per_hit)).alias("pos", "item"))
-    if distinct:
-        first = Window.partitionBy(query_id, "item").orderBy(rank, "pos")
-        ex = ex.withColumn("_d", F.row_number().over(first)).where("_d = 1").drop("_d")
     w = Window.partitionBy(query_id).orderBy(rank, "pos")
     top = ex.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= total)
+    if distinct:
+        top = top.groupBy(query_id, "item").agg(F.min("_n").alias("_n"))
     agg = top.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("_n", "item"))).alias("_i")).select(
         query_id, F.transform("_i", lambda s: s["item"]).alias("items"))
     qs = hits.select(query_id).distinct()

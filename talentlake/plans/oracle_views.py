@@ -30,7 +30,7 @@ SELECT o_orderkey AS id, o_orderkey % 4000 AS job_id, o_custkey AS cv_version_id
   CAST(o_orderkey % 101 AS INT) AS ats_score, o_orderdate AS created_at FROM orders""",
     "v_findings": """
 SELECT d.doc_id AS id, d.source AS topic, CASE d.doc_id % 4 WHEN 0 THEN 'role_trend' WHEN 1 THEN 'skill_demand'
-    WHEN 2 THEN 'salary_insight' ELSE 'industry_news' END AS category, substring(d.text, 1, 80) AS title,
+    WHEN 2 THEN 'salary_insight' ELSE 'industry_news' END AS category, d.text AS title,
   CAST(d.n_chars % 101 AS INT) AS relevance_score, coalesce(b.quality = 1, false) AS is_featured,
   TIMESTAMP '2024-01-01 00:00:00' + d.doc_id * INTERVAL '1' MINUTE AS created_at
 FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id""",

@@ -64,15 +64,12 @@ def q_gap_frequency(spark, d):
 SELECT a.skill, a.frequency,
   CASE CAST(round(a.sev) AS INT) WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' WHEN 4 THEN 'critical' END
     AS average_severity,
-  coalesce(r.recs, []::VARCHAR[]) AS recommendations
+  r.recommendation, coalesce(r.n, 0) AS recommendation_count
 FROM (SELECT skill, count(DISTINCT app_id) AS frequency,
         avg(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END) AS sev
       FROM g GROUP BY skill) a
-LEFT JOIN (SELECT skill, list(recommendation ORDER BY rk) AS recs
-           FROM (SELECT skill, recommendation,
-                   row_number() OVER (PARTITION BY skill ORDER BY count(*) DESC, recommendation) AS rk
-                 FROM g WHERE recommendation IS NOT NULL GROUP BY skill, recommendation)
-           WHERE rk <= 5 GROUP BY skill) r ON a.skill = r.skill""",
+LEFT JOIN (SELECT skill, recommendation, count(*) AS n FROM g WHERE recommendation IS NOT NULL GROUP BY ALL) r
+  ON a.skill = r.skill""",
     extra=[("g", "SELECT coalesce(missing_element, requirement, 'Unknown') AS skill, app_id, severity, recommendation FROM v_gaps")]))
 def q_skill_gap_profile(spark, d):
     return aggs.skill_gap_profile(V.v_gaps(Tables(spark, d)))
@@ -102,6 +99,26 @@ def q_fit_bands(spark, d):
     return aggs.fit_bands(V.v_analyses(Tables(spark, d)), scheme="chart")
 
 
+def _bands_sql(bands):
+    case = " ".join(f"WHEN fit_score >= {low} THEN '{label}'" for low, label in bands[:-1])
+    dim = ", ".join(f"({i}, '{label}')" for i, (_, label) in enumerate(bands))
+    return f"""
+SELECT b.band_order, b.band, coalesce(c.count, 0) AS count FROM (VALUES {dim}) b(band_order, band)
+LEFT JOIN (SELECT CASE {case} ELSE '{bands[-1][1]}' END AS band, count(*) AS count
+           FROM v_analyses WHERE fit_score IS NOT NULL GROUP BY 1) c ON b.band = c.band"""
+
+
+@register("fit_bands_prompt", W(["v_analyses"], _bands_sql(
+    [(90, "Excellent"), (75, "Strong"), (60, "Moderate"), (40, "Partial"), (0, "Poor")])))
+def q_fit_bands_prompt(spark, d):
+    return aggs.fit_bands(V.v_analyses(Tables(spark, d)), scheme="prompt")
+
+
+@register("fit_bands_ui", W(["v_analyses"], _bands_sql([(80, "Excellent"), (60, "Good"), (40, "Fair"), (0, "Poor")])))
+def q_fit_bands_ui(spark, d):
+    return aggs.fit_bands(V.v_analyses(Tables(spark, d)), scheme="ui")
+
+
 @register("dashboard_kpis", W(["v_cv", "v_applications", "v_analyses"], """
 SELECT c.c_custkey AS user_id, coalesce(cv.n, 0) AS cv_count, coalesce(j.n, 0) AS job_count,
   coalesce(a.n, 0) AS analysis_count, CASE WHEN a.fit <> 0 THEN round_even(a.fit, 1) END AS avg_fit

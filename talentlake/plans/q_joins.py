@@ -145,7 +145,7 @@ def q_match_requirements(spark, d):
 PREF_SQL = [
     ("users", """SELECT c.c_custkey AS user_id, split_part(p.p_name, ' ', 2) AS role, n.n_name AS loc
                  FROM customer c JOIN part p ON p.p_partkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"""),
-    ("posts", f"""SELECT id, ' ' || array_to_string(regexp_split_to_array(lower(role_title), '{WORDS_RE}'), ' ') || ' ' AS t,
+    ("posts", f"""SELECT id, discovered_at, ' ' || array_to_string(regexp_split_to_array(lower(role_title), '{WORDS_RE}'), ' ') || ' ' AS t,
                   ' ' || array_to_string(regexp_split_to_array(lower(location), '{WORDS_RE}'), ' ') || ' ' AS l,
                   lower(policy_text) LIKE '%remote%' AND lower(policy_text) NOT LIKE '%hybrid%' AS is_remote
                   FROM v_postings WHERE is_active"""),
@@ -153,9 +153,11 @@ PREF_SQL = [
 
 
 @register("preference_match", W(["v_postings"], f"""
-SELECT DISTINCT u.user_id, p.id FROM users u JOIN posts p
+SELECT user_id, id, CAST(rank AS INT) AS rank FROM (
+SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY discovered_at DESC, id) AS rank FROM (
+SELECT DISTINCT u.user_id, p.id, p.discovered_at FROM users u JOIN posts p
   ON p.t LIKE '% ' || array_to_string(regexp_split_to_array(lower(u.role), '{WORDS_RE}'), ' ') || ' %'
- AND (p.is_remote OR p.l LIKE '% ' || array_to_string(regexp_split_to_array(lower(u.loc), '{WORDS_RE}'), ' ') || ' %')""",
+ AND (p.is_remote OR p.l LIKE '% ' || array_to_string(regexp_split_to_array(lower(u.loc), '{WORDS_RE}'), ' ') || ' %'))) WHERE rank <= 20""",
     extra=PREF_SQL))
 def q_preference_match(spark, d):
     t = Tables(spark, d)
@@ -165,7 +167,8 @@ def q_preference_match(spark, d):
         F.array(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))).alias("target_roles"),
         F.array(F.col("n_name")).alias("target_locations"))
     posts = V.v_postings(t).withColumn("remote_policy", remote_policy("policy_text"))
-    return J.preference_match(users, posts)
+    newest = [-F.unix_micros(F.col("discovered_at").cast("timestamp"))]
+    return J.preference_match(users, posts, order=newest, per_user=20)
 
 
 @register("analysis_inputs", W(["v_cv", "v_applications"], """

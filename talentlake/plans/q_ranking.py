@@ -57,6 +57,14 @@ def q_ranked_feed_page2(spark, d):
     return R.ranked_feed(f, R.findings_order(), limit=20, offset=20, cap=50)
 
 
+@register("ranked_feed_total", W(["v_findings"], f"""
+SELECT *, (SELECT count(*) FROM v_findings WHERE category = 'salary_insight') AS total FROM v_findings
+WHERE category = 'salary_insight' ORDER BY {FEED_ORDER_SQL} LIMIT 20 OFFSET 10"""))
+def q_ranked_feed_total(spark, d):
+    f = V.v_findings(Tables(spark, d)).where(F.col("category") == "salary_insight")
+    return R.feed_page(f, R.findings_order(), limit=20, offset=10)
+
+
 @register("trending_roles", W(["v_findings"], f"""
 SELECT * FROM v_findings WHERE category = 'role_trend' ORDER BY {FEED_ORDER_SQL} LIMIT 20"""))
 def q_trending_roles(spark, d):
@@ -78,9 +86,7 @@ def _dedupe_input(t):
 @register("dedupe_first", W(["v_postings"], """
 SELECT dedupe_key, id, source, source_job_id, role_title, company_name, location, discovered_at FROM (
   SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY discovered_at, id) AS rn FROM (
-    SELECT *, coalesce(nullif(trim(source_job_id), ''),
-      CASE WHEN coalesce(trim(role_title), '') <> ''
-           THEN lower(trim(role_title)) || '|' || lower(trim(coalesce(company_name, ''))) END) AS dedupe_key
+    SELECT *, coalesce(nullif(source_job_id, ''), nullif(coalesce(role_title, '') || coalesce(company_name, ''), '')) AS dedupe_key
     FROM inp) WHERE dedupe_key IS NOT NULL) WHERE rn = 1""", extra=[("inp", DEDUPE_INPUT_SQL)]))
 def q_dedupe_first(spark, d):
     return R.dedupe_first(_dedupe_input(Tables(spark, d)), R.dedupe_key(), ["discovered_at", "id"])

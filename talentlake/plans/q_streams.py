@@ -14,7 +14,7 @@ from talentlake.plans.oracle_views import with_views as W
 from talentlake.plans.q_ingest import UPSERT_SQL, _upsert_inputs
 from talentlake.plans.q_work import LIFECYCLE_SQL
 from talentlake.plans.registry import register
-from talentlake.session import scratch_path
+from talentlake.session import path_exists, scratch_path
 from talentlake.sources.tables import Tables
 from talentlake.streaming import streams as S
 
@@ -35,6 +35,23 @@ def q_stream_dedupe(spark, d):
     return spark.read.parquet(out)
 
 
+@register("stream_dedupe_late", """
+WITH b AS (SELECT *, event_id % 4 AS batch FROM events),
+  w AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b GROUP BY batch)
+SELECT event_id, ts, user_id, event_type, value, props, coalesce(ts < top - INTERVAL 10 MINUTE, false) AS late
+FROM b JOIN w USING (batch)""")
+def q_stream_dedupe_late(spark, d):
+    """Four micro-batches (event_id modulo 4), each with a copy of the one before."""
+    e, src = Tables(spark, d).events, scratch_path(spark, "late-in")
+    for i in range(4):
+        part = e.where((F.col("event_id") % 4 == i) | (F.col("event_id") % 4 == i - 1))
+        part.coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    path = S.dedupe_with_late(s, "event_id", scratch_path(spark, "late-out"))
+    main, late = (spark.read.parquet(f"{path}/{n}").select(*e.columns) for n in ("main", "late"))
+    return main.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+
+
 @register("stream_tumbling", """
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end,
   event_type, count(*) AS invocations, round(sum(value), 4) AS sum_value, round(avg(value), 4) AS avg_value, max(value) AS max_value,
@@ -114,10 +131,8 @@ def q_stream_dlq(spark, d):
     S.dead_letters(s, jobs, dlq)
     parts = []
     for p in (jobs, dlq):
-        try:
+        if path_exists(spark, p):  # a branch that received no rows has no files
             parts.append(spark.read.parquet(p).drop("_batch"))
-        except Exception:  # a branch that received no rows has no files
-            pass
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

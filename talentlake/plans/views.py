@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talentlake.operators.merge import FINDING_CATEGORIES
 from talentlake.sources.tables import Tables
 
 # The eleven application statuses, in pipeline order.
@@ -89,16 +90,13 @@ def v_analyses(t: Tables) -> DataFrame:
     )
 
 
-FINDING_CATEGORIES = ["role_trend", "skill_demand", "salary_insight", "industry_news"]
-
-
 def v_findings(t: Tables) -> DataFrame:
     d, b = t.documents, t.labels
     return d.join(b, d.doc_id == b.doc_id, "left").select(
         d.doc_id.alias("id"),
         F.col("source").alias("topic"),
         _case_mod(d.doc_id % 4, FINDING_CATEGORIES).alias("category"),
-        F.substring("text", 1, 80).alias("title"),
+        F.col("text").alias("title"),
         (F.col("n_chars") % 101).cast("int").alias("relevance_score"),
         F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_featured"),
         F.timestamp_add("MINUTE", d.doc_id, _ts("2024-01-01 00:00:00")).alias("created_at"),

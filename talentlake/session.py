@@ -85,12 +85,20 @@ def checkpoint_root(spark: SparkSession) -> str:
         return conf_dir.rstrip("/")
     if ctx_dir:
         return ctx_dir.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     local = tempfile.mkdtemp(prefix="talentlake-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other failure (permissions, network) rises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root (never machine-local on a cluster)."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from talentlake.operators.merge import merge_upsert
-from talentlake.session import scratch_path
+from talentlake.session import path_exists, scratch_path
 
 # Log level tags of the merged agent log.
 ERROR_MARKERS = ["ERROR", "Exception"]
@@ -67,33 +67,19 @@ def event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFr
     return df.withColumn(out, F.col(ts).cast("timestamp"))
 
 
-def run_available(writer, name: str, processing_time: str | None = None, timeout_s: float | None = None,
-                  spark: SparkSession | None = None) -> None:
+def run_available(writer, processing_time: str | None = None, timeout_s: float | None = None) -> None:
     """Run a stream: ``availableNow`` (process what is there, then stop) unless a processing-time
     trigger is given, in which case it runs until ``timeout_s``.
 
-    A new query fixes its number of state partitions from ``spark.sql.shuffle.partitions`` when it
-    starts; more state partitions than twice the cores only adds per-task state-store commits, so
-    the query is started with min(shuffle partitions, 2 × cores) and the session value is restored.
+    A new query fixes its number of state partitions from ``spark.sql.shuffle.partitions`` for life:
+    set it for the stream's full size before the first start.
     """
-    saved = None
-    if spark is not None:
-        saved = spark.conf.get("spark.sql.shuffle.partitions")
-        cap = max(8, 2 * spark.sparkContext.defaultParallelism)
-        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(saved), cap)))
-    try:
-        if processing_time:
-            q = writer.trigger(processingTime=processing_time).start()
-        else:
-            q = writer.trigger(availableNow=True).start()
-    finally:
-        if saved is not None:
-            spark.conf.set("spark.sql.shuffle.partitions", saved)
     if processing_time:
+        q = writer.trigger(processingTime=processing_time).start()
         q.awaitTermination(timeout_s)
         q.stop()
         return
-    q.awaitTermination()
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def write_append(df: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> str:
@@ -102,7 +88,7 @@ def write_append(df: DataFrame, name: str, path: str | None = None, checkpoint:
     out = path or scratch_path(spark, f"{name}-out")
     ck = checkpoint or scratch_path(spark, f"{name}-ckpt")
     run_available(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-                  .outputMode("append"), name, spark=spark)
+                  .outputMode("append"))
     return out
 
 
@@ -117,17 +103,15 @@ def write_changelog(df: DataFrame, name: str, path: str | None = None, checkpoin
         (batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(out))
 
-    run_available(df.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(sink), name,
-                  spark=spark)
+    run_available(df.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(sink))
     return out
 
 
 def compact_changelog(spark: SparkSession, path: str, keys: Sequence[str], schema: StructType) -> DataFrame:
     """Current table of a changelog: the row of the latest batch per key (partial max_by per key)."""
-    try:
-        log = spark.read.parquet(path)
-    except Exception:  # no batch produced output
+    if not path_exists(spark, path):  # no batch produced output
         return spark.createDataFrame([], schema)
+    log = spark.read.schema(StructType([*schema.fields, StructField("_batch", LongType())])).parquet(path)
     others = [c for c in log.columns if c not in keys and c != "_batch"]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r")).select(*keys, "_r.*")
 
@@ -139,6 +123,51 @@ def dedupe_stream(s: DataFrame, id_col: str, delay: str = "10 minutes", ts: str
     return event_time(s, ts).withWatermark("event_time", delay).dropDuplicatesWithinWatermark([id_col]).drop("event_time")
 
 
+def dedupe_with_late(s: DataFrame, id_col: str, path: str, delay_minutes: int = 10, ts: str = "ts",
+                     checkpoint: str | None = None) -> str:
+    """R1 without loss: every event once, in ``path/main`` or, when it comes behind the watermark
+    (largest event time of earlier batches less the delay), in ``path/late``.
+
+    A batch removes its own copies and what the tables already hold.  Tables are partitioned by batch
+    and event day, and only the days of the batch are read, so the cost of a batch follows its days.
+    A replayed batch overwrites its own partitions and never reads them.
+    """
+    spark = s.sparkSession
+    ck = checkpoint or scratch_path(spark, "dedupe-late-ckpt")
+
+    events = StructType([*s.schema.fields, StructField("_batch", LongType()), StructField("_day", StringType())])
+    times = StructType([StructField("max_ts", s.schema[ts].dataType), StructField("_batch", LongType())])
+
+    def table(name: str, before: int) -> DataFrame | None:
+        # the schema is given: a folder may hold no rows yet
+        got = _try_read(spark, f"{path}/{name}", times if name == "progress" else events)
+        return got.where(F.col("_batch") < before) if got is not None else None
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        seen = table("progress", batch_id)
+        top = seen.agg(F.max("max_ts")).first()[0] if seen is not None else None
+        one = batch.dropDuplicates([id_col]).withColumn("_day", F.coalesce(F.to_date(ts).cast("string"), F.lit("none")))
+        for name in ("main", "late"):
+            old = table(name, batch_id)
+            if old is not None:
+                days = [r[0] for r in one.select("_day").distinct().collect()]  # calendar days, few
+                one = one.join(old.where(F.col("_day").isin(days)).select(id_col, "_day"), [id_col, "_day"], "left_anti")
+        late = F.lit(False) if top is None else F.coalesce(
+            F.col(ts) < F.timestamp_add("MINUTE", F.lit(-delay_minutes), F.lit(top).cast(batch.schema[ts].dataType)), F.lit(True))
+        one = one.withColumns({"_late": late, "_batch": F.lit(batch_id).cast("long")}).persist()
+        try:
+            for name, part in (("main", one.where(~F.col("_late"))), ("late", one.where("_late"))):
+                (part.drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("_batch", "_day").parquet(f"{path}/{name}"))
+            (batch.agg(F.max(ts).alias("max_ts")).withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{path}/progress"))
+        finally:
+            one.unpersist()
+
+    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink))
+    return path
+
+
 # --------------------------------------------------------------------------- R2
 def metric_windows(s: DataFrame, by: str, value: str, ts: str = "ts", size: str = "5 minutes",
                    delay: str = "10 minutes") -> DataFrame:
@@ -159,15 +188,18 @@ LIFECYCLE_STATE = ("state STRING, started_at TIMESTAMP_NTZ, completed_at TIMESTA
                    "error_message STRING, events BIGINT")
 
 
-def _fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState, stuck_after_ms: int | None) -> Iterator[pd.DataFrame]:
+def _fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState, stuck_after_ms: int | None,
+              retain_ms: int | None) -> Iterator[pd.DataFrame]:
     """Keyed state of one job: the lifecycle fold with its transition guards."""
     (job_id,) = key
     if state.hasTimedOut:
         st = state.get
         if st[0] in ("pending", "processing"):
+            # reported once; the state stays, so a late event meets what happened before
             yield pd.DataFrame([{"job_id": job_id, "state": st[0], "started_at": st[1], "completed_at": st[2],
                                  "last_event_at": st[3], "error_message": st[4], "events": st[5], "stuck": True}])
-        state.remove()
+        elif retain_ms is not None:
+            state.remove()
         return
     if state.exists:
         cur, started, done, last, err, n = state.get
@@ -200,26 +232,29 @@ def _fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState, stuck_after_
                 cur, done = st_, None
     err = err if cur == "failed" else None
     state.update((cur, started, done, last, err, n))
-    if stuck_after_ms is not None:
-        state.setTimeoutDuration(stuck_after_ms)
+    wait = stuck_after_ms if cur in ("pending", "processing") else retain_ms
+    if wait is not None and stuck_after_ms is not None:
+        state.setTimeoutDuration(wait)
     yield pd.DataFrame({"job_id": [job_id], "state": [cur], "started_at": [started], "completed_at": [done],
                         "last_event_at": [last], "error_message": [err], "events": [n], "stuck": [False]})
 
 
-def lifecycle_stream(s: DataFrame, stuck_after_seconds: int | None = 910) -> DataFrame:
+def lifecycle_stream(s: DataFrame, stuck_after_seconds: int | None = 910,
+                     retain_seconds: int | None = 7 * 86400) -> DataFrame:
     """W1 as keyed state: per job the fold state is kept in the state store; a processing-time
     timer emits a ``stuck`` row for jobs that stay pending/processing without events.
 
     Input columns: job_id, event_id, status, ts, error.  Events of one micro-batch are applied
     in (ts, event_id) order; across batches in arrival order.  ``stuck_after_seconds=None`` runs
     without timers — use it for ``availableNow`` runs, where pending timers would keep the query
-    executing no-data batches.
+    executing no-data batches.  A stuck job keeps its state; a finished one is forgotten when no event
+    came for ``retain_seconds`` (None: never), which bounds the state by the jobs of that time.
     """
     ms = None if stuck_after_seconds is None else stuck_after_seconds * 1000
     timeout = GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def fn(key, pdfs, state):
-        return _fold_job(key, pdfs, state, ms)
+        return _fold_job(key, pdfs, state, ms, None if retain_seconds is None else retain_seconds * 1000)
 
     return s.select("job_id", "event_id", "status", "ts", "error").groupBy("job_id").applyInPandasWithState(
         fn, LIFECYCLE_OUT, LIFECYCLE_STATE, "update", timeout)
@@ -249,15 +284,14 @@ def upsert_stream(s: DataFrame, initial: DataFrame, path: str, keys: Sequence[st
             snap.write.mode("overwrite").parquet(f"{path}/base/v={batch_id}")
             spark.createDataFrame([(batch_id,)], "batch_id BIGINT").write.mode("append").parquet(f"{path}/_compactions")
 
-    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "upsert", spark=spark)
+    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink))
     return path
 
 
-def _try_read(spark: SparkSession, p: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(p)
-    except Exception:  # the folder does not exist yet
+def _try_read(spark: SparkSession, p: str, schema: StructType | None = None) -> DataFrame | None:
+    if not path_exists(spark, p):
         return None
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(p)
 
 
 def read_upsert_table(spark: SparkSession, path: str, initial: DataFrame, keys: Sequence[str],
@@ -313,7 +347,7 @@ def dead_letters(s: DataFrame, jobs_path: str, dlq_path: str, checkpoint: str |
         finally:
             c.unpersist()
 
-    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink), "dlq", spark=spark)
+    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink))
 
 
 # --------------------------------------------------------------------------- R6

@@ -119,7 +119,8 @@ def test_dedupe_first_keeps_first_seen(spark):
                                 (4, None, "eng ", "co", 2), (5, "", "", "", 9)],
                                "id INT, source_job_id STRING, role_title STRING, company_name STRING, seen INT")
     got = {r.dedupe_key: r.id for r in ranking.dedupe_first(df, ranking.dedupe_key(), ["seen"]).collect()}
-    assert got == {"jk1": 2, "eng|co": 3}
+    # without source id: role and company put together, case kept
+    assert got == {"jk1": 2, "EngCo": 3, "eng co": 4}
 
 
 def test_single_primary_last_change_wins(spark):
