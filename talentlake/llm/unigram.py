@@ -96,10 +96,12 @@ class UnigramModel:
         self.out = [b"" if kind == "control" else bytes([int(p[3:5], 16)]) if kind == "byte"
                     else " ⁇ ".encode() if kind == "unknown" else p.replace(MARKER, " ").encode()
                     for p, _, kind in pieces]
+        self.parts = _LINES if not any("\n" in p for p, _, kind in pieces if kind == "normal") else _PARTS
         self._cache: dict[str, bytes] = {}
+        self._arrays = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_cache": {}}
+        return {**self.__dict__, "_cache": {}, "_arrays": None}
 
     @classmethod
     def from_file(cls, path: str, ranked: bool = False) -> UnigramModel:
@@ -155,23 +157,85 @@ class UnigramModel:
             n = start[n]
         return out[::-1]
 
-    def _part(self, part: str) -> bytes:
-        got = self._cache.get(part)
-        if got is None:
-            got = np.array(self.viterbi(part), "<u4").tobytes()
-            if len(part) <= 64:
-                if len(self._cache) >= CACHE:
-                    self._cache.clear()
-                self._cache[part] = got
-        return got
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
+    def viterbi_many(self, parts: list[str]) -> list[bytes]:
+        """``viterbi`` of many short parts at a time: one step of the trie for all of them."""
+        if self._arrays is None:
+            t = self.trie
+            self._arrays = [np.array(x) for x in (t.base, t.check, t.value, self.scores)]
+        base, check, value, scores = self._arrays
+        raw = [p.encode() for p in parts]
+        size = np.array([len(r) for r in raw])
+        longest, n = int(size.max()), len(raw)
+        chars = np.frombuffer(b"".join(r.ljust(longest, b"\0") for r in raw), np.uint8).reshape(n, longest).astype(np.int32)
+        lead = chars & 0xC0 != 0x80
+        width = 1 + (chars >= 0xC0) + (chars >= 0xE0) + (chars >= 0xF0)
+        best = np.full((n, longest + 1), -np.inf)
+        best[:, 0] = 0
+        start, piece = np.zeros((n, longest + 1), np.int32), np.zeros((n, longest + 1), np.int32)
+        for at in range(longest):
+            rows = np.flatnonzero((size > at) & lead[:, at])
+            single, one = np.zeros(n, bool), at + width[:, at]
+            alive, node = rows, np.zeros(len(rows), np.int64)
+            for i in range(at, longest):
+                b = base[node]
+                nxt = b + chars[alive, i] + 1
+                ok = (b > 0) & (check[nxt] == node) & (size[alive] > i)
+                alive, node = alive[ok], nxt[ok]
+                if not len(alive):
+                    break
+                found = value[node]
+                hit = found >= 0
+                here, found = alive[hit], found[hit]
+                single[here[one[here] == i + 1]] = True
+                score = best[here, at] + scores[found]
+                better = score > best[here, i + 1]
+                here = here[better]
+                best[here, i + 1], start[here, i + 1], piece[here, i + 1] = score[better], at, found[better]
+            rows = rows[~single[rows]]
+            score, end = best[rows, at] + self.bad, one[rows]
+            better = score > best[rows, end]
+            rows, end = rows[better], end[better]
+            best[rows, end], start[rows, end], piece[rows, end] = score[better], at, -1
+        # back from the ends, all at a time; parts with unknown characters one by one
+        out, place, at = np.full((n, longest), -2, np.int64), np.full(n, longest), size.copy()
+        while (open_ := np.flatnonzero(at > 0)).size:
+            place[open_] -= 1
+            out[open_, place[open_]] = piece[open_, at[open_]]
+            at[open_] = start[open_, at[open_]]
+        odd = (out == -1).any(1)
+        ids = out.astype("<u4")
+        return [np.array(self.viterbi(p), "<u4").tobytes() if odd[i] else ids[i, place[i]:].tobytes() for i, p in enumerate(parts)]
+
+    def _solved(self, parts: list[str]) -> dict[str, bytes]:
+        short = [p for p in parts if len(p) <= 16]
+        out = {p: np.array(self.viterbi(p), "<u4").tobytes() for p in parts if len(p) > 16}
+        for i in range(0, len(short), 20_000):
+            block = short[i:i + 20_000]
+            out.update(zip(block, self.viterbi_many(block)))
+        return out
+
+    def _prepared(self, text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
         marked = ((" " if self.add_prefix else "") + text).replace(" ", MARKER)
-        parts = _PARTS.findall(marked) if self.cuts else [marked]
-        return b"".join(map(self._part, parts))
+        return self.parts.findall(marked) if self.cuts else [marked]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        cache = self._cache
+        if len(cache) >= CACHE:
+            cache.clear()
+        cut = [self._prepared(t) for t in texts]
+        new = self._solved([*{p for parts in cut for p in parts if p not in cache}])
+        cache.update(new)
+        out = [b"".join(map(cache.__getitem__, parts)) for parts in cut]
+        for p in new:
+            if len(p) > 64:  # hardly ever met again
+                del cache[p]
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         out = self.out
@@ -183,6 +247,10 @@ class UnigramModel:
 
 #: a run of markers and what follows up to the next one
 _PARTS = regex.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
+#: where no piece holds a line feed it stands alone, too
+_LINES = regex.compile(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
+#: text that is cut into parts at a time
+_BATCH_CHARS = 1_000_000
 
 
 def encode_column(spark, model: UnigramModel, text: Column) -> Column:
@@ -190,7 +258,14 @@ def encode_column(spark, model: UnigramModel, text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.encode(t.as_py()) for t in texts], pa.binary())
+        out, block, held = [], [], 0
+        for t in texts:
+            block.append(t.as_py())
+            held += len(block[-1] or "")
+            if held >= _BATCH_CHARS:
+                out += shared.value.encode_many(block)
+                block, held = [], 0
+        return pa.array(out + shared.value.encode_many(block), pa.binary())
 
     return encode(text)
 
