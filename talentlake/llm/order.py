@@ -33,8 +33,8 @@ from talentlake.llm.common import Scratch
 from talentlake.llm.hashing import mix
 from talentlake.llm.tokens import encoder
 
-LENGTH = 2048
-SHARD_SEQUENCES = 4096
+LENGTH = 4096
+SHARD_SEQUENCES = 2048
 ROUNDS = 6
 
 
@@ -110,7 +110,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, length: int = LENGTH,
     tmp = Scratch(spark, "training-order")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     table = tmp.write(rows.mapInArrow(_strings(tokenizer, length, width, end_id), _SEQUENCE), "sequences")
-    # first number of each task: one row a task
+    # first number of each task: one row of 12 bytes for each, which is broadcast
     sizes = table.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     first = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     count = table.count()
@@ -124,7 +124,7 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, length: int = LENGTH,
         unpack = zstandard.ZstdDecompressor()
         return pa.array([unpack.decompress(p.as_py()) for p in payloads], pa.binary())
 
-    numbered = (table.join(first, "part").withColumn("slot", slots(F.col("first") + F.col("place")))
+    numbered = (table.join(F.broadcast(first), "part").withColumn("slot", slots(F.col("first") + F.col("place")))
                 .withColumn("shard", F.floor(F.col("slot") / shard_sequences)))
     tasks = max(1, min(-(-count // shard_sequences), 100_000))
     path = f"{tmp.root}/shards"
