@@ -13,6 +13,7 @@ language, ``DICTIONARY_BYTES`` kept); prediction reads every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language with the most training rows; rows with null lang or null doc_id are never learned from.
+Without any training row every text is ``und``.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ class CompressionModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language or ``und``, score, rejected)"""
-        if not text or not _LETTER.search(text):
+        if not text or not self.languages or not _LETTER.search(text):
             return UNDETERMINED, 0.0, True
         sizes = self.sizes(text.lower().encode())
         best = int(sizes.argmin())
@@ -93,7 +94,7 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     learn = docs.filter(own.isNotNull() & name.isNotNull() & F.col(f"`{text}`").isNotNull() & ~held_out(own))
     counts = {r[0]: r[1] for r in learn.groupBy(name.alias("lang")).count().collect()}
     if not counts:
-        raise ValueError("no rows with text and language to learn from")
+        return CompressionModel({}, **model)
     slice_chars = max(64, dictionary_bytes // sample_docs)
     share = F.lit(0.0)
     for code, n in counts.items():

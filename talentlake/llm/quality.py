@@ -13,6 +13,7 @@ space, each kind of punctuation) and how much words, lines and neighbouring word
 
 Defined results: null and empty texts have all features 0 and get the score of that point; a row
 with a null doc_id is never learned from and is not held out; repeated rows get equal scores.
+Without positives or other training rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     """
     both = np.concatenate([positive, unlabelled])
     if not len(positive) or not len(unlabelled):
-        raise ValueError("the fit needs positives and unlabelled documents")
+        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (((x - mean) / scale).clip(-8, 8).astype(np.float32) for x in (positive, unlabelled))
     w, b = np.zeros(p.shape[1], np.float32), 0.0
@@ -145,7 +146,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
     n, good = known.agg(F.count(F.lit(1)), F.sum("quality")).first()
     if not good:
-        raise ValueError("no positive labels to learn from")
+        return fit_nnpu(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)), 1.0)
     trainable = docs.filter(own.isNotNull() & ~held_out(own))
     rows = trainable.select(own).count()
     # sampled before the broadcast: max_positives ids are expected
