@@ -173,6 +173,18 @@ def least_shared(a: int, b: int, empty_a: tuple[int, int], empty_b: tuple[int, i
     return max(1, band.groups - differ // (band.k2 + 1) - empty)
 
 
+def least_of(n: int, empty: tuple[int, int]) -> int:
+    """Signatures that a set of this size shares with any similar set at least."""
+    if not n:
+        return 0
+    own, out = _of_size(n)[0], []
+    for size in {min(own.high, n * DEN // NUM), n * DEN // NUM}:
+        band = _of_size(size)[0]
+        differ = (n + size) * (DEN - NUM) // (DEN + NUM)
+        out.append(band.groups - differ // (band.k2 + 1) - empty[0 if n >= band.low else 1])
+    return max(1, min(out))
+
+
 # --------------------------------------------------------------------------- tables
 def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of single sets (a, b, shared) that share as many signatures as similar sets must."""
@@ -188,7 +200,7 @@ def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.withColumn("need", need).filter("need > 0 AND shared >= need").select("a", "b")
 
 
-_DESCRIBED = ["doc_id", "text_key", "n_shingles", "set", "empty_own", "empty_next"]
+_DESCRIBED = ["doc_id", "text_key", "n_shingles", "set", "empty_own", "empty_next", "least"]
 _PACKED = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()),
                      *((c, pa.int64()) for c in _DESCRIBED)])
 
@@ -240,7 +252,8 @@ def _packed(buckets: int):
             for doc, key, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text")):
                 h = shingles(t.as_py())
                 name = fingerprint(h) if len(h) else None
-                described.append((-1 - key % buckets, doc, key, len(h), name, *empty_groups(h)))
+                empty = empty_groups(h)
+                described.append((-1 - key % buckets, doc, key, len(h), name, *empty, least_of(len(h), empty)))
                 if name is None or name in seen:  # copies within the task
                     continue
                 seen.add(name)
@@ -262,7 +275,7 @@ def _packed(buckets: int):
     return run
 
 
-_OUT = ["kind", "a", "b", "c", "d", "e", "f"]
+_OUT = ["kind", "a", "b", "c", "d", "e", "f", "g"]
 
 
 def _signature_rows(sig: np.ndarray, owner: np.ndarray, least: int) -> pa.RecordBatch:
@@ -272,7 +285,7 @@ def _signature_rows(sig: np.ndarray, owner: np.ndarray, least: int) -> pa.Record
     keep = np.repeat(size >= least, size)
     cols = [pa.array(x[keep]) for x in (sig.view(np.int64), owner, np.repeat(owner[first], size))]
     n = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(3))], _OUT)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(4))], _OUT)
 
 
 def _met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +319,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         last, right = None, None
         for batch in batches:
             out = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
                 if b != last:  # rows come sorted by b
-                    last, right = b, shingles(tb)
-                left = shingles(ta)
+                    last, right = b, shingles(tb.as_py())
+                left = shingles(ta.as_py())
                 both = len(left) + len(right)
                 common = both - len(np.unique(np.concatenate([left, right])))
                 out.append((a, b, 1 - common / (both - common), DEN * common >= NUM * (both - common)))
@@ -361,26 +374,31 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     # every set with its component, its representative and the distance to it; a set that has and is
     # no representative is single: it can only be linked itself
     to = first.filter("linked").select(F.col("a").alias("member"), F.col("b").alias("rho"), F.col("distance").alias("d"))
-    info = sets.select(F.col("set").alias("member"), F.col("n_shingles").alias("n")).join(to, "member", "left")
+    info = sets.select(F.col("set").alias("member"), F.col("n_shingles").alias("n"), "least").join(to, "member", "left")
     if not links.isEmpty():
         roots = components(links, tmp, "components1").select(F.col("node").alias("member"), "root")
         info = info.join(roots, "member", "left")
     else:
         info = info.withColumn("root", F.lit(None).cast("long"))
-    info = tmp.write(info.select("member", "n", F.coalesce("rho", "member").alias("rho"), F.coalesce("d", F.lit(0.0)).alias("d"),
+    info = tmp.write(info.select("member", "n", "least", F.coalesce("rho", "member").alias("rho"), F.coalesce("d", F.lit(0.0)).alias("d"),
                                  F.coalesce("root", "member").alias("root"), F.col("root").isNull().alias("single")), "info")
+    # what the sets of a representative share with any similar set at least
+    of_rho = info.groupBy("rho").agg(F.min("least").alias("least"))
+    info = tmp.write(info.drop("least").join(of_rho, "rho"), "info-least")
     tmp.release()
     at = shared.select("sig", "member").join(info, "member")
     several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = tmp.write(at.join(several, "sig", "left_semi").distinct(), "rest")
     tmp.release()
-    # representatives of different components in one signature; of two single sets only those of like sizes
-    rhos = rest.select("sig", "rho", "root", "single", F.when(F.col("single"), F.col("n")).alias("n")).distinct()
+    # representatives of different components in one signature; of two single sets only those of like
+    # sizes.  Sets that they stand for can only be similar if the representatives meet often enough.
+    rhos = rest.select("sig", "rho", "root", "single", "least", F.when(F.col("single"), F.col("n")).alias("n")).distinct()
     one, two = rhos.alias("one"), rhos.alias("two")
     like = F.coalesce((DEN * F.col("one.n") >= NUM * F.col("two.n")) & (DEN * F.col("two.n") >= NUM * F.col("one.n")), F.lit(True))
     met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.rho") < F.col("two.rho")) & (F.col("one.root") != F.col("two.root")) & like)
            .groupBy(F.col("one.rho").alias("a"), F.col("two.rho").alias("b"))
-           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("one.single") & F.col("two.single")).alias("single")))
+           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("one.single") & F.col("two.single")).alias("single"),
+                F.max(F.greatest("one.least", "two.least")).alias("least")).filter("shared >= least"))
     met = tmp.write(met, "met")
     second = met.filter("NOT single").select("a", "b").unionByName(_enough(met.filter("single"), sets))
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked")
@@ -422,7 +440,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # the texts of sets that share a signature: one document each
     first = F.min(F.struct("doc_id", "text_key")).alias("o")
     sets = (described.filter("set IS NOT NULL").groupBy("set")
-            .agg(first, *[F.min(c).alias(c) for c in ("n_shingles", "empty_own", "empty_next")])
+            .agg(first, *[F.min(c).alias(c) for c in ("n_shingles", "empty_own", "empty_next", "least")])
             .join(shared.select(F.col("member").alias("set")).distinct(), "set"))
     sets = tmp.write(sets, "sets")
     owners = sets.select("set", "o.doc_id", "o.text_key")

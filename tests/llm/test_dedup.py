@@ -172,6 +172,8 @@ def test_similar_sets_share_enough_signatures():
             shared = len(np.intersect1d(J.signatures(a), J.signatures(b)))
             need = J.least_shared(len(a), len(b), J.empty_groups(a), J.empty_groups(b))
             assert shared >= need >= 1
+            for x in (a, b):
+                assert shared >= J.least_of(len(x), J.empty_groups(x)) >= 1
 
 
 def test_one_of_each_keeps_columns_and_lone_rows(spark):
