@@ -34,7 +34,7 @@ from talentlake.llm.hashing import mix
 from talentlake.llm.tokens import encoder
 
 LENGTH = 4096
-SHARD_SEQUENCES = 2048
+SHARD_SEQUENCES = 1024
 ROUNDS = 6
 
 
@@ -119,17 +119,21 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, length: int = LENGTH,
     def slots(numbers: pa.Array) -> pa.Array:
         return pa.array(feistel_slots(numbers.to_numpy(zero_copy_only=False), count, key))
 
-    @F.arrow_udf("binary")
-    def opened(payloads: pa.Array) -> pa.Array:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        return pa.array([unpack.decompress(p.as_py()) for p in payloads], pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # the records are larger than their payloads
+                part = batch.slice(at, 256)
+                records = pa.array([unpack.decompress(p.as_py()) for p in part.column("payload")], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("shard"), records], ["shard", "record"])
 
     numbered = (table.join(F.broadcast(first), "part").withColumn("slot", slots(F.col("first") + F.col("place")))
                 .withColumn("shard", F.floor(F.col("slot") / shard_sequences)))
     tasks = max(1, min(-(-count // shard_sequences), 100_000))
     path = f"{tmp.root}/shards"
     (numbered.select("shard", "slot", "payload").repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
-     .select("shard", opened("payload").cast("string").alias("record"))
+     .select("shard", "payload").mapInArrow(opened, "shard long, record binary")
+     .select("shard", F.col("record").cast("string").alias("record"))
      .write.partitionBy("shard").option("compression", "none").text(path))
     return Materialised(path, count, length, width, shard_sequences,
                         numbered.select("slot", "shard", "n_tokens", "doc_ids"))
