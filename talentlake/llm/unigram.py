@@ -217,7 +217,11 @@ class UnigramModel:
     def _prepared(self, text: str | None) -> list[str]:
         if not text:
             return []
-        marked = ((" " if self.add_prefix else "") + text).replace(" ", MARKER)
+        text = (" " if self.add_prefix else "") + text
+        if self.cuts and self.parts is _LINES and "  " not in text:
+            # single spaces only: cut in front of each marker and around each line feed
+            return text.replace(" ", f" {MARKER}").replace("\n", " \n ").split(" ")
+        marked = text.replace(" ", MARKER)
         return self.parts.findall(marked) if self.cuts else [marked]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
@@ -226,7 +230,8 @@ class UnigramModel:
         if len(cache) >= CACHE:
             cache.clear()
         cut = [self._prepared(t) for t in texts]
-        new = self._solved([*{p for parts in cut for p in parts if p not in cache}])
+        cache[""] = b""
+        new = self._solved([*set().union(*[set(parts).difference(cache) for parts in cut])])
         cache.update(new)
         out = [b"".join(map(cache.__getitem__, parts)) for parts in cut]
         for p in new:
@@ -239,7 +244,7 @@ class UnigramModel:
 
     def decode(self, ids: bytes) -> str:
         out = self.out
-        raw = b"".join([out[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        raw = b"".join(map(out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         if self.add_prefix and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
