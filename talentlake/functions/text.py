@@ -8,7 +8,7 @@ of T4 lives in ``talentlake.functions.html_cards`` (``mapInPandas``).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -59,27 +59,31 @@ def heading_section(h: Column) -> Column:
 def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Bullet lines of each document with the section of the heading above them.
 
-    Lines are exploded with their position; a heading is a short line that is
-    upper-case or ends with ':'; the heading is carried down with
-    ``last(ignoreNulls)`` over the document's lines.  Rulers are skipped.
+    A heading is a short line that is upper-case or ends with ':'; rulers are skipped.  Headings and
+    bullets are arrays of the document's own row, and each bullet takes the last heading above it, so
+    no line is shuffled.
     """
-    lines = docs.select(F.col(doc_id).alias("doc_id"),
-                        F.posexplode(F.split(_c(text), "\n")).alias("pos", "line"))
-    t = F.trim(F.col("line"))
-    is_bullet = t.rlike(BULLET_RE)
-    is_ruler = t.rlike(RULER_RE)
-    is_heading = (~is_bullet) & (~is_ruler) & (t != "") & (
-        (t.endswith(":") & (F.length(t) <= 40))
-        | ((t == F.upper(t)) & t.rlike("[A-Z]") & (F.length(t) <= 60))
-    )
-    marked = lines.select("doc_id", "pos", t.alias("line"), is_bullet.alias("is_bullet"),
-                          F.when(is_heading, t).alias("heading"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = marked.withColumn("heading", F.last("heading", ignorenulls=True).over(w))
-    item = F.regexp_replace(F.col("line"), BULLET_RE, "")
+    lines = F.transform(F.split(_c(text), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+
+    def is_bullet(t: Column) -> Column:
+        return t.rlike(BULLET_RE)
+
+    def is_heading(t: Column) -> Column:
+        return (~is_bullet(t)) & (~t.rlike(RULER_RE)) & (t != "") & (
+            (t.endswith(":") & (F.length(t) <= 40))
+            | ((t == F.upper(t)) & t.rlike("[A-Z]") & (F.length(t) <= 60))
+        )
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("_lines")).select(
+        "doc_id", F.filter("_lines", lambda x: is_heading(x["line"])).alias("_heads"),
+        F.filter("_lines", lambda x: is_bullet(x["line"])).alias("_bullets"))
+    above = F.transform("_bullets", lambda b: F.struct(
+        b["pos"].alias("pos"), b["line"].alias("line"),
+        F.array_max(F.filter("_heads", lambda h: h["pos"] < b["pos"]))["line"].alias("heading")))
+    item = F.regexp_replace(F.col("b.line"), BULLET_RE, "")
     return (
-        carried.where(F.col("is_bullet"))
-        .select("doc_id", "pos", heading_section(F.col("heading")).alias("section"), "heading", item.alias("item"),
+        rows.select("doc_id", F.explode(above).alias("b"))
+        .select("doc_id", "b.pos", heading_section(F.col("b.heading")).alias("section"), "b.heading", item.alias("item"),
                 (F.nullif(F.regexp_extract(item, YEARS_RE, 1), F.lit(""))).try_cast("int").alias("years_required"))
         .where(F.col("section").isNotNull())
     )

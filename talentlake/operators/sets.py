@@ -29,11 +29,10 @@ def keyword_sets(cv_kw: Column, job_kw: Column) -> tuple[Column, Column]:
 def keyword_sets_rows(cv_words: DataFrame, job_words: DataFrame, col: str = "keyword") -> DataFrame:
     """Per corpus (row form): every distinct job keyword with ``present`` true/false.
 
-    ``intersect`` and ``subtract`` are distinct set operations planned as
-    shuffled semi/anti joins on the keyword.
+    One pass: both corpora are flagged, appended and reduced to one row per keyword (map-side first).
     """
-    jw = job_words.select(col)
-    cw = cv_words.select(col)
-    present = jw.intersect(cw).withColumn("present", F.lit(True))
-    missing = jw.subtract(cw).withColumn("present", F.lit(False))
-    return present.unionByName(missing)
+    j, c = F.lit(True), F.lit(False)
+    both = job_words.select(F.col(col), j.alias("_job"), c.alias("_cv")).unionByName(
+        cv_words.select(F.col(col), c.alias("_job"), j.alias("_cv")))
+    found = both.groupBy(col).agg(F.bool_or("_job").alias("_job"), F.bool_or("_cv").alias("present"))
+    return found.where("_job").select(col, "present")

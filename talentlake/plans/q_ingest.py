@@ -119,9 +119,16 @@ def q_doc_admission(spark, d):
 SELECT page_id, reason IS NULL AS admitted, reason AS reject_reason FROM (
   SELECT page_id, CASE WHEN octet_length(encode(html)) > 5242880 THEN 'too_large'
                        WHEN NOT starts_with(html, '%PDF') THEN 'not_pdf'
-                       WHEN octet_length(encode(html)) < 100 THEN 'too_small' END AS reason FROM pages)""")
+                       WHEN octet_length(encode(html)) < 100 THEN 'too_small' END AS reason FROM (
+    SELECT page_id, CASE page_id % 25 WHEN 0 THEN repeat('%PDF-1.7 ' || html, 5242880 // length(html) + 1)
+      WHEN 1 THEN '%PDF tiny ' || page_id WHEN 2 THEN '%PDF-1.4 ' || html || repeat(' ', 100) ELSE html END AS html FROM pages))""")
 def q_file_admission(spark, d):
-    pg = Tables(spark, d).pages
+    """Some pages as files: too large, too small, a right one, and no PDF."""
+    n, html = F.col("page_id") % 25, F.col("html")
+    content = (F.when(n == 0, F.repeat(F.concat(F.lit("%PDF-1.7 "), html), (F.floor(F.lit(5242880) / F.length(html)) + 1).cast("int")))
+               .when(n == 1, F.concat(F.lit("%PDF tiny "), F.col("page_id").cast("string")))
+               .when(n == 2, F.concat(F.lit("%PDF-1.4 "), html, F.repeat(F.lit(" "), 100))).otherwise(html))
+    pg = Tables(spark, d).pages.select("page_id", content.alias("html"))
     files = pg.select("page_id", F.encode("html", "UTF-8").alias("content"),
                       F.octet_length("html").cast("long").alias("length"))
     return I.admit_files(files).select("page_id", "admitted", "reject_reason")

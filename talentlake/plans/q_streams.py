@@ -173,11 +173,13 @@ def q_log_levels(spark, d):
 
 @register("late_events", W([], """
 SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, agent, count(*) AS late_lines FROM (
-  SELECT *, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM lg)
+  SELECT *, max(ts) OVER (ORDER BY 2 * event_id + CASE WHEN event_id % 7 = 0 THEN 81 ELSE 0 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM lg)
 WHERE ts < wm - INTERVAL 5 MINUTE GROUP BY 1, 2""", extra=[("lg", LOGS_SQL)]))
 def q_late_events(spark, d):
-    logs = _logs(Tables(spark, d).events)
-    return S.late_events(logs, "event_id")
+    """Every seventh line arrives forty lines late."""
+    late = F.when(F.col("event_id") % 7 == 0, 81).otherwise(0)
+    logs = _logs(Tables(spark, d).events).withColumn("arrival", 2 * F.col("event_id") + late)
+    return S.late_events(logs, "arrival")
 
 
 @register("stream_pending", """

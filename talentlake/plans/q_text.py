@@ -56,9 +56,11 @@ SELECT page_id, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+
   CASE WHEN regexp_extract(url, 'jk=([a-f0-9]+)', 1) <> ''
        THEN 'https://www.indeed.com/viewjob?jk=' || regexp_extract(url, 'jk=([a-f0-9]+)', 1) ELSE '' END AS view_url,
   nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page
-FROM pages""")
+FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '&jk=' || lower(to_hex(page_id)) ELSE url END AS url FROM pages)""")
 def q_page_ids(spark, d):
-    pg = Tables(spark, d).pages
+    """Every third address carries a job key."""
+    pg = Tables(spark, d).pages.withColumn("url", F.when(F.col("page_id") % 3 == 0, F.concat(
+        "url", F.lit("&jk="), F.lower(F.hex("page_id")))).otherwise(F.col("url")))
     jk = C.external_id("url")
     return pg.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), jk.alias("job_key"),
                      C.canonical_url(jk).alias("view_url"),
@@ -70,17 +72,27 @@ SELECT doc_id, nullif(regexp_extract(text, '{T.EMAIL_RE}', 0), '') AS email,
   nullif(regexp_extract(text, '{T.PHONE_RE}', 0), '') AS phone,
   nullif(regexp_extract(text, '{T.LINKEDIN_RE}', 0), '') AS linkedin_url,
   nullif(regexp_extract(text, '{T.GITHUB_RE}', 0), '') AS github_url
-FROM documents""")
+FROM (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' linkedin.com/in/p-' || doc_id WHEN doc_id % 3 = 1
+        THEN ' https://github.com/u_' || doc_id || '/repo' ELSE '' END AS text FROM documents)""")
 def q_contact_fields(spark, d):
-    docs = Tables(spark, d).documents.select("doc_id", "text")
+    i = F.col("doc_id")
+    link = (F.when(i % 3 == 0, F.concat(F.lit(" linkedin.com/in/p-"), i.cast("string")))
+            .when(i % 3 == 1, F.concat(F.lit(" https://github.com/u_"), i.cast("string"), F.lit("/repo"))).otherwise(""))
+    docs = Tables(spark, d).documents.select("doc_id", F.concat("text", link).alias("text"))
     return T.contact_fields(docs).drop("text")
 
 
+SECTIONED_SQL = """SELECT doc_id, 'Must have:' || chr(10) || '====' || chr(10) || '- 3+ years ' || lang || chr(10) || '- '
+  || replace(text, chr(10), chr(10) || '- ') || chr(10) || 'NICE TO HAVE' || chr(10) || '• ' || source || chr(10) || 'plain line' || chr(10)
+  || '* 12+ years of ' || lang || chr(10) || 'Other things:' || chr(10) || '- left out' || chr(10) || 'Responsibilities:' || chr(10)
+  || '- ship ' || doc_id || chr(10) AS text FROM documents"""
+
+
 @register("doc_sections", f"""
 WITH lines AS (
   SELECT doc_id, CAST(pos - 1 AS INT) AS pos, trim(line) AS line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-           unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents)),
+           unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM ({SECTIONED_SQL}))),
 marked AS (
   SELECT doc_id, pos, line, regexp_matches(line, '{T.BULLET_RE}') AS is_bullet,
     CASE WHEN NOT regexp_matches(line, '{T.BULLET_RE}') AND NOT regexp_matches(line, '{T.RULER_RE}') AND line <> ''
@@ -101,7 +113,13 @@ SELECT * FROM (
     TRY_CAST(nullif(regexp_extract(regexp_replace(line, '{T.BULLET_RE}', ''), '{T.YEARS_RE}', 1), '') AS INT) AS years_required
   FROM carried WHERE is_bullet) WHERE section IS NOT NULL""")
 def q_doc_sections(spark, d):
-    return T.sections(Tables(spark, d).documents)
+    """Documents as postings: their lines are bullets under four headings and rulers."""
+    t, nl = F.col("text"), F.lit("\n")
+    bullets = F.regexp_replace(t, "\n", "\n- ")
+    text = F.concat(F.lit("Must have:\n====\n- 3+ years "), F.col("lang"), F.lit("\n- "), bullets, F.lit("\nNICE TO HAVE\n• "), F.col("source"),
+                    F.lit("\nplain line\n* 12+ years of "), F.col("lang"), F.lit("\nOther things:\n- left out\nResponsibilities:\n- ship "),
+                    F.col("doc_id").cast("string"), nl)
+    return T.sections(Tables(spark, d).documents.select("doc_id", text.alias("text")))
 
 
 KEYWORDS_SQL = f"""
@@ -145,26 +163,40 @@ def q_gap_rows(spark, d):
     return T.gap_rows(m)
 
 
-@register("fenced_json", """
-SELECT id, CASE WHEN json_valid(c) THEN c END AS json_text
-FROM (SELECT conv_id * 100 + turn AS id, nullif(regexp_replace(regexp_extract(text, '```(?:json)?\\s*([\\s\\S]*?)```', 1), '^\\s+|\\s+$', '', 'g'), '') AS c
-      FROM conversations
-      UNION ALL SELECT 1000000000 + event_id, nullif(regexp_replace(regexp_extract(props, '```(?:json)?\\s*([\\s\\S]*?)```', 1), '^\\s+|\\s+$', '', 'g'), '')
-      FROM events)""")
+# Model replies: fenced object, fenced list, object in prose with braces in a string, cut-off object, braces without JSON.
+REPLY_SQL = """
+SELECT event_id AS id, event_id % 5 AS form, CASE event_id % 5
+  WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || o || chr(10) || '```' || chr(10) || 'done {x}'
+  WHEN 1 THEN '```' || chr(10) || '[' || o || ',' || o || ']' || chr(10) || '```'
+  WHEN 2 THEN 'so ' || o || ' trailing }' WHEN 3 THEN 'cut ' || left(o, length(o) - 2) ELSE 'nothing {broken} ' || props END AS text, o
+FROM (SELECT event_id, replace(props, '{', '[') AS props,
+        '{"id": ' || event_id || ', "note": "a } b { c", "props": ' || props || '}' AS o FROM events)"""
+
+
+def _replies(t):
+    e, nl = t.events, "\n"
+    i, form = F.col("event_id"), F.col("event_id") % 5
+    o = F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "note": "a } b { c", "props": '), F.col("props"), F.lit("}"))
+    text = (F.when(form == 0, F.concat(F.lit(f"Here:{nl}```json{nl}"), o, F.lit(f"{nl}```{nl}done {{x}}")))
+            .when(form == 1, F.concat(F.lit(f"```{nl}["), o, F.lit(","), o, F.lit(f"]{nl}```")))
+            .when(form == 2, F.concat(F.lit("so "), o, F.lit(" trailing }")))
+            .when(form == 3, F.concat(F.lit("cut "), F.left(o, F.length(o) - 2)))
+            .otherwise(F.concat(F.lit("nothing {broken} "), F.regexp_replace("props", r"\{", "["))))
+    return e.select(i.alias("id"), text.alias("text"))
+
+
+@register("fenced_json", W([], """
+SELECT id, CASE form WHEN 0 THEN o WHEN 1 THEN '[' || o || ',' || o || ']' END AS json_text FROM r""", extra=[("r", REPLY_SQL)]))
 def q_fenced_json(spark, d):
-    t = Tables(spark, d)
-    src = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text").unionByName(
-        t.events.select((F.lit(1000000000) + F.col("event_id")).alias("id"), F.col("props").alias("text")))
     c = T.fenced_json("text")
-    return src.select("id", F.when(F.try_parse_json(c).isNotNull(), c).alias("json_text"))
+    return _replies(Tables(spark, d)).select("id", F.when(F.try_parse_json(c).isNotNull(), c).alias("json_text"))
 
 
-@register("balanced_json")
+@register("balanced_json", W([], """
+SELECT id, CASE form WHEN 0 THEN o WHEN 1 THEN '{"charts": [' || o || ',' || o || ']}' WHEN 2 THEN o END AS json_text,
+  CASE WHEN form IN (3, 4) THEN 'no valid JSON found' END AS json_error FROM r""", extra=[("r", REPLY_SQL)]))
 def q_balanced_json(spark, d):
-    t = Tables(spark, d)
-    src = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text").unionByName(
-        t.events.select((F.lit(1000000000) + F.col("event_id")).alias("id"), F.col("props").alias("text")))
-    return T.json_from_text(src, "text").drop("text")
+    return T.json_from_text(_replies(Tables(spark, d)), "text").drop("text")
 
 
 @register("age_label", """
@@ -352,8 +384,38 @@ def q_render_profile(spark, d):
     return pr.select("id", T.render_cv(F.col("cv")).alias("cv_text"), T.render_job(F.col("job")).alias("job_text"))
 
 
-@register("extract_postings")
+CARD_PAGES_SQL = """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'card' WHEN 1 THEN 'jsonld' ELSE 'mosaic' END AS kind, CAST(0 AS BIGINT) AS pos, 'indeed' AS source,
+  'Role ' || page_id AS role_title, 'Co ' || (page_id % 7) AS company_name, CASE page_id % 4 WHEN 1 THEN 'Oslo, NO' ELSE 'Remote' END AS location,
+  'text ' || page_id AS description_text, (page_id % 90 + 10) * 1000 AS salary_min, (page_id % 90 + 50) * 1000 AS salary_max,
+  CASE page_id % 4 WHEN 1 THEN 'https://jobs.example/' || page_id ELSE 'https://www.indeed.com/viewjob?jk=' || lower(to_hex(page_id)) END AS source_url,
+  CASE page_id % 4 WHEN 1 THEN 'id' || page_id ELSE lower(to_hex(page_id)) END AS source_job_id,
+  CASE page_id % 4 WHEN 1 THEN '' ELSE 'remote' END AS remote_policy
+FROM pages WHERE page_id % 4 < 3"""
+
+
+@register("extract_postings", CARD_PAGES_SQL)
 def q_extract_postings(spark, d):
+    """The pages with a card, a JSON-LD block or provider data behind their own markup (a quarter has none)."""
     from talentlake.sources.postings import extract_postings
 
-    return extract_postings(Tables(spark, d).pages)
+    n = F.col("page_id")
+    put = {"n": n.cast("string"), "k": F.lower(F.hex(n)), "c": (n % 7).cast("string"), "lo": (n % 90 + 10).cast("string"), "hi": (n % 90 + 50).cast("string")}
+    card = ('<div class="job_seen_beacon"><h2 class="jobTitle"><a href="/rc?jk=@k&x=1">Role @n</a></h2><span class="companyName">Co @c</span>'
+            '<div class="companyLocation">Remote</div><div class="salary-snippet-container">$@lo,000 - $@hi,000 a year</div>'
+            '<div class="job-snippet">text @n</div></div>')
+    linked = ('<script type="application/ld+json">{"@type":"JobPosting","title":"Role @n","hiringOrganization":{"name":"Co @c"},'
+              '"jobLocation":{"address":{"addressLocality":"Oslo","addressRegion":"NO"}},"description":"<p>text @n</p>",'
+              '"baseSalary":{"value":{"minValue":@lo000,"maxValue":@hi000}},"url":"https://jobs.example/@n","identifier":{"value":"id@n"}}</script>')
+    provider = ('<script id="mosaic-provider-jobcards">window.mosaic.providerData["mosaic-provider-jobcards"]={"metaData":'
+                '{"mosaicProviderJobCardsModel":{"results":[{"title":"Role @n","company":"Co @c","formattedLocation":"Remote","snippet":"text @n",'
+                '"formattedSalary":"$@lo,000 - $@hi,000 a year","jobkey":"@k"}]}}};</script>')
+
+    def filled(template: str):
+        out = F.lit(template)
+        for name, value in put.items():
+            out = F.replace(out, F.lit(f"@{name}"), value)
+        return out
+
+    extra = F.when(n % 4 == 0, filled(card)).when(n % 4 == 1, filled(linked)).when(n % 4 == 2, filled(provider)).otherwise("")
+    return extract_postings(Tables(spark, d).pages.select("page_id", F.concat("html", extra).alias("html")))

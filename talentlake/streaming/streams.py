@@ -370,19 +370,24 @@ def merged_log(streams: Sequence[DataFrame], ts: str = "ts", delay: str = "5 min
         "event_time")
 
 
-def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 1 << 20,
+def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 1 << 14,
                 window: str = "5 minutes") -> DataFrame:
     """Batch report: lines that arrived behind the watermark (running max event time − lookback).
 
     The running max over arrival order is a parallel prefix: per-chunk maxima (one row per
-    ``chunk`` arrivals) → prefix over the chunk table → within-chunk running max.  No single task
-    sees all lines.
+    ``chunk`` arrivals) → prefix over ``chunk`` chunks at a time and over those → within-chunk running
+    max.  No single task sees all lines or all chunks (2^28 lines are one row of the last prefix).
     """
     c = F.floor(F.col(arrival) / chunk)
     x = logs.withColumn("_chunk", c)
     cm = x.groupBy("_chunk").agg(F.max(ts).alias("_cmax"))
     from pyspark.sql import Window
-    prefix = cm.withColumn("_before", F.max("_cmax").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    cm = cm.withColumn("_group", F.floor(F.col("_chunk") / chunk))
+    groups = cm.groupBy("_group").agg(F.max("_cmax").alias("_gmax"))
+    groups = groups.select("_group", F.max("_gmax").over(before(Window.orderBy("_group"))).alias("_earlier"))
+    inside = F.max("_cmax").over(before(Window.partitionBy("_group").orderBy("_chunk")))
+    prefix = cm.withColumn("_here", inside).join(groups, "_group").withColumn("_before", F.greatest("_here", "_earlier"))
     w_in = Window.partitionBy("_chunk").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     y = x.join(prefix.select("_chunk", "_before"), "_chunk").withColumn("_in", F.max(ts).over(w_in))
     wm = F.greatest(F.col("_before"), F.col("_in"))
