@@ -101,23 +101,6 @@ def keyword_tags(docs: DataFrame, keywords: DataFrame, doc_id: str = "doc_id", t
     return hits.select(doc_id, F.col("_kw").alias(keyword))
 
 
-def top_words(df: DataFrame, text: str, k: int, min_len: int = 1) -> DataFrame:
-    """The k most frequent words (ties by word) — a top-k dictionary built from data."""
-    w = df.select(F.explode(words(_c(text))).alias("keyword")).where(F.length("keyword") >= min_len)
-    return w.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "keyword").limit(k)
-
-
-def top_bigrams(df: DataFrame, text: str, k: int, min_len: int = 1) -> DataFrame:
-    """The k most frequent two-word phrases (ties by phrase)."""
-    tok = df.select(words(_c(text)).alias("_t"))
-    idx = F.when(F.size("_t") >= 2, F.sequence(F.lit(1), F.size("_t") - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = tok.select(F.explode(F.transform(idx, lambda i: F.struct(F.col("_t")[i - 1].alias("a"), F.col("_t")[i].alias("b"))))
-                       .alias("_p")).select("_p.*")
-    bi = pairs.where((F.length("a") >= min_len) & (F.length("b") >= min_len))
-    g = bi.groupBy(F.concat_ws(" ", "a", "b").alias("keyword")).agg(F.count(F.lit(1)).alias("n"))
-    return g.orderBy(F.col("n").desc(), "keyword").limit(k)
-
-
 # --------------------------------------------------------------------------- T10
 def gap_rows(match: DataFrame, req_type: str = "req_type") -> DataFrame:
     """C6 matches → gap rows (critical / high / medium / low) and strength rows (met)."""

@@ -165,7 +165,7 @@ def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> DataFra
 # --------------------------------------------------------------------------- V4
 def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query",
                vec_id: str = "vec_id", vec: str = "embedding", bucket_length: float = 0.1,
-               num_hash_tables: int = 12, seed: int = 7) -> DataFrame:
+               num_hash_tables: int = 30, seed: int = 7) -> DataFrame:
     """Approximate top-k: LSH (random projections) on unit vectors, candidates re-ranked exactly.
 
     ``approxSimilarityJoin`` equi-joins on hash buckets (no nested loop); Euclidean

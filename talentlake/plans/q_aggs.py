@@ -226,9 +226,15 @@ def q_skill_demand(spark, d):
     return aggs.skill_demand(V.v_posting_skills(Tables(spark, d)))
 
 
-@register("skill_demand_approx")
+@register("skill_demand_approx", W(["v_posting_skills"], """
+SELECT DISTINCT skill, true AS postings_within, true AS companies_within FROM v_posting_skills"""))
 def q_skill_demand_approx(spark, d):
-    return aggs.skill_demand_approx(V.v_posting_skills(Tables(spark, d)))
+    """Whether the sketch's counts lie within four times its relative error of the exact ones."""
+    rows = V.v_posting_skills(Tables(spark, d))
+    exact = aggs.skill_demand(rows).select("skill", F.col("postings").alias("p"), F.col("companies").alias("c"))
+    near = aggs.skill_demand_approx(rows, rsd=0.02).join(exact, "skill")
+    within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 4 * 0.02 * F.col(b)
+    return near.select("skill", within("postings", "p").alias("postings_within"), within("companies", "c").alias("companies_within"))
 
 
 @register("salary_insight", W(["v_postings"], """
@@ -283,7 +289,13 @@ def q_score_labels(spark, d):
     return fit.unionByName(sev)
 
 
-@register("gap_frequency_approx")
+@register("gap_frequency_approx", W(["v_gaps"], """
+SELECT label, true AS within_bound FROM (
+  SELECT coalesce(missing_element, requirement, 'Unknown') AS label, count(*) AS n FROM v_gaps GROUP BY 1 ORDER BY n DESC, label LIMIT 10)"""))
 def q_gap_frequency_approx(spark, d):
+    """The sketch's labels and whether its counts lie within one percent of the exact ones."""
     g = V.v_gaps(Tables(spark, d))
-    return aggs.top_k_approx(g, F.coalesce(F.col("missing_element"), F.col("requirement"), F.lit("Unknown")), 10)
+    label = F.coalesce(F.col("missing_element"), F.col("requirement"), F.lit("Unknown"))
+    exact = g.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("exact"))
+    near = aggs.top_k_approx(g, label, 10).join(exact, "label")
+    return near.select("label", (F.abs(F.col("count") - F.col("exact")) <= 0.01 * F.col("exact")).alias("within_bound"))

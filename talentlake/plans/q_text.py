@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talentlake.functions import columns as C
 from talentlake.functions import text as T
+from talentlake.operators.common import words
 from talentlake.plans import views as V
 from talentlake.plans.oracle_views import with_views as W
 from talentlake.plans.q_joins import q_match_requirements
@@ -123,26 +124,25 @@ def q_doc_sections(spark, d):
 
 
 KEYWORDS_SQL = f"""
-WITH bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '{WORDS_RE}'), lambda w: w <> '') AS t FROM benchmark),
-uni AS (SELECT w AS keyword, count(*) AS n FROM (SELECT unnest(t) AS w FROM bw) WHERE length(w) >= 4
-        GROUP BY w ORDER BY n DESC, keyword LIMIT 40),
-bi AS (SELECT t[i] || ' ' || t[i + 1] AS keyword, count(*) AS n FROM (SELECT t, unnest(range(1, len(t))) AS i FROM bw)
-       WHERE length(t[i]) >= 4 AND length(t[i + 1]) >= 4 GROUP BY 1 ORDER BY n DESC, keyword LIMIT 10)
-SELECT keyword FROM uni UNION SELECT keyword FROM bi"""
+WITH bw AS (SELECT list_filter(regexp_split_to_array(lower(text), '{WORDS_RE}'), lambda w: w <> '') AS t FROM benchmark)
+SELECT DISTINCT w AS keyword FROM (SELECT unnest(t) AS w FROM bw) WHERE length(w) >= 4
+UNION SELECT t[i] || ' ' || t[i + 1] FROM (SELECT t, unnest(range(1, len(t))) AS i FROM bw)"""
 
 
 def v_keywords(t):
-    """Keyword dictionary: the 40 most frequent words and 10 most frequent bigrams of benchmark (len ≥ 4)."""
-    b = t.benchmark
-    return T.top_words(b, "text", 40, 4).select("keyword").unionByName(
-        T.top_bigrams(b, "text", 10, 4).select("keyword")).distinct()
+    """Keyword dictionary: all words (4 letters and more) and all pairs of neighbouring words of benchmark."""
+    tok = t.benchmark.select(words(F.col("text")).alias("_t"))
+    pairs = F.transform(F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get("_t", i + 1)))
+    single = F.filter("_t", lambda w: F.length(w) >= 4)
+    return tok.select(F.explode(F.concat(single, pairs)).alias("keyword")).distinct()
 
 
 @register("keyword_tags", W([], f"""
-SELECT DISTINCT d.doc_id, k.keyword
-FROM (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '{WORDS_RE}'),
-        lambda w: w <> ''), ' ') || ' ' AS t FROM documents) d
-JOIN kw k ON d.t LIKE '% ' || k.keyword || ' %'""", extra=[("kw", KEYWORDS_SQL)]))
+SELECT DISTINCT doc_id, keyword FROM (
+  SELECT doc_id, unnest(t) AS keyword FROM dw
+  UNION ALL SELECT doc_id, t[i] || ' ' || t[i + 1] FROM (SELECT doc_id, t, unnest(range(1, len(t))) AS i FROM dw)) JOIN kw USING (keyword)""",
+    extra=[("kw", KEYWORDS_SQL), ("dw", f"""SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '{WORDS_RE}'),
+        lambda w: w <> '') AS t FROM documents""")]))
 def q_keyword_tags(spark, d):
     t = Tables(spark, d)
     return T.keyword_tags(t.documents, v_keywords(t))
@@ -267,7 +267,26 @@ def q_page_title(spark, d):
     return f.select("page_id", "title", "lang")
 
 
-@register("html_text")
+def _decoded(expr: str) -> str:
+    """The entities of the pages, decoded (the ampersand last)."""
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return expr
+
+
+_TEXT_NODES = r"""array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html,
+    '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>', ' ', 'g'),
+    '(?s)<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"""
+
+
+@register("html_text", r"""
+SELECT page_id, {title} AS title,
+  nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]+>', '', 'g')), '') AS h1,
+  nullif(regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1), '') AS lang,
+  nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+  regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1) AS links, {text} AS text
+FROM pages""".replace("{title}", _decoded("nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')"))
+          .replace("{text}", _decoded(_TEXT_NODES)))
 def q_html_text(spark, d):
     return T.html_fields(Tables(spark, d).pages).select("page_id", "title", "h1", "lang", "host", "links", "text")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talentlake.operators import vectors as VX
 from talentlake.plans.oracle_views import with_views as W
 from talentlake.plans.q_ingest import knowledge_inputs
-from talentlake.plans.registry import register
+from talentlake.plans.registry import ORACLES, register
 from talentlake.sources import ingest as I
 from talentlake.sources.tables import Tables
 
@@ -34,14 +34,20 @@ def q_unwrap_embedding(spark, d):
     return u.select("vec_id", F.size("embedding").alias("dims"), "embedding")
 
 
-@register("index_vectors")
+@register("index_vectors", W([], """
+SELECT source_file || ':' || pos AS key, text, '2024-01-01 00:00:00' AS timestamp, type, category, source_file, CAST(256 AS INT) AS dims,
+  true AS unit_norm FROM kd""", extra=[("kd", ORACLES["knowledge_docs"])]))
 def q_index_vectors(spark, d):
+    """Keys, metadata, dimensions and whether the vector has length one."""
     b, i, g = knowledge_inputs(Tables(spark, d))
     docs = I.knowledge_docs(b, i, g).withColumn("key", F.concat_ws(":", "source_file", F.col("pos").cast("string")))
     meta = F.map_from_arrays(F.array(F.lit("type"), F.lit("category"), F.lit("source_file")),
                              F.array("type", "category", "source_file"))
     ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return VX.index_vectors(docs, "key", "text", ts, meta)
+    v = VX.index_vectors(docs, "key", "text", ts, meta)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("key", *[F.col("metadata")[c].alias(c) for c in ("text", "timestamp", "type", "category", "source_file")],
+                    F.size("vector").alias("dims"), (F.abs(norm - 1) < 1e-5).alias("unit_norm"))
 
 
 CENTROID_SQL = """
@@ -68,10 +74,15 @@ def q_knn(spark, d):
     return _knn(spark, d)
 
 
-@register("knn_approx")
+@register("knn_approx", """
+SELECT label AS query_id, CAST(20 AS BIGINT) AS n, true AS recalled FROM embeddings WHERE label IS NOT NULL GROUP BY label""")
 def q_knn_approx(spark, d):
+    """Rows for each query, and whether nine of ten exact neighbours are among them."""
     e = Tables(spark, d).embeddings
-    return VX.knn_approx(VX.centroids(e, "label"), e, 5)
+    q = VX.centroids(e, "label")
+    exact = VX.knn(q, e, 20).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    near = VX.knn_approx(q, e, 20).join(exact, ["query_id", "vec_id"], "left")
+    return near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), (F.count("hit") >= 18).alias("recalled"))
 
 
 @register("retrieve_context", W([], """
