@@ -14,7 +14,7 @@ and each band divides the feature domain into groups of ``n2`` partitions:
   of a pair, both emit the first division in which either has enough, so no pair is lost.
 
 Candidates are not all pairs of a signature's sets: every set is compared with the one
-representative with which it shares most signatures; sets linked to a representative at distance d
+representative with which it shares most signatures (the best known set of each signature); sets linked to a representative at distance d
 need no comparison with what is farther than d + 0.2 from it (the Jaccard distance is a metric).
 What is left in signatures that hold several components is compared one by one, so no link is lost;
 single sets first have to share as many signatures as similar sets of their sizes must.
@@ -279,17 +279,17 @@ _OUT = ["kind", "a", "b", "c", "d", "e", "f", "g"]
 
 
 def _signature_rows(sig: np.ndarray, owner: np.ndarray, least: int) -> pa.RecordBatch:
-    """Of sorted (signature, set): the signatures of at least that many sets, each set with the smallest one."""
+    """Of sorted (signature, set): the rows of signatures of at least that many sets."""
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
     keep = np.repeat(size >= least, size)
-    cols = [pa.array(x[keep]) for x in (sig.view(np.int64), owner, np.repeat(owner[first], size))]
+    cols = [pa.array(x[keep]) for x in (sig.view(np.int64), owner)]
     n = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(4))], _OUT)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(5))], _OUT)
 
 
 def _met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed rows of one bucket -> kind 0: (signature, set, smallest set); kind 1: descriptions."""
+    """All packed rows of one bucket -> kind 0: (signature, set); kind 1: descriptions."""
     sig, owner = [], []
     for batch in batches:
         b = batch.filter(batch.column("sigs").is_null())
@@ -365,7 +365,13 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
 def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """(a, b): links that connect exactly the sets that similar pairs connect."""
     limit = 1 - NUM / DEN
-    per_pair = shared.filter("member != rep").groupBy("member", "rep").agg(F.count(F.lit(1)).alias("n"))
+    # a signature's representative is its set with the most shared signatures: of an original and its
+    # copies, which are more like it than like each other, that is the original
+    known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
+    ranked = shared.select("sig", "member").join(known, "member")
+    hubs = ranked.groupBy("sig").agg(F.max(F.struct("known", "member")).alias("hub")).select("sig", F.col("hub.member").alias("rep"))
+    per_pair = (shared.select("sig", "member").join(hubs, "sig").filter("member != rep")
+                .groupBy("member", "rep").agg(F.count(F.lit(1)).alias("n")))
     best = (per_pair.groupBy(F.col("member").alias("a")).agg(F.max(F.struct("n", "rep")).alias("best"))
             .select("a", F.col("best.rep").alias("b"), F.col("best.n").alias("shared")))
     # pairs that seem to share too few signatures here are met again below, with all they share
@@ -435,7 +441,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     found = tmp.write(packed.groupBy("bucket").applyInArrow(_met_in_buckets, ", ".join(f"{c} long" for c in _OUT)), "signatures")
     del packed
     tmp.release()
-    shared = found.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("member"), F.col("c").alias("rep"))
+    shared = found.filter("kind = 0").select(F.col("a").alias("sig"), F.col("b").alias("member"))
     described = found.filter("kind = 1").select(*[F.col(c).alias(n) for c, n in zip(_OUT[1:], _DESCRIBED)])
     # the texts of sets that share a signature: one document each
     first = F.min(F.struct("doc_id", "text_key")).alias("o")
