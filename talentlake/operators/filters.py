@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 # --------------------------------------------------------------------------- B1
@@ -139,20 +140,25 @@ def truncate_text(col: str | Column, n: int = 2000) -> Column:
                                             F.length(c).cast("string"), F.lit(" chars]"))).otherwise(c)
 
 
+def truncated(value: Column, kind: DataType, n: int, items: int) -> Column:
+    """``value`` with every string in it capped at ``n`` characters and every array at ``items``
+    elements, at any depth of structs, arrays and maps."""
+    if isinstance(kind, StringType):
+        return truncate_text(value, n)
+    if isinstance(kind, ArrayType):
+        return F.transform(F.slice(value, 1, items), lambda x: truncated(x, kind.elementType, n, items))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: truncated(x, kind.valueType, n, items))
+    if isinstance(kind, StructType):
+        parts = [truncated(value[f.name], f.dataType, n, items).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*parts))
+    return value
+
+
 def truncate_payload(df: DataFrame, cols: list[str], n: int = 2000, items: int = 10) -> DataFrame:
-    """Cap long strings and arrays (first ``items`` elements, each string capped) per column."""
-    exprs = {}
-    for f in df.schema.fields:
-        if f.name not in cols:
-            continue
-        t = f.dataType.simpleString()
-        if t == "string":
-            exprs[f.name] = truncate_text(f.name, n)
-        elif t.startswith("array<string"):
-            exprs[f.name] = F.transform(F.slice(F.col(f.name), 1, items), lambda x: truncate_text(x, n))
-        elif t.startswith("array"):
-            exprs[f.name] = F.slice(F.col(f.name), 1, items)
-    return df.withColumns(exprs)
+    """Cap long strings and arrays of the given columns (see ``truncated``)."""
+    return df.withColumns({f.name: truncated(F.col(f.name), f.dataType, n, items)
+                           for f in df.schema.fields if f.name in cols})
 
 
 # --------------------------------------------------------------------------- B11
@@ -180,3 +186,13 @@ def payload_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         F.max(F.when(is_obj, F.size(F.json_object_keys(v)))).alias("max_keys"),
         F.max(F.when(is_arr, F.json_array_length(v))).alias("max_items"),
     )
+
+
+def payload_keys(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, key, count): top-level keys of the JSON objects of each payload column, one scan."""
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+    ])).alias("_s")).select("_s.*")
+    objects = stacked.where(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull())
+    return objects.select("column", F.explode(F.json_object_keys("value")).alias("key")).groupBy("column", "key").agg(
+        F.count(F.lit(1)).alias("count"))

@@ -131,6 +131,30 @@ def q_truncate_payload(spark, d):
     return B.truncate_payload(docs, ["text"], n=2000)
 
 
+@register("truncate_nested", """
+SELECT doc_id, CASE WHEN length(text) > 300 THEN left(text, 300) || '... [truncated, total ' || length(text) || ' chars]' ELSE text END AS body,
+  least(len(string_split(text, ' ')), 4) AS n_words, CASE WHEN length(lang || text) > 300
+    THEN left(lang || text, 300) || '... [truncated, total ' || length(lang || text) || ' chars]' ELSE lang || text END AS tagged
+FROM documents""")
+def q_truncate_nested(spark, d):
+    """A struct with a string, an array of structs and a map, capped at every depth."""
+    docs = Tables(spark, d).documents
+    parts = F.transform(F.split("text", " "), lambda w: F.struct(w.alias("w")))
+    payload = F.struct(F.col("text").alias("body"), parts.alias("words"), F.create_map(F.lit("tagged"), F.concat("lang", "text")).alias("more"))
+    cut = B.truncate_payload(docs.select("doc_id", payload.alias("payload")), ["payload"], n=300, items=4)
+    return cut.select("doc_id", "payload.body", F.size("payload.words").cast("long").alias("n_words"), F.col("payload.more")["tagged"].alias("tagged"))
+
+
+@register("payload_keys", """
+SELECT "column", key, count(*) AS count FROM (
+  SELECT 'props' AS "column", unnest(json_keys(props)) AS key FROM events
+  UNION ALL SELECT 'detail', unnest(json_keys('{"type": 1, "' || event_type || '": 2}')) FROM events) GROUP BY ALL""")
+def q_payload_keys(spark, d):
+    e = Tables(spark, d).events
+    detail = F.concat(F.lit('{"type": 1, "'), F.col("event_type"), F.lit('": 2}'))
+    return B.payload_keys(e.select("props", detail.alias("detail")), ["props", "detail"])
+
+
 @register("payload_profile", """
 SELECT "column", count(value) AS present, CAST(min(length(value)) AS INT) AS min_len,
   round(avg(length(value)), 2) AS avg_len, CAST(max(length(value)) AS INT) AS max_len,

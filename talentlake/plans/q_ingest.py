@@ -285,6 +285,25 @@ def q_cascade_delete(spark, d):
     return inv.unionByName(nulled)
 
 
+@register("cascade_delete_owned", """
+WITH asked AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN o_custkey ELSE o_custkey + 1 END AS who FROM orders WHERE o_orderkey % 5 = 0),
+gone AS (SELECT o_orderkey FROM orders JOIN asked ON o_orderkey = k AND o_custkey = who)
+SELECT 'orders' AS table_name, o_orderkey AS key, o_custkey AS parent, CAST(NULL AS INT) AS line FROM orders WHERE o_orderkey NOT IN (FROM gone)
+UNION ALL SELECT 'lineitem', l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (FROM gone)""")
+def q_cascade_delete_owned(spark, d):
+    """All rows that are left when customers delete orders, half of which are not theirs."""
+    t = Tables(spark, d)
+    o, li = t.orders, t.lineitem
+    key = F.col("o_orderkey")
+    asked = o.where(key % 5 == 0).select(key.alias("k"), F.when(key % 10 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("who"))
+    out = M.cascade_delete({"orders": o, "lineitem": li}, [("orders", "o_orderkey", "lineitem", "l_orderkey", "cascade")], "orders",
+                           "o_orderkey", asked, owner="o_custkey")
+    left = out["orders"].select(F.lit("orders").alias("table_name"), key.alias("key"), F.col("o_custkey").alias("parent"),
+                                F.lit(None).cast("int").alias("line"))
+    return left.unionByName(out["lineitem"].select(F.lit("lineitem").alias("table_name"), F.col("l_orderkey").alias("key"),
+                                                   F.col("l_partkey").alias("parent"), F.col("l_linenumber").alias("line")))
+
+
 # --------------------------------------------------------------------------- A8
 CHARTS = [("status_breakdown", "Current Status Distribution", "donut", "Where applications stand today"),
           ("skill_gaps", "Most Common Missing Skills", "horizontalBar", "Skills most often missing"),
