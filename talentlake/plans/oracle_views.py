@@ -26,7 +26,7 @@ FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey""",
 SELECT o_orderkey AS id, o_custkey AS user_id, o_orderpriority AS version_name, o_orderkey % 4 = 0 AS is_primary,
   o_orderdate AS created_at FROM orders""",
     "v_analyses": """
-SELECT o_orderkey AS id, o_orderkey % 4000 AS job_id, o_custkey AS cv_version_id, CAST(floor(o_totalprice / 5000) AS INT) AS fit_score,
+SELECT o_orderkey AS id, o_orderkey * 4 // 15 AS job_id, o_custkey AS cv_version_id, CAST(floor(o_totalprice / 5000) AS INT) AS fit_score,
   CAST(o_orderkey % 101 AS INT) AS ats_score, o_orderdate AS created_at FROM orders""",
     "v_findings": """
 SELECT d.doc_id AS id, d.source AS topic, CASE d.doc_id % 4 WHEN 0 THEN 'role_trend' WHEN 1 THEN 'skill_demand'
@@ -36,7 +36,7 @@ SELECT d.doc_id AS id, d.source AS topic, CASE d.doc_id % 4 WHEN 0 THEN 'role_tr
 FROM documents d LEFT JOIN labels b ON d.doc_id = b.doc_id""",
     "v_postings": """
 SELECT p.p_partkey AS id, CASE p.p_partkey % 2 WHEN 0 THEN 'indeed' ELSE 'glassdoor' END AS source,
-  concat('jk', CAST(p.p_partkey % 1500 AS VARCHAR)) AS source_job_id, p.p_name AS role_title, p.p_brand AS company_name,
+  concat('jk', CAST(p.p_partkey * 3 // 4 AS VARCHAR)) AS source_job_id, p.p_name AS role_title, p.p_brand AS company_name,
   n.n_name AS location,
   CASE p.p_partkey % 5 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Hybrid remote' WHEN 2 THEN 'On-site only' WHEN 3 THEN 'In-office' ELSE '' END AS policy_text,
   CAST(round(p.p_retailprice * 100) AS INT) AS salary_min,

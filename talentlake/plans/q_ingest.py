@@ -146,11 +146,11 @@ def _upsert_inputs(t):
     target = t0.groupBy("source", "source_job_id").agg(
         F.min_by(F.struct(*[c for c in t0.columns if c not in ("source", "source_job_id")]), F.col("id")).alias("_r")
     ).select("source", "source_job_id", "_r.*").select(*t0.columns)
-    pt = t.part.where(F.col("p_size") <= 25)
+    pt = t.part
     up = pt.select(
         (F.col("p_partkey") + 100000).alias("id"),
         F.when(F.col("p_partkey") % 2 == 0, "INDEED").otherwise("GLASSDOOR").alias("source"),
-        F.when(F.col("p_size") != 1, F.concat(F.lit("jk"), (F.col("p_partkey") % 1800).cast("string"))).alias("source_job_id"),
+        F.when(F.col("p_size") != 1, F.concat(F.lit("jk"), F.expr("p_partkey * 9 div 10").cast("string"))).alias("source_job_id"),
         F.concat(F.lit("https://new.example/"), F.col("p_partkey").cast("string")).alias("source_url"),
         F.concat(F.col("p_brand"), F.lit(" Inc")).alias("company_name"),
         F.col("p_name").alias("role_title"),
@@ -193,7 +193,7 @@ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, sour
     ("target", """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source, source_job_id ORDER BY id) AS rn
                   FROM t0) WHERE rn = 1"""),
     ("u", """SELECT p_partkey + 100000 AS id, lower(CASE WHEN p_partkey % 2 = 0 THEN 'INDEED' ELSE 'GLASSDOOR' END) AS source,
-             coalesce(CASE WHEN p_size <> 1 THEN 'jk' || CAST(p_partkey % 1800 AS VARCHAR) END, CAST(p_partkey + 100000 AS VARCHAR))
+             coalesce(CASE WHEN p_size <> 1 THEN 'jk' || CAST(p_partkey * 9 // 10 AS VARCHAR) END, CAST(p_partkey + 100000 AS VARCHAR))
                AS source_job_id,
              'https://new.example/' || CAST(p_partkey AS VARCHAR) AS source_url, p_brand || ' Inc' AS company_name,
              p_name AS role_title, nullif(CASE WHEN p_size % 4 <> 0 THEN p_type ELSE '' END, '') AS location,
@@ -201,7 +201,7 @@ LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, sour
              CASE WHEN (CASE WHEN p_size % 5 <> 0 THEN p_size * 1500 ELSE 0 END) > 0 THEN p_size * 1500 END AS salary_max,
              p_name || ' at ' || p_brand AS description_text,
              nullif(CASE WHEN p_size % 3 <> 0 THEN p_type ELSE '' END, '') AS requirements_text, p_partkey AS arrival
-             FROM part WHERE p_size <= 25"""),
+             FROM part"""),
 ])
 
 
@@ -378,9 +378,9 @@ def q_apply_patches(spark, d):
 
 # --------------------------------------------------------------------------- A11
 @register("insert_if_absent", """
-WITH users AS (SELECT 'user_' || CAST(c_custkey AS VARCHAR) AS clerk_user_id, c_name AS name,
+WITH users AS (SELECT 'user_' || CAST(c_custkey * 2 AS VARCHAR) AS clerk_user_id, c_name AS name,
                  'c' || CAST(c_custkey AS VARCHAR) || '@example.com' AS email, [c_mktsegment] AS target_roles
-               FROM customer WHERE c_mktsegment = 'HOUSEHOLD'),
+               FROM customer),
 signups AS (SELECT 'user_' || CAST(o_custkey AS VARCHAR) AS clerk_user_id,
               CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN '' ELSE 'Name ' || CAST(o_orderkey AS VARCHAR) END
                 AS token_name,
@@ -395,8 +395,8 @@ SELECT clerk_user_id, coalesce(nullif(trim(token_name), ''), nullif(split_part(e
 def q_insert_if_absent(spark, d):
     t = Tables(spark, d)
     c, o = t.customer, t.orders
-    users = c.where(F.col("c_mktsegment") == "HOUSEHOLD").select(
-        F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("clerk_user_id"),
+    users = c.select(  # every second customer number is taken
+        F.concat(F.lit("user_"), (F.col("c_custkey") * 2).cast("string")).alias("clerk_user_id"),
         F.col("c_name").alias("name"),
         F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("email"),
         F.array("c_mktsegment").alias("target_roles"))

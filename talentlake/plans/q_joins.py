@@ -115,9 +115,8 @@ MATCH_SQL = [
     ("reqs", """SELECT l.l_orderkey AS job_id, l.l_linenumber AS req_id, p.p_type AS skill,
                 CASE WHEN l.l_linenumber = 1 THEN NULL ELSE l.l_linenumber + 1 END AS years_required
                 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey"""),
-    ("cvs", """SELECT o.o_custkey AS cv_id, p.p_type AS skill, CAST(CAST(l.l_quantity AS BIGINT) % 12 AS INT) AS years
-               FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN part p ON l.l_partkey = p.p_partkey
-               WHERE o.o_orderstatus = 'F'"""),
+    ("cvs", """SELECT o.o_custkey + 1 AS cv_id, p.p_type AS skill, CAST(CAST(l.l_quantity AS BIGINT) % 12 AS INT) AS years
+               FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN part p ON l.l_partkey = p.p_partkey"""),
 ]
 
 
@@ -136,8 +135,8 @@ def q_match_requirements(spark, d):
     reqs = lp.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("req_id"),
                      F.col("p_type").alias("skill"),
                      F.when(F.col("l_linenumber") != 1, F.col("l_linenumber") + 1).alias("years_required"))
-    cvs = o.where(F.col("o_orderstatus") == "F").join(lp, o.o_orderkey == lp.l_orderkey).select(
-        F.col("o_custkey").alias("cv_id"), F.col("p_type").alias("skill"),
+    cvs = o.join(lp, o.o_orderkey == lp.l_orderkey).select(
+        (F.col("o_custkey") + 1).alias("cv_id"), F.col("p_type").alias("skill"),
         (F.col("l_quantity").cast("bigint") % 12).cast("int").alias("years"))
     return J.match_requirements(pairs, reqs, cvs)
 
@@ -178,12 +177,12 @@ FROM req r LEFT JOIN v_cv c ON c.id = r.cv_version_id AND c.user_id = r.user_id
 LEFT JOIN v_applications j ON j.id = r.job_posting_id AND j.user_id = r.user_id""",
     extra=[("req", """SELECT o_orderkey AS request_id, o_custkey AS user_id,
             CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE o_orderkey - 1 END AS cv_version_id,
-            CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey % 4000 END AS job_posting_id FROM orders""")]))
+            CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey * 4 // 15 END AS job_posting_id FROM orders""")]))
 def q_analysis_inputs(spark, d):
     t = Tables(spark, d)
     o = t.orders
     req = o.select(
         F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("user_id"),
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") - 1).alias("cv_version_id"),
-        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") % 4000).alias("job_posting_id"))
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")).otherwise(F.expr("o_orderkey * 4 div 15")).alias("job_posting_id"))
     return J.build_analysis_inputs(req, V.v_cv(t), V.v_applications(t))

@@ -77,12 +77,12 @@ def q_stream_lifecycle(spark, d):
 def q_stream_upsert(spark, d):
     t = Tables(spark, d)
     target, _ = _upsert_inputs(t)
-    pt = S.table_stream(spark, d, "part").where(F.col("p_size") <= 25)
+    pt = S.table_stream(spark, d, "part")
     # same projection as the batch twin, applied to the part stream
     up = pt.select(
         (F.col("p_partkey") + 100000).alias("id"),
         F.when(F.col("p_partkey") % 2 == 0, "INDEED").otherwise("GLASSDOOR").alias("source"),
-        F.when(F.col("p_size") != 1, F.concat(F.lit("jk"), (F.col("p_partkey") % 1800).cast("string"))).alias("source_job_id"),
+        F.when(F.col("p_size") != 1, F.concat(F.lit("jk"), F.expr("p_partkey * 9 div 10").cast("string"))).alias("source_job_id"),
         F.concat(F.lit("https://new.example/"), F.col("p_partkey").cast("string")).alias("source_url"),
         F.concat(F.col("p_brand"), F.lit(" Inc")).alias("company_name"),
         F.col("p_name").alias("role_title"),
@@ -147,8 +147,6 @@ SELECT event_id, event_type AS agent, ts,
     ELSE 'ok ' || CAST(event_id AS VARCHAR) END AS message
 FROM events"""
 
-AGENT_TYPES = ["signup", "error", "click", "view", "purchase"]
-
 
 def _logs(df):
     et = F.col("event_type")
@@ -166,9 +164,15 @@ SELECT *, CASE WHEN message LIKE '%ERROR%' OR message LIKE '%Exception%' THEN 'E
 FROM lg""", extra=[("lg", LOGS_SQL)]))
 def q_log_levels(spark, d):
     base = S.table_stream(spark, d, "events")
-    per_agent = [_logs(base.where(F.col("event_type") == a)) for a in AGENT_TYPES]
-    out = S.write_append(S.merged_log(per_agent), "logs")
-    return spark.read.parquet(out)
+    sources = [_logs(base.where(F.col("event_id") % 2 == i)) for i in (0, 1)]
+    return spark.read.parquet(S.write_append(S.merged_log(sources), "logs"))
+
+
+@register("recent_lines", W([], """
+SELECT event_id, agent, ts, message FROM lg WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 DAY""", extra=[("lg", LOGS_SQL)]))
+def q_recent_lines(spark, d):
+    e = Tables(spark, d).events
+    return S.recent_lines(_logs(e), e.agg(F.max("ts")).scalar(), 5 * 24 * 60)
 
 
 @register("late_events", W([], """

@@ -82,7 +82,7 @@ def v_cv(t: Tables) -> DataFrame:
 def v_analyses(t: Tables) -> DataFrame:
     return t.orders.select(
         F.col("o_orderkey").alias("id"),
-        (F.col("o_orderkey") % 4000).alias("job_id"),
+        F.expr("o_orderkey * 4 div 15").alias("job_id"),
         F.col("o_custkey").alias("cv_version_id"),
         F.floor(F.col("o_totalprice") / 5000).cast("int").alias("fit_score"),
         (F.col("o_orderkey") % 101).cast("int").alias("ats_score"),
@@ -109,7 +109,7 @@ def v_postings(t: Tables) -> DataFrame:
     return p.join(F.broadcast(n), (p.p_partkey % 25) == n.n_nationkey).select(
         F.col("p_partkey").alias("id"),
         F.when(F.col("p_partkey") % 2 == 0, "indeed").otherwise("glassdoor").alias("source"),
-        F.concat(F.lit("jk"), (F.col("p_partkey") % 1500).cast("string")).alias("source_job_id"),
+        F.concat(F.lit("jk"), F.expr("p_partkey * 3 div 4").cast("string")).alias("source_job_id"),
         F.col("p_name").alias("role_title"),
         F.col("p_brand").alias("company_name"),
         F.col("n_name").alias("location"),

@@ -361,13 +361,18 @@ def log_level(message: Column) -> Column:
     return F.when(err, F.lit("ERROR")).when(tr, F.lit("TRACE")).otherwise(F.lit("INFO"))
 
 
-def merged_log(streams: Sequence[DataFrame], ts: str = "ts", delay: str = "5 minutes") -> DataFrame:
-    """Union of the agents' log streams with a level tag; late lines are kept up to the watermark."""
+def merged_log(streams: Sequence[DataFrame]) -> DataFrame:
+    """Union of the agents' log streams with a level tag; every line is kept, however late (``late_events``
+    reports those, ``recent_lines`` gives the lines of a time span in order)."""
     u = streams[0]
     for x in streams[1:]:
         u = u.unionByName(x)
-    return event_time(u.withColumn("level", log_level(F.col("message"))), ts).withWatermark("event_time", delay).drop(
-        "event_time")
+    return u.withColumn("level", log_level(F.col("message")))
+
+
+def recent_lines(logs: DataFrame, now: Column, lookback_minutes: int, ts: str = "ts") -> DataFrame:
+    """Lines of the last ``lookback_minutes`` before ``now``, oldest first."""
+    return logs.where(F.col(ts) >= F.timestamp_add("MINUTE", F.lit(-lookback_minutes), now)).orderBy(ts)
 
 
 def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 1 << 14,
