@@ -16,6 +16,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+#: folders of operator calls in this process, for callers that know when a result is no longer read
+OPEN: list[Scratch] = []
+
+
+def drop_unread(docs: DataFrame, folders: list[Scratch]) -> None:
+    """Delete the folders that ``docs`` does not read."""
+    read = docs.inputFiles()
+    for folder in folders:
+        at = folder.root.split(":", 1)[-1].lstrip("/")
+        if not any(at in f for f in read):
+            folder.drop("")
+    if folders:
+        folders[0].release()
+
+
 class Scratch:
     """Tables of one operator call under ``spark.checkpoint.dir`` (shared by all machines).
 
@@ -27,6 +42,7 @@ class Scratch:
         ship_package(spark)
         self.spark = spark
         self.root = scratch_path(spark, name)
+        OPEN.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -40,6 +56,6 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -56,34 +56,30 @@ def _look_up(blocks: DataFrame, tmp: Scratch, key: Callable[[Column], Column]) -
     return alone.unionByName(same.join(own, "block").select("row_id", "n_blocks", "pos", "name"))
 
 
-def name_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",),
-                   block_bytes: int = BLOCK_BYTES, key: Callable[[Column], Column] = F.xxhash64,
-                   ) -> tuple[DataFrame, Scratch]:
-    """One row per document: row_id, doc (a struct of ``carry``), n_points, text_sha256, n_blocks, name.
+def name_documents(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES,
+                   key: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame, Scratch]:
+    """(documents, names): row_id and doc (a struct of all columns); row_id, n_points, text_sha256,
+    n_blocks and name.
 
     ``n_blocks`` and ``name`` together are the identity.  ``key`` maps a block to the long by which
     its name is found.
     """
     tmp = Scratch(docs.sparkSession, "exact-dedup")
-    size = F.octet_length("norm")
-    table = (
-        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(f"`{text}`").alias("body"),
-                    F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"))
-        .withColumn("n_points", F.char_length(F.coalesce("body", F.lit(""))).cast("long"))
-        .withColumn("norm", normalised(F.col("body")))
-        .withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256))
-        .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(size / block_bytes)).cast("int"))
-        .withColumn("bytes", F.col("norm").cast("binary"))
-        .withColumn("blocks", F.transform(
-            F.sequence(F.lit(0), F.col("n_blocks") - 1),
-            lambda i: F.substring("bytes", i * block_bytes + 1, F.lit(block_bytes))))
-        .select("row_id", "doc", "n_points", "text_sha256", "n_blocks", "blocks")
-    )
-    table = tmp.write(table, "blocks")
-    blocks = table.select("row_id", "n_blocks", F.posexplode("blocks").alias("pos", "block"))
+    table = tmp.write(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("doc")), "documents")
+    body = F.col(f"doc.`{text}`")
+    described = tmp.write(
+        table.select("row_id", F.char_length(F.coalesce(body, F.lit(""))).cast("long").alias("n_points"), normalised(body).alias("norm"))
+        .select("row_id", "n_points", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
+                F.greatest(F.lit(1), F.ceil(F.octet_length("norm") / block_bytes)).cast("int").alias("n_blocks")), "described")
+    cut = table.select("row_id", normalised(body).cast("binary").alias("bytes")).withColumn(
+        "n_blocks", F.greatest(F.lit(1), F.ceil(F.octet_length("bytes") / block_bytes)).cast("int"))
+    blocks = cut.select("row_id", "n_blocks", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.col("n_blocks") - 1),
+        lambda i: F.substring("bytes", i * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"))
     level = tmp.write(_look_up(blocks, tmp, key), "level0")
     done, width, at = [], 1, 0
-    most = table.agg(F.max("n_blocks")).first()[0] or 0
+    tmp.release()
+    most = described.agg(F.max("n_blocks")).first()[0] or 0
     while True:
         done.append(level.filter(F.col("n_blocks") <= width).select("row_id", "name"))
         if width >= most:
@@ -102,7 +98,7 @@ def name_documents(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     identity = done[0]
     for part in done[1:]:
         identity = identity.unionByName(part)
-    return table.drop("blocks").join(identity, "row_id"), tmp
+    return table, described.join(identity, "row_id"), tmp
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", carry: tuple[str, ...] = (),
@@ -112,15 +108,17 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
     Of equal texts (after deleting white space) the row with the most code points in the original
     text, then the smallest doc_id, stays.
     """
-    named, tmp = name_documents(docs, text, tuple(dict.fromkeys((doc_id, *carry))), **options)
-    named = tmp.write(named, "identities")
-    own_id = F.col("doc")[doc_id]
-    best = F.min(F.struct((-F.col("n_points")).alias("p"), own_id.isNull().alias("no_id"),
-                          own_id.alias("id"), F.col("row_id").alias("row"))).alias("best")
+    own = tuple(dict.fromkeys((doc_id, *carry)))
+    table, named, tmp = name_documents(docs.select(*[f"`{c}`" for c in dict.fromkeys((*own, text))]), text, **options)
+    # the texts stay behind: groups are formed of narrow rows
+    named = tmp.write(named.join(table.select("row_id", F.col("doc")[doc_id].alias("id")), "row_id"), "identities")
+    best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("id").isNull().alias("no_id"), "id",
+                          F.col("row_id").alias("row"))).alias("best")
     groups = named.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), best)
     results = {"keep_id": F.col("best.id"), "group_size": F.col("group_size"),
                "kept": F.col("row_id") == F.col("best.row"), "text_sha256": F.col("text_sha256"),
                "n_points": F.col("n_points"), "n_blocks": F.col("n_blocks")}
-    own = [c for c in dict.fromkeys((doc_id, *carry)) if c not in results]
-    return named.join(groups, ["n_blocks", "name"]).select(
-        *[F.col("doc")[c].alias(c) for c in own], *[c.alias(n) for n, c in results.items()])
+    decided = tmp.write(named.join(groups, ["n_blocks", "name"]).select("row_id", *[c.alias(n) for n, c in results.items()]), "decided")
+    tmp.release()
+    return table.select("row_id", F.struct(*[F.col("doc")[c].alias(c) for c in own]).alias("doc")).join(decided, "row_id").select(
+        *[F.col("doc")[c].alias(c) for c in own if c not in results], *results)
