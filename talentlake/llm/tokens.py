@@ -34,13 +34,20 @@ def _byte_of() -> dict[str, int]:
     return out
 
 
+@functools.lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    """Loaded at the first text that needs it: it takes more memory than the fast encoder."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[str], list[int]]:
     """text -> ids, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
-    from tokenizers import Tokenizer
+    def slow(text: str) -> list[int]:
+        return _tokenizer(path).encode(text, add_special_tokens=False).ids
 
-    exact = Tokenizer.from_file(path)
-    slow = lambda text: exact.encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     split = spec.get("pre_tokenizer") or {}
