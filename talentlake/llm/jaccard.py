@@ -13,11 +13,12 @@ and each band divides the feature domain into groups of ``n2`` partitions:
   with too many empty ones adds signatures under further divisions (``SALTS``) until it has enough:
   of a pair, both emit the first division in which either has enough, so no pair is lost.
 
-Candidates are not all pairs of a signature's sets: every set is compared with the one
-representative with which it shares most signatures (the best known set of each signature); sets linked to a representative at distance d
-need no comparison with what is farther than d + 0.2 from it (the Jaccard distance is a metric).
-What is left in signatures that hold several components is compared one by one, so no link is lost;
-single sets first have to share as many signatures as similar sets of their sizes must.
+Candidates are not all pairs of a signature's sets.  Every set is compared with one hub, the best known
+set with which it shares most signatures.  What is left is compared where signatures hold several
+components: single sets with single sets, and any set with the hubs of other components, if they meet in
+as many signatures as similar sets must.  A set that is not like a hub can be like one of the hub's
+sets only if they share a shingle that the hub lacks (or by what both have of the hub, see
+``_links``), so these are joined by such shingles, and no link is lost.
 
 Scale: equal sets are one class (a hash of all shingles).  Signatures travel as packed arrays by
 bucket, not as rows; the number of buckets follows the input.  Of a signature that occurs more
@@ -312,8 +313,16 @@ def _met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _signature_rows(sig[new], owner[new], 2)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of each pair of sets; ``texts`` is (set, text)."""
+_PAIR = "a long, b long, linked boolean, size_a long, size_b long, common long, private array<long>"
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, private: bool = False) -> DataFrame:
+    """Pairs of sets (a, b) with their sizes, what they have in common and whether they are linked.
+
+    ``texts`` is (set, text).  ``private``: also the shingles of a that b does not have.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("size_a", pa.int64()), ("size_b", pa.int64()),
+                        ("common", pa.int64()), ("private", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, right = None, None
@@ -323,16 +332,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 if b != last:  # rows come sorted by b
                     last, right = b, shingles(tb.as_py())
                 left = shingles(ta.as_py())
+                only = left[~np.isin(left, right, assume_unique=True)] if private else None
                 both = len(left) + len(right)
-                common = both - len(np.unique(np.concatenate([left, right])))
-                out.append((a, b, 1 - common / (both - common), DEN * common >= NUM * (both - common)))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))],
-                                             ["a", "b", "distance", "linked"])
+                common = len(left) - len(only) if private else both - len(np.unique(np.concatenate([left, right])))
+                out.append((a, b, DEN * common >= NUM * (both - common), len(left), len(right), common, only.view(np.int64) if private else None))
+            for at in range(0, len(out), 1024):
+                cols = zip(*out[at:at + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     left = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, _PAIR)
 
 
 def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
@@ -364,7 +374,6 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
 
 def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """(a, b): links that connect exactly the sets that similar pairs connect."""
-    limit = 1 - NUM / DEN
     # a signature's representative is its set with the most shared signatures: of an original and its
     # copies, which are more like it than like each other, that is the original
     known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
@@ -375,53 +384,61 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     best = (per_pair.groupBy(F.col("member").alias("a")).agg(F.max(F.struct("n", "rep")).alias("best"))
             .select("a", F.col("best.rep").alias("b"), F.col("best.n").alias("shared")))
     # pairs that seem to share too few signatures here are met again below, with all they share
-    first = tmp.write(_verified(_enough(best, sets), texts), "verified1")
-    links = first.filter("linked").select("a", "b")
-    # every set with its component, its representative and the distance to it; a set that has and is
-    # no representative is single: it can only be linked itself
-    to = first.filter("linked").select(F.col("a").alias("member"), F.col("b").alias("rho"), F.col("distance").alias("d"))
+    first = tmp.write(_verified(_enough(best, sets), texts, private=True).filter("linked"), "verified1")
+    links = first.select("a", "b")
+    # every set with its component and its hub; a set that has and is no hub is single
+    to = first.select(F.col("a").alias("member"), F.col("b").alias("hub"))
     info = sets.select(F.col("set").alias("member"), F.col("n_shingles").alias("n"), "least").join(to, "member", "left")
     if not links.isEmpty():
         roots = components(links, tmp, "components1").select(F.col("node").alias("member"), "root")
         info = info.join(roots, "member", "left")
     else:
         info = info.withColumn("root", F.lit(None).cast("long"))
-    info = tmp.write(info.select("member", "n", "least", F.coalesce("rho", "member").alias("rho"), F.coalesce("d", F.lit(0.0)).alias("d"),
-                                 F.coalesce("root", "member").alias("root"), F.col("root").isNull().alias("single")), "info")
-    # what the sets of a representative share with any similar set at least
-    of_rho = info.groupBy("rho").agg(F.min("least").alias("least"))
-    info = tmp.write(info.drop("least").join(of_rho, "rho"), "info-least")
+    single = F.col("root").isNull()
+    info = tmp.write(info.select("member", "n", "least", F.coalesce("hub", "member").alias("hub"),
+                                 F.coalesce("root", "member").alias("root"), single.alias("single")), "info")
     tmp.release()
     at = shared.select("sig", "member").join(info, "member")
     several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = tmp.write(at.join(several, "sig", "left_semi").distinct(), "rest")
     tmp.release()
-    # representatives of different components in one signature; of two single sets only those of like
-    # sizes.  Sets that they stand for can only be similar if the representatives meet often enough.
-    rhos = rest.select("sig", "rho", "root", "single", "least", F.when(F.col("single"), F.col("n")).alias("n")).distinct()
-    one, two = rhos.alias("one"), rhos.alias("two")
-    like = F.coalesce((DEN * F.col("one.n") >= NUM * F.col("two.n")) & (DEN * F.col("two.n") >= NUM * F.col("one.n")), F.lit(True))
-    met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.rho") < F.col("two.rho")) & (F.col("one.root") != F.col("two.root")) & like)
-           .groupBy(F.col("one.rho").alias("a"), F.col("two.rho").alias("b"))
-           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.col("one.single") & F.col("two.single")).alias("single"),
-                F.max(F.greatest("one.least", "two.least")).alias("least")).filter("shared >= least"))
-    met = tmp.write(met, "met")
-    second = met.filter("NOT single").select("a", "b").unionByName(_enough(met.filter("single"), sets))
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked")
-    old = second.join(seen, ["a", "b"])
-    second = tmp.write(_verified(second.join(seen, ["a", "b"], "left_anti"), texts).unionByName(old.select("a", "b", "distance", "linked")), "verified2")
+    # two single sets: of like sizes, with as many signatures in common as similar sets have
+    alone = rest.filter("single").select("sig", "member", "n", "least")
+    one, two = alone.alias("one"), alone.alias("two")
+    like = (DEN * F.col("one.n") >= NUM * F.col("two.n")) & (DEN * F.col("two.n") >= NUM * F.col("one.n"))
+    met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.member") < F.col("two.member")) & like)
+           .groupBy(F.col("one.member").alias("a"), F.col("two.member").alias("b"))
+           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("one.least", "two.least")).alias("least")).filter("shared >= least"))
+    pairs = _verified(_enough(tmp.write(met, "met-single"), sets), texts)
+    links = links.union(tmp.write(pairs.filter("linked").select("a", "b"), "linked-single"))
+    # any set with the hub of another component: what is similar to one of the hub's sets meets them
+    # in as many signatures
+    of_hub = info.filter("NOT single").groupBy("hub").agg(F.min("least").alias("least_hub"))
+    around = (rest.filter("NOT single").select("sig", "hub", F.col("root").alias("hub_root")).distinct()
+              .join(of_hub, "hub").withColumnRenamed("hub", "h"))
+    met = (rest.join(around, "sig").filter("root != hub_root").groupBy(F.col("member").alias("a"), F.col("h").alias("b"))
+           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("least", "least_hub")).alias("least")).filter("shared >= least"))
+    met = tmp.write(met.select("a", "b"), "met-hub")
     tmp.release()
+    second = tmp.write(_verified(met, texts, private=True), "verified2")
     links = links.union(second.filter("linked").select("a", "b"))
-    # members whose distances to their representatives leave room for a link; the others have none
-    near = second.filter((F.col("distance") <= 3 * limit + 1e-9) & ~F.col("linked")).select("a", "b", "distance")
-    m1 = rest.select("sig", F.col("rho").alias("a"), F.col("member").alias("x"), F.col("d").alias("dx"), F.col("n").alias("nx"))
-    m2 = rest.select("sig", F.col("rho").alias("b"), F.col("member").alias("y"), F.col("d").alias("dy"), F.col("n").alias("ny"))
-    third = (m1.join(near, "a").join(m2, ["sig", "b"]).filter(F.col("dx") + F.col("dy") >= F.col("distance") - limit - 1e-9)
+    # a set y that is not like hub h can be like a set x of h only if x and y share a shingle that h
+    # does not have, or if what each has of h is enough: 9 * min >= 4 * (size of x + size of y)
+    xs = first.select(F.col("b").alias("h"), F.col("a").alias("x"), F.col("size_a").alias("nx"), F.col("common").alias("hx"), F.col("private").alias("px"))
+    ys = second.filter("NOT linked").select(F.col("b").alias("h"), F.col("a").alias("y"), F.col("size_a").alias("ny"), F.col("common").alias("hy"),
+                                            F.col("private").alias("py"))
+    cols_x, cols_y = ("h", "x", "nx", "hx"), ("h", "y", "ny", "hy")
+    total = DEN + NUM  # similar: total * common >= NUM * (nx + ny)
+    by_shingle = (xs.select(*cols_x, F.explode("px").alias("p")).join(ys.select(*cols_y, F.explode("py").alias("p")), ["h", "p"]))
+    most_y = ys.groupBy("h").agg(F.max(total * F.col("hy") - NUM * F.col("ny")).alias("room_y"), F.min("ny").alias("least_y"))
+    small_x = (xs.select(*cols_x).join(most_y, "h").filter(
+        (NUM * F.col("nx") <= F.col("room_y")) & (total * F.col("hx") - NUM * F.col("nx") >= NUM * F.col("least_y"))).select(*cols_x))
+    by_hub = small_x.join(ys.select(*cols_y), "h").filter(total * F.least("hx", "hy") >= NUM * (F.col("nx") + F.col("ny")))
+    third = (by_shingle.select("x", "y", "nx", "ny").unionByName(by_hub.select("x", "y", "nx", "ny"))
              .filter((DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")))
-             .filter("x != a OR y != b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-             .agg(F.count(F.lit(1)).alias("shared")))
-    third = tmp.write(_verified(_enough(third, sets), texts), "verified3")
-    return links.union(third.filter("linked").select("a", "b"))
+             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    third = _verified(tmp.write(third, "met-third"), texts).filter("linked").select("a", "b")
+    return links.union(tmp.write(third, "verified3"))
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
