@@ -201,6 +201,37 @@ def render_job(p: Column, max_must: int | None = None, max_resp: int | None = No
     )
 
 
+def _bullets(title: str, items: Column, most: int) -> Column:
+    """A bold title, the first ``most`` items as bullets and an empty line; '' without items."""
+    lines = F.transform(F.slice(items, 1, most), lambda x: F.concat(F.lit("\n- "), F.coalesce(x, F.lit(""))))
+    return F.when(F.size(items) > 0, F.concat(F.lit(f"\n**{title}:**"), F.array_join(lines, ""), F.lit("\n"))).otherwise(F.lit(""))
+
+
+def render_job_interview(p: Column, max_must: int = 8, max_resp: int = 6) -> Column:
+    """Job profile struct → prompt text for interview questions."""
+    head = F.concat(F.lit("## Role: "), F.coalesce(p["role_title"], F.lit("Unknown")), F.lit(" at "),
+                    F.coalesce(p["company"], F.lit("Unknown")), F.lit("\nSeniority: "), F.coalesce(p["seniority"], F.lit("unknown")), F.lit("\n"))
+    must = F.transform(F.coalesce(p["must_have"], F.array()), lambda r: r["text"])
+    resp = F.coalesce(p["responsibilities"], F.array())
+    return F.concat(head, _bullets("Key Requirements", must, max_must), _bullets("Responsibilities", resp, max_resp))
+
+
+def render_gaps(gaps: Column, most: int = 5) -> Column:
+    """Gap structs → list of what to address ('' without an analysis)."""
+    label = lambda g: F.coalesce(g["missing_element"], g["requirement"], F.lit(""))
+    lines = F.transform(F.slice(gaps, 1, most), lambda g: F.concat(F.lit("\n- "), label(g)))
+    return F.when(gaps.isNull(), F.lit("")).otherwise(F.concat(F.lit("## Candidate Gaps to Address:"), F.array_join(lines, "")))
+
+
+def render_gap_summary(a: Column, max_gaps: int = 5, max_keywords: int = 10) -> Column:
+    """Gap analysis struct → scores, key gaps and missing keywords."""
+    gaps = F.transform(F.slice(F.coalesce(a["gaps"], F.array()), 1, max_gaps), lambda g: g["missing_element"])
+    words_ = F.slice(F.coalesce(a["keywords_missing"], F.array()), 1, max_keywords)
+    return F.concat(F.lit("\nGap Analysis Results:\n- Fit Score: "), a["fit_score"].cast("string"), F.lit("/100\n- ATS Score: "),
+                    a["ats_score"].cast("string"), F.lit("/100\n- Key Gaps: "), F.array_join(gaps, ", "),
+                    F.lit("\n- Missing Keywords: "), F.array_join(words_, ", "), F.lit("\n"))
+
+
 # --------------------------------------------------------------------------- T12
 # A fenced block is ``` optionally followed by "json", up to the next ```.
 FENCE_RE = r"```(?:json)?\s*([\s\S]*?)```"

@@ -364,3 +364,21 @@ def test_retained(spark):
     df = spark.createDataFrame([(ts("2024-01-01"),), (ts("2024-01-09"),)], "ts TIMESTAMP_NTZ")
     now = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
     assert work.retained(df, "ts", now, 7).count() == 1
+
+
+def test_interview_and_gap_prompts(spark):
+    from talentlake.functions import text as T
+
+    schema = ("job STRUCT<role_title: STRING, company: STRING, seniority: STRING, must_have: ARRAY<STRUCT<text: STRING>>, responsibilities: ARRAY<STRING>>, "
+              "a STRUCT<fit_score: INT, ats_score: INT, gaps: ARRAY<STRUCT<missing_element: STRING, requirement: STRING>>, keywords_missing: ARRAY<STRING>>")
+    gaps = [("SQL", None), (None, "Go"), (None, None), ("x1", None), ("x2", None), ("x3", None)]
+    df = spark.createDataFrame([(("Dev", "Acme", None, [(f"r{i}",) for i in range(10)], ["ship"]), (70, 55, gaps, [f"k{i}" for i in range(12)])),
+                                ((None, None, "senior", None, []), None)], schema)
+    rows = df.select(T.render_job_interview(F.col("job")).alias("job"), T.render_gaps(F.col("a.gaps")).alias("gaps"),
+                     T.render_gap_summary(F.col("a")).alias("sum")).collect()
+    must = "\n".join(f"- r{i}" for i in range(8))
+    assert rows[0].job == f"## Role: Dev at Acme\nSeniority: unknown\n\n**Key Requirements:**\n{must}\n\n**Responsibilities:**\n- ship\n"
+    assert rows[0].gaps == "## Candidate Gaps to Address:\n- SQL\n- Go\n- \n- x1\n- x2"
+    assert rows[0].sum == ("\nGap Analysis Results:\n- Fit Score: 70/100\n- ATS Score: 55/100\n- Key Gaps: SQL, x1, x2\n"
+                           f"- Missing Keywords: {', '.join(f'k{i}' for i in range(10))}\n")
+    assert (rows[1].job, rows[1].gaps, rows[1].sum) == ("## Role: Unknown at Unknown\nSeniority: senior\n", "", None)
