@@ -142,13 +142,13 @@ def test_top_k_equals_all_scores(spark):
 
 def test_pruning_skips_blocks(monkeypatch):
     rng = np.random.default_rng(2)
-    bags = [search.bag(" ".join(f"r{i}x{int(x)}" for x in rng.integers(0, 5, 6))) for i in range(640)]
+    bags = [search.bag("often " * int(rng.integers(1, 3)) + " ".join(f"r{i}x{int(x)}" for x in rng.integers(0, 5, 6))) for i in range(640)]
     shard = search.Shard.build(list(range(640)), bags, 6.0)
-    seen = []
-    real = search._ranges
-    monkeypatch.setattr(search, "_ranges", lambda a, b: seen.append(int(b.sum())) or real(a, b))
-    ids, _ = shard.top(bags[77][0], np.ones(len(bags[77][0])), 1)
-    assert ids.tolist() == [77] and sum(seen[1:]) <= len(bags[77][0])
+    scored = []
+    real = np.bincount
+    monkeypatch.setattr(search.np, "bincount", lambda x, w=None, n=0: scored.append(len(x)) or real(x, w, n))
+    ((_, ids, _),) = shard.search([(0, bags[77][0], np.ones(len(bags[77][0])))], 1)
+    assert ids.tolist() == [77] and sum(scored[1:]) <= len(bags[77][0])
 
 
 # --------------------------------------------------------------------------- tokens, packing, order
