@@ -60,7 +60,7 @@ FROM events GROUP BY 1, 2, 3""")
 def q_stream_tumbling(spark, d):
     s = S.table_stream(spark, d, "events")
     agg = S.metric_windows(s, "event_type", "value")
-    log = S.write_changelog(agg, "tumbling")
+    log = S.write_changelog(agg, "tumbling", ["window_start", "window_end", "event_type"])
     return S.compact_changelog(spark, log, ["window_start", "window_end", "event_type"], agg.schema)
 
 
@@ -69,7 +69,7 @@ def q_stream_lifecycle(spark, d):
     s = _status_stream(spark, d).withColumn(
         "error", F.when(F.col("status") == "failed", F.concat(F.lit("failed with value "), F.col("value").cast("string"))))
     st = S.lifecycle_stream(s, stuck_after_seconds=None)
-    log = S.write_changelog(st, "lifecycle")
+    log = S.write_changelog(st, "lifecycle", ["job_id"])
     return S.compact_changelog(spark, log, ["job_id"], st.schema).drop("stuck")
 
 
@@ -196,5 +196,5 @@ GROUP BY user_id""")
 def q_stream_pending(spark, d):
     s = _status_stream(spark, d)
     k = S.live_kpis(s, "user_id", "status")
-    log = S.write_changelog(k, "kpis")
+    log = S.write_changelog(k, "kpis", ["user_id"])
     return S.compact_changelog(spark, log, ["user_id"], k.schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from talentlake.functions.columns import canonical_url, parse_salary, remote_policy
 from talentlake.functions.text import visible_text
@@ -30,13 +31,13 @@ JSONLD_SCHEMA = ("`@type` STRING, title STRING, hiringOrganization STRING, jobLo
 MOSAIC_SCHEMA = ("metaData STRUCT<mosaicProviderJobCardsModel: STRUCT<results: ARRAY<STRUCT<title: STRING, "
                  "company: STRING, formattedLocation: STRING, snippet: STRING, formattedSalary: STRING, "
                  "salarySnippet: STRUCT<text: STRING>, jobkey: STRING>>>>")
-CARD_SCHEMA = ("role_title STRING, job_key STRING, company_name STRING, location STRING, salary_text STRING, "
-               "description_text STRING")
+CARD_TYPE = ArrayType(StructType([StructField(c, StringType()) for c in (
+    "role_title", "job_key", "company_name", "location", "salary_text", "description_text")]))
 OUT_COLS = ["page_id", "kind", "pos", "source", "role_title", "company_name", "location", "description_text",
             "salary_min", "salary_max", "source_url", "source_job_id", "remote_policy"]
 
 
-@F.pandas_udf(f"ARRAY<STRUCT<{CARD_SCHEMA.replace(' STRING', ': STRING')}>>")
+@F.pandas_udf(CARD_TYPE)
 def _cards(pages: pd.Series) -> pd.Series:
     from talentlake.functions.html_cards import page_cards
 

@@ -92,8 +92,13 @@ def write_append(df: DataFrame, name: str, path: str | None = None, checkpoint:
     return out
 
 
-def write_changelog(df: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None) -> str:
-    """Update-mode stream: every micro-batch's changed rows are appended with their batch id."""
+def write_changelog(df: DataFrame, name: str, keys: Sequence[str], path: str | None = None, checkpoint: str | None = None,
+                    compact_every: int = 16) -> str:
+    """Update-mode stream: every micro-batch's changed rows are appended with their batch id.
+
+    Every ``compact_every`` batches the table of that moment becomes a new base, and what the base
+    before it had replaced is deleted: a reader that started on the older base is not cut off.
+    """
     spark = df.sparkSession
     out = path or scratch_path(spark, f"{name}-log")
     ck = checkpoint or scratch_path(spark, f"{name}-ckpt")
@@ -101,19 +106,54 @@ def write_changelog(df: DataFrame, name: str, path: str | None = None, checkpoin
     def sink(batch: DataFrame, batch_id: int) -> None:
         # idempotent by batch id: a replayed batch overwrites its own partition only
         (batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(out))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{out}/log"))
+        if (batch_id + 1) % compact_every == 0:
+            older = _bases(spark, out)
+            compact_changelog(spark, out, keys, df.schema).write.mode("overwrite").parquet(f"{out}/base/v={batch_id}")
+            if older:
+                _delete_before(spark, f"{out}/log", "_batch", max(older) + 1)
+                _delete_before(spark, f"{out}/base", "v", max(older))
 
     run_available(df.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(sink))
     return out
 
 
+def _folders(spark: SparkSession, path: str, name: str) -> dict[int, object]:
+    """Number -> path of the folders ``name=<number>`` under ``path``."""
+    if not path_exists(spark, path):
+        return {}
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    paths = [f.getPath() for f in found if f.isDirectory()]
+    return {int(p.getName().split("=")[1]): p for p in paths if p.getName().startswith(f"{name}=")}
+
+
+def _bases(spark: SparkSession, path: str) -> list[int]:
+    """Finished bases: a folder counts once Spark has committed it."""
+    return [v for v, p in _folders(spark, f"{path}/base", "v").items() if path_exists(spark, f"{p.toString()}/_SUCCESS")]
+
+
+def _delete_before(spark: SparkSession, path: str, name: str, number: int) -> None:
+    for v, p in _folders(spark, path, name).items():
+        if v < number:
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def compact_changelog(spark: SparkSession, path: str, keys: Sequence[str], schema: StructType) -> DataFrame:
-    """Current table of a changelog: the row of the latest batch per key (partial max_by per key)."""
-    if not path_exists(spark, path):  # no batch produced output
+    """Current table of a changelog: the row of the latest batch per key (partial max_by per key), out of
+    the latest base and the batches after it."""
+    bases = _bases(spark, path)
+    parts = []
+    if bases:
+        parts.append(spark.read.schema(schema).parquet(f"{path}/base/v={max(bases)}").withColumn("_batch", F.lit(max(bases)).cast("long")))
+    if path_exists(spark, f"{path}/log"):
+        log = spark.read.schema(StructType([*schema.fields, StructField("_batch", LongType())])).parquet(f"{path}/log")
+        parts.append(log.where(F.col("_batch") > max(bases)) if bases else log)
+    if not parts:  # no batch produced output
         return spark.createDataFrame([], schema)
-    log = spark.read.schema(StructType([*schema.fields, StructField("_batch", LongType())])).parquet(path)
+    log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     others = [c for c in log.columns if c not in keys and c != "_batch"]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r")).select(*keys, "_r.*")
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r")).select(*keys, "_r.*").select(*schema.names)
 
 
 # --------------------------------------------------------------------------- R1

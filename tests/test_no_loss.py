@@ -123,3 +123,18 @@ def test_salary_quantiles_match_numpy(spark):
         mids = [(lo + hi) / 2 for k, lo, hi in rows if k == g]
         assert [got[g].p25_mid, got[g].median_mid, got[g].p75_mid] == [round(float(np.quantile(mids, q)), 2) for q in (.25, .5, .75)]
     assert (got["c"].with_salary, got["c"].median_mid, got[None].median_mid) == (0, None, 5.0)
+
+
+def test_changelog_is_compacted_and_shrinks(spark, tmp_path):
+    src, out = str(tmp_path / "in"), scratch_path(spark, "t-log")
+    for i in range(7):
+        spark.createDataFrame([(k, 1) for k in range(i, i + 3)], "k INT, n INT").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    s = spark.readStream.schema("k INT, n INT").option("maxFilesPerTrigger", 1).parquet(src)
+    counts = s.groupBy("k").agg(F.sum("n").alias("n"))
+    S.write_changelog(counts, "t", ["k"], path=out, compact_every=2)
+    got = {r.k: r.n for r in S.compact_changelog(spark, out, ["k"], counts.schema).collect()}
+    assert got == {k: min(k + 1, 3, 9 - k) for k in range(9)}
+    # bases at batches 1, 3, 5; the last one kept the base before it and the batches after that
+    assert sorted(S._bases(spark, out)) == [3, 5]
+    assert sorted(S._folders(spark, f"{out}/log", "_batch")) == [4, 5, 6]

@@ -170,9 +170,9 @@ def test_lifecycle_stream_across_batches_equals_batch_fold(spark, tmp_path):
         _t.sleep(1.1)
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     st = S.lifecycle_stream(s, stuck_after_seconds=None)
-    log = S.write_changelog(st, "t-lifecycle")
+    log = S.write_changelog(st, "t-lifecycle", ["job_id"])
     got = S.compact_changelog(spark, log, ["job_id"], st.schema).drop("stuck")
-    assert spark.read.parquet(log).select("_batch").distinct().count() == 3
+    assert spark.read.parquet(f"{log}/log").select("_batch").distinct().count() == 3
     want = WK.job_lifecycle(spark.createDataFrame(rows, schema), error="error")
     cols = want.columns
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
