@@ -15,8 +15,8 @@ and each band divides the feature domain into groups of ``n2`` partitions:
 
 Candidates are not all pairs of a signature's sets.  Every set is compared with one hub, the best known
 set with which it shares most signatures.  What is left is compared where signatures hold several
-components: single sets with single sets, and any set with the hubs of other components, if they meet in
-as many signatures as similar sets must.  A set that is not like a hub can be like one of the hub's
+components: single sets with single sets by their rarest signatures, and any set with the hubs of other
+components if they meet in as many signatures as similar sets must.  A set that is not like a hub can be like one of the hub's
 sets only if they share a shingle that the hub lacks (or by what both have of the hub, see
 ``_links``), so these are joined by such shingles, and no link is lost.
 
@@ -372,13 +372,30 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
         roots = new.select("node", "root")
 
 
+def _alive(shared: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
+    """(sig, member, f, known, least) of the sets that can have a partner.
+
+    A set that shares fewer signatures with all others together than with a similar one has none; then
+    signatures of one set alone go, which can rule out more sets.  ``f`` counts the sets of a signature,
+    ``known`` the signatures of a set.
+    """
+    bound = sets.select(F.col("set").alias("member"), "least")
+    for turn in (1, 2):
+        known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
+        able = known.join(bound, "member").filter("known >= least")
+        rows = shared.select("sig", "member").join(able.select("member"), "member", "left_semi")
+        often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+        shared = tmp.write(rows.join(often, "sig"), f"alive{turn}")
+        tmp.release()
+    known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
+    return tmp.write(shared.join(known.join(bound, "member").filter("known >= least"), "member"), "alive")
+
+
 def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """(a, b): links that connect exactly the sets that similar pairs connect."""
     # a signature's representative is its set with the most shared signatures: of an original and its
     # copies, which are more like it than like each other, that is the original
-    known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
-    ranked = shared.select("sig", "member").join(known, "member")
-    hubs = ranked.groupBy("sig").agg(F.max(F.struct("known", "member")).alias("hub")).select("sig", F.col("hub.member").alias("rep"))
+    hubs = shared.groupBy("sig").agg(F.max(F.struct("known", "member")).alias("hub")).select("sig", F.col("hub.member").alias("rep"))
     per_pair = (shared.select("sig", "member").join(hubs, "sig").filter("member != rep")
                 .groupBy("member", "rep").agg(F.count(F.lit(1)).alias("n")))
     best = (per_pair.groupBy(F.col("member").alias("a")).agg(F.max(F.struct("n", "rep")).alias("best"))
@@ -398,18 +415,19 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     info = tmp.write(info.select("member", "n", "least", F.coalesce("hub", "member").alias("hub"),
                                  F.coalesce("root", "member").alias("root"), single.alias("single")), "info")
     tmp.release()
-    at = shared.select("sig", "member").join(info, "member")
+    at = shared.select("sig", "member", "f", "known").join(info, "member")
     several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = tmp.write(at.join(several, "sig", "left_semi").distinct(), "rest")
     tmp.release()
-    # two single sets: of like sizes, with as many signatures in common as similar sets have
-    alone = rest.filter("single").select("sig", "member", "n", "least")
+    # two single sets of like sizes.  They share at least ``least`` signatures, so one of those is among
+    # the rarest known - least + 1 of either: the signatures of passages that many share fall away.
+    rare = F.row_number().over(Window.partitionBy("member").orderBy("f", "sig"))
+    alone = rest.filter("single").withColumn("rank", rare).filter("rank <= known - least + 1").select("sig", "member", "n")
     one, two = alone.alias("one"), alone.alias("two")
     like = (DEN * F.col("one.n") >= NUM * F.col("two.n")) & (DEN * F.col("two.n") >= NUM * F.col("one.n"))
     met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.member") < F.col("two.member")) & like)
-           .groupBy(F.col("one.member").alias("a"), F.col("two.member").alias("b"))
-           .agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("one.least", "two.least")).alias("least")).filter("shared >= least"))
-    pairs = _verified(_enough(tmp.write(met, "met-single"), sets), texts)
+           .select(F.col("one.member").alias("a"), F.col("two.member").alias("b")).distinct())
+    pairs = _verified(tmp.write(met, "met-single"), texts)
     links = links.union(tmp.write(pairs.filter("linked").select("a", "b"), "linked-single"))
     # any set with the hub of another component: what is similar to one of the hub's sets meets them
     # in as many signatures
@@ -466,6 +484,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             .agg(first, *[F.min(c).alias(c) for c in ("n_shingles", "empty_own", "empty_next", "least")])
             .join(shared.select(F.col("member").alias("set")).distinct(), "set"))
     sets = tmp.write(sets, "sets")
+    shared = _alive(shared.distinct(), sets, tmp)
+    sets = tmp.write(sets.join(shared.select(F.col("member").alias("set")).distinct(), "set", "left_semi"), "sets-alive")
     owners = sets.select("set", "o.doc_id", "o.text_key")
     mine = rows.join(owners, rows.doc_id.eqNullSafe(owners.doc_id) & (rows.text_key == owners.text_key))
     texts = tmp.write(mine.select("set", "text").dropDuplicates(["set"]), "texts")
