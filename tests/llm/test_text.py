@@ -143,7 +143,7 @@ def test_top_k_equals_all_scores(spark):
 def test_pruning_skips_blocks(monkeypatch):
     rng = np.random.default_rng(2)
     bags = [search.bag("often " * int(rng.integers(1, 3)) + " ".join(f"r{i}x{int(x)}" for x in rng.integers(0, 5, 6))) for i in range(640)]
-    shard = search.Shard.build(list(range(640)), bags, 6.0)
+    shard = search.Shard.build(list(range(640)), bags).weigh(6.0)
     scored = []
     real = np.bincount
     monkeypatch.setattr(search.np, "bincount", lambda x, w=None, n=0: scored.append(len(x)) or real(x, w, n))
