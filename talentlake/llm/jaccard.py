@@ -15,8 +15,8 @@ and each band divides the feature domain into groups of ``n2`` partitions:
 
 Candidates are not all pairs of a signature's sets.  Every set is compared with one hub, the best known
 set with which it shares most signatures.  What is left is compared where signatures hold several
-components: single sets with single sets by their rarest signatures, and any set with the hubs of other
-components if they meet in as many signatures as similar sets must.  A set that is not like a hub can be like one of the hub's
+components: single sets with single sets, and any set with the hubs of other components, if they meet in
+as many signatures as similar sets must.  A set that is not like a hub can be like one of the hub's
 sets only if they share a shingle that the hub lacks (or by what both have of the hub, see
 ``_links``), so these are joined by such shingles, and no link is lost.
 
@@ -187,21 +187,28 @@ def least_of(n: int, empty: tuple[int, int]) -> int:
 
 
 # --------------------------------------------------------------------------- tables
-def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of single sets (a, b, shared) that share as many signatures as similar sets must."""
+_BAND = ["n_shingles", "empty_own", "empty_next", "low", "groups", "per_group"]
+
 
-    @F.arrow_udf("long")
-    def least(a: pa.Array, b: pa.Array, a0: pa.Array, a1: pa.Array, b0: pa.Array, b1: pa.Array) -> pa.Array:
-        rows = zip(*(x.to_pylist() for x in (a, b, a0, a1, b0, b1)))
-        return pa.array([least_shared(r[0], r[1], r[2:4], r[4:6]) for r in rows], pa.int64())
+def _need(x: str, y: str) -> Column:
+    """``least_shared`` of the sets x and y, given as structs of ``_BAND``."""
+    a, b = F.col(x), F.col(y)
+    first = a["n_shingles"] >= b["n_shingles"]
+    large, small = (lambda c: F.when(first, a[c]).otherwise(b[c])), (lambda c: F.when(first, b[c]).otherwise(a[c]))
+    empty = F.least(large("empty_own"), F.when(small("n_shingles") >= large("low"), small("empty_own")).otherwise(small("empty_next")))
+    differ = F.floor((a["n_shingles"] + b["n_shingles"]) * (DEN - NUM) / (DEN + NUM))
+    need = F.greatest(F.lit(1), large("groups") - F.floor(differ / large("per_group")) - empty)
+    return F.when(DEN * small("n_shingles") >= NUM * large("n_shingles"), need)
 
+
+def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b, shared) that share as many signatures as similar sets must."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("set").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "empty_own", "empty_next")]), side)
-    need = least("n_shingles_a", "n_shingles_b", "empty_own_a", "empty_next_a", "empty_own_b", "empty_next_b")
-    return pairs.withColumn("need", need).filter("need > 0 AND shared >= need").select("a", "b")
+        pairs = pairs.join(sets.select(F.col("set").alias(side), F.struct(*_BAND).alias(f"band_{side}")), side)
+    return pairs.filter(F.col("shared") >= _need("band_a", "band_b")).select("a", "b")
 
 
-_DESCRIBED = ["doc_id", "text_key", "n_shingles", "set", "empty_own", "empty_next", "least"]
+_DESCRIBED = ["doc_id", "text_key", "n_shingles", "set", "empty_own", "empty_next", "least", "low", "groups", "per_group"]
 _PACKED = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()),
                      *((c, pa.int64()) for c in _DESCRIBED)])
 
@@ -254,7 +261,8 @@ def _packed(buckets: int):
                 h = shingles(t.as_py())
                 name = fingerprint(h) if len(h) else None
                 empty = empty_groups(h)
-                described.append((-1 - key % buckets, doc, key, len(h), name, *empty, least_of(len(h), empty)))
+                band = _of_size(max(1, len(h)))[0]
+                described.append((-1 - key % buckets, doc, key, len(h), name, *empty, least_of(len(h), empty), band.low, band.groups, band.k2 + 1))
                 if name is None or name in seen:  # copies within the task
                     continue
                 seen.add(name)
@@ -276,7 +284,7 @@ def _packed(buckets: int):
     return run
 
 
-_OUT = ["kind", "a", "b", "c", "d", "e", "f", "g"]
+_OUT = ["kind", "a", "b", "c", "d", "e", "f", "g", "h", "i", "j"]
 
 
 def _signature_rows(sig: np.ndarray, owner: np.ndarray, least: int) -> pa.RecordBatch:
@@ -286,7 +294,7 @@ def _signature_rows(sig: np.ndarray, owner: np.ndarray, least: int) -> pa.Record
     keep = np.repeat(size >= least, size)
     cols = [pa.array(x[keep]) for x in (sig.view(np.int64), owner)]
     n = len(cols[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(5))], _OUT)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), *cols, *(pa.nulls(n, pa.int64()) for _ in range(8))], _OUT)
 
 
 def _met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,29 +413,27 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     links = first.select("a", "b")
     # every set with its component and its hub; a set that has and is no hub is single
     to = first.select(F.col("a").alias("member"), F.col("b").alias("hub"))
-    info = sets.select(F.col("set").alias("member"), F.col("n_shingles").alias("n"), "least").join(to, "member", "left")
+    info = sets.select(F.col("set").alias("member"), F.struct(*_BAND).alias("band"), "least").join(to, "member", "left")
     if not links.isEmpty():
         roots = components(links, tmp, "components1").select(F.col("node").alias("member"), "root")
         info = info.join(roots, "member", "left")
     else:
         info = info.withColumn("root", F.lit(None).cast("long"))
     single = F.col("root").isNull()
-    info = tmp.write(info.select("member", "n", "least", F.coalesce("hub", "member").alias("hub"),
+    info = tmp.write(info.select("member", "band", "least", F.coalesce("hub", "member").alias("hub"),
                                  F.coalesce("root", "member").alias("root"), single.alias("single")), "info")
     tmp.release()
-    at = shared.select("sig", "member", "f", "known").join(info, "member")
+    at = shared.select("sig", "member").join(info, "member")
     several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = tmp.write(at.join(several, "sig", "left_semi").distinct(), "rest")
     tmp.release()
-    # two single sets of like sizes.  They share at least ``least`` signatures, so one of those is among
-    # the rarest known - least + 1 of either: the signatures of passages that many share fall away.
-    rare = F.row_number().over(Window.partitionBy("member").orderBy("f", "sig"))
-    alone = rest.filter("single").withColumn("rank", rare).filter("rank <= known - least + 1").select("sig", "member", "n")
-    one, two = alone.alias("one"), alone.alias("two")
-    like = (DEN * F.col("one.n") >= NUM * F.col("two.n")) & (DEN * F.col("two.n") >= NUM * F.col("one.n"))
-    met = (one.join(two, (F.col("one.sig") == F.col("two.sig")) & (F.col("one.member") < F.col("two.member")) & like)
-           .select(F.col("one.member").alias("a"), F.col("two.member").alias("b")).distinct())
-    pairs = _verified(tmp.write(met, "met-single"), texts)
+    # two single sets: of like sizes, with as many signatures in common as similar sets have
+    alone = rest.filter("single").select("sig", "member", "band")
+    one, two = alone.select("sig", F.col("member").alias("a"), F.col("band").alias("x")), alone.select("sig", F.col("member").alias("b"), F.col("band").alias("y"))
+    need = _need("x", "y")
+    met = (one.join(two, "sig").filter((F.col("a") < F.col("b")) & need.isNotNull()).groupBy("a", "b")
+           .agg(F.count(F.lit(1)).alias("shared"), F.max(need).alias("need")).filter("shared >= need"))
+    pairs = _verified(tmp.write(met.select("a", "b"), "met-single"), texts)
     links = links.union(tmp.write(pairs.filter("linked").select("a", "b"), "linked-single"))
     # any set with the hub of another component: what is similar to one of the hub's sets meets them
     # in as many signatures
@@ -481,7 +487,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # the texts of sets that share a signature: one document each
     first = F.min(F.struct("doc_id", "text_key")).alias("o")
     sets = (described.filter("set IS NOT NULL").groupBy("set")
-            .agg(first, *[F.min(c).alias(c) for c in ("n_shingles", "empty_own", "empty_next", "least")])
+            .agg(first, *[F.min(c).alias(c) for c in (*_BAND, "least")])
             .join(shared.select(F.col("member").alias("set")).distinct(), "set"))
     sets = tmp.write(sets, "sets")
     shared = _alive(shared.distinct(), sets, tmp)
