@@ -399,6 +399,30 @@ def _alive(shared: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     return tmp.write(shared.join(known.join(bound, "member").filter("known >= least"), "member"), "alive")
 
 
+def _linked(met: DataFrame, texts: DataFrame, tmp: Scratch, rounds: int = 3) -> DataFrame:
+    """(a, b): links among the pairs (a, b, shared) that connect what all links among them connect.
+
+    In each round every set is compared with the one with which it shares most; pairs inside one
+    component then need no comparison.  The pairs left after the rounds are all compared.
+    """
+    links = met.select("a", "b").limit(0)
+    for turn in range(rounds):
+        sides = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared").union(met.select("b", "a", "shared"))
+        best = sides.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+        pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        seen = tmp.write(_verified(pairs, texts).select("a", "b", "linked"), f"met-single-seen{turn}")
+        links = tmp.write(links.union(seen.filter("linked").select("a", "b")), f"met-single-links{turn}")
+        roots = components(links, tmp, f"met-single-components{turn}")
+        left = met.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        for side in "ab":
+            left = left.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        left = left.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        met = tmp.write(left.select("a", "b", "shared"), f"met-single-left{turn}")
+        tmp.release()
+    rest = _verified(met.select("a", "b"), texts).filter("linked").select("a", "b")
+    return links.union(tmp.write(rest, "linked-single"))
+
+
 def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """(a, b): links that connect exactly the sets that similar pairs connect."""
     # a signature's representative is its set with the most shared signatures: of an original and its
@@ -433,8 +457,7 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     need = _need("x", "y")
     met = (one.join(two, "sig").filter((F.col("a") < F.col("b")) & need.isNotNull()).groupBy("a", "b")
            .agg(F.count(F.lit(1)).alias("shared"), F.max(need).alias("need")).filter("shared >= need"))
-    pairs = _verified(tmp.write(met.select("a", "b"), "met-single"), texts)
-    links = links.union(tmp.write(pairs.filter("linked").select("a", "b"), "linked-single"))
+    links = links.union(_linked(tmp.write(met.select("a", "b", "shared"), "met-single"), texts, tmp))
     # any set with the hub of another component: what is similar to one of the hub's sets meets them
     # in as many signatures
     of_hub = info.filter("NOT single").groupBy("hub").agg(F.min("least").alias("least_hub"))
