@@ -81,7 +81,8 @@ def _strings(path: str, length: int, width: int, end_id: int):
 
         encode, pack = encoder(path), zstandard.ZstdCompressor(level=3)
         part, place, open_ids, owners = TaskContext.get().partitionId(), 0, np.zeros(0, kind), []
-        for batch in batches:
+        # some hundred documents at a time: their ids and payloads are held until they are handed over
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = np.array([*encode(text.as_py() or ""), end_id], kind)
