@@ -14,7 +14,8 @@ kind       value, with its check                          pseudonym
 email      local part and domain                          letters and digits of both sides (but the
                                                           last label) permuted in their classes
 secret     key/token/secret/password = value              hexadecimal or letters/digits permuted
-iban       15-34 characters, remainder 1 modulo 97        digits permuted, check digits anew
+iban       its country's length (any other code: 15-34),  digits permuted, check digits anew
+           remainder 1 modulo 97
 date       1800-2199, day exists (y-m-d, d.m.y, d/m/y)    another day in the same notation
 ip         four octets up to 255                          32 bits permuted
 ssn        3-2-4 digits                                   digits permuted
@@ -22,7 +23,9 @@ card       13-19 digits, Luhn                             digits permuted, check
 phone      + or (area) or 3-4 groups, 7-15 digits         digits after the country code permuted
 =========  =============================================  =======================================
 
-Values that fail their check stay as they are.  A digit string is permuted as the two halves of a
+Values that fail their check stay as they are.  Where a short token follows a card or an IBAN, the check
+decides where the value ends: the longest reading that passes is taken, the rest stays.  A pseudonym
+that would be read with another end is permuted again (cycle-walking), so that it can be undone.  A digit string is permuted as the two halves of a
 Feistel network over Z/10^a x Z/10^b (additions instead of exclusive or), which needs no walking;
 days are numbered in the 400-year cycle of the calendar, 146097 = 189 * 773 days.
 
@@ -40,18 +43,40 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: tries to come back to a value of the same reading; each fails with a chance of about one in ten at most
+WALK = 24
+
+#: characters of an IBAN by country (the register, and codes in use without an entry)
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_shape(length: int, countries: str) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: an IBAN of its country's length, so that no word after it is taken
+_NATIONAL_IBAN = r"(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_shape(n, c) for n, c in IBAN_LENGTHS.items()) + ")"
+_CARD_FOURS = "[0-9]{4}(?:[ -][0-9]{4}){3}"
+
 _MONTH_DAYS = r"(?:0?[1-9]|[12][0-9]|3[01])"
 #: one alternative for each kind; no groups, so that group 0 is the whole match
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}",
     r"(?i:\b(?:api[_-]?key|key|token|secret|password|passwd|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,128}={0,2})",
+    rf"\b{_NATIONAL_IBAN}\b",
     r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     rf"(?<![0-9./-])[0-9]{{4}}-(?:0[1-9]|1[0-2])-{_MONTH_DAYS}(?![0-9/-]|\.[0-9])",
     rf"(?<![0-9./-]){_MONTH_DAYS}\.(?:0?[1-9]|1[0-2])\.[0-9]{{4}}(?![0-9/-]|\.[0-9])",
     rf"(?<![0-9./-]){_MONTH_DAYS}/(?:0?[1-9]|1[0-2])/[0-9]{{4}}(?![0-9/-]|\.[0-9])",
     r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
+    rf"(?<![0-9])(?:[0-9]{{13,19}}|{_CARD_FOURS}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}(?:[ -][0-9]{{1,3}})?|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
     r"(?<![0-9+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
     r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]){6,12}(?![0-9])",
 ])
@@ -132,23 +157,80 @@ def _only(value: Column, drop: str) -> Column:
     return F.regexp_replace(value, drop, "")
 
 
-def _iban(v: Column, key: str, decrypt: bool) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _walk(value: Column, step, same) -> Column:
+    """``step`` until ``same`` holds again: a bijection of the values for which it holds."""
+    def once(v: Column) -> Column:
+        return _let(step(v), lambda new: F.struct(new.alias("v"), same(new).alias("done")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(value.alias("v"), F.lit(False).alias("done")),
+                       lambda acc, _: F.when(acc.done, acc).otherwise(once(acc.v))).v
+
+
+def _is_iban(v: Column) -> Column:
+    return _let(_only(v, " "), lambda plain: F.length(plain).between(15, 34) & plain.rlike("^.{4}.*[0-9]") & (
+        _mod97(F.concat(F.substring(plain, F.lit(5), F.lit(40)), F.substring(plain, 1, 4))) == 1))
+
+
+def _iban_end(v: Column) -> Column:
+    """Length of the longest part from the start, up to the end of a word, that is an IBAN; null if none is.
+
+    In its country's length only the whole is tried.
+    """
+    ends = F.filter(F.sequence(F.length(v), F.lit(15), F.lit(-1)), lambda k: (
+        (k == F.length(v)) | (F.substring(v, k + 1, F.lit(1)) == " ")) & _is_iban(F.substring(v, F.lit(1), k)))
+    return F.when(F.length(v) < 15, F.lit(None).cast("int")).when(
+        v.rlike(f"^{_NATIONAL_IBAN}$"), F.when(_is_iban(v), F.length(v))).otherwise(F.get(ends, F.lit(0)))
+
+
+def _permuted_iban(v: Column, key: str, decrypt: bool) -> Column:
     plain = _only(v, " ")
     rest = F.substring(plain, F.lit(5), F.lit(40))
-    digits = _only(rest, "[^0-9]")
-    new_rest = refill(rest, "0-9", permute_digits(digits, key, "iban", decrypt))
     country = F.substring(plain, 1, 2)
-    check = F.lpad((98 - _mod97(F.concat(new_rest, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when((_mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1) & (F.length(digits) > 0),
-                  refill(v, "A-Z0-9", F.concat(country, check, new_rest))).otherwise(v)
+
+    def with_check(new_rest: Column) -> Column:
+        check = F.lpad((98 - _mod97(F.concat(new_rest, country, F.lit("00")))).cast("string"), 2, "0")
+        return refill(v, "A-Z0-9", F.concat(country, check, new_rest))
+
+    return _let(refill(rest, "0-9", permute_digits(_only(rest, "[^0-9]"), key, "iban", decrypt)), with_check)
+
+
+def _iban(v: Column, key: str, decrypt: bool) -> Column:
+    """The check decides where the IBAN ends; words after it stay."""
+    def up_to(end: Column) -> Column:
+        after = F.substring(v, end + 1, F.lit(40))
+        new = _walk(F.substring(v, F.lit(1), end), lambda x: _permuted_iban(x, key, decrypt),
+                    lambda x: F.coalesce(_iban_end(F.concat(x, after)) == end, F.lit(False)))
+        return F.when(end.isNotNull(), F.concat(new, after)).otherwise(v)
+
+    return _let(_iban_end(v), up_to)
 
 
-def _card(v: Column, key: str, decrypt: bool) -> Column:
+def _is_card(v: Column) -> Column:
+    return is_luhn(_only(v, "[^0-9]"))
+
+
+def _permuted_card(v: Column, key: str, decrypt: bool) -> Column:
     digits = _only(v, "[^0-9]")
     payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    new = F.transform(F.array(permute_digits(payload, key, "card", decrypt)),
-                      lambda p: F.concat(p, _luhn_digit(p)))[0]
-    return F.when(is_luhn(digits), refill(v, "0-9", new)).otherwise(v)
+    return _let(permute_digits(payload, key, "card", decrypt), lambda p: refill(v, "0-9", F.concat(p, _luhn_digit(p))))
+
+
+def _card_tail(v: Column, after: Column) -> Column:
+    """The one to three digits behind four groups of four that may belong to a card of 17 to 19 digits, or be an
+    expiry or a check code; digits of another value (they are not in ``after``) and of 12/25 are not tried."""
+    return F.when(v.rlike(f"^{_CARD_FOURS}$"), F.regexp_extract(after, "^[ -][0-9]{1,3}(?![0-9]|[./-][0-9])", 0)).otherwise("")
+
+
+def _card(v: Column, tail: Column, key: str, decrypt: bool) -> Column:
+    """The longer card if it passes its check, else the shorter one and the tail as it is."""
+    short = _walk(v, lambda x: _permuted_card(x, key, decrypt), lambda x: ~_is_card(F.concat(x, tail)))
+    return (F.when(_is_card(F.concat(v, tail)), _permuted_card(F.concat(v, tail), key, decrypt))
+            .when(_is_card(v), F.concat(short, tail)).otherwise(F.concat(v, tail)))
 
 
 #: days from 1800-01-01 to 2199-12-31: one whole cycle of the calendar
@@ -246,12 +328,14 @@ def kind_of(v: Column) -> Column:
             .otherwise("phone"))
 
 
-def pseudonym(v: Column, key: str, decrypt: bool = False) -> Column:
+def pseudonym(v: Column, key: str, decrypt: bool = False, tail: Column | None = None) -> Column:
+    """``v`` and ``tail`` (see ``_card_tail``; empty for other kinds) after the replacement."""
+    tail = F.lit("") if tail is None else tail
     kind = kind_of(v)
     return (F.when(kind == "email", _email(v, key, decrypt)).when(kind == "secret", _secret(v, key, decrypt))
             .when(kind == "iban", _iban(v, key, decrypt)).when(kind == "date", _date(v, key, decrypt))
             .when(kind == "ip", _ip(v, key, decrypt)).when(kind == "ssn", _numbers(v, key, "ssn", decrypt))
-            .when(kind == "card", _card(v, key, decrypt)).otherwise(_phone(v, key, decrypt)))
+            .when(kind == "card", _card(v, tail, key, decrypt)).otherwise(_phone(v, key, decrypt)))
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -270,7 +354,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", decrypt: bool =
     The text is cut at the matches and put together again with their pseudonyms.
     """
     body = F.col(f"`{text}`")
-    new = F.concat(F.transform("pii_matches", lambda v: pseudonym(v, key, decrypt)), F.array(F.lit("")))
-    between = F.split(body, PATTERN, -1)
-    whole = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.get(new, i))), "")
+
+    def replaced(v: Column, after: Column) -> Column:
+        """The pseudonym and the text up to the next match."""
+        return _let(_card_tail(v, after), lambda tail: F.concat(
+            pseudonym(v, key, decrypt, tail), after.substr(F.length(tail) + 1, F.length(after))))
+
+    whole = _let(F.split(body, PATTERN, -1), lambda between: F.concat(between[0], F.array_join(
+        F.transform("pii_matches", lambda v, i: _let(F.get(between, i + 1), lambda after: replaced(v, after))), "")))
     return find_pii(docs, text).withColumn(text, F.when(F.size("pii_matches") > 0, whole).otherwise(body))

@@ -106,6 +106,40 @@ def test_pseudonyms_leave_the_rest_alone(spark):
     assert pii.pseudonymise(frame(spark, []), "k").count() == 0
 
 
+def test_the_check_decides_where_cards_and_ibans_end(spark):
+    def iban(s):
+        plain = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+    cases = [("4111 1111 1111 1111", " 12/25"), ("4111 1111 1111 1111", " 123"), ("4111-1111-1111-1111", " 12"), ("4111 1111 1111 1111", " 1"),
+             ("6212 3456 7890 0000 003", ""), ("ES9121000418450200051332", " BIC CAIXESBB"), ("AT611904300234573201", " EUR 500"),
+             ("BE68 5390 0754 7034", " EUR"), ("PL61109010140000071219812874", " BANK"), ("SE4550000000058398257466", " KONTOINHABER"),
+             ("ZZ68 5390 0754 7034 9791", " EUR")]
+    cases = [c for c in cases if c[0][0].isalpha() or luhn(c[0])]
+    assert len(cases) >= 9
+    rows = [(i, f"pay {v}{rest} soon") for i, (v, rest) in enumerate(cases)]
+    rows += [(100, "BE68539007547034 BE71096123456769"), (101, "4111 1111 1111 1111 25.12.2020"), (102, "4111 1111 1111 1111 555-12-3456")]
+    cards = [f"4{i:03d} 1111 1111 111" for i in range(60)]
+    cards = [f"{c}{next(d for d in range(10) if luhn(f'{c}{d}'))} 77" for c in cards]
+    rows += [(200 + i, c) for i, c in enumerate(cards)]
+    new = pii.pseudonymise(frame(spark, rows), "k").persist()
+    out = {r.doc_id: r.text for r in new.collect()}
+    for i, (v, rest) in enumerate(cases):
+        assert out[i].startswith("pay ") and out[i].endswith(f"{rest} soon"), out[i]
+        got = out[i][4:len(out[i]) - len(rest) - 5]
+        if v.startswith("ZZ") and not iban(v):
+            assert got == v
+            continue
+        assert got != v and len(got) == len(v) and (iban if v[0].isalpha() else luhn)(got), (v, got)
+    first, second = out[100].split(" ")
+    assert iban(first) and iban(second) and first != "BE68539007547034" and second != "BE71096123456769"
+    assert "25.12.2020" not in out[101] and "3456" not in out[102] and all("1111 1111 1111" not in out[i] for i in (101, 102))
+    assert all(out[200 + i][:19] != c[:19] and luhn(out[200 + i][:19]) != luhn(out[200 + i]) or luhn(out[200 + i]) for i, c in enumerate(cards))
+    back = {r.doc_id: r.text for r in pii.pseudonymise(new, "k", decrypt=True).collect()}
+    assert back == dict(rows)
+    new.unpersist()
+
+
 def test_digit_permutation_is_a_bijection(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p")).collect()
     assert sorted(r.p for r in got) == [f"{i:03d}" for i in range(1000)]
