@@ -13,7 +13,8 @@ kind       value, with its check                          pseudonym
 =========  =============================================  =======================================
 email      local part and domain                          letters and digits of both sides (but the
                                                           last label) permuted in their classes
-secret     key/token/secret/password = value              hexadecimal or letters/digits permuted
+secret     key/token/secret/password = value, any length, hexadecimal or letters/digits permuted
+           dot-joined parts too
 iban       its country's length (any other code: 15-34),  digits permuted, check digits anew
            remainder 1 modulo 97
 date       1800-2199, day exists (y-m-d, d.m.y, d/m/y)    another day in the same notation
@@ -68,7 +69,7 @@ _MONTH_DAYS = r"(?:0?[1-9]|[12][0-9]|3[01])"
 #: one alternative for each kind; no groups, so that group 0 is the whole match
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}",
-    r"(?i:\b(?:api[_-]?key|key|token|secret|password|passwd|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,128}={0,2})",
+    r"(?i:\b(?:api[_-]?key|key|token|secret|password|passwd|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}+(?:[A-Za-z0-9_+/.-]*[A-Za-z0-9_+/-])?={0,2}",
     rf"\b{_NATIONAL_IBAN}\b",
     r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     rf"(?<![0-9./-])[0-9]{{4}}-(?:0[1-9]|1[0-2])-{_MONTH_DAYS}(?![0-9/-]|\.[0-9])",
@@ -260,25 +261,32 @@ def _ip(v: Column, key: str, decrypt: bool) -> Column:
     return F.when(F.forall(o, lambda x: x <= 255), new).otherwise(v)
 
 
-def _permute_word(word: Column, key: str, kind: str, decrypt: bool) -> Column:
+def _is_hexadecimal(word: Column) -> Column:
+    return word.rlike("^(?:[0-9a-f]{8,}|[0-9A-F]{8,})$")
+
+
+def _permute_word(word: Column, key: str, kind: str, decrypt: bool, tweak: Column | None = None, whole: Column | None = None) -> Column:
     """Letters and digits of a word, each permuted in its class by two alternating halves.
 
     A hexadecimal word stays one; else the classes of all positions stay.  The new character depends on the other half of the word.
-    Other characters (non-Latin letters too) are left alone but enter the hashes.
+    Other characters (non-Latin letters too) are left alone but enter the hashes, as does ``tweak``.  A part of
+    ``whole`` is hexadecimal where the whole is.
     """
+    whole = word if whole is None else whole
+    tweaks = [] if tweak is None else [tweak]
     n = F.length(word)
     half = F.floor((n + 1) / 2).cast("int")
     sign = -1 if decrypt else 1
 
-    hexadecimal = word.rlike("^(?:[0-9a-f]{8,}|[0-9A-F]{8,})$")
+    hexadecimal = _is_hexadecimal(whole)
 
     def turned(part: Column, other: Column, i: Column) -> Column:
         def one(c: Column, at: Column) -> Column:
-            h = F.xxhash64(F.lit(key), F.lit(kind), i, at, other, n)
+            h = F.xxhash64(F.lit(key), F.lit(kind), i, at, other, n, *tweaks)
             code = F.ascii(c)
             value = F.conv(c, 16, 10).cast("int")
             hexed = F.lower(F.hex(F.pmod(value + sign * F.pmod(h, F.lit(16)), F.lit(16))))
-            return (F.when(hexadecimal, F.when(word == F.lower(word), hexed).otherwise(F.upper(hexed)))
+            return (F.when(hexadecimal, F.when(whole == F.lower(whole), hexed).otherwise(F.upper(hexed)))
                     .when(c.rlike("^[a-z]$"), F.char(F.pmod(code - 97 + sign * F.pmod(h, F.lit(26)), F.lit(26)) + 97))
                     .when(c.rlike("^[A-Z]$"), F.char(F.pmod(code - 65 + sign * F.pmod(h, F.lit(26)), F.lit(26)) + 65))
                     .when(c.rlike("^[0-9]$"), F.char(F.pmod(code - 48 + sign * F.pmod(h, F.lit(10)), F.lit(10)) + 48))
@@ -286,7 +294,7 @@ def _permute_word(word: Column, key: str, kind: str, decrypt: bool) -> Column:
         return F.array_join(F.transform(F.split(part, ""), one), "")
 
     rounds = F.sequence(F.lit(3), F.lit(0)) if decrypt else F.sequence(F.lit(0), F.lit(3))
-    start = F.struct(F.substring(word, F.lit(1), half).alias("l"), F.substring(word, half + 1, F.lit(256)).alias("r"))
+    start = F.struct(F.substring(word, F.lit(1), half).alias("l"), word.substr(half + 1, n).alias("r"))
     done = F.aggregate(rounds, start, lambda acc, i: F.struct(
         F.when(i % 2 == 0, turned(acc.l, acc.r, i)).otherwise(acc.l).alias("l"),
         F.when(i % 2 == 0, acc.r).otherwise(turned(acc.r, acc.l, i)).alias("r")))
@@ -301,9 +309,25 @@ def _email(v: Column, key: str, decrypt: bool) -> Column:
                     F.substring(v, last, F.lit(40)))
 
 
+#: characters of a secret that are permuted together
+SECRET_PART = 64
+
+
 def _secret(v: Column, key: str, decrypt: bool) -> Column:
+    """The whole value in parts; the length and all parts before enter the hashes of a part."""
     name = F.regexp_extract(v, r"^([A-Za-z_-]+\s*[:=]\s*[\"']?)", 1)
-    return F.concat(name, _permute_word(F.substring(v, F.length(name) + 1, F.lit(256)), key, "secret", decrypt))
+
+    def permuted(value: Column) -> Column:
+        def part(acc: Column, i: Column) -> Column:
+            old = value.substr(i * SECRET_PART + 1, F.lit(SECRET_PART))
+            return _let(_permute_word(old, key, "secret", decrypt, acc.tweak, value), lambda new: F.struct(
+                F.concat(acc.out, F.array(new)).alias("out"), F.xxhash64(acc.tweak, new if decrypt else old).alias("tweak")))
+
+        parts = F.sequence(F.lit(0), F.floor((F.length(value) - 1) / SECRET_PART).cast("int"))
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.length(value).cast("long").alias("tweak"))
+        return F.array_join(F.aggregate(parts, start, part).out, "")
+
+    return F.concat(name, _let(v.substr(F.length(name) + 1, F.length(v)), permuted))
 
 
 def _numbers(v: Column, key: str, kind: str, decrypt: bool) -> Column:

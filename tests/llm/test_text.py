@@ -140,6 +140,23 @@ def test_the_check_decides_where_cards_and_ibans_end(spark):
     new.unpersist()
 
 
+def test_whole_secrets_are_replaced(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    values = ["".join(rng.choice(letters, n)) for n in (8, 64, 65, 128, 129, 180, 1000)] + ["".join(rng.choice(list("0123456789abcdef"), 200))]
+    values += ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"]
+    values += [values[6][:-1] + ("a" if values[6][-1] != "a" else "b")]
+    rows = [(i, f'token = "{v}". Next') for i, v in enumerate(values)]
+    new = pii.pseudonymise(frame(spark, rows), "k").persist()
+    out = {r.doc_id: re.fullmatch(r'token = "(.*)"\. Next', r.text).group(1) for r in new.collect()}
+    for i, v in enumerate(values):
+        assert len(out[i]) == len(v) and all(out[i][j:j + 12] != v[j:j + 12] for j in range(0, len(v) - 7, 12))
+    assert re.fullmatch("[0-9a-f]{200}", out[7]) and [len(x) for x in out[8].split(".")] == [len(x) for x in values[8].split(".")]
+    assert len(set(out.values())) == len(values)
+    assert {r.doc_id: r.text for r in pii.pseudonymise(new, "k", decrypt=True).collect()} == dict(rows)
+    new.unpersist()
+
+
 def test_digit_permutation_is_a_bijection(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p")).collect()
     assert sorted(r.p for r in got) == [f"{i:03d}" for i in range(1000)]
