@@ -14,14 +14,16 @@ kind       value, with its check                          pseudonym
 email      local part and domain                          letters and digits of both sides (but the
                                                           last label) permuted in their classes
 secret     key/token/secret/password = value, any length, hexadecimal or letters/digits permuted
-           dot-joined parts too
+           dot-joined parts too; quoted, a password=, or
+           with a digit, mixed case, padding or hexadecimal
 iban       its country's length (any other code: 15-34),  digits permuted, check digits anew
            remainder 1 modulo 97
 date       1800-2199, day exists (y-m-d, d.m.y, d/m/y)    another day in the same notation
 ip         four octets up to 255                          32 bits permuted
 ssn        3-2-4 digits                                   digits permuted
 card       13-19 digits, Luhn                             digits permuted, check digit anew
-phone      + or (area) or 3-4 groups, 7-15 digits         digits after the country code permuted
+phone      + or (area), three groups, or two with a zero  digits after the country code or zero permuted
+           or 3-7 and 3-8 digits; no thousands, years, ISBN
 =========  =============================================  =======================================
 
 Values that fail their check stay as they are.  Where a short token follows a card or an IBAN, the check
@@ -66,10 +68,27 @@ _NATIONAL_IBAN = r"(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(_iban_shape(n, c) for n,
 _CARD_FOURS = "[0-9]{4}(?:[ -][0-9]{4}){3}"
 
 _MONTH_DAYS = r"(?:0?[1-9]|[12][0-9]|3[01])"
+#: a bare number that looks like thousands, years or a book number is no phone; (?<=) ones ask for the text before it
+_NO_PHONE = "".join([
+    r"(?!(?:(?=[1-9])|(?<=[0-9][ .]))(?:[0-9]{2,3} [0-9]{3} [0-9]{3}|[0-9]{2,3}\.[0-9]{3}\.[0-9]{3})(?![0-9]))",
+    r"(?!(?:19|20)[0-9]{2} [0-9]{3} [0-9]{3}(?![0-9]))(?![0-9]{2,4}[ -](?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2}(?![0-9]))",
+    r"(?![1-9](?:-?[0-9]){8}-[0-9Xx](?![0-9A-Za-z-]))(?!97[89]-[0-9]{1,5}-[0-9]+-[0-9]+-[0-9](?![0-9-]))",
+    r"(?!(?<=[0-9]-)[0-9]+-[0-9]+-[0-9Xx](?![0-9A-Za-z-]))(?<!97[89][ -])(?<!97[89][ -][0-9]{1,5}[ -])",
+    r"(?<!(?:ISBN|isbn)(?:-1[03])?:? ?)(?<!(?:ISBN|isbn)(?:-1[03])?:? ?[0-9]{1,5}[ -])"])
+#: three groups; two with a trunk zero; area code and seven or eight digits
+_BARE_PHONE = (r"(?=[0-9])" + _NO_PHONE +
+               r"(?:[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|0[0-9]{1,3}[ .-][0-9]{6,8}|[0-9]{3}[ -][0-9]{7,8})(?![0-9])")
+
+_SECRET_NAME = r"(?i:\b(?:api[_-]?key|key|token|secret|password|passwd|pwd)\b\s{0,3}[:=]\s{0,3})"
+_SECRET_VALUE = "[A-Za-z0-9_+/-]{8,}+(?:[A-Za-z0-9_+/.-]*[A-Za-z0-9_+/-])?={0,2}"
+#: a digit, a capital behind a small letter, padding, or hexadecimal only: words of prose have none of them
+_NO_WORD = (r"(?=[A-Za-z_+/.-]*+[0-9]|[A-Za-z0-9_+/.-]*?[a-z][A-Z]|[A-Za-z0-9_+/.-]*+="
+            r"|(?:[0-9a-f]{8,}+|[0-9A-F]{8,}+)(?!\.*[A-Za-z0-9_+/-]))")
 #: one alternative for each kind; no groups, so that group 0 is the whole match
 PATTERN = "|".join([
     r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.){1,8}\p{L}{2,24}",
-    r"(?i:\b(?:api[_-]?key|key|token|secret|password|passwd|pwd)\b\s{0,3}[:=]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{8,}+(?:[A-Za-z0-9_+/.-]*[A-Za-z0-9_+/-])?={0,2}",
+    rf"{_SECRET_NAME}(?:[\"']{_SECRET_VALUE}(?=[\"'])|[\"']?{_NO_WORD}{_SECRET_VALUE})",
+    rf"(?i:\b(?:password|passwd|pwd)=){_SECRET_VALUE}",
     rf"\b{_NATIONAL_IBAN}\b",
     r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     rf"(?<![0-9./-])[0-9]{{4}}-(?:0[1-9]|1[0-2])-{_MONTH_DAYS}(?![0-9/-]|\.[0-9])",
@@ -77,8 +96,10 @@ PATTERN = "|".join([
     rf"(?<![0-9./-]){_MONTH_DAYS}/(?:0?[1-9]|1[0-2])/[0-9]{{4}}(?![0-9/-]|\.[0-9])",
     r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    rf"(?<![0-9])(?:[0-9]{{13,19}}|{_CARD_FOURS}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}(?:[ -][0-9]{{1,3}})?|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
-    r"(?<![0-9+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    rf"(?<![0-9])(?:[0-9]{{13,19}}|{_CARD_FOURS}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}[ -][0-9]{{1,3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
+    r"(?<![0-9+.])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,5}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    r"(?<![0-9+.])\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    rf"(?<![0-9+.]){_BARE_PHONE}",
     r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]){6,12}(?![0-9])",
 ])
 
@@ -335,9 +356,17 @@ def _numbers(v: Column, key: str, kind: str, decrypt: bool) -> Column:
 
 
 def _phone(v: Column, key: str, decrypt: bool) -> Column:
-    """The country code stays; a number without separators after it is permuted but for 1 digit after the plus."""
-    head = F.regexp_extract(v, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9])", 1)
-    return F.concat(head, _numbers(F.substring(v, F.length(head) + 1, F.lit(64)), key, "phone", decrypt))
+    """The country code stays; a number without separators after it is permuted but for 1 digit after the plus.
+
+    Of a bare number a trunk zero stays, and the new number passes for a phone again.
+    """
+    head = F.regexp_extract(v, r"^(\+[0-9]{1,3}(?=[ .(-])|\+[0-9]|0)", 1)
+    bare = ~v.rlike("^[+(]")
+
+    def permuted(x: Column) -> Column:
+        return F.concat(head, _numbers(x.substr(F.length(head) + 1, F.length(x)), key, "phone", decrypt))
+
+    return _walk(v, permuted, lambda x: ~bare | (x.rlike(f"^{_BARE_PHONE}$") & (x.startswith("0") == v.startswith("0"))))
 
 
 def kind_of(v: Column) -> Column:

@@ -157,6 +157,22 @@ def test_whole_secrets_are_replaced(spark):
     new.unpersist()
 
 
+def test_clean_sentences_stay_and_phones_do_not(spark):
+    clean = ["Es waren 12.345.678 Stimmen", "100 000 000 euro", "1 100 000 000 000 euro", "ISBN 978-3-16-148410-0", "978-0-07-148410-0 and 0-07-148410-0",
+             "81-7525-766-0", "The key: understanding how", "The secret: Consistency wins", "key = itemgetter", "in 1990 1991 1992", "in 2019 100 000 euro", "part 16-148410", "12.345678"]
+    phones = ["212-555-1234", "1-800-555-1234", "020 7946 0958", "012 345 678", "0170 1234567", "555 1234567", "(030) 123456", "+49 30 123456", "+4917012345678", "138 1234 5678", "12-345-678"]
+    secrets = ["password=correcthorse", "secret: 'correcthorse'", "token: aBcDeFgHiJ", "key: deadbeefcafe", "pwd: hunter42x"]
+    other = phones + secrets
+    rows = [(i, t) for i, t in enumerate(clean)] + [(100 + i, f"call {t} now") for i, t in enumerate(other)]
+    rows += [(1000 + i, f"012 345 {i:03d}, {200 + i} 555 {1000 + i}, 0{i:03d} 345 678") for i in range(100)]
+    new = pii.pseudonymise(frame(spark, rows), "k").persist()
+    out = {r.doc_id: r.text for r in new.collect()}
+    assert [out[i] for i in range(len(clean))] == clean
+    assert [t for i, t in enumerate(other) if out[100 + i] == f"call {t} now"] == []
+    assert {r.doc_id: r.text for r in pii.pseudonymise(new, "k", decrypt=True).collect()} == dict(rows)
+    new.unpersist()
+
+
 def test_digit_permutation_is_a_bijection(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p")).collect()
     assert sorted(r.p for r in got) == [f"{i:03d}" for i in range(1000)]
