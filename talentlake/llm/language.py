@@ -9,7 +9,10 @@ The score is a share: 2 ** -(bits more than the smallest, in parts of the sum) o
 a text is ``rejected`` where the two smallest totals are closer than ``MARGIN``.
 
 The dictionaries are fitted on a bounded hash sample (about ``SAMPLE_DOCS`` documents for each
-language, ``DICTIONARY_BYTES`` kept); prediction reads every whole text.
+language, ``DICTIONARY_BYTES`` kept); prediction reads every whole text.  A language with fewer or shorter
+documents gives longer slices of each; one whose texts cannot fill a dictionary keeps its short one, and
+its sizes are divided by its handicap (what the others lose on its texts when cut to its length), so
+that the dictionaries of the others stay whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language with the most training rows; rows with null lang or null doc_id are never learned from.
@@ -44,10 +47,12 @@ _LETTER = regex.compile(r"\p{L}")
 class CompressionModel:
     """One dictionary for each language, in the order in which ties go; compressors are made once in each worker."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, block: int = BLOCK,
+                 handicaps: dict[str, float] | None = None):
         self.languages = list(dictionaries)
         self.dictionaries = [dictionaries[x] for x in self.languages]
         self.level, self.block = level, block
+        self.handicaps = np.array([(handicaps or {}).get(x, 1.0) for x in self.languages])
         self._compressors = None
 
     def __getstate__(self):
@@ -71,7 +76,7 @@ class CompressionModel:
         """(language or ``und``, score, rejected)"""
         if not text or not self.languages or not _LETTER.search(text):
             return UNDETERMINED, 0.0, True
-        sizes = self.sizes(text.lower().encode())
+        sizes = self.sizes(text.lower().encode()) / self.handicaps
         best = int(sizes.argmin())
         share = 0.5 ** ((sizes - sizes[best]) / sizes[best] / HALVES)
         lead = np.partition(sizes, 1)[1] / sizes[best] - 1 if len(sizes) > 1 else 1.0
@@ -82,12 +87,34 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def slice_length(lengths: list[int], total: int, least: int) -> int:
+    """The smallest slice, from ``least`` up, with which documents of these lengths give ``total`` characters or all they have."""
+    left, n = total, len(lengths)
+    for length in sorted(lengths):
+        if length * n >= left:
+            return max(least, -(-left // n))
+        left, n = left - length, n - 1
+    return max([least, *lengths])
+
+
+def short_handicaps(dictionaries: dict[str, bytes], **model) -> dict[str, float]:
+    """For each dictionary shorter than the longest: how much larger its text gets, in the median, when the longest ones are cut to its length."""
+    longest = max(map(len, dictionaries.values()), default=0)
+    whole = {code: d for code, d in dictionaries.items() if len(d) >= 0.9 * longest}
+    full, out = CompressionModel(whole, **model), {}
+    for code, d in dictionaries.items():
+        if code not in whole and d:
+            cut = CompressionModel({x: w[:len(d)] for x, w in whole.items()}, **model)
+            out[code] = max(1.0, float(np.median(cut.sizes(d) / full.sizes(d))))
+    return out
+
+
 def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
                  sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, **model) -> CompressionModel:
-    """Dictionaries from equal slices of the sampled documents of each language.
+    """Dictionaries from slices of the sampled documents of each language, equal but for shorter documents.
 
-    A slice is taken from the middle of a document and ends up lower-case; the driver receives
-    at most about ``dictionary_bytes`` a language.
+    A slice is taken from the middle of a document and ends up lower-case; the driver receives the lengths of
+    the sampled documents and at most about ``dictionary_bytes`` characters a language.
     """
     ship_package(docs.sparkSession)
     own, name = F.col(f"`{doc_id}`"), F.col(f"`{lang}`")
@@ -95,22 +122,25 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     counts = {r[0]: r[1] for r in learn.groupBy(name.alias("lang")).count().collect()}
     if not counts:
         return CompressionModel({}, **model)
-    slice_chars = max(64, dictionary_bytes // sample_docs)
     share = F.lit(0.0)
     for code, n in counts.items():
         share = F.when(name == code, min(1.0, 1.2 * sample_docs / n)).otherwise(share)
     body = F.lower(F.col(f"`{text}`"))
+    sampled = learn.filter(F.pmod(F.xxhash64(own, F.lit(4)), F.lit(1 << 30)) < share * (1 << 30))
+    lengths: dict[str, list[int]] = {}
+    for r in sampled.select(name.alias("lang"), F.char_length(body).alias("n")).collect():
+        lengths.setdefault(r.lang, []).append(r.n)
+    slice_chars = F.lit(0)
+    for code, found in lengths.items():
+        slice_chars = F.when(name == code, slice_length(found, dictionary_bytes, max(64, dictionary_bytes // sample_docs))).otherwise(slice_chars)
     start = F.greatest(F.lit(1), F.floor((F.char_length(body) - slice_chars) / 2).cast("int"))
-    rows = (learn.filter(F.pmod(F.xxhash64(own, F.lit(4)), F.lit(1 << 30)) < share * (1 << 30))
-            .select(name.alias("lang"), own.alias("id"), F.substring(body, start, F.lit(slice_chars)).alias("piece")).collect())
+    rows = sampled.select(name.alias("lang"), own.alias("id"), F.substring(body, start, slice_chars).alias("piece")).collect()
     pieces: dict[str, list[bytes]] = {code: [] for code in counts}
     for r in sorted(rows, key=lambda r: (r.lang, str(r.id))):
         pieces[r.lang].append(r.piece.encode())
-    # equal sizes: a larger dictionary would have an edge
     full = {code: b"\n".join(p)[:dictionary_bytes] for code, p in pieces.items() if p}
-    least = max(1024, min(map(len, full.values()), default=0))
     common = sorted(full, key=lambda code: (-counts[code], code))
-    return CompressionModel({code: full[code][:least] for code in common}, **model)
+    return CompressionModel({code: full[code] for code in common}, handicaps=short_handicaps(full, **model), **model)
 
 
 def identify_language(docs: DataFrame, model: CompressionModel, text: str = "text") -> DataFrame:

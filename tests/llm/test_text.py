@@ -45,6 +45,28 @@ def test_language_odd_texts(spark):
     assert nothing.predict("some words") == ("und", 0.0, True)
 
 
+def test_a_rare_language_does_not_shorten_the_others(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**9 + i, f"zorg blap {i} quux frobnik wibble vrok", "zz") for i in range(8)], docs.schema)
+    alone, both = language.fit_language(docs), language.fit_language(docs.unionByName(rare))
+    sizes = dict(zip(both.languages, map(len, both.dictionaries)))
+    # a character of a slice is at least a byte
+    chars = {r.lang: r.n for r in docs.filter(~language.held_out(F.col("doc_id"))).groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert sizes.pop("zz") < 1024 and all(n >= 0.95 * min(chars[code], language.DICTIONARY_BYTES) for code, n in sizes.items())
+    held = [r for r in docs.filter(language.held_out(F.col("doc_id"))).collect() if r.text]
+    same = [both.predict(r.text)[0] == alone.predict(r.text)[0] for r in held[:150]]
+    assert sum(same) / len(same) > 0.97
+    assert both.predict("wibble vrok quux frobnik zorg blap wibble quux zorg")[0] == "zz"
+
+
+def test_few_long_documents_fill_a_dictionary(spark):
+    rng = np.random.default_rng(2)
+    long = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000))) for i in range(30)]
+    model = language.fit_language(frame(spark, long))
+    assert [len(d) for d in model.dictionaries] == [language.DICTIONARY_BYTES]
+    assert language.slice_length([10, 10, 1000], 100, 4) == 80 and language.slice_length([5, 6], 100, 4) == 6
+
+
 # --------------------------------------------------------------------------- quality
 def test_quality_held_out_accuracy(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
