@@ -18,7 +18,8 @@ secret     key/token/secret/password = value, any length, hexadecimal or letters
            with a digit, mixed case, padding or hexadecimal
 iban       its country's length (any other code: 15-34),  digits permuted, check digits anew
            remainder 1 modulo 97
-date       1800-2199, day exists (y-m-d, d.m.y, d/m/y)    another day in the same notation
+date       1800-2199, day exists (y-m-d, d.m.y, y/m/d,    another day in the same notation
+           d/m/y, and m/d/y where the day is above 12)
 ip         four octets up to 255                          32 bits permuted
 ssn        3-2-4 digits                                   digits permuted
 card       13-19 digits, Luhn                             digits permuted, check digit anew
@@ -94,6 +95,8 @@ PATTERN = "|".join([
     rf"(?<![0-9./-])[0-9]{{4}}-(?:0[1-9]|1[0-2])-{_MONTH_DAYS}(?![0-9/-]|\.[0-9])",
     rf"(?<![0-9./-]){_MONTH_DAYS}\.(?:0?[1-9]|1[0-2])\.[0-9]{{4}}(?![0-9/-]|\.[0-9])",
     rf"(?<![0-9./-]){_MONTH_DAYS}/(?:0?[1-9]|1[0-2])/[0-9]{{4}}(?![0-9/-]|\.[0-9])",
+    r"(?<![0-9./-])(?:0?[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/[0-9]{4}(?![0-9/-]|\.[0-9])",
+    rf"(?<![0-9./-])[0-9]{{4}}/(?:0?[1-9]|1[0-2])/{_MONTH_DAYS}(?![0-9/-]|\.[0-9])",
     r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     rf"(?<![0-9])(?:[0-9]{{13,19}}|{_CARD_FOURS}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}[ -][0-9]{{1,3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}})(?![0-9])",
@@ -260,18 +263,27 @@ _CYCLE, _LEFT_DAYS, _RIGHT_DAYS = 146097, 189, 773
 
 
 def _date(v: Column, key: str, decrypt: bool) -> Column:
-    iso = v.rlike("^[0-9]{4}-")
-    mark = F.when(v.contains("/"), "/").otherwise(".")
+    year_first, month_first = v.rlike("^[0-9]{4}"), v.rlike("^[0-9]{1,2}/(?:1[3-9]|2[0-9]|3[01])/")
+    mark = F.when(v.contains("/"), "/").when(v.contains("."), ".").otherwise("-")
     parts = F.split(v, "[./-]")
-    day = F.when(iso, F.try_to_date(v, "yyyy-M-d")).otherwise(
-        F.try_to_date(F.concat_ws("-", parts[2], parts[1], parts[0]), "yyyy-M-d"))
-    n = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    pair = feistel(F.floor(n / _RIGHT_DAYS), n % _RIGHT_DAYS, F.lit(_LEFT_DAYS), F.lit(_RIGHT_DAYS), key, "date", decrypt)
-    new = F.transform(F.array(pair), lambda p: F.date_add(
-        F.lit("1800-01-01").cast("date"), (p.l * _RIGHT_DAYS + p.r).cast("int")))[0]
-    back = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(
-        F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
-    return F.when((n >= 0) & (n < _CYCLE), back).otherwise(v)
+    day = F.try_to_date(F.when(year_first, F.concat_ws("-", parts)).when(month_first, F.concat_ws("-", parts[2], parts[0], parts[1]))
+                        .otherwise(F.concat_ws("-", parts[2], parts[1], parts[0])), "yyyy-M-d")
+    n = F.datediff(day, F.lit("1800-01-01").cast("date")).cast("long")
+
+    def date_of(number: Column) -> Column:
+        return F.date_add(F.lit("1800-01-01").cast("date"), number.cast("int"))
+
+    def permuted(number: Column) -> Column:
+        return _let(feistel(F.floor(number / _RIGHT_DAYS), number % _RIGHT_DAYS, F.lit(_LEFT_DAYS), F.lit(_RIGHT_DAYS), key, "date",
+                            decrypt), lambda p: p.l * _RIGHT_DAYS + p.r)
+
+    def written(new: Column) -> Column:
+        y, m, d = (F.date_format(new, x) for x in ("yyyy", "MM", "dd"))
+        return F.when(year_first, F.concat(y, mark, m, mark, d)).when(month_first, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
+
+    # the month is read first only where the second number cannot be one
+    new = _walk(n, permuted, lambda x: ~month_first | (F.dayofmonth(date_of(x)) > 12))
+    return F.when((n >= 0) & (n < _CYCLE), _let(date_of(new), written)).otherwise(v)
 
 
 def _ip(v: Column, key: str, decrypt: bool) -> Column:
@@ -374,7 +386,7 @@ def kind_of(v: Column) -> Column:
     return (F.when(v.contains("@"), "email")
             .when(v.rlike(r"^(?i:api|key|token|secret|pass|pwd)"), "secret")
             .when(v.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
-            .when(v.rlike(r"^(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})$"), "date")
+            .when(v.rlike(r"^(?:[0-9]{4}([/-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./])[0-9]{1,2}\2[0-9]{4})$"), "date")
             .when(v.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
             .when(v.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
             .when(~v.startswith("+") & ~v.contains("(") & (digits >= 13), "card")

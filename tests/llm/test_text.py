@@ -195,6 +195,19 @@ def test_clean_sentences_stay_and_phones_do_not(spark):
     new.unpersist()
 
 
+def test_month_first_and_year_first_dates(spark):
+    dates = [f"{m:02d}/{d:02d}/{y}" for m in range(1, 13) for d in range(1, 29, 3) for y in (1987, 2020)] + ["2020/12/25", "1999/01/02", "12/31/2199"]
+    rows = [(i, f"on {t} we") for i, t in enumerate(dates)]
+    new = pii.pseudonymise(frame(spark, rows), "k").persist()
+    out = {r.doc_id: r.text for r in new.collect()}
+    assert [t for i, t in enumerate(dates) if out[i] == f"on {t} we"] == [] and len(set(out.values())) == len(dates)
+    for i, t in enumerate(dates):
+        a, b, c = re.fullmatch(r"on (\d+)/(\d+)/(\d+) we", out[i]).groups()
+        assert len(a) == len(t.split("/")[0]) and (len(a) == 4 or (int(b) > 12) == (int(t.split("/")[1]) > 12))
+    assert {r.doc_id: r.text for r in pii.pseudonymise(new, "k", decrypt=True).collect()} == dict(rows)
+    new.unpersist()
+
+
 def test_digit_permutation_is_a_bijection(spark):
     got = spark.range(1000).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("p")).collect()
     assert sorted(r.p for r in got) == [f"{i:03d}" for i in range(1000)]
