@@ -140,3 +140,13 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return top_k(docs, docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+FITTED = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "doc_tokens")
+
+
+@_query("op11_best_fit")
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.best_fit import Capacity, pack_whole
+
+    return pack_whole(documents(spark, sf_dir), tokenizer_path(), Capacity(2048)).select(*FITTED)
