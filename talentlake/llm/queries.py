@@ -150,3 +150,41 @@ def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentlake.llm.best_fit import Capacity, pack_whole
 
     return pack_whole(documents(spark, sf_dir), tokenizer_path(), Capacity(2048)).select(*FITTED)
+
+
+@_query("op13_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS word FROM d),
+t AS (
+  SELECT rid, lang, source, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM w),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS kept, sum(n) AS total FROM k GROUP BY lang),
+g AS (
+  SELECT o.lang, o.source, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN c ON c.lang = o.lang AND c.source = o.source GROUP BY o.lang, o.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.total + v.kept) AS p,
+         1 + 1000000000::HUGEINT * (k.n + 1) // (v.total + v.kept) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 200
+""")
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.divergence import audit
+
+    return audit(documents(spark, sf_dir))
