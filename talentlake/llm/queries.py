@@ -188,3 +188,14 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from talentlake.llm.divergence import audit
 
     return audit(documents(spark, sf_dir))
+
+
+REPAIRED = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@_query("op12_repair")
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from talentlake.llm.repair import damaged_and_repaired
+
+    table = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return damaged_and_repaired(table).select(*REPAIRED)
