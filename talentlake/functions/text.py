@@ -7,6 +7,8 @@ of T4 lives in ``talentlake.functions.html_cards`` (``mapInPandas``).
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +61,10 @@ def heading_section(h: Column) -> Column:
 def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Bullet lines of each document with the section of the heading above them.
 
-    A heading is a short line that is upper-case or ends with ':'; rulers are skipped.  Headings and
-    bullets are arrays of the document's own row, and each bullet takes the last heading above it, so
-    no line is shuffled.
+    A heading is a short line that is upper-case or ends with ':'; rulers are skipped.  Lines are an array
+    of the document's own row, so no line is shuffled; the array is cut at the headings (a slice for
+    each), so every line is looked at once and the cost is linear in the document.
     """
-    lines = F.transform(F.split(_c(text), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
-
     def is_bullet(t: Column) -> Column:
         return t.rlike(BULLET_RE)
 
@@ -74,12 +74,17 @@ def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             | ((t == F.upper(t)) & t.rlike("[A-Z]") & (F.length(t) <= 60))
         )
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("_lines")).select(
-        "doc_id", F.filter("_lines", lambda x: is_heading(x["line"])).alias("_heads"),
-        F.filter("_lines", lambda x: is_bullet(x["line"])).alias("_bullets"))
-    above = F.transform("_bullets", lambda b: F.struct(
-        b["pos"].alias("pos"), b["line"].alias("line"),
-        F.array_max(F.filter("_heads", lambda h: h["pos"] < b["pos"]))["line"].alias("heading")))
+    lines = F.transform(F.split(_c(text), "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), lines.alias("_lines")).withColumn(
+        "_heads", F.filter("_lines", lambda x: is_heading(x["line"])))
+
+    def run(head: Column, i: Column) -> Column:
+        following = F.coalesce(F.get(F.col("_heads"), i + 1)["pos"], F.size("_lines"))
+        below = F.slice("_lines", head["pos"] + 2, following - head["pos"] - 1)
+        return F.transform(F.filter(below, lambda x: is_bullet(x["line"])), lambda b: F.struct(
+            b["pos"].alias("pos"), b["line"].alias("line"), head["line"].alias("heading")))
+
+    above = F.flatten(F.transform("_heads", run))
     item = F.regexp_replace(F.col("b.line"), BULLET_RE, "")
     return (
         rows.select("doc_id", F.explode(above).alias("b"))
@@ -150,7 +155,9 @@ def render_cv(p: Column) -> Column:
                         F.lit(" ("), F.coalesce(e["start_date"], F.lit("")), F.lit(" - "),
                         F.coalesce(e["end_date"], F.lit("Present")), F.lit(")"))
         hl = F.transform(F.coalesce(e["highlights"], F.array()), lambda h: F.concat(F.lit("  - "), h))
-        return F.array_join(F.concat(F.array(head), hl), "\n")
+        tech = F.coalesce(e["technologies"], F.array())
+        used = F.when(F.size(tech) > 0, F.array(F.concat(F.lit("  Technologies: "), F.array_join(tech, ", ")))).otherwise(F.array())
+        return F.array_join(F.concat(F.array(head), hl, used), "\n")
 
     def edu_line(e):
         return F.concat(F.lit("- "), F.coalesce(e["degree"], F.lit("")), F.lit(" in "), F.coalesce(e["field"], F.lit("")),
@@ -247,32 +254,48 @@ def fenced_json(text: str | Column) -> Column:
     return F.nullif(strip_ws(F.regexp_extract(_c(text), FENCE_RE, 1)), F.lit(""))
 
 
+_MARKS = re.compile(r'[\\"{}]')
+
+
 def _balanced(s: str | None) -> str | None:
-    """First balanced {...} of the text; braces inside JSON strings do not count."""
+    """First balanced {...} of the text; braces inside JSON strings do not count.
+
+    Every brace opens a scan of its own, which starts outside of strings.  Scans that are both outside (or both
+    inside) of a string stay together from there on, so one pass keeps two stacks of open braces: of the scans that
+    are outside now, and of those inside.  Scans that come together are aligned by what is still open, and of two
+    that will close together the first counts.
+    """
     if s is None:
         return None
-    start = s.find("{")
-    while start != -1:
-        depth, in_str, esc = 0, False, False
-        for i in range(start, len(s)):
-            ch = s[i]
-            if in_str:
-                if esc:
-                    esc = False
-                elif ch == "\\":
-                    esc = True
-                elif ch == '"':
-                    in_str = False
-            elif ch == '"':
-                in_str = True
-            elif ch == "{":
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-                if depth == 0:
-                    return s[start:i + 1]
-        start = s.find("{", start + 1)
-    return None
+    outside: list[int] = []
+    inside: list[int] = []
+    escaped, first, best, end = -1, s.find("{"), len(s), 0
+    if first < 0:
+        return None
+    for mark in _MARKS.finditer(s, first):
+        i, ch = mark.start(), mark.group()
+        if ch == "{":
+            outside.append(i)
+        elif ch == "}":
+            if outside:
+                start = outside.pop()
+                if start < best:
+                    best, end = start, i
+                if start == first:
+                    break
+        elif ch == "\\":
+            # outside of strings it is a character like others
+            if escaped != i:
+                escaped = i + 1
+        elif escaped == i:
+            # an escaped quote: scans inside stay, scans outside join them
+            short, inside = sorted((inside, outside), key=len)
+            for k in range(1, len(short) + 1):
+                inside[-k] = min(inside[-k], short[-k])
+            outside = []
+        else:
+            outside, inside = inside, outside
+    return s[best:end + 1] if best < len(s) else None
 
 
 @pandas_udf(StringType())

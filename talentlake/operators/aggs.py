@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talentlake.session import scratch_path
+
 # Pipeline stages of the application funnel.
 APPLIED_STAGE = ["applied", "screening"]
 INTERVIEW_STAGE = ["phone_screen", "interview", "technical", "onsite"]
@@ -392,31 +394,95 @@ def skill_demand_approx(posting_skills: DataFrame, skill: str = "skill", posting
     )
 
 
+class DemandSketches:
+    """Skill demand kept as mergeable sketches per period under ``path``: a new period costs that period.
+
+    Per (period, skill) two HyperLogLog sketches, of postings and of companies (2^``lg_k`` registers: about
+    1.04 / sqrt(2^lg_k) relative error), and per period one top-k sketch of the skills.  A period that is added
+    again replaces its sketches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, lg_k: int = 12, tracked: int = 10_000):
+        self.spark, self.path, self.lg_k, self.tracked = spark, path, lg_k, tracked
+
+    def add(self, rows: DataFrame, period: str = "period", skill: str = "skill", posting: str = "posting_id",
+            company: str = "company") -> None:
+        """Add all periods that ``rows`` has (partial aggregation: a hot skill sends a sketch per task)."""
+        rows = rows.withColumnRenamed(period, "period")
+        per = rows.groupBy("period", F.col(skill).alias("skill")).agg(
+            F.hll_sketch_agg(posting, self.lg_k).alias("postings"), F.hll_sketch_agg(company, self.lg_k).alias("companies"))
+        self._write(per, "demand")
+        self._write(rows.groupBy("period").agg(F.expr(f"approx_top_k_accumulate(`{skill}`, {self.tracked})").alias("skills")), "top")
+
+    def _write(self, sketches: DataFrame, name: str) -> None:
+        (sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(f"{self.path}/{name}"))
+
+    def _read(self, name: str, where: Column | None) -> DataFrame:
+        got = self.spark.read.parquet(f"{self.path}/{name}")
+        return got if where is None else got.where(where)
+
+    def demand(self, where: Column | None = None) -> DataFrame:
+        """skill, postings, companies (approximate distinct counts) over the periods that ``where`` keeps."""
+        return self._read("demand", where).groupBy("skill").agg(
+            F.hll_sketch_estimate(F.hll_union_agg("postings")).alias("postings"),
+            F.hll_sketch_estimate(F.hll_union_agg("companies")).alias("companies"))
+
+    def top(self, k: int, where: Column | None = None) -> DataFrame:
+        """skill, count: the k most frequent skills over the periods that ``where`` keeps."""
+        all_of = self._read("top", where).agg(F.expr(f"approx_top_k_combine(skills, {self.tracked})").alias("s"))
+        return all_of.select(F.explode(F.expr(f"approx_top_k_estimate(s, {k})")).alias("t")).select(
+            F.col("t.item").alias("skill"), F.col("t.count").alias("count"))
+
+
 # --------------------------------------------------------------------------- D17
+def rank_values(counts: DataFrame, by: Sequence[str], value: str, n: str, parts: int, out: str) -> DataFrame:
+    """``counts`` (one row per group and value) with ``out``: how many rows of its group are up to the value.
+
+    The values are cut into ``parts`` ranges at quantiles of all rows of ``counts`` (a sketch, so ranges are
+    only about even; the ranks are exact).  A range's rows are summed up in order by one task, and what lies in
+    the ranges before comes from one sum per (group, range): a group with most of the values is spread over all
+    ranges, and no task holds more than a range of a group.
+    """
+    cuts = [i / parts for i in range(1, parts)]
+    bounds = counts.agg(F.percentile_approx(value, cuts, 10_000)).first()[0] if cuts else None
+    at = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(b) for b in dict.fromkeys(bounds)]), lambda b: b < F.col(value)))
+    ranged = counts.withColumn("_range", at)
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_range").agg(F.sum(n).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    inside = F.sum(n).over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    names = {c: f"_o_{c}" for c in (*by, "_range")}
+    same = _all([F.col(c).eqNullSafe(F.col(o)) for c, o in names.items()])
+    joined = ranged.withColumn("_in", inside).join(offsets.drop("_sum").withColumnsRenamed(names), same)
+    return joined.select(*counts.columns, (F.col("_in") + F.col("_before")).alias(out))
+
+
 def salary_insight(postings: DataFrame, by: str | Sequence[str], lo: str = "salary_min", hi: str = "salary_max") -> DataFrame:
-    """Salary midpoint stats per group; NULL salaries left out, coverage % shown.
+    """Salary midpoint stats per group (``by=[]``: of all postings); NULL salaries left out, coverage % shown.
 
-    Midpoint = (min + max) / 2, or the one known bound.  Quantiles are exact and interpolated: the
-    midpoints are counted per (group, value), and the values at the two ranks around each quantile
-    are read off the running count, so no task holds all values of a group at once.
+    Midpoint = (min + max) / 2, or the one known bound.  Quantiles are exact and interpolated: the midpoints
+    are counted per (group, value), written once, ranked in ranges (``rank_values``), and the values at the two
+    ranks around each quantile are read off, so no task holds all values of a group at once.
     """
+    spark = postings.sparkSession
     keys = _by(by)
     mid = F.when(F.col(lo).isNotNull() & F.col(hi).isNotNull(), (F.col(lo) + F.col(hi)) / 2.0).otherwise(
         F.coalesce(F.col(lo), F.col(hi)).cast("double")
     )
     values = postings.select(*keys, mid.alias("_mid"))
     names = values.columns[:-1]
-    counts = values.groupBy(*names, "_mid").agg(F.count(F.lit(1)).alias("_n"))
+    path = scratch_path(spark, "salary-counts")
+    values.groupBy(*names, "_mid").agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    counts = spark.read.parquet(path)
     known = F.col("_mid").isNotNull()
     totals = counts.groupBy(*names).agg(
-        F.sum("_n").alias("postings"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("postings"),
         F.coalesce(F.sum(F.when(known, F.col("_n"))), F.lit(0)).alias("with_salary"),
         F.min("_mid").alias("min_mid"), F.max("_mid").alias("max_mid"),
         (F.sum(F.col("_mid") * F.col("_n")) / F.sum(F.when(known, F.col("_n")))).alias("_avg"))
-    upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0))
-    same = [counts_col.eqNullSafe(F.col(f"_g_{n}")) for n, counts_col in ((n, F.col(n)) for n in names)]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    same = _all([F.lit(True), *[F.col(n).eqNullSafe(F.col(f"_g_{n}")) for n in names]])
     n_known = totals.select(*[F.col(n).alias(f"_g_{n}") for n in names], "with_salary")
-    ranked = counts.where(known).withColumn("_upto", upto).join(n_known, _all(same))
+    ranked = rank_values(counts.where(known), names, "_mid", "_n", parts, "_upto").join(n_known, same)
     at = {}
     for q in (25, 50, 75):
         pos = (F.col("with_salary") - 1) * (q / 100)
@@ -424,7 +490,7 @@ def salary_insight(postings: DataFrame, by: str | Sequence[str], lo: str = "sala
             at[f"_{side}{q}"] = F.min(F.when(F.col("_upto") > rank, F.col("_mid")))
     picked = ranked.groupBy(*names).agg(*[c.alias(n) for n, c in at.items()])
     picked = picked.withColumnsRenamed({n: f"_g_{n}" for n in names})
-    out = totals.join(picked, _all(same), "left")
+    out = totals.join(picked, same, "left")
 
     def quantile(q: int) -> Column:
         pos = (F.col("with_salary") - 1) * (q / 100)

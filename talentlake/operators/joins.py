@@ -149,44 +149,78 @@ def phrase_match(texts: DataFrame, text_id: str, text: str, phrases: DataFrame,
     return g.join(p, "ngram").select(F.col("_tid").alias(text_id), F.col("_pid").alias(phrase_id)).distinct()
 
 
-REMOTE_KEY = "*remote*"  # cannot collide: phrase keys hold only word characters and spaces
+def _grams(text: Column, n: int) -> Column:
+    """Distinct substrings of ``n`` characters, as an array in the row."""
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(
+        F.array().cast("array<string>"))
 
 
-def _grams(text: Column, longest: Column | int) -> Column:
-    """All runs of 1..longest consecutive word tokens, as an array in the row (no exchange)."""
-    tokens = words(text)
-    return F.array_distinct(F.flatten(F.transform(tokens, lambda _, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i)),
-        lambda n: F.array_join(F.slice(tokens, i + 1, n), " ")))))
+def substring_match(texts: DataFrame, text: str, targets: DataFrame, target: str) -> DataFrame:
+    """(text, target) of the distinct values where the target is a substring of the text, case as it is.
+
+    A trigram index instead of a nested loop: a target's key is the one of its trigrams that fewest texts hold
+    (of targets under three characters, the target itself), texts are joined by their own grams, and candidates
+    are verified with ``contains``.  A target with a trigram that no text holds is gone before the join, and a
+    trigram that most texts hold is a key only of targets that hold nothing rarer.
+    """
+    texts = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL").distinct()
+    targets = targets.select(F.col(target).alias("_target")).where("_target <> ''").distinct()
+    size = F.least(F.length("_target"), F.lit(3))
+    sizes = [r[0] for r in targets.select(size).distinct().collect()]  # 1, 2, 3
+    if not sizes:
+        return texts.select(F.col("_text").alias(text), F.lit(None).cast("string").alias(target)).limit(0)
+    own = targets.select("_target", F.explode(F.concat(*[F.when(size == n, _grams(F.col("_target"), n)).otherwise(
+        F.array().cast("array<string>")) for n in sizes])).alias("_gram"))
+    grams = texts.select("_text", F.explode(F.concat(*[_grams(F.col("_text"), n) for n in sizes])).alias("_gram"))
+    held = (grams.join(own.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")))
+    rarest = own.join(held, "_gram", "left").groupBy("_target").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_key"))
+    keys = rarest.where("_key.n > 0").select("_target", F.col("_key.gram").alias("_gram"))
+    return (grams.join(keys, "_gram").where(F.col("_text").contains(F.col("_target")))
+            .select(F.col("_text").alias(text), F.col("_target").alias(target)))
+
+
+#: keys of locations: "=" and the target, or this for remote postings
+REMOTE_KEY = "*"
 
 
 def preference_match(users: DataFrame, postings: DataFrame, user: str = "user_id", roles: str = "target_roles",
                      locations: str = "target_locations", posting: str = "id", title: str = "role_title",
                      location: str = "location", remote: str = "remote_policy", active: str = "is_active",
                      order: Sequence[Column] | None = None, per_user: int | None = None) -> DataFrame:
-    """Active postings whose title contains a target role and whose location contains a target
-    location (or that are remote), as (user, posting) rows.  Matching is whole-word, case-insensitive.
-
-    One equi-join on the composite key (role phrase, location phrase): postings emit their title
-    n-grams x (location n-grams + a remote marker) out of one row, up to the longest target; users
-    emit their targets.  With ``per_user`` only the first postings by ``order`` stay: they are ranked
-    per key before the join (a hot key such as a remote role sends ``per_user`` rows of each task) and
-    per user after it, so the join never holds users x postings.
+    """Active postings whose title contains a target role and whose location contains a target location (or
+    that are remote), as (user, posting) rows.  "Contains" is plain and case-insensitive: "java" is in
+    "JavaScript"; blanks around a target do not count, a blank target matches nothing.
+
+    Distinct titles and distinct locations meet the distinct targets (``substring_match``); postings and users
+    then meet in one equi-join on (role target, location target or the remote marker).  With ``per_user``
+    only the first postings by ``order`` stay: of postings with one title, location and policy (a hot one may
+    hold a third of all), then per key before the join, then per user after it; each of these sends
+    ``per_user`` rows of a task, and the join never holds users x postings.
     """
-    u = users.select(F.col(user).alias("_u"), F.explode(roles).alias("_r"), F.col(locations).alias("_ls"))
-    u = u.select("_u", phrase_key(F.col("_r")).alias("_role"),
-                 F.explode(F.array_union(F.transform(F.col("_ls"), phrase_key), F.array(F.lit(REMOTE_KEY)))).alias("_loc"))
-    u = u.where((F.col("_role") != "") & (F.col("_loc") != "")).distinct()
-    longest = u.agg(F.max(F.size(F.split("_role", " "))).alias("r"), F.max(F.size(F.split("_loc", " "))).alias("l")).first()
-    live = postings.where(F.col(active))
-    remote_key = F.when(F.lower(F.col(remote)) == "remote", F.array(F.lit(REMOTE_KEY))).otherwise(F.array().cast("array<string>"))
-    rank = [F.struct(*order).alias("_order")] if order else []
     if per_user is not None and not order:
         raise ValueError("per_user needs an order")
-    keys = (live.select(F.col(posting).alias("_p"), *rank, _grams(F.col(title), longest["r"] or 1).alias("_roles"),
-                        F.concat(_grams(F.col(location), longest["l"] or 1), remote_key).alias("_locs"))
-            .select("_p", *(["_order"] if order else []), F.explode("_roles").alias("_role"), "_locs")
-            .select("_p", *(["_order"] if order else []), "_role", F.explode("_locs").alias("_loc")))
+    plain = lambda c: F.lower(F.trim(c))
+    u = users.select(F.col(user).alias("_u"), F.explode(roles).alias("_r"), F.col(locations).alias("_ls"))
+    near = F.transform(F.filter(F.transform(F.col("_ls"), plain), lambda x: x != ""), lambda x: F.concat(F.lit("="), x))
+    u = u.select("_u", plain(F.col("_r")).alias("_role"),
+                 F.explode(F.array_union(F.coalesce(near, F.array().cast("array<string>")), F.array(F.lit(REMOTE_KEY)))).alias("_loc"))
+    u = u.where(F.col("_role") != "").distinct()
+    rank = [F.struct(*order).alias("_order")] if order else []
+    ordered = ["_order"] if order else []
+    live = postings.where(F.col(active)).select(
+        F.col(posting).alias("_p"), *rank, F.lower(F.col(title)).alias("_title"), F.lower(F.col(location)).alias("_place"),
+        F.coalesce(F.lower(F.col(remote)) == "remote", F.lit(False)).alias("_remote"))
+    if per_user is not None:
+        alike = Window.partitionBy("_title", "_place", "_remote").orderBy("_order", "_p")
+        live = live.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= per_user).drop("_n")
+    in_title = substring_match(live, "_title", u, "_role")
+    place = u.where(F.col("_loc") != REMOTE_KEY).select(F.substring("_loc", 2, 1 << 30).alias("_target"))
+    in_place = substring_match(live, "_place", place, "_target").select("_place", F.concat(F.lit("="), "_target").alias("_loc"))
+    fit = live.join(in_title, "_title")
+    keys = (fit.join(in_place, "_place").select("_p", *ordered, "_role", "_loc")
+            .unionByName(fit.where("_remote").select("_p", *ordered, "_role", F.lit(REMOTE_KEY).alias("_loc"))))
     if per_user is None:
         return u.join(keys, ["_role", "_loc"]).select(F.col("_u").alias(user), F.col("_p").alias(posting)).distinct()
     first = Window.partitionBy("_role", "_loc").orderBy("_order", "_p")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talentlake.operators import aggs
 from talentlake.plans import views as V
 from talentlake.plans.oracle_views import with_views as W
 from talentlake.plans.registry import register
+from talentlake.session import scratch_path
 from talentlake.sources.tables import Tables
 
 
@@ -237,6 +239,48 @@ def q_skill_demand_approx(spark, d):
     return near.select("skill", within("postings", "p").alias("postings_within"), within("companies", "c").alias("companies_within"))
 
 
+def _demand_sketches(spark, d):
+    """Postings by the day they were found, added in three calls; the second call brings a day of the first again."""
+    t = Tables(spark, d)
+    day = V.v_postings(t).select(F.col("id").alias("posting_id"), F.to_date("discovered_at").alias("period"))
+    rows = V.v_posting_skills(t).join(day, "posting_id")
+    kept = aggs.DemandSketches(spark, scratch_path(spark, "demand"))
+    week = F.dayofmonth("period") < 8
+    for part in (week, ~week | (F.dayofmonth("period") == 3), F.dayofmonth("period") == 9):
+        kept.add(rows.where(part))
+    return kept, rows
+
+
+@register("skill_demand_periods", W(["v_posting_skills"], """
+SELECT DISTINCT skill, true AS postings_within, true AS companies_within FROM v_posting_skills"""))
+def q_skill_demand_periods(spark, d):
+    """Whether the union of all days' sketches lies within four times its relative error of the exact counts."""
+    kept, rows = _demand_sketches(spark, d)
+    exact = aggs.skill_demand(rows).select("skill", F.col("postings").alias("p"), F.col("companies").alias("c"))
+    near = kept.demand().join(exact, "skill")
+    within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 4 * 1.04 / 64 * F.col(b)
+    return near.select("skill", within("postings", "p").alias("postings_within"), within("companies", "c").alias("companies_within"))
+
+
+@register("top_skills_periods", W(["v_posting_skills"], """
+SELECT CAST(row_number() OVER (ORDER BY n DESC) AS INT) AS place, n AS count
+FROM (SELECT count(*) AS n FROM v_posting_skills GROUP BY skill ORDER BY n DESC LIMIT 20)"""))
+def q_top_skills_periods(spark, d):
+    """The 20 most frequent skills out of all days' sketches (fewer skills than counters: exact counts)."""
+    top = _demand_sketches(spark, d)[0].top(20)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("count"))).alias("place"), "count")
+
+
+@register("salary_overall", W(["v_postings"], """
+SELECT count(*) AS postings, count(mid) AS with_salary, round(100 * count(mid) / nullif(count(*), 0), 1) AS coverage_pct,
+  min(mid) AS min_mid, round(quantile_cont(mid, 0.25), 2) AS p25_mid, round(quantile_cont(mid, 0.5), 2) AS median_mid,
+  round(quantile_cont(mid, 0.75), 2) AS p75_mid, max(mid) AS max_mid, round(avg(mid), 2) AS avg_mid
+FROM (SELECT CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN (salary_min + salary_max) / 2.0
+             ELSE CAST(coalesce(salary_min, salary_max) AS DOUBLE) END AS mid FROM v_postings)"""))
+def q_salary_overall(spark, d):
+    return aggs.salary_insight(V.v_postings(Tables(spark, d)), by=[])
+
+
 @register("salary_insight", W(["v_postings"], """
 SELECT location, count(*) AS postings, count(mid) AS with_salary, round(100 * count(mid) / nullif(count(*), 0), 1) AS coverage_pct,
   min(mid) AS min_mid, round(quantile_cont(mid, 0.25), 2) AS p25_mid, round(quantile_cont(mid, 0.5), 2) AS median_mid,

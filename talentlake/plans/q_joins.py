@@ -142,29 +142,33 @@ def q_match_requirements(spark, d):
 
 
 PREF_SQL = [
-    ("users", """SELECT c.c_custkey AS user_id, split_part(p.p_name, ' ', 2) AS role, n.n_name AS loc
-                 FROM customer c JOIN part p ON p.p_partkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"""),
-    ("posts", f"""SELECT id, discovered_at, ' ' || array_to_string(regexp_split_to_array(lower(role_title), '{WORDS_RE}'), ' ') || ' ' AS t,
-                  ' ' || array_to_string(regexp_split_to_array(lower(location), '{WORDS_RE}'), ' ') || ' ' AS l,
+    ("users", """SELECT user_id, unnest(CASE WHEN user_id % 10 = 0 THEN [role, left(role, 2), left(role, 1)] WHEN user_id % 10 = 1 THEN [role[2:5], ' ']
+                   ELSE [role] END) AS role, unnest(CASE WHEN user_id % 10 < 2 THEN [loc, loc, loc][1:3 - user_id % 10] ELSE [loc] END) AS loc
+                 FROM (SELECT c.c_custkey AS user_id, split_part(p.p_name, ' ', 2) AS role,
+                   CASE WHEN c.c_custkey % 4 = 0 THEN left(n.n_name, 3) ELSE n.n_name END AS loc
+                 FROM customer c JOIN part p ON p.p_partkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)"""),
+    ("posts", """SELECT id, discovered_at, lower(role_title) AS t, lower(location) AS l,
                   lower(policy_text) LIKE '%remote%' AND lower(policy_text) NOT LIKE '%hybrid%' AS is_remote
                   FROM v_postings WHERE is_active"""),
 ]
 
 
-@register("preference_match", W(["v_postings"], f"""
+@register("preference_match", W(["v_postings"], """
 SELECT user_id, id, CAST(rank AS INT) AS rank FROM (
 SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY discovered_at DESC, id) AS rank FROM (
 SELECT DISTINCT u.user_id, p.id, p.discovered_at FROM users u JOIN posts p
-  ON p.t LIKE '% ' || array_to_string(regexp_split_to_array(lower(u.role), '{WORDS_RE}'), ' ') || ' %'
- AND (p.is_remote OR p.l LIKE '% ' || array_to_string(regexp_split_to_array(lower(u.loc), '{WORDS_RE}'), ' ') || ' %'))) WHERE rank <= 20""",
-    extra=PREF_SQL))
+  ON trim(u.role) <> '' AND p.t LIKE '%' || lower(trim(u.role)) || '%'
+ AND (p.is_remote OR p.l LIKE '%' || lower(trim(u.loc)) || '%'))) WHERE rank <= 20""", extra=PREF_SQL))
 def q_preference_match(spark, d):
+    """Whole words, pieces of words, targets of two characters and of one, and a blank one."""
     t = Tables(spark, d)
     c, p, n = t.customer, t.part, t.nation
+    role, some = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)), F.col("c_custkey") % 10
+    roles = (F.when(some == 0, F.array(role, F.left(role, F.lit(2)), F.left(role, F.lit(1))))
+             .when(some == 1, F.array(F.substring(role, 2, 4), F.lit(" "))).otherwise(F.array(role)))
+    place = F.when(F.col("c_custkey") % 4 == 0, F.left("n_name", F.lit(3))).otherwise(F.col("n_name"))
     users = c.join(p, p.p_partkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select(
-        F.col("c_custkey").alias("user_id"),
-        F.array(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))).alias("target_roles"),
-        F.array(F.col("n_name")).alias("target_locations"))
+        F.col("c_custkey").alias("user_id"), roles.alias("target_roles"), F.array(place).alias("target_locations"))
     posts = V.v_postings(t).withColumn("remote_policy", remote_policy("policy_text"))
     newest = [-F.unix_micros(F.col("discovered_at").cast("timestamp"))]
     return J.preference_match(users, posts, order=newest, per_user=20)

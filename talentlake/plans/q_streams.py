@@ -13,14 +13,18 @@ from talentlake.operators import merge as M
 from talentlake.plans.oracle_views import with_views as W
 from talentlake.plans.q_ingest import UPSERT_SQL, _upsert_inputs
 from talentlake.plans.q_work import LIFECYCLE_SQL
-from talentlake.plans.registry import register
+from talentlake.plans.registry import ORACLES, register
 from talentlake.session import path_exists, scratch_path
 from talentlake.sources.tables import Tables
+from talentlake.streaming import jobs as JB
 from talentlake.streaming import streams as S
 
 
 def _status_stream(spark, d):
-    e = S.table_stream(spark, d, "events")
+    return _status_events(S.table_stream(spark, d, "events"))
+
+
+def _status_events(e):
     et = F.col("event_type")
     return e.select(
         "event_id", "user_id", (F.col("user_id") * 1000 + F.dayofmonth("ts")).alias("job_id"),
@@ -41,10 +45,11 @@ WITH b AS (SELECT *, event_id % 4 AS batch FROM events),
 SELECT event_id, ts, user_id, event_type, value, props, coalesce(ts < top - INTERVAL 10 MINUTE, false) AS late
 FROM b JOIN w USING (batch)""")
 def q_stream_dedupe_late(spark, d):
-    """Four micro-batches (event_id modulo 4), each with a copy of the one before."""
+    """Four micro-batches (event_id modulo 4), each with a copy of the one before, sent as of a day earlier."""
     e, src = Tables(spark, d).events, scratch_path(spark, "late-in")
     for i in range(4):
-        part = e.where((F.col("event_id") % 4 == i) | (F.col("event_id") % 4 == i - 1))
+        again = e.where(F.col("event_id") % 4 == i - 1).withColumn("ts", F.timestamp_add("DAY", F.lit(-1), "ts"))
+        part = e.where(F.col("event_id") % 4 == i).unionByName(again)
         part.coalesce(1).write.mode("append").parquet(src)
     s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
     path = S.dedupe_with_late(s, "event_id", scratch_path(spark, "late-out"))
@@ -68,9 +73,7 @@ def q_stream_tumbling(spark, d):
 def q_stream_lifecycle(spark, d):
     s = _status_stream(spark, d).withColumn(
         "error", F.when(F.col("status") == "failed", F.concat(F.lit("failed with value "), F.col("value").cast("string"))))
-    st = S.lifecycle_stream(s, stuck_after_seconds=None)
-    log = S.write_changelog(st, "lifecycle", ["job_id"])
-    return S.compact_changelog(spark, log, ["job_id"], st.schema).drop("stuck")
+    return JB.lifecycle_stream(s).table()
 
 
 @register("stream_upsert", UPSERT_SQL)
@@ -186,15 +189,28 @@ def q_late_events(spark, d):
     return S.late_events(logs, "arrival")
 
 
-@register("stream_pending", """
-SELECT user_id, count(*) AS events, CAST(count_if(status = 'pending') AS BIGINT) AS pending,
-  CAST(count_if(status = 'processing') AS BIGINT) AS processing, CAST(count_if(status = 'completed') AS BIGINT) AS completed,
-  CAST(count_if(status = 'failed') AS BIGINT) AS failed, CAST(count_if(status = 'cancelled') AS BIGINT) AS cancelled
-FROM (SELECT user_id, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing'
-        WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status FROM events)
-GROUP BY user_id""")
+@register("late_events_stream", ORACLES["late_events"])
+def q_late_events_stream(spark, d):
+    """The same lines in four micro-batches by arrival, each in no order."""
+    late = F.when(F.col("event_id") % 7 == 0, 81).otherwise(0)
+    logs = _logs(Tables(spark, d).events).withColumn("arrival", 2 * F.col("event_id") + late)
+    src, end = scratch_path(spark, "logs-in"), logs.agg(F.max("arrival")).scalar()
+    part = F.floor(F.col("arrival") * 4 / (end + 1))
+    for i in range(4):
+        logs.where(part == i).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return S.late_stream(s, "arrival").late_report()
+
+
+@register("stream_pending", W([], """
+SELECT job_id // 1000 AS user_id, count(*) AS jobs, CAST(count_if(state = 'pending') AS BIGINT) AS pending,
+  CAST(count_if(state = 'processing') AS BIGINT) AS processing, CAST(count_if(state = 'completed') AS BIGINT) AS completed,
+  CAST(count_if(state = 'failed') AS BIGINT) AS failed, CAST(count_if(state = 'cancelled') AS BIGINT) AS cancelled
+FROM life GROUP BY 1""", extra=[("life", LIFECYCLE_SQL)]))
 def q_stream_pending(spark, d):
-    s = _status_stream(spark, d)
-    k = S.live_kpis(s, "user_id", "status")
-    log = S.write_changelog(k, "kpis", ["user_id"])
-    return S.compact_changelog(spark, log, ["user_id"], k.schema)
+    """Jobs by the state they are in, out of three micro-batches (event_id modulo 3): jobs change state in every one."""
+    e, src = Tables(spark, d).events, scratch_path(spark, "kpis-in")
+    for i in range(3):
+        e.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return JB.live_kpis(_status_events(s)).table()

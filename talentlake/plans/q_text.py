@@ -325,7 +325,8 @@ def v_profiles(t):
         F.array(F.struct(F.col("n_name").alias("company"), F.col("o_orderpriority").alias("role"),
                          F.date_format("o_orderdate", "yyyy-MM").alias("start_date"),
                          F.when(F.col("o_orderstatus") != "O", F.date_format("o_orderdate", "yyyy")).alias("end_date"),
-                         F.col("_types").alias("highlights"))).alias("experience"),
+                         F.col("_types").alias("highlights"),
+                         F.when(F.col("o_orderkey") % 3 != 0, F.col("_brands")).alias("technologies"))).alias("experience"),
         F.array().cast("array<struct<degree:string,field:string,institution:string>>").alias("education"),
         F.col("_brands").alias("certifications"),
     )
@@ -377,6 +378,7 @@ SELECT id,
     f"""'**Work Experience:**' || {NL} || {NL} || '### ' || coalesce(role, '') || ' at ' || coalesce(n_name, '') || ' ('
          || coalesce(start_date, '') || ' - ' || coalesce(end_date, 'Present') || ')'
          || CASE WHEN len(types) > 0 THEN {NL} || array_to_string(list_transform(types, lambda h: '  - ' || h), {NL}) ELSE '' END
+         || CASE WHEN id % 3 <> 0 AND len(brands) > 0 THEN {NL} || '  Technologies: ' || array_to_string(brands, ', ') ELSE '' END
          || {NL}""",
     f"CASE WHEN len(brands) > 0 THEN '**Certifications:** ' || array_to_string(brands, ', ') || {NL} END",
   )} AS cv_text,

@@ -109,6 +109,23 @@ def admit_files(files: DataFrame, max_mb: float = MAX_FILE_MB, content: str = "c
     return files.withColumns({"admitted": reason.isNull(), "reject_reason": reason})
 
 
+def gate_files(spark: SparkSession, path: str, glob: str = "*.pdf", max_mb: float = MAX_FILE_MB) -> DataFrame:
+    """``admit_files`` over files as they lie: path, modificationTime, length, admitted, reject_reason, and the
+    content of admitted files.
+
+    The size is judged by the listing.  Content is read only for files inside the bound (``length`` is pushed
+    down to the file source, which then does not open the others), so a file of any size can be there.
+    Spark's file source does not list files of 0 bytes: they give no row.
+    """
+    limit = int(max_mb * 1024 * 1024)
+    files = read_files(spark, path, glob)
+    inside = admit_files(files.where(F.col("length") <= limit), max_mb).withColumn("content", F.when(F.col("admitted"), F.col("content")))
+    beyond = files.where(F.col("length") > limit).select(
+        "path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"), F.lit(False).alias("admitted"),
+        F.lit("too_large").alias("reject_reason"))
+    return inside.unionByName(beyond)
+
+
 # --------------------------------------------------------------------------- A12
 BATCH_SCHEMA = ("batch ARRAY<STRUCT<type: STRING, text: STRING, user_id: STRING, "
                 "cv_version_id: STRING, job_posting_id: STRING>>")

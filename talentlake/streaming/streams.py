@@ -6,22 +6,21 @@ the state store (RocksDB when configured), checkpoints under the shared
 Aggregations run in *update* mode and append each micro-batch's changed rows
 to a changelog; ``compact_changelog`` gives the current table (latest row per
 key), so state stays bounded by the watermark instead of growing as in
-complete mode.
+complete mode.  R3 and R7 are in ``jobs.py``, the tables that batches keep in ``tables.py``.
 """
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
 
 from talentlake.operators.merge import merge_upsert
 from talentlake.session import path_exists, scratch_path
+from talentlake.streaming.tables import BatchLog, bases, delete_before
 
 # Log level tags of the merged agent log.
 ERROR_MARKERS = ["ERROR", "Exception"]
@@ -108,47 +107,26 @@ def write_changelog(df: DataFrame, name: str, keys: Sequence[str], path: str | N
         (batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{out}/log"))
         if (batch_id + 1) % compact_every == 0:
-            older = _bases(spark, out)
+            older = bases(spark, out)
             compact_changelog(spark, out, keys, df.schema).write.mode("overwrite").parquet(f"{out}/base/v={batch_id}")
             if older:
-                _delete_before(spark, f"{out}/log", "_batch", max(older) + 1)
-                _delete_before(spark, f"{out}/base", "v", max(older))
+                delete_before(spark, f"{out}/log", "_batch", max(older) + 1)
+                delete_before(spark, f"{out}/base", "v", max(older))
 
     run_available(df.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(sink))
     return out
 
 
-def _folders(spark: SparkSession, path: str, name: str) -> dict[int, object]:
-    """Number -> path of the folders ``name=<number>`` under ``path``."""
-    if not path_exists(spark, path):
-        return {}
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
-    paths = [f.getPath() for f in found if f.isDirectory()]
-    return {int(p.getName().split("=")[1]): p for p in paths if p.getName().startswith(f"{name}=")}
-
-
-def _bases(spark: SparkSession, path: str) -> list[int]:
-    """Finished bases: a folder counts once Spark has committed it."""
-    return [v for v, p in _folders(spark, f"{path}/base", "v").items() if path_exists(spark, f"{p.toString()}/_SUCCESS")]
-
-
-def _delete_before(spark: SparkSession, path: str, name: str, number: int) -> None:
-    for v, p in _folders(spark, path, name).items():
-        if v < number:
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def compact_changelog(spark: SparkSession, path: str, keys: Sequence[str], schema: StructType) -> DataFrame:
     """Current table of a changelog: the row of the latest batch per key (partial max_by per key), out of
     the latest base and the batches after it."""
-    bases = _bases(spark, path)
+    known = bases(spark, path)
     parts = []
-    if bases:
-        parts.append(spark.read.schema(schema).parquet(f"{path}/base/v={max(bases)}").withColumn("_batch", F.lit(max(bases)).cast("long")))
+    if known:
+        parts.append(spark.read.schema(schema).parquet(f"{path}/base/v={max(known)}").withColumn("_batch", F.lit(max(known)).cast("long")))
     if path_exists(spark, f"{path}/log"):
         log = spark.read.schema(StructType([*schema.fields, StructField("_batch", LongType())])).parquet(f"{path}/log")
-        parts.append(log.where(F.col("_batch") > max(bases)) if bases else log)
+        parts.append(log.where(F.col("_batch") > max(known)) if known else log)
     if not parts:  # no batch produced output
         return spark.createDataFrame([], schema)
     log = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -163,48 +141,52 @@ def dedupe_stream(s: DataFrame, id_col: str, delay: str = "10 minutes", ts: str
     return event_time(s, ts).withWatermark("event_time", delay).dropDuplicatesWithinWatermark([id_col]).drop("event_time")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, whatever the session's own choice."""
+    own = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, own)
+
+
 def dedupe_with_late(s: DataFrame, id_col: str, path: str, delay_minutes: int = 10, ts: str = "ts",
                      checkpoint: str | None = None) -> str:
-    """R1 without loss: every event once, in ``path/main`` or, when it comes behind the watermark
-    (largest event time of earlier batches less the delay), in ``path/late``.
+    """R1 without loss: every id once, whatever the times it is sent with, in ``path/main`` or, when it comes
+    behind the watermark (largest event time kept from earlier batches less the delay), in ``path/late``.
 
-    A batch removes its own copies and what the tables already hold.  Tables are partitioned by batch
-    and event day, and only the days of the batch are read, so the cost of a batch follows its days.
-    A replayed batch overwrites its own partitions and never reads them.
+    The ids seen are keyed state in RocksDB, by the hash of the id: a batch looks up its own ids (files that
+    cannot hold one are skipped by their Bloom filters), so its cost follows the batch and not what was seen.
+    They are kept for good: 100 TB of events need about the size of their ids on the executors' disks.
+    An event without id has no copy and is kept.  A replayed batch overwrites its own folders.
     """
     spark = s.sparkSession
     ck = checkpoint or scratch_path(spark, "dedupe-late-ckpt")
-
-    events = StructType([*s.schema.fields, StructField("_batch", LongType()), StructField("_day", StringType())])
-    times = StructType([StructField("max_ts", s.schema[ts].dataType), StructField("_batch", LongType())])
-
-    def table(name: str, before: int) -> DataFrame | None:
-        # the schema is given: a folder may hold no rows yet
-        got = _try_read(spark, f"{path}/{name}", times if name == "progress" else events)
-        return got.where(F.col("_batch") < before) if got is not None else None
+    times = StructType([StructField("max_ts", s.schema[ts].dataType)])
+    progress = BatchLog(spark, f"{path}/progress", times, lambda rows: rows.agg(F.max("max_ts").alias("max_ts")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        seen = table("progress", batch_id)
-        top = seen.agg(F.max("max_ts")).first()[0] if seen is not None else None
-        one = batch.dropDuplicates([id_col]).withColumn("_day", F.coalesce(F.to_date(ts).cast("string"), F.lit("none")))
-        for name in ("main", "late"):
-            old = table(name, batch_id)
-            if old is not None:
-                days = [r[0] for r in one.select("_day").distinct().collect()]  # calendar days, few
-                one = one.join(old.where(F.col("_day").isin(days)).select(id_col, "_day"), [id_col, "_day"], "left_anti")
+        top = progress.table(before=batch_id).first()[0]
         late = F.lit(False) if top is None else F.coalesce(
             F.col(ts) < F.timestamp_add("MINUTE", F.lit(-delay_minutes), F.lit(top).cast(batch.schema[ts].dataType)), F.lit(True))
-        one = one.withColumns({"_late": late, "_batch": F.lit(batch_id).cast("long")}).persist()
+        marked = batch.withColumn("_late", late).persist()
         try:
-            for name, part in (("main", one.where(~F.col("_late"))), ("late", one.where("_late"))):
-                (part.drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy("_batch", "_day").parquet(f"{path}/{name}"))
-            (batch.agg(F.max(ts).alias("max_ts")).withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(f"{path}/progress"))
+            for name, part in (("main", marked.where(~F.col("_late"))), ("late", marked.where("_late"))):
+                part.drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/_batch={batch_id}")
+            progress.write(batch.agg(F.max(ts).alias("max_ts")), batch_id)
         finally:
-            one.unpersist()
+            marked.unpersist()
+        progress.compact(batch_id)
 
-    run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink))
+    once = s.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(s.where(F.col(id_col).isNull()))
+    with _state_on_disk(spark):
+        run_available(once.writeStream.option("checkpointLocation", ck).foreachBatch(sink))
     return path
 
 
@@ -221,85 +203,6 @@ def metric_windows(s: DataFrame, by: str, value: str, ts: str = "ts", size: str
                       "invocations", "sum_value", "avg_value", "max_value", "min_value")
 
 
-# --------------------------------------------------------------------------- R3
-LIFECYCLE_OUT = ("job_id BIGINT, state STRING, started_at TIMESTAMP_NTZ, completed_at TIMESTAMP_NTZ, "
-                 "last_event_at TIMESTAMP_NTZ, error_message STRING, events BIGINT, stuck BOOLEAN")
-LIFECYCLE_STATE = ("state STRING, started_at TIMESTAMP_NTZ, completed_at TIMESTAMP_NTZ, last_event_at TIMESTAMP_NTZ, "
-                   "error_message STRING, events BIGINT")
-
-
-def _fold_job(key, pdfs: Iterator[pd.DataFrame], state: GroupState, stuck_after_ms: int | None,
-              retain_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Keyed state of one job: the lifecycle fold with its transition guards."""
-    (job_id,) = key
-    if state.hasTimedOut:
-        st = state.get
-        if st[0] in ("pending", "processing"):
-            # reported once; the state stays, so a late event meets what happened before
-            yield pd.DataFrame([{"job_id": job_id, "state": st[0], "started_at": st[1], "completed_at": st[2],
-                                 "last_event_at": st[3], "error_message": st[4], "events": st[5], "stuck": True}])
-        elif retain_ms is not None:
-            state.remove()
-        return
-    if state.exists:
-        cur, started, done, last, err, n = state.get
-    else:
-        cur, started, done, last, err, n = "pending", None, None, None, None, 0
-    for pdf in pdfs:
-        if not len(pdf):
-            continue
-        sts = pdf["status"].to_numpy()
-        tss = pdf["ts"].to_numpy()
-        errs = pdf["error"].to_numpy()
-        for i in np.lexsort((pdf["event_id"].to_numpy(), tss)):
-            st_, ts_ = sts[i], pd.Timestamp(tss[i])
-            n += 1
-            last = ts_ if last is None or ts_ > last else last
-            if cur == "cancelled":
-                continue
-            if st_ == "completed":
-                if cur == "processing":
-                    cur, done = "completed", ts_
-            elif st_ == "processing":
-                cur, done = "processing", None
-                started = ts_ if started is None else started
-            elif st_ == "failed":
-                e_ = errs[i]
-                cur, done, err = "failed", ts_, (None if e_ is None or pd.isna(e_) else str(e_)[:500])
-            elif st_ == "cancelled":
-                cur, done = "cancelled", ts_
-            else:
-                cur, done = st_, None
-    err = err if cur == "failed" else None
-    state.update((cur, started, done, last, err, n))
-    wait = stuck_after_ms if cur in ("pending", "processing") else retain_ms
-    if wait is not None and stuck_after_ms is not None:
-        state.setTimeoutDuration(wait)
-    yield pd.DataFrame({"job_id": [job_id], "state": [cur], "started_at": [started], "completed_at": [done],
-                        "last_event_at": [last], "error_message": [err], "events": [n], "stuck": [False]})
-
-
-def lifecycle_stream(s: DataFrame, stuck_after_seconds: int | None = 910,
-                     retain_seconds: int | None = 7 * 86400) -> DataFrame:
-    """W1 as keyed state: per job the fold state is kept in the state store; a processing-time
-    timer emits a ``stuck`` row for jobs that stay pending/processing without events.
-
-    Input columns: job_id, event_id, status, ts, error.  Events of one micro-batch are applied
-    in (ts, event_id) order; across batches in arrival order.  ``stuck_after_seconds=None`` runs
-    without timers — use it for ``availableNow`` runs, where pending timers would keep the query
-    executing no-data batches.  A stuck job keeps its state; a finished one is forgotten when no event
-    came for ``retain_seconds`` (None: never), which bounds the state by the jobs of that time.
-    """
-    ms = None if stuck_after_seconds is None else stuck_after_seconds * 1000
-    timeout = GroupStateTimeout.NoTimeout if ms is None else GroupStateTimeout.ProcessingTimeTimeout
-
-    def fn(key, pdfs, state):
-        return _fold_job(key, pdfs, state, ms, None if retain_seconds is None else retain_seconds * 1000)
-
-    return s.select("job_id", "event_id", "status", "ts", "error").groupBy("job_id").applyInPandasWithState(
-        fn, LIFECYCLE_OUT, LIFECYCLE_STATE, "update", timeout)
-
-
 # --------------------------------------------------------------------------- R4
 def upsert_stream(s: DataFrame, initial: DataFrame, path: str, keys: Sequence[str], set_cols: Sequence[str],
                   order_col: str, now: Column, checkpoint: str | None = None, compact_every: int = 8,
@@ -309,7 +212,7 @@ def upsert_stream(s: DataFrame, initial: DataFrame, path: str, keys: Sequence[st
     A batch writes only its own rows (plus its batch id and time) to ``path/deltas/_batch=<id>``
     — the cost of a batch is the size of the batch, not of the table, and a replayed batch
     overwrites its own partition.  Every ``compact_every`` batches the deltas are folded into a
-    new base ``path/base/v=<id>`` (recorded in ``path/_compactions``).  ``read_upsert_table``
+    new base ``path/base/v=<id>``, and what the base before it had replaced is deleted.  ``read_upsert_table``
     returns base ⊕ newer deltas, which equals applying the batches one after another.
     """
     spark = s.sparkSession
@@ -319,10 +222,13 @@ def upsert_stream(s: DataFrame, initial: DataFrame, path: str, keys: Sequence[st
         (batch.withColumn("_batch", F.lit(batch_id).cast("long")).withColumn("_now", now)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch")
          .parquet(f"{path}/deltas"))
-        if (batch_id + 1) % compact_every == 0:
+        older = bases(spark, path)
+        if (batch_id + 1) % compact_every == 0 and batch_id not in older:
             snap = read_upsert_table(spark, path, initial, keys, set_cols, order_col, updated_col)
             snap.write.mode("overwrite").parquet(f"{path}/base/v={batch_id}")
-            spark.createDataFrame([(batch_id,)], "batch_id BIGINT").write.mode("append").parquet(f"{path}/_compactions")
+            if older:  # the base before stays for readers that started on it
+                delete_before(spark, f"{path}/deltas", "_batch", max(older) + 1)
+                delete_before(spark, f"{path}/base", "v", max(older))
 
     run_available(s.writeStream.option("checkpointLocation", ck).foreachBatch(sink))
     return path
@@ -340,8 +246,7 @@ def read_upsert_table(spark: SparkSession, path: str, initial: DataFrame, keys:
 
     Deltas are ordered by (batch, arrival); each batch's time becomes ``updated_at`` of the keys it
     touched, so the merge equals sequential per-batch application."""
-    comp = _try_read(spark, f"{path}/_compactions")
-    base_v = comp.agg(F.max("batch_id")).first()[0] if comp is not None else None
+    base_v = max(bases(spark, path), default=None)
     base = initial if base_v is None else spark.read.parquet(f"{path}/base/v={base_v}")
     deltas = _try_read(spark, f"{path}/deltas")
     if deltas is None:
@@ -415,41 +320,86 @@ def recent_lines(logs: DataFrame, now: Column, lookback_minutes: int, ts: str =
     return logs.where(F.col(ts) >= F.timestamp_add("MINUTE", F.lit(-lookback_minutes), now)).orderBy(ts)
 
 
-def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 1 << 14,
-                window: str = "5 minutes") -> DataFrame:
-    """Batch report: lines that arrived behind the watermark (running max event time − lookback).
+def _behind(logs: DataFrame, arrival: str, ts: str, lookback_minutes: int, chunk: int, top: Column | None = None) -> DataFrame:
+    """``logs`` with ``_late``: behind the watermark, the running max event time over what arrived before (and
+    ``top``, what was seen before all of them) less the lookback.
 
     The running max over arrival order is a parallel prefix: per-chunk maxima (one row per
     ``chunk`` arrivals) → prefix over ``chunk`` chunks at a time and over those → within-chunk running
     max.  No single task sees all lines or all chunks (2^28 lines are one row of the last prefix).
     """
-    c = F.floor(F.col(arrival) / chunk)
-    x = logs.withColumn("_chunk", c)
-    cm = x.groupBy("_chunk").agg(F.max(ts).alias("_cmax"))
-    from pyspark.sql import Window
+    x = logs.withColumn("_chunk", F.floor(F.col(arrival) / chunk))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    cm = cm.withColumn("_group", F.floor(F.col("_chunk") / chunk))
+    cm = x.groupBy("_chunk").agg(F.max(ts).alias("_cmax")).withColumn("_group", F.floor(F.col("_chunk") / chunk))
     groups = cm.groupBy("_group").agg(F.max("_cmax").alias("_gmax"))
     groups = groups.select("_group", F.max("_gmax").over(before(Window.orderBy("_group"))).alias("_earlier"))
     inside = F.max("_cmax").over(before(Window.partitionBy("_group").orderBy("_chunk")))
     prefix = cm.withColumn("_here", inside).join(groups, "_group").withColumn("_before", F.greatest("_here", "_earlier"))
     w_in = Window.partitionBy("_chunk").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
     y = x.join(prefix.select("_chunk", "_before"), "_chunk").withColumn("_in", F.max(ts).over(w_in))
-    wm = F.greatest(F.col("_before"), F.col("_in"))
-    late = y.withColumn("_wm", F.timestamp_add("MINUTE", F.lit(-lookback_minutes), wm)).where(F.col(ts) < F.col("_wm"))
-    return late.groupBy(F.window(F.col(ts).cast("timestamp"), window).start.cast("timestamp_ntz").alias("window_start"),
-                        "agent").agg(F.count(F.lit(1)).alias("late_lines"))
-
-
-# --------------------------------------------------------------------------- R7
-def live_kpis(s: DataFrame, user: str, status: str) -> DataFrame:
-    """Per-user job counters kept fresh (update mode): events by status."""
-    st = F.col(status)
-    return s.groupBy(user).agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(st == "pending").alias("pending"),
-        F.count_if(st == "processing").alias("processing"),
-        F.count_if(st == "completed").alias("completed"),
-        F.count_if(st == "failed").alias("failed"),
-        F.count_if(st == "cancelled").alias("cancelled"),
-    )
+    wm = F.greatest(F.col("_before"), F.col("_in"), *([] if top is None else [top]))
+    late = F.col(ts) < F.timestamp_add("MINUTE", F.lit(-lookback_minutes), wm)
+    return y.select(*logs.columns, F.coalesce(late, F.lit(False)).alias("_late"))
+
+
+def _late_counts(late: DataFrame, ts: str, window: str) -> DataFrame:
+    start = F.window(F.col(ts).cast("timestamp"), window).start.cast("timestamp_ntz").alias("window_start")
+    return late.groupBy(start, "agent").agg(F.count(F.lit(1)).alias("late_lines"))
+
+
+def late_events(logs: DataFrame, arrival: str, ts: str = "ts", lookback_minutes: int = 5, chunk: int = 1 << 14,
+                window: str = "5 minutes") -> DataFrame:
+    """Batch report: lines that arrived behind the watermark, per window and agent."""
+    return _late_counts(_behind(logs, arrival, ts, lookback_minutes, chunk).where("_late"), ts, window)
+
+
+class LogTable:
+    """What a stream of log lines left under ``path``: lines in time, late lines, and the report of those."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, ts: str, compact_every: int = 16):
+        self.spark, self.path, self.schema = spark, path, schema
+        counts = StructType([StructField("window_start", TimestampNTZType()), schema["agent"], StructField("late_lines", LongType())])
+        self.counts = BatchLog(spark, f"{path}/counts", counts, self._added, None, 1, compact_every)
+        times = StructType([StructField("max_ts", schema[ts].dataType)])
+        self.progress = BatchLog(spark, f"{path}/progress", times, lambda rows: rows.agg(F.max("max_ts").alias("max_ts")), None, 1, compact_every)
+
+    @staticmethod
+    def _added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("window_start", "agent").agg(F.sum("late_lines").alias("late_lines"))
+
+    def late_report(self) -> DataFrame:
+        return self.counts.table()
+
+    def lines(self, late: bool) -> DataFrame:
+        at = f"{self.path}/{'late' if late else 'lines'}"
+        if not path_exists(self.spark, at):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(at).select(*self.schema.names)
+
+
+def late_stream(s: DataFrame, arrival: str, path: str | None = None, ts: str = "ts", lookback_minutes: int = 5,
+                chunk: int = 1 << 14, window: str = "5 minutes", checkpoint: str | None = None) -> LogTable:
+    """R6's late report as a stream: lines behind the running watermark go to ``path/late`` and are counted per
+    window and agent, all others to ``path/lines``; none is lost.
+
+    Lines of later batches arrived later; inside a batch ``arrival`` orders them.  The watermark at the start of
+    a batch is kept per batch, so a replay marks the same lines and overwrites its own folders.
+    """
+    spark = s.sparkSession
+    kept = LogTable(spark, path or scratch_path(spark, "late-lines"), s.schema, ts)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        top = F.lit(kept.progress.table(before=batch_id).first()[0]).cast(s.schema[ts].dataType)
+        marked = _behind(batch, arrival, ts, lookback_minutes, chunk, top).persist()
+        try:
+            for name, part in (("lines", marked.where(~F.col("_late"))), ("late", marked.where("_late"))):
+                part.drop("_late").write.mode("overwrite").parquet(f"{kept.path}/{name}/_batch={batch_id}")
+            kept.counts.write(_late_counts(marked.where("_late"), ts, window), batch_id)
+            kept.progress.write(batch.agg(F.max(ts).alias("max_ts")), batch_id)
+        finally:
+            marked.unpersist()
+        kept.counts.compact(batch_id)
+        kept.progress.compact(batch_id)
+
+    run_available(s.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, "late-lines-ckpt")).foreachBatch(sink))
+    return kept

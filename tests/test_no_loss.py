@@ -4,13 +4,13 @@ import datetime as dt
 import time
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from talentlake.operators import aggs, joins, ranking
 from talentlake.operators import vectors as VX
 from talentlake.session import scratch_path
 from talentlake.streaming import streams as S
+from talentlake.streaming import tables as TB
 
 
 def test_preference_match_long_targets_and_top_n(spark):
@@ -72,48 +72,6 @@ def test_dedupe_with_late_loses_nothing(spark, tmp_path):
     assert sorted(main) == [1, 2, 3, 4, 8] and sorted(late) == [7, 9]
 
 
-class _State:
-    def __init__(self):
-        self.value, self.hasTimedOut, self.timeout = None, False, None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, v):
-        self.value = v
-
-    def remove(self):
-        self.value = None
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def _batch(*events):
-    return iter([pd.DataFrame([{"event_id": i, "status": s, "ts": pd.Timestamp(2024, 1, 1, 0, i), "error": None} for i, s in events])])
-
-
-def test_lifecycle_timer_keeps_the_state():
-    for first, then, want in (("processing", "completed", "completed"), ("cancelled", "processing", "cancelled")):
-        st = _State()
-        list(S._fold_job((1,), _batch((1, first)), st, 1000, None))
-        st.hasTimedOut = True
-        stuck = list(S._fold_job((1,), iter([]), st, 1000, None))
-        assert [bool(f.stuck[0]) for f in stuck] == [True] * (first == "processing")
-        st.hasTimedOut = False
-        out = list(S._fold_job((1,), _batch((2, then)), st, 1000, None))[0]
-        assert (out.state[0], out.events[0]) == (want, 2)
-        assert (out.started_at[0] is not None) == (first == "processing")
-
-
-def test_lifecycle_retention_frees_finished_jobs():
-    st = _State()
-    list(S._fold_job((1,), _batch((1, "processing"), (2, "completed")), st, 1000, 5000))
-    assert st.timeout == 5000
-    st.hasTimedOut = True
-    assert list(S._fold_job((1,), iter([]), st, 1000, 5000)) == [] and not st.exists
-
-
 def test_salary_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(g, int(x), int(x) + 10) for g in "ab" for x in rng.integers(0, 40, 57)] + [("c", None, None), (None, 5, None)]
@@ -136,5 +94,5 @@ def test_changelog_is_compacted_and_shrinks(spark, tmp_path):
     got = {r.k: r.n for r in S.compact_changelog(spark, out, ["k"], counts.schema).collect()}
     assert got == {k: min(k + 1, 3, 9 - k) for k in range(9)}
     # bases at batches 1, 3, 5; the last one kept the base before it and the batches after that
-    assert sorted(S._bases(spark, out)) == [3, 5]
-    assert sorted(S._folders(spark, f"{out}/log", "_batch")) == [4, 5, 6]
+    assert sorted(TB.bases(spark, out)) == [3, 5]
+    assert sorted(TB.folders(spark, f"{out}/log", "_batch")) == [4, 5, 6]
