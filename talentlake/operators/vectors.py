@@ -1,4 +1,4 @@
-"""V: vector knowledge base — embedding replies, indexing, exact and approximate top-k, context.
+"""V: vector knowledge base — embedding replies, indexing, exact top-k, context (tables and index: vector_store.py).
 
 Exact search (V3) is a block matrix product over a grid of vector and query
 blocks (cogrouped, one cell a group): a cell keeps only the k best per query, and
@@ -100,12 +100,40 @@ def vector_faults(vectors: DataFrame, dims: int, vec_id: str = "vec_id", vec: st
     return vectors.select(F.col(vec_id).alias("vec_id"), reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def usable_vectors(df: DataFrame, key: str, vec: str, dims: int | None = None,
+                   out: tuple[str, str] = ("vec_id", "embedding")) -> tuple[DataFrame, int]:
+    """(rows with a whole vector of ``dims`` numbers, dims); by default the most frequent length."""
+    if dims is None:
+        top = df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).count().orderBy(F.col("count").desc(), "d").first()
+        dims = top["d"] if top else 0
+    return _usable(df, key, vec, dims, out), dims
+
+
 def _usable(df: DataFrame, key: str, vec: str, dims: int, out: tuple[str, str]) -> DataFrame:
     v = F.col(vec)
     good = v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")))
     return df.where(F.coalesce(good, F.lit(False))).select(F.col(key).alias(out[0]), v.cast("array<double>").alias(out[1]))
 
 
+def score_cell(k: int, digits: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The k best (and ties) of a cell's vectors for each of its queries, as one matrix product."""
+    def cell(v: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if v.empty or qs.empty:
+            return pd.DataFrame({"query_id": qs["query_id"][:0], "vec_id": v["vec_id"][:0], "distance": np.zeros(0)})
+        matrix, vec_ids, parts = _normalise(np.stack(v["embedding"].to_numpy())), v["vec_id"].to_numpy(), []
+        for at in range(0, len(qs), 512):
+            block = qs.iloc[at:at + 512]
+            dist = np.round(1.0 - _normalise(np.stack(block["query"].to_numpy())) @ matrix.T, digits)
+            kk = min(k, len(v))
+            # everything up to the k-th smallest distance (ties included), so the final ranking is exact
+            qi, vi = np.nonzero(dist <= np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk])
+            part = pd.DataFrame({"query_id": block["query_id"].to_numpy()[qi], "vec_id": vec_ids[vi], "distance": dist[qi, vi]})
+            parts.append(part.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k))
+        return pd.concat(parts)
+
+    return cell
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query",
         vec_id: str = "vec_id", vec: str = "embedding", where: Column | None = None, digits: int = 6,
         cell_vectors: int = 20_000, cell_queries: int = 2_000) -> DataFrame:
@@ -123,9 +151,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_i
     if k <= 0:
         raise ValueError("k must be > 0")
     vs = vectors.where(where) if where is not None else vectors
-    dims = vs.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).count().orderBy(F.col("count").desc(), "d").first()
-    q = _usable(queries, query_id, query_vec, dims["d"] if dims else 0, ("query_id", "query"))
-    vs = _usable(vs, vec_id, vec, dims["d"] if dims else 0, ("vec_id", "embedding"))
+    vs, dims = usable_vectors(vs, vec_id, vec)
+    q = _usable(queries, query_id, query_vec, dims, ("query_id", "query"))
     rows = max(1, -(-vs.count() // cell_vectors))
     cols = max(1, -(-q.count() // cell_queries))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -133,21 +160,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_i
     right = q.withColumn("c", F.pmod(F.xxhash64("query_id"), F.lit(cols)).cast("int")).withColumn("r", every(rows))
     out_schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {vs.schema['vec_id'].dataType.simpleString()}, distance double"
 
-    def cell(v: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or qs.empty:
-            return pd.DataFrame({"query_id": qs["query_id"][:0], "vec_id": v["vec_id"][:0], "distance": np.zeros(0)})
-        matrix, vec_ids, parts = _normalise(np.stack(v["embedding"].to_numpy())), v["vec_id"].to_numpy(), []
-        for at in range(0, len(qs), 512):
-            block = qs.iloc[at:at + 512]
-            dist = np.round(1.0 - _normalise(np.stack(block["query"].to_numpy())) @ matrix.T, digits)
-            kk = min(k, len(v))
-            # everything up to the k-th smallest distance (ties included), so the final ranking is exact
-            qi, vi = np.nonzero(dist <= np.partition(dist, kk - 1, axis=1)[:, kk - 1:kk])
-            part = pd.DataFrame({"query_id": block["query_id"].to_numpy()[qi], "vec_id": vec_ids[vi], "distance": dist[qi, vi]})
-            parts.append(part.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k))
-        return pd.concat(parts)
-
-    cand = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(cell, out_schema)
+    cell = score_cell(k, digits)
+    cand = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(lambda v, qs: cell(v, qs), out_schema)
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("vec_id").asc())
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("score", F.round(1 - F.col("distance"), digits))
@@ -162,50 +176,6 @@ def centroids(vectors: DataFrame, group: str, vec: str = "embedding") -> DataFra
         "query_id", F.transform("_v", lambda s: s["x"]).alias("query"))
 
 
-# --------------------------------------------------------------------------- V4
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query",
-               vec_id: str = "vec_id", vec: str = "embedding", bucket_length: float = 0.1,
-               num_hash_tables: int = 30, seed: int = 7) -> DataFrame:
-    """Approximate top-k: LSH (random projections) on unit vectors, candidates re-ranked exactly.
-
-    ``approxSimilarityJoin`` equi-joins on hash buckets (no nested loop); Euclidean
-    distance d between unit vectors gives cosine distance d²/2.  No distance is cut off, and queries
-    with fewer than k candidates are searched exactly, so every query gets k rows (or all vectors
-    where there are fewer).  Candidate volume ≈ tables × vectors × P(same bucket): keep
-    ``bucket_length`` near the spread of a projection (≈ 1/√dims for unit vectors) — wider buckets
-    approach all pairs, narrower ones lose recall (measured against ``knn`` in the tests).
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    sizes = vectors.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).count()
-    top = sizes.orderBy(F.col("count").desc(), "d").first()
-    dims = top["d"] if top else 0
-
-    def unit(df, idc, vc):
-        df = _usable(df, idc, vc, dims, ("id", "_v"))
-        norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-        unit_vec = F.transform("_v", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
-        # a vector of the right size in any case: Spark may hash rows before it filters them
-        plain = F.when(F.size("_v") == dims, unit_vec)
-        return df.select("id", array_to_vector(F.coalesce(plain, F.array_repeat(F.lit(0.0), dims))).alias("features"))
-
-    q = unit(queries, query_id, query_vec)
-    v = unit(vectors, vec_id, vec)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=seed)
-    model = lsh.fit(v)
-    pairs = model.approxSimilarityJoin(q, v, 2.01, distCol="euclid")  # unit vectors are at most 2 apart
-    cand = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("vec_id"),
-                        F.round(F.col("euclid") * F.col("euclid") / 2.0, 6).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    near = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    full = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias(query_id))
-    rest = knn(queries.join(full, query_id, "left_anti"), vectors, k, query_id, query_vec, vec_id, vec)
-    found = near.join(full.withColumnRenamed(query_id, "query_id"), "query_id", "left_semi")
-    return found.select("query_id", "vec_id", "distance", "rank").unionByName(rest.select("query_id", "vec_id", "distance", "rank"))
-
-
 # --------------------------------------------------------------------------- V5
 def retrieve_context(hits: DataFrame, items: str, per_hit: int = 3, total: int = 10, header: str = "",
                      fallback: str = "", bullet: str = "• ", query_id: str = "query_id", rank: str = "rank",

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from talentlake.operators import aggs, joins, ranking
+from talentlake.operators import vector_store as VS
 from talentlake.operators import vectors as VX
 from talentlake.session import scratch_path
 from talentlake.streaming import streams as S
@@ -31,7 +32,7 @@ def test_knn_approx_fills_up_and_skips_faulty_vectors(spark):
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0]), (4, None), (5, [1.0])],
                                  "vec_id BIGINT, embedding ARRAY<DOUBLE>")
     qs = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "query_id INT, query ARRAY<DOUBLE>")
-    for out in (VX.knn_approx(qs, vecs.where("vec_id <= 3"), 3), VX.knn(qs, vecs, 3)):
+    for out in (VS.knn_approx(qs, vecs.where("vec_id <= 3"), 3), VX.knn(qs, vecs, 3)):
         assert [(r.query_id, r.vec_id) for r in out.orderBy("rank").collect()] == [(0, 1), (0, 2), (0, 3)]
     assert {r.vec_id: r.reason for r in VX.vector_faults(vecs, 2).collect()} == {4: "no vector", 5: "wrong length"}
 

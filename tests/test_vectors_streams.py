@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from talentlake.operators import vector_store as VS
 from talentlake.operators import vectors as VX
 from talentlake.sources.postings import extract_postings
 from talentlake.streaming import streams as S
@@ -44,7 +45,7 @@ def test_knn_approx_recall(spark):
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     q = VX.centroids(e, "label")
     exact = {(r.query_id, r.vec_id) for r in VX.knn(q, e, 5).collect()}
-    approx = {(r.query_id, r.vec_id) for r in VX.knn_approx(q, e, 5).collect()}
+    approx = {(r.query_id, r.vec_id) for r in VS.knn_approx(q, e, 5).collect()}
     assert len(exact & approx) / len(exact) >= 0.9
 
 
