@@ -310,16 +310,13 @@ def json_from_text(df: DataFrame, col: str) -> DataFrame:
     never raises.  The fence is a native regex; only texts without a usable fence
     go through the balanced scan (pandas UDF).
     """
-    fenced = fenced_json(col)
-    fenced_ok = F.try_parse_json(fenced).isNotNull()
-    candidate = F.when(fenced_ok, fenced).otherwise(balanced_object(F.when(~fenced_ok | fenced.isNull(), _c(col))))
-    cand = strip_ws(candidate)
-    wrapped = F.when(cand.startswith("["), F.concat(F.lit('{"charts": '), cand, F.lit("}"))).otherwise(cand)
-    parsed = F.try_parse_json(wrapped)
-    return df.withColumns({
-        "json_text": F.when(parsed.isNotNull(), wrapped),
-        "json_error": F.when(parsed.isNull(), F.lit("no valid JSON found")),
-    })
+    # step by step, so that no pattern or parse is evaluated twice
+    steps = df.withColumn("_fenced", fenced_json(col)).withColumn("_fenced", F.when(F.try_parse_json("_fenced").isNotNull(), F.col("_fenced")))
+    steps = steps.withColumn("_found", strip_ws(F.coalesce("_fenced", balanced_object(F.when(F.col("_fenced").isNull(), _c(col))))))
+    steps = steps.withColumn("_json", F.when(F.col("_found").startswith("["), F.concat(F.lit('{"charts": '), "_found", F.lit("}"))).otherwise(F.col("_found")))
+    steps = steps.withColumn("_json", F.when(F.try_parse_json("_json").isNotNull(), F.col("_json")))
+    return steps.select(*[f"`{c}`" for c in df.columns if c not in ("json_text", "json_error")], F.col("_json").alias("json_text"),
+                        F.when(F.col("_json").isNull(), F.lit("no valid JSON found")).alias("json_error"))
 
 
 # --------------------------------------------------------------------------- T15
