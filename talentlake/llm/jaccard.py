@@ -13,8 +13,10 @@ and each band divides the feature domain into groups of ``n2`` partitions:
   with too many empty ones adds signatures under further divisions (``SALTS``) until it has enough:
   of a pair, both emit the first division in which either has enough, so no pair is lost.
 
-Candidates are not all pairs of a signature's sets.  Every set is compared with one hub, the best known
-set with which it shares most signatures.  What is left is compared where signatures hold several
+Candidates are not all pairs of a signature's sets.  A set of which too many shingles are in no other set has no
+partner and goes first.  Every set is compared with one hub, the best known
+set with which it shares most signatures; then, in rounds, sets without link are compared with neighbours in
+their signatures, so that families of like sets become components before any pairs are formed.  What is left is compared where signatures hold several
 components: single sets with single sets, and any set with the hubs of other components, if they meet in
 as many signatures as similar sets must.  A set that is not like a hub can be like one of the hub's
 sets only if they share a shingle that the hub lacks (or by what both have of the hub, see
@@ -49,6 +51,8 @@ WORDS = 5
 NUM, DEN = 80, 100
 SALTS = 16
 HOT = 64
+#: rounds in which sets without link are compared with neighbours before pairs are formed
+ROUNDS = 3
 #: signature entries gathered before a batch is packed, and those of a bucket on average
 FLUSH, BUCKET = 2_000_000, 1_500_000
 
@@ -188,23 +192,27 @@ def least_of(n: int, empty: tuple[int, int]) -> int:
 
 # --------------------------------------------------------------------------- tables
 _BAND = ["n_shingles", "empty_own", "empty_next", "low", "groups", "per_group"]
+#: by which the sets of a signature are put in order, a minimum hash for each round
+_ORDERS = [f"order{i}" for i in range(ROUNDS)]
 
 
 def _need(x: str, y: str) -> Column:
-    """``least_shared`` of the sets x and y, given as structs of ``_BAND``."""
+    """``least_shared`` of the sets x and y, given as structs of ``_BAND`` and ``common`` (the shingles that other sets
+    have, too); null if the sizes, or the shingles that are a set's own, rule a link out."""
     a, b = F.col(x), F.col(y)
     first = a["n_shingles"] >= b["n_shingles"]
     large, small = (lambda c: F.when(first, a[c]).otherwise(b[c])), (lambda c: F.when(first, b[c]).otherwise(a[c]))
     empty = F.least(large("empty_own"), F.when(small("n_shingles") >= large("low"), small("empty_own")).otherwise(small("empty_next")))
     differ = F.floor((a["n_shingles"] + b["n_shingles"]) * (DEN - NUM) / (DEN + NUM))
     need = F.greatest(F.lit(1), large("groups") - F.floor(differ / large("per_group")) - empty)
-    return F.when(DEN * small("n_shingles") >= NUM * large("n_shingles"), need)
+    room = (DEN + NUM) * F.least(a["common"], b["common"]) >= NUM * (a["n_shingles"] + b["n_shingles"])
+    return F.when((DEN * small("n_shingles") >= NUM * large("n_shingles")) & room, need)
 
 
 def _enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets (a, b, shared) that share as many signatures as similar sets must."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("set").alias(side), F.struct(*_BAND).alias(f"band_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("set").alias(side), F.struct(*_BAND, "common").alias(f"band_{side}")), side)
     return pairs.filter(F.col("shared") >= _need("band_a", "band_b")).select("a", "b")
 
 
@@ -213,7 +221,7 @@ _PACKED = pa.schema([("bucket", pa.int64()), ("sigs", pa.binary()), ("sets", pa.
                      *((c, pa.int64()) for c in _DESCRIBED)])
 
 
-def _packed(buckets: int):
+def _packed(buckets: int, most_hot: int, most: int):
     """(doc_id, text_key, text) -> a description of every row and, for each bucket, packed signatures.
 
     Packed are the sets, how many signatures of each follow, and the signatures.  Buckets below 0
@@ -235,12 +243,12 @@ def _packed(buckets: int):
         sig, owner = sig[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(first, len(sig)))
-        hot = np.repeat(size > HOT, size)
+        hot = np.repeat(size > most_hot, size)
         rows = []
         if hot.any():
             rows.append((-1 - int(sig[hot][0] % _U(buckets)), sig[hot].tobytes(), owner[hot].tobytes(), b""))
             keep = ~hot
-            keep[first[size > HOT]] = True
+            keep[first[size > most_hot]] = True
             sig, owner = sig[keep], owner[keep]
         bucket = (sig % _U(buckets)).astype(np.int64)
         order = np.lexsort((owner, bucket))
@@ -262,7 +270,7 @@ def _packed(buckets: int):
                 name = fingerprint(h) if len(h) else None
                 empty = empty_groups(h)
                 band = _of_size(max(1, len(h)))[0]
-                described.append((-1 - key % buckets, doc, key, len(h), name, *empty, least_of(len(h), empty), band.low, band.groups, band.k2 + 1))
+                described.append((-1 - (key + (doc or 0)) % buckets, doc, key, len(h), name, *empty, least_of(len(h), empty), band.low, band.groups, band.k2 + 1))
                 if name is None or name in seen:  # copies within the task
                     continue
                 seen.add(name)
@@ -271,7 +279,7 @@ def _packed(buckets: int):
                 sigs.append(signatures(h))
                 sets.append(name)
                 total += len(sigs[-1])
-                if total >= FLUSH:
+                if total >= most:
                     yield from flush(sets, sigs)
                     sets, sigs, total = [], [], 0
             if described:
@@ -321,6 +329,90 @@ def _met_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield _signature_rows(sig[new], owner[new], 2)
 
 
+_OWN = pa.schema([("bucket", pa.int64()), ("shingles", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()), ("set", pa.int64()),
+                  *((c, pa.int64()) for c in _ORDERS)])
+
+
+def _shingles_by_bucket(buckets: int, most: int):
+    """(set, text) -> packed 32-bit shingle hashes with their sets by bucket, and (buckets below 0) a set's order keys."""
+
+    def flush(sets: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        owner, h = np.repeat(np.array(sets, np.int64), [len(x) for x in found]), np.concatenate(found)
+        bucket = (h.astype(_U) * _U(buckets) >> _U(32)).astype(np.int64)
+        order = np.lexsort((owner, bucket))
+        h, owner, bucket = h[order], owner[order], bucket[order]
+        ends = np.searchsorted(bucket, np.arange(buckets + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(ends)):
+            lo, hi = ends[b], ends[b + 1]
+            names, counts = np.unique(owner[lo:hi], return_counts=True)
+            rows.append((int(b), h[lo:hi].tobytes(), names.tobytes(), counts.astype("<u4").tobytes()))
+        for i in range(0, len(rows), 16):
+            cols = [*zip(*rows[i:i + 16])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, _OWN)),
+                                              *(pa.nulls(len(cols[0]), pa.int64()) for _ in range(1 + ROUNDS))], schema=_OWN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, found, total = [], [], 0
+        for batch in batches:
+            keys = []
+            for name, t in zip(batch.column("set").to_pylist(), batch.column("text")):
+                h = shingles(t.as_py())
+                least = [mix(h ^ mix(np.atleast_1d(_U(i + 1)))).min(initial=_U(2**64 - 1)) for i in range(ROUNDS)]
+                keys.append((-1 - name % buckets, name, *np.array(least, _U).view(np.int64).tolist()))
+                sets.append(name)
+                found.append(np.unique((h >> _U(32)).astype(np.uint32)))
+                total += len(found[-1])
+                if total >= most:
+                    yield from flush(sets, found)
+                    sets, found, total = [], [], 0
+            if keys:
+                cols = [pa.array(c, pa.int64()) for c in zip(*keys)]
+                yield pa.RecordBatch.from_arrays([cols[0], *[pa.nulls(len(keys), pa.binary())] * 3, *cols[1:]], schema=_OWN)
+        if sets:
+            yield from flush(sets, found)
+
+    return run
+
+
+def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All packed rows of one bucket -> (set, own): how many of its shingles no other set has; and the order keys."""
+    hashes, owners = [], []
+    for batch in batches:
+        b = batch.filter(batch.column("shingles").is_null())
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([b.column("set"), pa.array(np.zeros(b.num_rows, np.int64)), *(b.column(c) for c in _ORDERS)],
+                                             ["set", "own", *_ORDERS])
+        for h, names, counts in zip(*(batch.column(c) for c in ("shingles", "sets", "counts"))):
+            if h.is_valid:
+                hashes.append(np.frombuffer(h.as_py(), np.uint32))
+                owners.append(np.repeat(np.frombuffer(names.as_py(), np.int64), np.frombuffer(counts.as_py(), "<u4")))
+    if hashes:
+        h, owner = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], owner[order]
+        edge = np.concatenate([[True], h[1:] != h[:-1], [True]])
+        names, own = np.unique(owner[edge[1:] & edge[:-1]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(own.astype(np.int64)), *(pa.nulls(len(names), pa.int64()) for _ in _ORDERS)],
+                                         ["set", "own", *_ORDERS])
+
+
+def _with_common(sets: DataFrame, texts: DataFrame, tmp: Scratch, name: str = "sets-common") -> DataFrame:
+    """``sets`` that can have a partner by their shingles, with ``common`` and the order keys.
+
+    What is similar shares at least ``NUM / DEN`` of a set's shingles, so a set with more shingles of its own has no
+    partner.  Hashes of 32 bits only make a shingle of a set's own look common, and so keep a set."""
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(1, round(total / BUCKET))
+    packed = texts.mapInArrow(_shingles_by_bucket(buckets, FLUSH), ", ".join(
+        ["bucket long", "shingles binary", "sets binary", "counts binary", "set long", *(f"{c} long" for c in _ORDERS)]))
+    found = packed.groupBy("bucket").applyInArrow(_own_shingles, ", ".join(f"{c} long" for c in ("set", "own", *_ORDERS)))
+    per = found.groupBy("set").agg(F.sum("own").alias("own"), *[F.max(c).alias(c) for c in _ORDERS])
+    common = F.col("n_shingles") - F.col("own")
+    able = sets.join(per, "set").withColumn("common", common).drop("own").filter(DEN * F.col("common") >= NUM * F.col("n_shingles"))
+    return tmp.write(able, name)
+
+
 _PAIR = "a long, b long, linked boolean, size_a long, size_b long, common long, private array<long>"
 
 
@@ -380,7 +472,7 @@ def components(edges: DataFrame, tmp: Scratch, name: str) -> DataFrame:
         roots = new.select("node", "root")
 
 
-def _alive(shared: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
+def _alive(shared: DataFrame, sets: DataFrame, tmp: Scratch, name: str = "alive", turns: int = 2) -> DataFrame:
     """(sig, member, f, known, least) of the sets that can have a partner.
 
     A set that shares fewer signatures with all others together than with a similar one has none; then
@@ -388,15 +480,19 @@ def _alive(shared: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     ``known`` the signatures of a set.
     """
     bound = sets.select(F.col("set").alias("member"), "least")
-    for turn in (1, 2):
+    for turn in range(turns):
         known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
         able = known.join(bound, "member").filter("known >= least")
         rows = shared.select("sig", "member").join(able.select("member"), "member", "left_semi")
         often = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
-        shared = tmp.write(rows.join(often, "sig"), f"alive{turn}")
+        shared = tmp.write(rows.join(often, "sig"), f"{name}{turn}")
+        if turn:
+            tmp.drop(f"{name}{turn - 1}")
         tmp.release()
     known = shared.groupBy("member").agg(F.count(F.lit(1)).alias("known"))
-    return tmp.write(shared.join(known.join(bound, "member").filter("known >= least"), "member"), "alive")
+    alive = tmp.write(shared.join(known.join(bound, "member").filter("known >= least"), "member"), name)
+    tmp.drop(f"{name}{turns - 1}")
+    return alive
 
 
 def _linked(met: DataFrame, texts: DataFrame, tmp: Scratch, rounds: int = 3) -> DataFrame:
@@ -423,6 +519,50 @@ def _linked(met: DataFrame, texts: DataFrame, tmp: Scratch, rounds: int = 3) ->
     return links.union(tmp.write(rest, "linked-single"))
 
 
+def _several(shared: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows of the signatures whose sets are in several components."""
+    at = shared.select("sig", "member").join(info, "member")
+    several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
+    return at.join(several, "sig", "left_semi")
+
+
+def _neighbours(shared: DataFrame, info: DataFrame, links: DataFrame, texts: DataFrame, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(info, links) after ``ROUNDS`` rounds in which sets without hub meet sets of other components.
+
+    In a round the sets of a signature are put in order by a minimum hash of their shingles, which puts like sets
+    side by side, and each is noted with the two after it: a few rows for each row of a signature, however many
+    sets it has.  Every set without hub is compared with the two that it was noted with most.  What a family of
+    like sets links becomes one component before any pairs of it are formed."""
+    seen = None
+    for turn, key in enumerate(_ORDERS):
+        rest = _several(shared, info.select("member", "root", "single", "band", key))
+        if rest.isEmpty():
+            break
+        rows = Window.partitionBy("sig").orderBy(key, "member")
+        own = F.struct("member", "root", "single", "band")
+        after = rest.select(own.alias("x"), *[F.lead(own, i).over(rows).alias(f"y{i}") for i in (1, 2)])
+        after = after.select("x", F.explode(F.array("y1", "y2")).alias("y"))
+        able = F.col("y").isNotNull() & (F.col("x.root") != F.col("y.root")) & (F.col("x.single") | F.col("y.single"))
+        noted = (after.filter(able).filter(_need("x.band", "y.band").isNotNull())
+                 .groupBy("x.member", "y.member", "x.single", "y.single").agg(F.count(F.lit(1)).alias("n")).toDF("x", "y", "sx", "sy", "n"))
+        sides = noted.filter("sx").select("x", "y", "n").union(noted.filter("sy").select("y", "x", "n"))
+        sides = sides.groupBy("x", "y").agg(F.sum("n").alias("n"))
+        if seen is not None:
+            both = seen.select(F.col("a").alias("x"), F.col("b").alias("y")).union(seen.select("b", "a"))
+            sides = sides.join(both, ["x", "y"], "left_anti")
+        best = Window.partitionBy("x").orderBy(F.desc("n"), "y")
+        pairs = sides.withColumn("_i", F.row_number().over(best)).filter("_i <= 2").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        now = tmp.write(_verified(pairs, texts).select("a", "b", "linked"), f"neighbours{turn}")
+        seen = now.select("a", "b") if seen is None else seen.union(now.select("a", "b"))
+        if now.filter("linked").isEmpty():
+            continue
+        links = tmp.write(links.union(now.filter("linked").select("a", "b")), f"neighbour-links{turn}")
+        roots = components(links, tmp, f"neighbour-components{turn}").select(F.col("node").alias("member"), F.col("root").alias("_root"))
+        info = tmp.write(info.join(roots, "member", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"), f"info{turn}")
+        tmp.release()
+    return info, links
+
+
 def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -> DataFrame:
     """(a, b): links that connect exactly the sets that similar pairs connect."""
     # a signature's representative is its set with the most shared signatures: of an original and its
@@ -437,7 +577,7 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
     links = first.select("a", "b")
     # every set with its component and its hub; a set that has and is no hub is single
     to = first.select(F.col("a").alias("member"), F.col("b").alias("hub"))
-    info = sets.select(F.col("set").alias("member"), F.struct(*_BAND).alias("band"), "least").join(to, "member", "left")
+    info = sets.select(F.col("set").alias("member"), F.struct(*_BAND, "common").alias("band"), "least", *_ORDERS).join(to, "member", "left")
     if not links.isEmpty():
         roots = components(links, tmp, "components1").select(F.col("node").alias("member"), "root")
         info = info.join(roots, "member", "left")
@@ -445,17 +585,17 @@ def _links(shared: DataFrame, texts: DataFrame, sets: DataFrame, tmp: Scratch) -
         info = info.withColumn("root", F.lit(None).cast("long"))
     single = F.col("root").isNull()
     info = tmp.write(info.select("member", "band", "least", F.coalesce("hub", "member").alias("hub"),
-                                 F.coalesce("root", "member").alias("root"), single.alias("single")), "info")
+                                 F.coalesce("root", "member").alias("root"), single.alias("single"), *_ORDERS), "info")
     tmp.release()
-    at = shared.select("sig", "member").join(info, "member")
-    several = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = tmp.write(at.join(several, "sig", "left_semi").distinct(), "rest")
+    info, links = _neighbours(shared, info, links, texts, tmp)
+    rest = tmp.write(_several(shared, info.drop(*_ORDERS)).distinct(), "rest")
     tmp.release()
-    # two single sets: of like sizes, with as many signatures in common as similar sets have
-    alone = rest.filter("single").select("sig", "member", "band")
-    one, two = alone.select("sig", F.col("member").alias("a"), F.col("band").alias("x")), alone.select("sig", F.col("member").alias("b"), F.col("band").alias("y"))
+    # two single sets of different components: of like sizes, with as many signatures in common as similar sets have
+    alone = rest.filter("single")
+    one = alone.select("sig", F.col("member").alias("a"), F.col("root").alias("root_a"), F.col("band").alias("x"))
+    two = alone.select("sig", F.col("member").alias("b"), F.col("root").alias("root_b"), F.col("band").alias("y"))
     need = _need("x", "y")
-    met = (one.join(two, "sig").filter((F.col("a") < F.col("b")) & need.isNotNull()).groupBy("a", "b")
+    met = (one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & need.isNotNull()).groupBy("a", "b")
            .agg(F.count(F.lit(1)).alias("shared"), F.max(need).alias("need")).filter("shared >= need"))
     links = links.union(_linked(tmp.write(met.select("a", "b", "shared"), "met-single"), texts, tmp))
     # any set with the hub of another component: what is similar to one of the hub's sets meets them
@@ -500,7 +640,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # about one shingle in six bytes and four signatures in five shingles
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(0.8 * total / 6 / BUCKET))
-    packed = rows.mapInArrow(_packed(buckets), ", ".join(
+    packed = rows.mapInArrow(_packed(buckets, HOT, FLUSH), ", ".join(
         ["bucket long", "sigs binary", "sets binary", "counts binary", *(f"{c} long" for c in _DESCRIBED)]))
     found = tmp.write(packed.groupBy("bucket").applyInArrow(_met_in_buckets, ", ".join(f"{c} long" for c in _OUT)), "signatures")
     del packed
@@ -514,14 +654,26 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             .join(shared.select(F.col("member").alias("set")).distinct(), "set"))
     sets = tmp.write(sets, "sets")
     shared = _alive(shared.distinct(), sets, tmp)
+    described = tmp.write(described, "described")
+    tmp.drop("signatures")
     sets = tmp.write(sets.join(shared.select(F.col("member").alias("set")).distinct(), "set", "left_semi"), "sets-alive")
     owners = sets.select("set", "o.doc_id", "o.text_key")
     mine = rows.join(owners, rows.doc_id.eqNullSafe(owners.doc_id) & (rows.text_key == owners.text_key))
     texts = tmp.write(mine.select("set", "text").dropDuplicates(["set"]), "texts")
     tmp.release()
+    # twice: without the sets that went, more shingles are a set's own
+    for turn in range(2):
+        sets = _with_common(sets.drop("common", *_ORDERS), texts, tmp, f"sets-common{turn}")
+        texts = tmp.write(texts.join(sets.select("set"), "set", "left_semi"), f"texts{turn}")
+        tmp.drop("texts" if not turn else f"texts{turn - 1}")
+        tmp.release()
+    shared = _alive(shared.join(sets.select(F.col("set").alias("member")), "member", "left_semi"), sets, tmp, "alive-common", 1)
+    tmp.drop("alive")
+    tmp.release()
     roots = components(_links(shared, texts, sets, tmp), tmp, "components").withColumnRenamed("node", "set")
     placed = described.join(roots, "set", "left").withColumn("component", F.coalesce("root", "set"))
     placed = tmp.write(placed.select("doc_id", "text_key", "n_shingles", "component"), "placed")
+    tmp.keep_only("placed")
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select(
         "doc_id", "text_key", "n_shingles", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

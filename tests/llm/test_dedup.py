@@ -151,12 +151,51 @@ def test_jaccard_components(spark):
 
 
 def test_jaccard_hot_signatures_and_small_batches(spark, monkeypatch):
-    monkeypatch.setattr(J, "HOT", 2)  # local mode: workers fork with the module's values only where passed
+    # read where the plan is made and handed to the tasks
+    monkeypatch.setattr(J, "HOT", 2)
+    monkeypatch.setattr(J, "FLUSH", 300)
+    monkeypatch.setattr(J, "BUCKET", 200)
     rows = near_rows()[15:80]
     out = J.jaccard_components(frame(spark, rows, 1)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == components_by_hand(rows)
 
 
+def family(n, edits, seed, size=150):
+    """Copies of one text with random edits: some pairs are linked, many sets have no partner."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        mine = list(base)
+        for _ in range(rng.choice(edits)):
+            mine[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+        cut = rng.choice([0, 0, 0, 20, 40])
+        rows.append((i, " ".join(mine[:size - cut])))
+    return rows
+
+
+def test_jaccard_family_linked_in_some_pairs_only(spark):
+    rows = family(120, [0, 1, 2, 3, 4, 5, 6, 7, 9], 1) + [(1000 + i, t) for i, t in family(60, [4, 5, 6], 2)]
+    out = J.jaccard_components(frame(spark, rows)).collect()
+    want = components_by_hand(rows)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == want
+    assert 5 < len({c for *_, c in want}) < 150
+
+
+def test_shingles_of_a_sets_own_are_counted(spark):
+    rows = family(30, [1, 2, 8, 20], 3)
+    sets = {J.fingerprint(J.shingles(t)): J.shingles(t) for _, t in rows}
+    texts = spark.createDataFrame([(J.fingerprint(J.shingles(t)), t) for _, t in dict.fromkeys(rows)], "set LONG, text STRING").dropDuplicates(["set"])
+    described = spark.createDataFrame([(k, len(h)) for k, h in sets.items()], "set LONG, n_shingles LONG")
+    held = {}
+    for h in sets.values():
+        for x in h.tolist():
+            held[x] = held.get(x, 0) + 1
+    common = {k: sum(held[x] > 1 for x in h.tolist()) for k, h in sets.items()}
+    got = {r["set"]: r.common for r in J._with_common(described, texts, J.Scratch(spark, "t-common")).collect()}
+    assert got == {k: n for k, n in common.items() if 100 * n >= 80 * len(sets[k])} and 0 < len(got) < len(sets)
+
+
 def test_similar_sets_share_enough_signatures():
     rng = np.random.default_rng(4)
     for n in [1, 2, 3, 4, 5, 6, 8, 9, 10, 13, 21, 40, 90, 130, 300, 1000]:
