@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,19 +19,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
-#: folders of operator calls in this process, for callers that know when a result is no longer read
-OPEN: list[Scratch] = []
+_owner: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("owner", default=None)
 
 
-def drop_unread(docs: DataFrame, folders: list[Scratch]) -> None:
-    """Delete the folders that ``docs`` does not read."""
-    read = docs.inputFiles()
-    for folder in folders:
-        at = folder.root.split(":", 1)[-1].lstrip("/")
-        if not any(at in f for f in read):
-            folder.drop("")
-    if folders:
-        folders[0].release()
+@contextlib.contextmanager
+def owned() -> Iterator[list[Scratch]]:
+    """The folders that operators called inside make, for a caller that knows when their results are no longer read."""
+    folders: list[Scratch] = []
+    token = _owner.set(folders)
+    try:
+        yield folders
+    finally:
+        _owner.reset(token)
 
 
 class Scratch:
@@ -42,9 +44,12 @@ class Scratch:
         ship_package(spark)
         self.spark = spark
         self.root = scratch_path(spark, name)
-        OPEN.append(self)
+        self.names: list[str] = []
+        if (folders := _owner.get()) is not None:
+            folders.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(name)
         path = f"{self.root}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -54,6 +59,12 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def keep_only(self, *names: str) -> None:
+        """Delete all other tables: the result reads these."""
+        for name in [n for n in self.names if n not in names]:
+            self.drop(name)
+            self.names.remove(name)
+
     def drop(self, name: str) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))

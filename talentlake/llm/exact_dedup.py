@@ -119,6 +119,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", car
                "kept": F.col("row_id") == F.col("best.row"), "text_sha256": F.col("text_sha256"),
                "n_points": F.col("n_points"), "n_blocks": F.col("n_blocks")}
     decided = tmp.write(named.join(groups, ["n_blocks", "name"]).select("row_id", *[c.alias(n) for n, c in results.items()]), "decided")
+    tmp.keep_only("documents", "decided")
     tmp.release()
     return table.select("row_id", F.struct(*[F.col("doc")[c].alias(c) for c in own]).alias("doc")).join(decided, "row_id").select(
         *[F.col("doc")[c].alias(c) for c in own if c not in results], *results)
