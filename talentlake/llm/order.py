@@ -9,7 +9,8 @@
    ``length`` * ``width`` bytes and a line feed: record i of a shard starts at i * (stride).
 
 Shards are directories ``shard=k`` with one file, written through Spark's own writer to any file
-system, and committed as a whole: a lost executor's files never show.  ``read_slots`` starts at any
+system.  They are written in ``passes`` ranges of shards, each committed as a whole (a lost executor's files never
+show) and each with its own exchange, which is freed before the next; then the table of payloads goes.  ``read_slots`` starts at any
 slot and reads only its shards, so a training run resumes where it stopped.
 
 The table of sequences is written before anything is numbered, so a repeated task cannot change it.
@@ -105,7 +106,7 @@ def _strings(path: str, length: int, width: int, end_id: int):
 
 
 def materialise(docs: DataFrame, tokenizer: str, key: int, length: int = LENGTH, width: int = 2, end_id: int = 0,
-                shard_sequences: int = SHARD_SEQUENCES, doc_id: str = "doc_id", text: str = "text") -> Materialised:
+                shard_sequences: int = SHARD_SEQUENCES, passes: int = 4, doc_id: str = "doc_id", text: str = "text") -> Materialised:
     """Write the shards.  ``width`` is 2 or 4 bytes an id (2 holds vocabularies up to 65536)."""
     spark = docs.sparkSession
     tmp = Scratch(spark, "training-order")
@@ -130,14 +131,20 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, length: int = LENGTH,
 
     numbered = (table.join(F.broadcast(first), "part").withColumn("slot", slots(F.col("first") + F.col("place")))
                 .withColumn("shard", F.floor(F.col("slot") / shard_sequences)))
-    tasks = max(1, min(-(-count // shard_sequences), 100_000))
+    listed = tmp.write(numbered.select("slot", "shard", "n_tokens", "doc_ids"), "listed")
+    shards = -(-count // shard_sequences)
     path = f"{tmp.root}/shards"
-    (numbered.select("shard", "slot", "payload").repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot")
-     .select("shard", "payload").mapInArrow(opened, "shard long, record binary")
-     .select("shard", F.col("record").cast("string").alias("record"))
-     .write.partitionBy("shard").option("compression", "none").text(path))
-    return Materialised(path, count, length, width, shard_sequences,
-                        numbered.select("slot", "shard", "n_tokens", "doc_ids"))
+    bounds = [shards * i // passes for i in range(passes + 1)]
+    for low, high in zip(bounds, bounds[1:]):
+        if low < high:
+            (numbered.filter(F.col("shard").between(low, high - 1)).select("shard", "slot", "payload")
+             .repartitionByRange(min(high - low, 100_000), "shard").sortWithinPartitions("shard", "slot")
+             .select("shard", "payload").mapInArrow(opened, "shard long, record binary")
+             .select("shard", F.col("record").cast("string").alias("record"))
+             .write.mode("append").partitionBy("shard").option("compression", "none").text(path))
+            tmp.release()
+    tmp.drop("sequences")
+    return Materialised(path, count, length, width, shard_sequences, listed)
 
 
 def read_slots(spark: SparkSession, made: Materialised, first: int = 0, end: int | None = None) -> DataFrame:

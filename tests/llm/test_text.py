@@ -326,6 +326,28 @@ def test_training_order_round_trip_and_resume(spark):
     assert none.count == 0 and order.read_slots(spark, none).count() == 0 and none.sequences.count() == 0
 
 
+@pytest.mark.parametrize("passes", [1, 4])
+def test_training_order_equals_a_plain_version(spark, passes):
+    rows = ODD + [(100 + i, f"text number {i} " * (i % 23)) for i in range(120)]
+    # no exchange: rows stay in the order given
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1, "l", "x", 7) for i, t in rows], SCHEMA).coalesce(3)
+    made = order.materialise(docs, Q.tokenizer_path(), key=5, length=32, shard_sequences=16, passes=passes)
+    encode, sequences = tokens.encoder(Q.tokenizer_path()), []
+    by_task = {}
+    for r in docs.withColumn("task", F.spark_partition_id()).collect():
+        by_task.setdefault(r.task, []).append((r.doc_id, [*encode(r.text or ""), 0]))
+    for task in sorted(by_task):
+        string = [(x, doc, i) for i, (doc, ids) in enumerate(by_task[task]) for x in ids]
+        for at in range(0, len(string), 32):
+            part = string[at:at + 32]
+            owners = list(dict.fromkeys((doc, i) for _, doc, i in part))
+            sequences.append((len(part), [doc for doc, _ in owners], [x for x, *_ in part] + [0] * (32 - len(part))))
+    slots = order.feistel_slots(np.arange(len(sequences)), len(sequences), 5)
+    want = {int(slot): (int(slot) // 16, *s) for slot, s in zip(slots, sequences)}
+    ids = {r.slot: np.frombuffer(r.ids, "<u2").tolist() for r in order.read_slots(spark, made).collect()}
+    assert {r.slot: (r.shard, r.n_tokens, r.doc_ids, ids[r.slot]) for r in made.sequences.collect()} == want
+
+
 # --------------------------------------------------------------------------- sentencepiece
 def test_unigram_equals_the_library(spark):
     import public_tokenizers
@@ -400,6 +422,53 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, kept["packing"]))
 
 
+CLASHING = ("kept", "group_size", "score", "held_out", "predicted", "pii_matches", "language", "length", "component", "row_id", "set", "n_shingles")
+
+
+def clashing(spark, rows):
+    """Rows of documents with columns named as the operators name their results."""
+    own = ", ".join(f"{c} STRING" for c in CLASHING)
+    return spark.createDataFrame([(i, t, "en", "s", -1, *[f"mine {c}" for c in CLASHING]) for i, t in rows],
+                                 f"doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, {own}").repartition(3)
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "packing"], ids=lambda s: s[0])
+def test_pipeline_stage_on_odd_rows_and_clashing_columns(spark, stage):
+    name, fn = stage
+    good = next(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+                .filter("quality = 1 AND length(text) > 800").orderBy("doc_id").limit(1).collect())
+    rows = [*ODD, (20, good), (21, good), (21, good), (22, good + " one more word at the end")]
+    docs = clashing(spark, rows)
+    out = fn(spark, docs, SF)
+    assert out.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in out.collect()]
+    assert all(r[c] == f"mine {c}" for r in out.collect() for c in CLASHING)
+    ids = [i for i, _ in found]
+    if name == "quality":
+        assert set(found) <= set(rows) and {20, 21, 22} <= set(ids) and ids.count(21) == 2
+    elif name == "exact_dedup":
+        squeezed = {re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows}
+        assert sorted(re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in found) == sorted(squeezed) and {3, 4, 20, 22} <= set(ids)
+    elif name == "near_dedup":
+        assert sorted(ids, key=str) == sorted([1, 2, 3, 4, None, 6, 7, 8, 20], key=str)
+    else:
+        assert len(found) == len(rows) and [r.n_chars for r in out.collect() if r.text is None] == [None]
+    assert fn(spark, docs.filter("false"), SF).collect() == []
+
+
+def test_packing_stage_on_odd_rows(spark):
+    out = corpus_pipeline.packing(spark, clashing(spark, ODD), SF).collect()
+    assert sorted({str(r.doc_id) for r in out}) == sorted({str(i) for i, _ in ODD}) and sum(r.doc_id == 5 for r in out) == 2
+    assert corpus_pipeline.packing(spark, clashing(spark, []), SF).collect() == []
+
+
+def test_results_of_stages_are_read_in_any_order(spark):
+    one, two = (clashing(spark, [(i, f"text {i // 2} of {n}") for i in range(6)]) for n in "ab")
+    first, second = (corpus_pipeline.exact(spark, d, SF) for d in (one, two))
+    near = corpus_pipeline.near(spark, first, SF)
+    assert first.count() == 3 and second.count() == 3 and near.count() == 3
+
+
 def test_every_operator_has_a_query():
     names = set(Q.QUERIES)
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and len(names) == 10
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and len(names) == 13
