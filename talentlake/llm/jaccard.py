@@ -503,6 +503,8 @@ def _linked(met: DataFrame, texts: DataFrame, tmp: Scratch, rounds: int = 3) ->
     """
     links = met.select("a", "b").limit(0)
     for turn in range(rounds):
+        if met.isEmpty():
+            return links
         sides = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared").union(met.select("b", "a", "shared"))
         best = sides.groupBy("x").agg(F.max(F.struct("shared", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
         pairs = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -670,7 +672,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     shared = _alive(shared.join(sets.select(F.col("set").alias("member")), "member", "left_semi"), sets, tmp, "alive-common", 1)
     tmp.drop("alive")
     tmp.release()
-    roots = components(_links(shared, texts, sets, tmp), tmp, "components").withColumnRenamed("node", "set")
+    if shared.isEmpty():  # no two sets meet
+        roots = docs.sparkSession.createDataFrame([], "set long, root long")
+    else:
+        roots = components(_links(shared, texts, sets, tmp), tmp, "components").withColumnRenamed("node", "set")
     placed = described.join(roots, "set", "left").withColumn("component", F.coalesce("root", "set"))
     placed = tmp.write(placed.select("doc_id", "text_key", "n_shingles", "component"), "placed")
     tmp.keep_only("placed")
