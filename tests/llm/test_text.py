@@ -253,6 +253,32 @@ def test_pruning_skips_blocks(monkeypatch):
     assert ids.tolist() == [77] and sum(scored[1:]) <= len(bags[77][0])
 
 
+def test_floors_skip_blocks_and_keep_ties(monkeypatch):
+    rng = np.random.default_rng(3)
+    bags = [search.bag(" ".join(f"v{int(x)}" for x in rng.zipf(1.3, 30) % 4000)) for _ in range(700)]
+    bags[650] = bags[100]
+    shard = search.Shard.build(list(range(700)), bags).weigh(30.0)
+    some = [(i, bags[i][0], np.ones(len(bags[i][0]))) for i in range(0, 700, 5)]
+    plain = list(shard.search(some, 3))
+    weights = [dict(zip(b[0].tolist(), b[1] * 2.2 / (b[1] + 1.2 * (0.25 + 0.75 * b[1].sum() / 30)))) for b in bags]
+    for q, ids, scores in plain:
+        all_scores = np.round([sum(w.get(t, 0) for t in bags[q][0].tolist()) for w in weights], 9)
+        want = np.lexsort((np.arange(700), -all_scores))[:3]
+        assert ids.tolist() == want.tolist() and np.allclose(scores, all_scores[want])
+    postings, real = [], np.bincount
+    monkeypatch.setattr(search.np, "bincount", lambda x, w=None, n=0: postings.append(len(x)) or real(x, w, n))
+    list(shard.search(some, 3))
+    without = sum(postings)
+    postings.clear()
+    monkeypatch.setattr(search, "CHUNK", 7)
+    floors = np.array([scores[1] for _, _, scores in plain])
+    for (q, ids, scores), (p, found, s), floor in zip(plain, shard.search(some, 3, floors), floors):
+        assert p == q and found.tolist() == ids[scores >= floor].tolist() and s.tolist() == scores[scores >= floor].tolist()
+    assert sum(postings) < without
+    (_, twins, _), = list(shard.search([(0, bags[100][0], np.ones(len(bags[100][0])))], 2, np.array([plain[20][2][0]])))
+    assert twins.tolist() == [100, 650]
+
+
 # --------------------------------------------------------------------------- tokens, packing, order
 def test_encoder_equals_tokenizers(spark):
     from tokenizers import Tokenizer
