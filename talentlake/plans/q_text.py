@@ -297,22 +297,23 @@ def v_profiles(t):
     o, c, n, li, p = t.orders, t.customer, t.nation, t.lineitem, t.part
     lp = li.join(p, li.l_partkey == p.p_partkey).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "p_name", "p_type", "p_brand")
-    prof = F.when(F.col("l_returnflag") == "A", "expert").when(F.col("l_returnflag") == "R", "proficient").otherwise("")
-    # one collect and one sort per order (an order has few lines: bounded), everything else derived
+    level = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(0)  # in the order of the words
+    # one collect and one sort per order (an order has few lines: bounded), everything else derived after the exchange;
+    # sort_array compares by generated code, array_sort by an interpreted function
     line = F.struct(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("k"),
-                    "p_name", prof.alias("prof"), (F.col("l_quantity").cast("int") % 10).alias("yrs"),
-                    F.lower("p_type").alias("cat"), "l_linenumber", "p_type", "p_brand")
-    per = lp.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("_lines")).select(
+                    "p_name", level.cast("byte").alias("level"), "p_type", "p_brand")
+    per = lp.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("_lines")).select(
         "l_orderkey",
-        F.transform("_lines", lambda x: F.struct(x["p_name"].alias("name"), x["prof"].alias("proficiency"),
-                                                 x["yrs"].alias("years"))).alias("_skills"),
         F.transform("_lines", lambda x: F.struct(
-            x["p_name"].alias("text"), x["cat"].alias("category"),
-            F.when(x["l_linenumber"] > 1, x["l_linenumber"]).alias("years_required"),
-            x["l_linenumber"].alias("ln"))).alias("_reqs"),
-        F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["p_type"]))).alias("_types"),
-        F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["p_brand"]))).alias("_brands"),
-        F.aggregate("_lines", F.lit(0).cast("bigint"), lambda acc, x: acc + x["yrs"]).alias("_years"),
+            x["p_name"].alias("name"), F.when(x["level"] == 1, "expert").when(x["level"] == 2, "proficient").otherwise("").alias("proficiency"),
+            (x["k"]["l_quantity"].cast("int") % 10).alias("years"))).alias("_skills"),
+        F.transform("_lines", lambda x: F.struct(
+            x["p_name"].alias("text"), F.lower(x["p_type"]).alias("category"),
+            F.when(x["k"]["l_linenumber"] > 1, x["k"]["l_linenumber"]).alias("years_required"),
+            x["k"]["l_linenumber"].alias("ln"))).alias("_reqs"),
+        F.sort_array(F.array_distinct(F.col("_lines")["p_type"])).alias("_types"),
+        F.sort_array(F.array_distinct(F.col("_lines")["p_brand"])).alias("_brands"),
+        F.aggregate("_lines", F.lit(0).cast("bigint"), lambda acc, x: acc + x["k"]["l_quantity"].cast("int") % 10).alias("_years"),
     )
     base = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(
         per, o.o_orderkey == per.l_orderkey)
