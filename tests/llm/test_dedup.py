@@ -224,3 +224,58 @@ def test_one_of_each_keeps_columns_and_lone_rows(spark):
 
 def test_jaccard_empty_table(spark):
     assert J.jaccard_components(frame(spark, [])).count() == 0 and J.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_single_sets_of_a_large_family_are_paired_by_rare_differences(spark):
+    # copies just below the threshold to their original, in groups that share their edits and so are like each other
+    rng = random.Random(7)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for group in range(60):
+        mine = list(base)
+        for at in rng.sample(range(0, 200, 12), 7):
+            mine[at] = f"g{group}x{at}"
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            one = list(mine)
+            one[rng.randrange(200)] = f"y{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(one)))
+    want = components_by_hand(rows)
+    out = J.jaccard_components(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str) == want
+    assert 30 < len({c for *_, c in want}) < len(rows)
+
+
+def test_sets_around_a_hub(spark):
+    rows = family(90, [0, 2, 4, 5, 6, 7, 8], 5)
+    sets = {J.fingerprint(J.shingles(t)): J.shingles(t) for _, t in rows}
+    texts = spark.createDataFrame([(k, t) for k, t in {J.fingerprint(J.shingles(t)): t for _, t in rows}.items()], "set LONG, text STRING")
+
+    def like(x, y):
+        common = len(np.intersect1d(sets[x], sets[y]))
+        return 100 * common >= 80 * (len(sets[x]) + len(sets[y]) - common)
+
+    for hub in sorted(sets)[:2]:
+        met = spark.createDataFrame([(x, x, hub) for x in sets if x != hub], "x LONG, root LONG, h LONG")
+        links, pairs = J._around(met, texts, J.Scratch(spark, "t-around"))
+        links = {(r.a, r.b) for r in links.collect()}
+        assert all(like(a, b) for a, b in links)
+        pairs = [(r.a, r.b) for r in pairs.collect()]
+        links |= {(a, b) for a, b in pairs if like(a, b)}
+        all_links = {(a, b) for a in sets for b in sets if a < b and like(a, b)}
+        assert roots_of(sets, links) == roots_of(sets, all_links)
+        assert len(pairs) < len(sets) * (len(sets) - 1) / 8  # and not all pairs
+
+
+def roots_of(nodes, edges):
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_rows_that_may_be_among_owners(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, i * 31, f"t{i}") for i in range(5000)], "doc_id LONG, text_key LONG, text STRING")
+    owners = rows.filter("text_key % 50 = 0").select("doc_id", "text_key")
+    some = J._maybe_in(rows, owners)
+    assert owners.exceptAll(some.select("doc_id", "text_key")).isEmpty() and some.count() < 700
+    assert J._maybe_in(rows, owners.limit(0)).isEmpty()
