@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from talentlake.llm import jaccard as J
 from talentlake.llm.exact_dedup import exact_dedup
 from talentlake.llm.induced import suffix_array
+from talentlake.llm.queries import op3_suffix_dedup
 from talentlake.llm.suffix_dedup import remove_repeats
 
 SCHEMA = "doc_id BIGINT, text STRING, name STRING, kept STRING, block STRING, row_id INT"
@@ -75,6 +76,22 @@ def test_repeats_are_cut(spark, hot):
     assert got == cut_by_hand(rows, 16)
 
 
+def test_repeats_query_returns_what_stays(spark, tmp_path):
+    """A reader sees from ``text`` which passages went; ``n_bytes`` is the input's length in every row."""
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    passage, short = words(60), words(60)[:399]
+    rows = [(1, f"{words(20)}<{passage}>{words(20)}"), (2, f"{words(5)}({passage})"), (3, f"{words(9)}<{short}>"), (4, f"{words(7)}({short})"),
+            (5, words(80)), (6, None), (7, ""), (8, f"é{passage[::-1]}é!"), (9, f"ä{passage[::-1]}è!"), (10, words(3)), (10, words(50))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    out = op3_suffix_dedup(spark, str(tmp_path)).collect()
+    want = [(i, n, gone, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")) for i, n, gone, runs, kept in cut_by_hand(rows, 400)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+    text = {r.doc_id: r.text for r in out}
+    assert passage not in text[1] + text[2] and short in text[3] and short in text[4]
+    assert text[5] == rows[4][1] and text[6] == text[7] == "" and text[8] == "é\ufffd!"
+
+
 def test_repeats_empty_table(spark):
     assert remove_repeats(frame(spark, []), size=16, gram=5).count() == 0
 
