@@ -30,6 +30,8 @@ from talentlake.session import ship_package
 MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 8_000
 THRESHOLD = 0.3
+#: features whose deviation is taken at a time, as that copies them
+COLUMNS = 64
 
 #: characters of one class each; all other punctuation is one more class
 _PUNCTUATION = [".", ",", "!", "?", ";:", "'\"", "-_", "()[]{}", "#", "$", "%", "&", "*", "|", "/\\", "@", "=+<>~^"]
@@ -91,11 +93,18 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     Where the negative part falls below zero, the step climbs it back (the ascent step of the
     non-negative estimator) instead of fitting the positives' noise.
     """
-    both = np.concatenate([positive, unlabelled])
-    if not len(positive) or not len(unlabelled):
+    return _fitted(np.concatenate([positive, unlabelled]), len(positive), prior, steps, rate, decay)
+
+
+def _fitted(x: np.ndarray, n_positive: int, prior: float, steps: int = 200, rate: float = 0.03, decay: float = 1e-3) -> QualityModel:
+    """``fit_nnpu`` of the positives and, below them, the unlabelled rows; ``x`` is overwritten, as the driver holds it but once."""
+    if not n_positive or n_positive == len(x):
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (((x - mean) / scale).clip(-8, 8).astype(np.float32) for x in (positive, unlabelled))
+    mean, scale = x.mean(0), np.concatenate([x[:, i:i + COLUMNS].std(0) for i in range(0, x.shape[1], COLUMNS)]) + 1e-3
+    np.subtract(x, mean, out=x)
+    np.divide(x, scale, out=x)
+    x = np.clip(x, -8, 8, out=x).astype(np.float32, copy=False)
+    p, u = x[:n_positive], x[n_positive:]
     w, b = np.zeros(p.shape[1], np.float32), 0.0
     m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-z.clip(-40, 40)))
@@ -153,7 +162,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
     chosen = known.filter("quality = 1").filter(_sampled(F.col("doc_id"), min(1.0, max_positives / good), 1))
     positive = trainable.join(F.broadcast(chosen.select(F.col("doc_id").alias(doc_id))), doc_id, "left_semi")
     unlabelled = trainable.filter(_sampled(own, min(1.0, max_unlabelled / max(rows, 1)), 2))
-    return fit_nnpu(_features(positive, text), _features(unlabelled, text), prior=min(0.98, good / n))
+    parts = [_features(positive, text), _features(unlabelled, text)]
+    both, n_positive = np.concatenate(parts), len(parts[0])
+    parts.clear()
+    return _fitted(both, n_positive, min(0.98, good / n))
 
 
 def score_column(spark, model: QualityModel, text: Column) -> Column:

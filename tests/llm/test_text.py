@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -91,6 +92,21 @@ def test_nnpu_recovers_negatives():
     assert (model.score(good) > 0.5).mean() > 0.9 and (model.score(bad) < 0.5).mean() > 0.9
 
 
+def test_nnpu_holds_the_rows_once():
+    """The driver fits on thousands of rows: beside one copy of its own, the fit needs no more than a part of them at a time."""
+    rng = np.random.default_rng(1)
+    positive, unlabelled = (rng.random((n, 640), np.float32) for n in (600, 800))
+    both = np.concatenate([positive, unlabelled])
+    before = both.copy()
+    tracemalloc.start()
+    model = quality.fit_nnpu(positive, unlabelled, prior=0.6, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * both.nbytes
+    assert np.array_equal(np.concatenate([positive, unlabelled]), before)
+    assert np.array_equal(model.mean, both.mean(0)) and np.allclose(model.scale, both.std(0) + 1e-3, rtol=1e-6)
+
+
 # --------------------------------------------------------------------------- personal data
 VALUES = ["4952935900253052", "4952 9359 0025 3052", "+1 (017) 555-7713", "ann.90@mail2.example.com", "169.122.221.182", "GB82 WEST 1234 5698 7654 32",
           "DE89370400440532013000", "2024-02-29", "31.12.1999", "01/02/2003", "555-12-3456", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"']
