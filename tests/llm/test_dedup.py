@@ -296,3 +296,23 @@ def test_rows_that_may_be_among_owners(spark):
     some = J._maybe_in(rows, owners)
     assert owners.exceptAll(some.select("doc_id", "text_key")).isEmpty() and some.count() < 700
     assert J._maybe_in(rows, owners.limit(0)).isEmpty()
+
+
+def test_release_deletes_shuffle_files_of_the_last_step(spark):
+    import time
+
+    from talentlake.llm.common import Scratch
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for i in range(found.size()) if (x := found.apply(i).getName()).startswith("shuffle_")}
+
+    tmp, old = Scratch(spark, "release"), files()
+    for name in "ab":  # each step's own files, too, not only those of the step before
+        tmp.write(spark.range(1000).repartition(3), name)
+        assert files() - old
+        tmp.release()
+        until = time.time() + 4
+        while files() - old and time.time() < until:
+            time.sleep(0.1)
+        assert not files() - old, name
