@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +317,31 @@ def test_release_deletes_shuffle_files_of_the_last_step(spark):
         while files() - old and time.time() < until:
             time.sleep(0.1)
         assert not files() - old, name
+
+
+def test_grouped_signatures_lose_sets_without_a_shuffle(spark):
+    from talentlake.llm.common import Scratch
+
+    rng = np.random.default_rng(4)
+    met = {int(s): np.unique(rng.integers(-9, 9, int(rng.integers(2, 7)))) for s in range(400)}
+    met = {s: x for s, x in met.items() if len(x) > 1}
+    sigs, sizes = np.array([*met], np.uint64), np.array([len(x) for x in met.values()])
+    packed = [*J._groups(sigs, sizes, np.concatenate([*met.values()]).astype(np.int64))]
+    groups = spark.createDataFrame(packed, "sigs binary, sizes binary, sets binary")
+    hot = spark.createDataFrame([(1000, int(s)) for s in range(-9, 9)], "sig long, member long")
+    known = {r.set: r.known for r in J._known(groups, hot).collect()}
+    assert known == {s: 1 + sum(s in x for x in met.values()) for s in range(-9, 9)}
+    some = [-8, -1, 0, 3, 8]
+    left, few = J._of_sets(groups, hot, spark.createDataFrame([(s,) for s in some], "set long"), Scratch(spark, "groups"), "left")
+    rows = {(r.sig, r.member) for r in J._rows(left, few).collect()}
+    kept = {s: set(x.tolist()) & set(some) for s, x in met.items()}
+    assert rows == {(s, m) for s, x in kept.items() if len(x) > 1 for m in x} | {(1000, m) for m in some}
+    assert "Exchange" not in J._rows(left, few)._jdf.queryExecution().toString()
+    # a signature that is hot in one task and not in another has all its sets once
+    none = [None] * len(J._DESCRIBED)
+    far = [(0, np.uint64([7, 7, 8, 8]).tobytes(), np.int64([5, 6, 5, 6]).tobytes(), np.array([1, 1, 1, 1], "<u4").tobytes(), *none),
+           (0, np.uint64([7]).tobytes(), np.int64([4]).tobytes(), b"", *none), (-1, np.uint64([7, 7]).tobytes(), np.int64([4, 5]).tobytes(), b"", *none)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*far), J._PACKED)], schema=J._PACKED)
+    out = pa.Table.from_batches(J._met_in_buckets(iter([batch]))).to_pylist()
+    assert {(r["a"], r["b"]) for r in out if r["kind"] == 2} == {(7, 4), (7, 5), (7, 6)}
+    assert [r["sigs"] for r in out if r["kind"] == 0] == [np.uint64([8]).tobytes()]
