@@ -232,6 +232,32 @@ def test_digit_permutation_is_a_bijection(spark):
 
 
 # --------------------------------------------------------------------------- search
+def test_shards_are_small_rows_and_a_task_gives_its_best_only(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.3, 40) % 3000) for _ in range(600)] + ["often " * 300 + "v1", "often " * 70_000]
+    rows = pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "text": texts})
+    bags = [search.bag(t) for t in texts]
+    (whole,) = search._indexed(iter([rows]))
+    built, read = search.Shard.build([*range(len(texts))], bags), search.Shard.read(whole, 0)
+    for name in ("ids", "words", "terms", "firsts", "blocks", "starts", "docs", "tfs"):
+        assert np.array_equal(getattr(built, name), getattr(read, name)), name
+    assert np.array_equal(search.Shard.read(whole.select(["words", "terms", "spans", "sizes"]), 0).frequencies(), built.frequencies())
+    assert sum(c.nbytes for c in whole.columns) < 0.6 * sum(x.nbytes for x in (built.terms, built.blocks, built.starts, built.docs, built.tfs))
+    monkeypatch.setattr(search, "SHARD_DOCS", 100)
+    shards = [*search._indexed(iter([rows]))]
+    assert len(shards) == 7
+    queries = [(q, bags[q][0], np.ones(len(bags[q][0]))) for q in (0, 7, 600)]
+    mean = float(np.mean([b[1].sum() for b in bags]))
+    once = {q: [*zip(i.tolist(), s.tolist())] for q, i, s in built.weigh(mean).search(queries, 5)}
+    out = pa.Table.from_batches(search._searched(SimpleNamespace(value=queries), 5, mean)(iter(shards))).to_pylist()
+    assert len(out) == sum(len(x) for x in once.values())
+    assert {q: [(r["doc_id"], r["score"]) for r in out if r["query_id"] == q] for q in once} == once
+
+
 def test_top_k_equals_all_scores(spark):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, int(rng.integers(1, 60))) % 300)) for i in range(400)]
